@@ -95,7 +95,8 @@ def business_calendar(spark: SparkSession, early_roll_days: int = EARLY_ROLL_DAY
     w = Window.orderBy("d")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # Descending, because a frame that ends at the last row is recomputed per row.
+    after = Window.orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, -1)
     month = Window.partitionBy("month")
     bd_day = F.when(F.col("is_bd"), F.col("d"))
     cal = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def r6(col: Column | str) -> Column:
@@ -54,3 +54,41 @@ def wilson(successes: Column, trials: Column, z: float = 1.959963985) -> tuple[C
     half = (z / den) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return (F.when(n.isNotNull(), F.greatest(F.lit(0.0), centre - half)),
             F.when(n.isNotNull(), F.least(F.lit(1.0), centre + half)))
+
+
+def settle(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later lambdas read as values.
+
+    An expression used inside an array lambda may be merged into it and then
+    run once per element.  Emitting the columns from a one-row generator keeps
+    them out of reach of that merge, so each is computed once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
+def replicates(df: DataFrame, reps: int, chunks: int) -> DataFrame:
+    """``rep`` 1..reps for every row, spread over ``chunks`` tasks per row.
+
+    Only ``chunks`` copies of a row are shuffled; the replicates of a chunk are
+    unfolded behind the shuffle.  The partition count is given, because the
+    rows are few bytes but much work and would otherwise be merged again.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                4 * spark.sparkContext.defaultParallelism)
+    spread = (df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+              .repartition(parts, "series_id", "chunk"))
+    return spread.withColumn("rep", F.explode(F.sequence(
+        F.col("chunk") + 1, F.lit(reps), F.lit(chunks))))
+
+
+def draws(prefix: Column, count: Column, n: Column) -> Column:
+    """Array of ``count`` draws in ``[0, n)``; position i reads word i % 4 of
+    the digest of ``prefix|i div 4``, so four draws share one digest."""
+    digests = F.transform(
+        F.sequence(F.lit(0), F.floor((count - 1) / 4).cast("int")),
+        lambda j: F.md5(F.concat_ws("|", prefix, j.cast("string")).cast("binary")))
+    words = F.transform(digests, lambda h: F.transform(
+        F.array(*[F.lit(k) for k in (1, 9, 17, 25)]),
+        lambda at: (F.conv(F.substring(h, at, F.lit(8)), 16, 10).cast("long") % n).cast("int")))
+    return F.slice(F.flatten(words), F.lit(1), count.cast("int"))

@@ -86,6 +86,7 @@ def solve_lag_fit(sums: DataFrame) -> DataFrame:
             .withColumn("se_b1", F.expr("sqrt((cyy - b0*cxy - b1*czy)/(n - 3) * cxx/det)"))
             .withColumn("t_b1", F.expr("b1 / nullif(se_b1, 0D)"))
             .withColumn("ratio", F.expr("abs(b1) / nullif(abs(b0), 0D)"))
+            .withColumn("n", F.col("n").cast("long"))
             .drop("cxx", "czz", "cxz", "cxy", "czy", "cyy", "det", *list(MOMENTS)[1:]))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.exprs import array_quantile, clip, count_if, draw, ratio
+from sluice.functions.exprs import array_quantile, clip, count_if, draw, draws, ratio, replicates, settle
 
 # Fixed policy values.
 TARGET, LEAN_TARGET = 0.75, 0.65
@@ -159,28 +159,23 @@ def block_threshold_interval(recent: DataFrame, reps: int = 500, block: int = 5,
     """
     rows = recent.groupBy("series_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
-    work = (rows.withColumn("m", F.size("p")).where(F.col("m") >= MIN_FIT_ROWS)
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-            .repartition("series_id", "chunk")
-            .withColumn("rep", F.explode(F.filter(
-                F.sequence(F.lit(1), F.lit(reps)), lambda r: r % chunks == F.col("chunk")))))
+    work = replicates(rows.withColumn("m", F.size("p")).where(F.col("m") >= MIN_FIT_ROWS),
+                      reps, chunks)
     needed = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), needed - 1), lambda j: draw(
+    work = settle(work, s=F.transform(F.sequence(F.lit(0), needed - 1), lambda j: draw(
         F.concat_ws("|", F.lit(seed), F.col("series_id"), F.col("rep"), j), 0,
-        F.col("m") - block + 1).cast("int"))
+        F.col("m") - block + 1).cast("int")))
     pick = lambda i: F.get(F.col("p"), F.get(F.col("s"), F.floor(i / block).cast("int")) + i % block)
-    work = work.withColumn("s", starts).withColumn("b", F.transform(
-        F.sequence(F.lit(0), F.col("m") - 1), pick))
+    work = settle(work, b=F.transform(F.sequence(F.lit(0), F.col("m") - 1), pick))
     total = lambda f: F.aggregate("b", F.lit(0.0), lambda acc, r: acc + f(r))
-    work = (work.withColumn("mx", total(lambda r: r["x"]) / F.col("m"))
-            .withColumn("my", total(lambda r: r["y"]) / F.col("m"))
-            .withColumn("sxx", total(lambda r: (r["x"] - F.col("mx")) * (r["x"] - F.col("mx"))))
-            .withColumn("sxy", total(lambda r: (r["x"] - F.col("mx")) * (r["y"] - F.col("my"))))
-            .withColumn("slope", F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0)))
-            .withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
-            .where("slope > 0")
-            .withColumn("resid", F.array_sort(F.transform("b", lambda r: r["y"] - (
-                F.col("intercept") + F.col("slope") * r["x"])))))
+    work = settle(work, mx=total(lambda r: r["x"]) / F.col("m"),
+                  my=total(lambda r: r["y"]) / F.col("m"))
+    work = settle(work, sxx=total(lambda r: (r["x"] - F.col("mx")) * (r["x"] - F.col("mx"))),
+                  sxy=total(lambda r: (r["x"] - F.col("mx")) * (r["y"] - F.col("my"))))
+    slope = F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0))
+    work = settle(work, slope=slope, intercept=F.col("my") - slope * F.col("mx")).where("slope > 0")
+    work = settle(work, resid=F.array_sort(F.transform("b", lambda r: r["y"] - (
+        F.col("intercept") + F.col("slope") * r["x"]))))
     work = (work.withColumn("hike", noise_floored(bounded_threshold(
                 array_quantile(F.col("resid"), 1 - target), True), floor, True))
             .withColumn("drop_", noise_floored(bounded_threshold(
@@ -211,22 +206,16 @@ def tail_risk(train: DataFrame, drops: DataFrame, reps: int = 2000, level: float
     waits = waits.withColumn("sample_n", F.size("w")).where(F.col("sample_n") >= min_sample)
     tail_of = lambda arr, cut: F.filter(arr, lambda v: v >= cut)
     mean_of = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr)
-    base = (waits.withColumn("cutoff", array_quantile(F.col("w"), level))
-            .withColumn("t", tail_of(F.col("w"), F.col("cutoff")))
+    base = settle(waits, cutoff=array_quantile(F.col("w"), level))
+    base = (settle(base, t=tail_of(F.col("w"), F.col("cutoff")))
             .withColumn("tail_n", F.size("t")).where(F.col("tail_n") >= min_tail))
-    work = (base.select("series_id", "w", "sample_n")
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-            .repartition("series_id", "chunk")
-            .withColumn("rep", F.explode(F.filter(
-                F.sequence(F.lit(1), F.lit(reps)), lambda r: r % chunks == F.col("chunk")))))
-    key = lambda i: F.concat_ws("|", F.lit(seed), F.col("series_id"), F.col("rep"),
-                                F.floor(i / 4).cast("string"))
-    sample = F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.col("sample_n") - 1),
-        lambda i: F.get(F.col("w"), draw(key(i), i % 4, F.col("sample_n")).cast("int"))))
-    boot = (work.withColumn("b", sample)
-            .withColumn("c", array_quantile(F.col("b"), level))
-            .withColumn("m", mean_of(tail_of(F.col("b"), F.col("c"))))
+    work = replicates(base.select("series_id", "w", "sample_n"), reps, chunks)
+    prefix = F.concat_ws("|", F.lit(seed), F.col("series_id"), F.col("rep"))
+    work = settle(work, d=draws(prefix, F.col("sample_n"), F.col("sample_n")))
+    work = settle(work, b=F.array_sort(F.transform("d", lambda i: F.get(F.col("w"), i))))
+    work = settle(work, c=array_quantile(F.col("b"), level))
+    boot = (settle(work, t=tail_of(F.col("b"), F.col("c")))
+            .withColumn("m", mean_of(F.col("t")))
             .groupBy("series_id").agg(F.percentile(
                 "m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")))
     adverse = F.size(F.filter("w", lambda v: v > 0)) / F.col("sample_n")
