@@ -83,12 +83,17 @@ def replicates(df: DataFrame, reps: int, chunks: int) -> DataFrame:
 
 
 def draws(prefix: Column, count: Column, n: Column) -> Column:
-    """Array of ``count`` draws in ``[0, n)``; position i reads word i % 4 of
-    the digest of ``prefix|i div 4``, so four draws share one digest."""
-    digests = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / 4).cast("int")),
-        lambda j: F.md5(F.concat_ws("|", prefix, j.cast("string")).cast("binary")))
-    words = F.transform(digests, lambda h: F.transform(
-        F.array(*[F.lit(k) for k in (1, 9, 17, 25)]),
-        lambda at: (F.conv(F.substring(h, at, F.lit(8)), 16, 10).cast("long") % n).cast("int")))
-    return F.slice(F.flatten(words), F.lit(1), count.cast("int"))
+    """Array of ``count`` draws in ``[0, n)`` keyed by ``prefix`` and position.
+
+    One digest per array seeds an integer mixer that stays below 2^62, so the
+    draws repeat on any engine and a re-run task yields the same sample.
+    """
+    p31 = 2147483647
+    base = F.conv(F.substring(F.md5(prefix.cast("binary")), F.lit(1), F.lit(7)), 16, 10).cast("long")
+    start = F.transform(
+        F.sequence(F.lit(1).cast("long"), count.cast("long")),
+        lambda i: (base + i * F.lit(1640531527)) % F.lit(p31))
+    fold = lambda v: v.bitwiseXOR(F.shiftright(v, 16))
+    mixed = F.transform(start, lambda v: fold(v) * F.lit(73244475) % F.lit(p31))
+    mixed = F.transform(mixed, lambda v: fold(v) * F.lit(73244475) % F.lit(p31))
+    return F.transform(mixed, lambda v: (fold(v) % n).cast("int"))

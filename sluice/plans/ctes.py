@@ -115,3 +115,11 @@ def payoff(direction: str = "dir", y: str = "y") -> str:
 def draw(key: str, n: str, word: str = "0") -> str:
     """32-bit word of an md5 digest, reduced modulo ``n``."""
     return f"(('0x' || substr(md5({key}), ({word})*8 + 1, 8))::BIGINT % ({n}))"
+
+
+def mixed_draw(prefix: str, i: str, n: str) -> str:
+    """Position ``i`` (from 0) of the mixed draws keyed by ``prefix``."""
+    v = f"((('0x' || substr(md5({prefix}), 1, 7))::BIGINT + (({i}) + 1)::BIGINT * 1640531527) % 2147483647)"
+    for _ in range(2):
+        v = f"((xor({v}, {v} >> 16) * 73244475) % 2147483647)"
+    return f"(xor({v}, {v} >> 16) % ({n}))"

@@ -10,7 +10,7 @@ from sluice.operators import evaluate as ev, fit as m
 from sluice.operators.align import in_series
 from sluice.operators.decide import action_ladder
 from sluice.plans.base import cut_train, train_of
-from sluice.plans.ctes import DIR, TRAIN, draw, fit, payoff, thresholds
+from sluice.plans.ctes import DIR, TRAIN, draw, fit, mixed_draw, payoff, thresholds
 from sluice.plans.registry import query, with_ctes
 
 LAST = "ord > n - 360"
@@ -142,7 +142,7 @@ w0 AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY y
 wc AS (SELECT series_id, m, quantile_cont(y, 0.95) AS cutoff, quantile_cont(y, 0.5) AS median_move,
   count(*) FILTER (WHERE y > 0) / count(*) AS adverse FROM w0 WHERE m >= 20 GROUP BY 1, 2),
 wt AS (SELECT series_id, avg(y) AS cvar, count(*) AS tail_n FROM w0 JOIN wc USING (series_id) WHERE y >= cutoff GROUP BY 1),
-wd AS (SELECT wc.series_id, rep, {draw("'tail|' || wc.series_id || '|' || rep || '|' || (s.i // 4)", 'wc.m', 's.i % 4')} AS i
+wd AS (SELECT wc.series_id, rep, {mixed_draw("'tail|' || wc.series_id || '|' || rep", 's.i', 'wc.m')} AS i
   FROM wc, range(1, 2001) r(rep), range(20000) s(i) WHERE s.i < wc.m),
 wb AS (SELECT d.series_id, d.rep, w0.y FROM wd d JOIN w0 ON w0.series_id = d.series_id AND w0.i = d.i),
 wq AS (SELECT series_id, rep, quantile_cont(y, 0.95) AS c FROM wb GROUP BY 1, 2),
@@ -336,7 +336,7 @@ b AS (SELECT series_id, count(*) FILTER (WHERE dir <> 0) AS decisions, sum(dir*y
   avg(dir*y) FILTER (WHERE dir <> 0) AS per_decision, avg((dir*y > 0)::INT) FILTER (WHERE dir <> 0) AS model_precision,
   count(*) AS sign_decisions, avg(CASE WHEN x >= 0 THEN y ELSE -y END) AS sign_per_decision,
   avg((CASE WHEN x >= 0 THEN y ELSE -y END > 0)::INT) AS sign_precision FROM fsc GROUP BY 1),
-c AS (SELECT series_id, rep, sum(CASE WHEN {draw("'coin|' || series_id || '|' || rep || '|' || (i // 4)", '2', 'i % 4')} = 0 THEN y ELSE -y END) AS t
+c AS (SELECT series_id, rep, sum(CASE WHEN {mixed_draw("'coin|' || series_id || '|' || rep", 'i', '2')} = 0 THEN y ELSE -y END) AS t
   FROM a, range(1, 2001) r(rep) GROUP BY 1, 2),
 nul AS (SELECT series_id, count(*) FILTER (WHERE t >= model_total) AS as_extreme, count(*) AS draws FROM c JOIN b USING (series_id) GROUP BY 1)""", """
 SELECT series_id, decisions, round(model_total, 6) AS model_total, round(per_decision, 6) AS per_decision,
