@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.functions.calendar import business_calendar
+from sluice.operators import ledger
 from sluice.operators.align import one_session_deltas, training_pairs
 from sluice.session import durable
 from sluice.sources.panel import daily_panel, weekdays
@@ -22,3 +23,13 @@ def train_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training pairs, written once because several branches read them."""
     return durable(train_of(spark, sf_dir))
+
+
+def artifacts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.artifacts(train_of(spark, sf_dir))
+
+
+def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision log; written once, since reports read it in several branches."""
+    train = cut_train(spark, sf_dir)
+    return durable(ledger.decision_log(train, ledger.artifacts(train)))

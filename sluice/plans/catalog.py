@@ -1,4 +1,5 @@
 """Imports every family so that its queries are registered."""
 
-from sluice.plans import align_queries, audit_queries, fit_queries, forecast_queries, panel_queries  # noqa: F401
+from sluice.plans import (  # noqa: F401
+    align_queries, audit_queries, decision_queries, fit_queries, forecast_queries, panel_queries)
 from sluice.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -123,3 +123,63 @@ def mixed_draw(prefix: str, i: str, n: str) -> str:
     for _ in range(2):
         v = f"((xor({v}, {v} >> 16) * 73244475) % 2147483647)"
     return f"(xor({v}, {v} >> 16) % ({n}))"
+
+
+_GRID = "[" + ", ".join(repr(i / 100) for i in range(101)) + "]"
+_M = lambda c: f"CAST(round({c}*1e6) AS BIGINT)"
+
+ARTIFACTS = TRAIN + """,
+ao AS (SELECT series_id, n, k AS block, 360 + 20*k AS start FROM (SELECT DISTINCT series_id, n FROM train), range(1000) b(k) WHERE 360 + 20*k < n),
+atr AS (SELECT o.block, t.* FROM ao o JOIN train t ON t.series_id = o.series_id AND t.ord - 1 >= o.start - 360 AND t.ord - 1 < o.start),
+""" + thresholds("af", "atr", "series_id, block") + f""",
+ag AS (SELECT series_id, block, list_transform(quantile_cont(resid, {_GRID}), lambda v: round(v, 4) + 0.0) AS grid FROM af_r GROUP BY 1, 2),
+ax AS (SELECT series_id, block, min(session) AS training_start, max(session) AS training_end, round(stddev_samp(x), 4) AS daily_std FROM atr GROUP BY 1, 2),
+ae AS (SELECT o.series_id, o.block, min(t.session) AS effective_session FROM ao o JOIN train t ON t.series_id = o.series_id AND t.ord - 1 >= o.start GROUP BY 1, 2),
+ac AS (SELECT series_id, block, effective_session, training_start, training_end, daily_std, grid, rows, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+  round(sigma, 6) AS sigma, round(r2, 6) AS r2, round(hike, 2) AS hike, round(drop_, 2) AS drop_, round(lean_hike, 2) AS lean_hike, round(lean_drop, 2) AS lean_drop
+  FROM af JOIN ag USING (series_id, block) JOIN ax USING (series_id, block) JOIN ae USING (series_id, block) WHERE fit_error IS NULL),
+ak AS (SELECT *, concat_ws('|', series_id, effective_session::VARCHAR, training_start::VARCHAR, training_end::VARCHAR, rows::VARCHAR,
+  {_M('slope')}, {_M('intercept')}, {_M('hike')}, {_M('drop_')}, {_M('lean_hike')}, {_M('lean_drop')}, {_M('daily_std')}) AS core FROM ac),
+an AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY block) AS seq FROM ak),
+ah AS (SELECT series_id, seq, 'bootstrap_config' AS prior_artifact_id, sha256('bootstrap_config|' || core) AS artifact_id FROM an WHERE seq = 1
+  UNION ALL SELECT an.series_id, an.seq, ah.artifact_id, sha256(ah.artifact_id || '|' || core) FROM ah JOIN an ON an.series_id = ah.series_id AND an.seq = ah.seq + 1),
+arts AS (SELECT an.*, prior_artifact_id, artifact_id FROM an JOIN ah USING (series_id, seq))"""
+
+
+def byte(at: int, *keys: str) -> str:
+    key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"('0x' || substr(md5({key}), {2 * at + 1}, 2))::INT"
+
+
+_B = lambda i: byte(i, "series_id", "session")
+
+LOG = ARTIFACTS + f""",
+l0 AS (SELECT series_id, session, prior_session, ord, n, x, y, driver AS settle, prior_driver AS baseline_price, response, prior_response, (ord - 1 - 360)//20 AS block,
+  CASE WHEN {_B(0)} < 16 THEN 'backfill' WHEN {_B(0)} < 24 THEN '' WHEN {_B(0)} < 28 THEN NULL WHEN {_B(0)} < 32 THEN 'imported' ELSE 'live' END AS raw_source,
+  CASE WHEN {_B(1)} < 12 THEN 'live_proxy:quote' WHEN {_B(1)} < 18 THEN NULL ELSE 'exchange_snapshot' END AS settlement_source,
+  CASE WHEN {_B(2)} < 16 THEN 'exchange_close' WHEN {_B(2)} < 40 THEN 'history_same_contract' ELSE 'provenance_verified' END AS baseline_source,
+  session::TIMESTAMP + INTERVAL 14 HOUR + to_minutes(35 + {_B(3)} % 85) AS verdict_ts,
+  CASE WHEN ord > n - 5 THEN 'PENDING' WHEN {_B(4)} < 4 THEN 'NO_PRIOR_SESSION' ELSE 'RESOLVED' END AS outcome_status,
+  driver + ({_B(5)} - 128)/25600.0::DOUBLE + CASE WHEN {_B(5)} = 0 THEN 0.03 ELSE 0.0 END::DOUBLE AS signal_price FROM train WHERE ord > 360),
+l1 AS (SELECT l0.*, (signal_price - baseline_price)*100 AS move, a.artifact_id, a.effective_session, a.slope, a.intercept, a.daily_std, a.grid,
+  a.hike AS artifact_hike, a.drop_ AS artifact_drop_, a.lean_hike AS artifact_lean_hike, a.lean_drop AS artifact_lean_drop,
+  baseline_source IN ('provenance_verified', 'history_same_contract') AS known FROM l0 JOIN arts a USING (series_id, block)),
+l2 AS (SELECT *, CASE WHEN known THEN artifact_hike ELSE greatest(artifact_hike, 1.2::DOUBLE) END AS hike, CASE WHEN known THEN artifact_drop_ ELSE least(artifact_drop_, -1.2::DOUBLE) END AS drop_,
+  CASE WHEN known THEN artifact_lean_hike ELSE greatest(artifact_lean_hike, 1.2::DOUBLE) END AS lh, CASE WHEN known THEN artifact_lean_drop ELSE least(artifact_lean_drop, -1.2::DOUBLE) END AS ld,
+  intercept + slope*move AS expected, len(list_filter(grid, lambda g: g <= -(intercept + slope*move))) AS below FROM l1),
+l3 AS (SELECT * EXCLUDE (lh, ld, below, grid, known), least(lh, hike) AS lean_hike, greatest(ld, drop_) AS lean_drop, move / nullif(daily_std, 0) AS z,
+  1.0::DOUBLE - greatest(1.0::DOUBLE/103.0::DOUBLE, least(1.0::DOUBLE - 1.0::DOUBLE/103.0::DOUBLE, below/101.0::DOUBLE)) AS p_up FROM l2),
+l4 AS (SELECT * EXCLUDE (p_up), CASE WHEN move >= 0 THEN p_up ELSE 1.0::DOUBLE - p_up END AS p,
+  CASE WHEN move >= hike THEN 'BUY_NOW' WHEN move <= drop_ THEN 'WAIT' WHEN move >= lean_hike THEN 'LEAN_BUY' WHEN move <= lean_drop THEN 'LEAN_WAIT' ELSE 'NO_EDGE' END AS modeled_action FROM l3),
+l5 AS (SELECT *, CASE WHEN modeled_action IN ('BUY_NOW','LEAN_BUY') THEN expected - 0.5 WHEN modeled_action IN ('WAIT','LEAN_WAIT') THEN -expected - 1.25 ELSE 0 END::DOUBLE AS net_edge FROM l4),
+l6 AS (SELECT *, CASE WHEN modeled_action <> 'NO_EDGE' AND net_edge <= 0 THEN 'NO_EDGE' ELSE modeled_action END AS final_action,
+  CASE WHEN raw_source IN ('live', 'backfill') THEN raw_source ELSE 'unlabelled' END AS prediction_source,
+  CASE WHEN p >= 0.90 THEN 'High' WHEN p >= 0.75 THEN 'Moderate' ELSE 'Low' END || ' confidence (' || round(p*100)::INT || '%) | p=0.' || lpad((round(p*10000)::INT)::VARCHAR, 4, '0') AS label,
+  CASE WHEN outcome_status = 'RESOLVED' THEN y END AS actual FROM l5),
+l7 AS (SELECT *, CASE WHEN final_action IN ('BUY_NOW','LEAN_BUY') THEN 1 WHEN final_action IN ('WAIT','LEAN_WAIT') THEN -1 ELSE 0 END AS dir FROM l6),
+log AS (SELECT *, CASE dir WHEN 1 THEN 'HIKE' WHEN -1 THEN 'DROP' ELSE 'FLAT' END AS direction, dir*actual AS savings, coalesce(dir*actual > 0, false) AS correct,
+  CASE final_action WHEN 'BUY_NOW' THEN hike WHEN 'LEAN_BUY' THEN lean_hike WHEN 'WAIT' THEN drop_ WHEN 'LEAN_WAIT' THEN lean_drop ELSE 0 END AS threshold_used,
+  NOT regexp_matches(coalesce(settlement_source, 'unknown'), '^(live_proxy|legacy_unknown|unknown)') AS snapshot_based FROM l7)"""
+
+LIVE = LOG + """,
+live AS (SELECT * FROM log WHERE prediction_source = 'live' AND snapshot_based AND actual IS NOT NULL)"""

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def with_ctes(*parts: str) -> str:
     """``WITH`` the leading parts, then the last one as the statement."""
-    return "WITH " + ",\n".join(p.strip() for p in parts[:-1]) + "\n" + parts[-1].strip()
+    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in parts[:-1]) + "\n" + parts[-1].strip()
