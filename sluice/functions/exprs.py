@@ -66,19 +66,27 @@ def settle(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
 
 
-def replicates(df: DataFrame, reps: int, chunks: int) -> DataFrame:
-    """``rep`` 1..reps for every row, spread over ``chunks`` tasks per row.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into a given number of partitions.
 
-    Only ``chunks`` copies of a row are shuffled; the replicates of a chunk are
-    unfolded behind the shuffle.  The partition count is given, because the
-    rows are few bytes but much work and would otherwise be merged again.
+    Stands where a window or group over ``keys`` would shuffle anyway.  Naming
+    the count matters because the rows are few bytes and much work: left to
+    itself, the adaptive planner would merge them into one task.
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 4 * spark.sparkContext.defaultParallelism)
-    spread = (df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-              .repartition(parts, "series_id", "chunk"))
-    return spread.withColumn("rep", F.explode(F.sequence(
+    return df.repartition(parts, *keys)
+
+
+def replicates(df: DataFrame, reps: int, chunks: int) -> DataFrame:
+    """``rep`` 1..reps for every row, spread over ``chunks`` tasks per row.
+
+    Only ``chunks`` copies of a row are shuffled; the replicates of a chunk are
+    unfolded behind the shuffle.
+    """
+    copies = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return spread(copies, "series_id", "chunk").withColumn("rep", F.explode(F.sequence(
         F.col("chunk") + 1, F.lit(reps), F.lit(chunks))))
 
 

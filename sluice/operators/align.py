@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluice.functions.distributions import t_two_sided
-from sluice.functions.exprs import count_if, ratio
+from sluice.functions.exprs import count_if, ratio, spread
 
 # Fixed values of the alignment check.
 MAX_LAG_RATIO = 0.08
@@ -31,8 +31,9 @@ def one_session_deltas(panel: DataFrame, cal: DataFrame) -> DataFrame:
     is a bounded dimension, so its join keeps the partitioning by series that
     the ``lag`` already paid for.
     """
+    present = panel.where(F.col("driver").isNotNull() & F.col("response").isNotNull())
     moves = (
-        panel.where(F.col("driver").isNotNull() & F.col("response").isNotNull())
+        spread(present, "series_id")
         .withColumn("prior_session", F.lag("session").over(by_session()))
         .withColumn("prior_driver", F.lag("driver").over(by_session()))
         .withColumn("prior_response", F.lag("response").over(by_session()))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.exprs import count_if, draws, ratio, replicates, settle
+from sluice.functions.exprs import count_if, draws, ratio, replicates, settle, spread
 from sluice.operators import fit as m
 from sluice.operators.align import by_session, in_series
 from sluice.operators.decide import z_band
@@ -30,7 +30,8 @@ DOWN = "CASE WHEN x < 0 AND y < 0 THEN x END"
 def consecutive_moves(panel: DataFrame) -> DataFrame:
     """Row-to-row moves in cents with the row number and count per series."""
     prior = lambda c: F.lag(c).over(by_session())
-    return (panel.withColumn("x", (F.col("driver") - prior("driver")) * 100)
+    return (spread(panel, "series_id")
+            .withColumn("x", (F.col("driver") - prior("driver")) * 100)
             .withColumn("y", (F.col("response") - prior("response")) * 100)
             .withColumn("rn", F.row_number().over(by_session()))
             .withColumn("n", F.count("*").over(in_series())))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.exprs import array_quantile, count_if, draws, ratio, replicates, settle
+from sluice.functions.exprs import array_quantile, count_if, draws, ratio, replicates, settle, spread
 from sluice.operators import fit as m
 from sluice.operators.align import by_session, in_series
 
@@ -32,9 +32,10 @@ def fold_rows(train: DataFrame, test_rows: int = FOLD_ROWS, folds: int = FOLDS,
     first = (F.col("f") + 1) * test_rows
     is_test = (F.col("back") >= first - test_rows) & (F.col("back") < first)
     is_train = (F.col("back") >= first + purge) & (F.col("back") < first + purge + window)
-    return (rows.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-            .where(is_test | is_train).withColumn("is_train", is_train)
-            .withColumnRenamed("f", "fold"))
+    tagged = (rows.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+              .where(is_test | is_train).withColumn("is_train", is_train)
+              .withColumnRenamed("f", "fold"))
+    return spread(tagged, "series_id", "fold")
 
 
 def origin_rows(train: DataFrame, first: int = FIRST_ORIGIN, step: int = STEP,
@@ -54,8 +55,9 @@ def origin_rows(train: DataFrame, first: int = FIRST_ORIGIN, step: int = STEP,
         F.transform(trains, lambda k: F.struct(k.alias("block"), F.lit(True).alias("is_train"))),
         F.when(own >= 0, F.array(F.struct(own.alias("block"), F.lit(False).alias("is_train"))))
         .otherwise(F.array().cast("array<struct<block:bigint,is_train:boolean>>")))
-    return (train.where(F.col("n") > first).withColumn("role", F.explode(roles))
-            .select("*", "role.block", "role.is_train").drop("role"))
+    tagged = (train.where(F.col("n") > first).withColumn("role", F.explode(roles))
+              .select("*", "role.block", "role.is_train").drop("role"))
+    return spread(tagged, "series_id", "block")
 
 
 def scored_rows(tagged: DataFrame, key: str, floor: float, target: float = m.TARGET,
