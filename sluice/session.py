@@ -24,6 +24,15 @@ def local_session(cores: str = "*", app: str = "sluice") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for written intermediates."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written rows.
 
@@ -33,8 +42,5 @@ def durable(df: DataFrame) -> DataFrame:
     folder is the one the cluster names; a private one is chosen only where
     nothing is configured.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
