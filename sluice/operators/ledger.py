@@ -57,8 +57,9 @@ def artifacts(train: DataFrame) -> DataFrame:
 
 def byte_of(at: int, *keys: str) -> Column:
     """Deterministic byte of a row, for proxy columns the tables lack."""
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(key.cast("binary")), 2 * at + 1, 2), 16, 10).cast("int")
+    salt = [F.lit("x")] if at >= 16 else []
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], *salt)
+    return F.conv(F.substring(F.md5(key.cast("binary")), 2 * (at % 16) + 1, 2), 16, 10).cast("int")
 
 
 def decision_log(train: DataFrame, arts: DataFrame) -> DataFrame:

@@ -148,7 +148,9 @@ arts AS (SELECT an.*, prior_artifact_id, artifact_id FROM an JOIN ah USING (seri
 
 def byte(at: int, *keys: str) -> str:
     key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"('0x' || substr(md5({key}), {2 * at + 1}, 2))::INT"
+    if at >= 16:
+        key += " || '|x'"
+    return f"('0x' || substr(md5({key}), {2 * (at % 16) + 1}, 2))::INT"
 
 
 _B = lambda i: byte(i, "series_id", "session")
