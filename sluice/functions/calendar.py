@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from sluice.session import durable
+
 FIRST_YEAR, LAST_YEAR = 1993, 2028
 
 # Fixed value: business days before the last trade date at which the quoted
@@ -77,7 +79,21 @@ def alternate_holiday(d: Column, good_friday: Column) -> Column:
     return good_friday | new_year | floating | fixed(6, 19) | fixed(7, 4) | fixed(12, 25)
 
 
-def business_calendar(spark: SparkSession, early_roll_days: int = EARLY_ROLL_DAYS,
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def business_calendar(spark: SparkSession, early_roll_days: int = EARLY_ROLL_DAYS) -> DataFrame:
+    """The calendar as a written dimension, generated once per application.
+
+    It depends on no input table, so every query of a session may share it.
+    """
+    key = (spark.sparkContext.applicationId, early_roll_days)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = durable(generate_calendar(spark, early_roll_days))
+    return _WRITTEN[key]
+
+
+def generate_calendar(spark: SparkSession, early_roll_days: int = EARLY_ROLL_DAYS,
                       first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
     """One row per day: business flags, neighbours, contract months and rolls.
 

@@ -287,9 +287,9 @@ def reality_check(panel: DataFrame, reps: int = 1000, chunks: int = 16, seed: st
     270 test rows x 12 grid points per series make one bounded matrix.
     """
     rows = grid_scores(panel)
-    per_row = rows.groupBy("series_id", "back").agg(F.transform(F.array_sort(F.collect_list(
+    per_row = rows.groupBy("series_id", "back").agg(F.transform(F.sort_array(F.collect_list(
         F.struct("win", "hp", "dp", "r"))), lambda s: s["r"]).alias("rs"))
-    mat = per_row.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(
+    mat = per_row.groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(
         F.struct("back", "rs"))), lambda s: s["rs"]).alias("m"))
     k = len(GRID_WINDOWS) * len(GRID_HIKE) * len(GRID_DROP)
     size = F.size("m")

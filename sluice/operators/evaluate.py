@@ -140,11 +140,11 @@ def holdout_permutation(train: DataFrame, reps: int = PERMUTATIONS, chunks: int
     scored = scored_rows(rows, "g", CHECK_FLOOR)
     base = scored.groupBy("series_id").agg(
         F.max("hike").alias("hike"), F.max("drop_").alias("drop_"),
-        F.array_sort(F.collect_list(F.struct("ord", "dir", "y"))).alias("t"),
+        F.sort_array(F.collect_list(F.struct("ord", "dir", "y"))).alias("t"),
         *m.payoff_aggregates(F.col("dir"), F.col("y")))
     work = replicates(base.select("series_id", "t", "total_savings"), reps, chunks)
     size = F.size("t")
-    order = F.transform(F.array_sort(F.transform(
+    order = F.transform(F.sort_array(F.transform(
         F.sequence(F.lit(0), size - 1), lambda i: F.struct(
             F.md5(F.concat_ws("|", F.lit(seed), "series_id", "rep", i).cast("binary")).alias("h"),
             i.alias("i")))), lambda s: s["i"])
@@ -180,7 +180,7 @@ def benchmark_signs(scored: DataFrame, reps: int = 2000, chunks: int = 16,
         F.avg(F.when(active, (pay > 0).cast("int"))).alias("model_precision"),
         F.count("*").alias("sign_decisions"), F.avg(sign_pay).alias("sign_per_decision"),
         F.avg((sign_pay > 0).cast("int")).alias("sign_precision"),
-        F.array_sort(F.collect_list(F.when(active, F.struct("ord", "y")))).alias("a"))
+        F.sort_array(F.collect_list(F.when(active, F.struct("ord", "y")))).alias("a"))
     work = replicates(base.select("series_id", "a", "model_total"), reps, chunks)
     prefix = F.concat_ws("|", F.lit(seed), "series_id", "rep")
     work = settle(work.where(F.size("a") > 0), c=draws(prefix, F.size("a"), F.lit(2)))
@@ -205,25 +205,24 @@ def regime_split(scored: DataFrame) -> DataFrame:
 def daily_origin(train: DataFrame, window: int = m.FIT_WINDOW, purge: int = PURGE) -> DataFrame:
     """A fit per row on the ``window`` rows before a purge gap.
 
-    Daily origins share almost all of their rows, so the fit is a framed window
-    aggregate and only the residual statistics read the frame's points (a
-    bounded array of ``window`` entries).
+    Daily origins share almost all of their rows, so the fit comes from running
+    sums and only the residual statistics read the window's points (a bounded
+    array of ``window`` entries).
     """
     frame = by_session().rowsBetween(-(window + purge), -(1 + purge))
-    x, y = F.col("x"), F.col("y")
-    rows = train.withColumns({**m.fit_aggregates(x, y, frame),
-                              "pts": F.collect_list(F.struct("x", "y")).over(frame)})
+    x = F.col("x")
+    rows = m.rolling_line(train, window, purge).withColumn(
+        "pts", F.collect_list(F.struct("x", "y")).over(frame))
     rows = rows.where(F.col("ord") > window + purge)
-    resid = F.array_sort(F.transform("pts", lambda p: p["y"] - (
+    resid = F.sort_array(F.transform("pts", lambda p: p["y"] - (
         F.col("intercept") + F.col("slope") * p["x"])))
-    rows = rows.withColumn("rs", resid)
+    rows = settle(rows, rs=resid).drop("pts")
     t, ln = m.TARGET, m.LEAN_TARGET
     q = F.array(*[array_quantile(F.col("rs"), v) for v in (1 - t, t, 1 - ln, ln)])
-    rows = m.with_thresholds(rows.withColumn("q", q), F.col("q"), m.NOISE_FLOOR)
-    p_up = m.probability_up(F.col("rs"), x)
+    rows = settle(rows, q=q, p_up=m.probability_up(F.col("rs"), x)).drop("rs")
+    rows = m.with_thresholds(rows, F.col("q"), m.NOISE_FLOOR).drop("q")
     return (rows.withColumn("expected", F.col("intercept") + F.col("slope") * x)
-            .withColumn("p_up", p_up).withColumn("p_correct", m.probability_correct(p_up, x))
-            .drop("pts", "q", "rs"))
+            .withColumn("p_correct", m.probability_correct(F.col("p_up"), x)))
 
 
 def two_band_signal(x: Column) -> Column:

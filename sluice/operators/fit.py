@@ -17,6 +17,38 @@ GRID_POINTS = 101
 TRUCK_GALLONS = 8500.0
 
 
+RUNNING = {"c_n": "1D", "c_x": "x", "c_y": "y", "c_xx": "x*x", "c_xy": "x*y", "c_yy": "y*y"}
+
+
+def rolling_line(rows: DataFrame, window: int, purge: int, prefix: str = "",
+                 weight: str | None = None) -> DataFrame:
+    """Fit of the ``window`` rows that end one purge gap before each row.
+
+    Sums over a moving window are differences of running sums, so a fit per
+    row costs the same however long the window is.  Moves are centred near
+    zero, which keeps the differences exact to about 1e-12.  A weight that
+    grows with the row number may be given: a common factor of all weights of
+    a window cancels in the fit.
+    """
+    order = Window.partitionBy("series_id").orderBy("ord")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    term = lambda e: F.expr(e if weight is None else f"({weight})*({e})")
+    rows = rows.withColumns({k: F.sum(term(e)).over(upto) for k, e in RUNNING.items()})
+    rows = rows.withColumn("c_k", F.count("x").over(upto))
+    end = lambda k: F.coalesce(F.lag(k, 1 + purge).over(order), F.lit(0))
+    start = lambda k: F.coalesce(F.lag(k, 1 + purge + window).over(order), F.lit(0))
+    names = [*RUNNING, "c_k"]
+    rows = rows.withColumns({f"w{k[1:]}": end(k) - start(k) for k in names}).drop(*names)
+    sxx = F.col("w_xx") - F.col("w_x") * F.col("w_x") / F.col("w_n")
+    sxy = F.col("w_xy") - F.col("w_x") * F.col("w_y") / F.col("w_n")
+    slope = sxy / F.nullif(sxx, F.lit(0.0))
+    filled = F.col("w_k") > 1
+    rows = rows.withColumns({f"{prefix}slope": F.when(filled, slope), f"{prefix}rows": F.col("w_k")})
+    rows = rows.withColumn(f"{prefix}intercept", F.when(
+        filled, (F.col("w_y") - F.col(f"{prefix}slope") * F.col("w_x")) / F.col("w_n")))
+    return rows.drop(*[f"w{k[1:]}" for k in names])
+
+
 def last_rows(train: DataFrame, window: int = FIT_WINDOW) -> DataFrame:
     return train.where(F.col("ord") > F.col("n") - window)
 
@@ -73,10 +105,10 @@ def with_thresholds(fits: DataFrame, q: Column, floor: float = NOISE_FLOOR) -> D
              .when(F.col("slope") <= 0, "inverted_slope"))
     ok = F.col("fit_error").isNull()
     at = lambda i, up: F.when(ok, noise_floored(bounded_threshold(q[i], up), floor, up))
-    return (fits.withColumn("fit_error", error)
-            .withColumn("hike", at(0, True)).withColumn("drop_", at(1, False))
-            .withColumn("lean_hike", F.least(at(2, True), F.col("hike")))
-            .withColumn("lean_drop", F.greatest(at(3, False), F.col("drop_"))))
+    fits = settle(fits.withColumn("fit_error", error), hike=at(0, True), drop_=at(1, False),
+                  _lh=at(2, True), _ld=at(3, False))
+    return (fits.withColumn("lean_hike", F.least("_lh", "hike"))
+            .withColumn("lean_drop", F.greatest("_ld", "drop_")).drop("_lh", "_ld"))
 
 
 def group_thresholds(df: DataFrame, keys: Sequence[str], train: Column | None = None,
@@ -158,7 +190,7 @@ def block_threshold_interval(recent: DataFrame, reps: int = 500, block: int = 5,
     replicates x pairs is ever shuffled.
     """
     rows = recent.groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
+        F.sort_array(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
     work = replicates(rows.withColumn("m", F.size("p")).where(F.col("m") >= MIN_FIT_ROWS),
                       reps, chunks)
     needed = F.ceil(F.col("m") / F.lit(block)).cast("int")
@@ -174,7 +206,7 @@ def block_threshold_interval(recent: DataFrame, reps: int = 500, block: int = 5,
                   sxy=total(lambda r: (r["x"] - F.col("mx")) * (r["y"] - F.col("my"))))
     slope = F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0))
     work = settle(work, slope=slope, intercept=F.col("my") - slope * F.col("mx")).where("slope > 0")
-    work = settle(work, resid=F.array_sort(F.transform("b", lambda r: r["y"] - (
+    work = settle(work, resid=F.sort_array(F.transform("b", lambda r: r["y"] - (
         F.col("intercept") + F.col("slope") * r["x"]))))
     work = (work.withColumn("hike", noise_floored(bounded_threshold(
                 array_quantile(F.col("resid"), 1 - target), True), floor, True))
@@ -202,7 +234,7 @@ def tail_risk(train: DataFrame, drops: DataFrame, reps: int = 2000, level: float
     """
     waits = (train.join(drops.select("series_id", "drop_"), "series_id")
              .where("x <= drop_").groupBy("series_id")
-             .agg(F.array_sort(F.collect_list("y")).alias("w")))
+             .agg(F.sort_array(F.collect_list("y")).alias("w")))
     waits = waits.withColumn("sample_n", F.size("w")).where(F.col("sample_n") >= min_sample)
     tail_of = lambda arr, cut: F.filter(arr, lambda v: v >= cut)
     mean_of = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr)
@@ -212,7 +244,7 @@ def tail_risk(train: DataFrame, drops: DataFrame, reps: int = 2000, level: float
     work = replicates(base.select("series_id", "w", "sample_n"), reps, chunks)
     prefix = F.concat_ws("|", F.lit(seed), F.col("series_id"), F.col("rep"))
     work = settle(work, d=draws(prefix, F.col("sample_n"), F.col("sample_n")))
-    work = settle(work, b=F.array_sort(F.transform("d", lambda i: F.get(F.col("w"), i))))
+    work = settle(work, b=F.sort_array(F.transform("d", lambda i: F.get(F.col("w"), i))))
     work = settle(work, c=array_quantile(F.col("b"), level))
     boot = (settle(work, t=tail_of(F.col("b"), F.col("c")))
             .withColumn("m", mean_of(F.col("t")))

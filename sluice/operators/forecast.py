@@ -11,6 +11,7 @@ from sluice.operators.align import by_session, in_series
 # Fixed values of the comparison.
 WINDOW, PURGE, BASE_MIN, ERRORS, SHORT, HALF_LIFE = 360, 1, 120, 120, 180, 90
 EVALUATION_START = WINDOW + PURGE
+WEIGHT = f"pow(2D, ord / {HALF_LIFE}D)"
 CANDIDATES = ("production", "prequential_360", "short_180", "weighted_360")
 
 
@@ -20,13 +21,8 @@ def earlier(rows: int) -> object:
 
 
 def weighted_sums(frame) -> dict[str, Column]:
-    """Recency-weighted moments of a frame.
-
-    Weights halve every ``HALF_LIFE`` rows of age.  Counting age from the start
-    of the series instead of the end of the frame scales all weights of a frame
-    by one factor, which cancels in the fit, so plain framed sums suffice.
-    """
-    w = F.pow(F.lit(2.0), F.col("ord") / F.lit(float(HALF_LIFE)))
+    """Recency-weighted moments of a frame."""
+    w = F.expr(WEIGHT)
     terms = {"w": w, "wx": w * F.col("x"), "wy": w * F.col("y"),
              "wxx": w * F.col("x") * F.col("x"), "wxy": w * F.col("x") * F.col("y")}
     return {k: F.sum(v).over(frame) for k, v in terms.items()}
@@ -56,21 +52,23 @@ def weighted_fit(train: DataFrame) -> DataFrame:
 
 
 def prequential(train: DataFrame) -> DataFrame:
-    """Earlier-only points of every candidate and their errors, per row."""
-    frame, short = earlier(WINDOW), earlier(SHORT)
+    """Earlier-only points of every candidate and their errors, per row.
+
+    Weights halve every ``HALF_LIFE`` rows of age.  Counting age from the start
+    of the series instead of the end of the window scales all weights of a
+    window by one factor, which cancels, so running sums serve here too.
+    """
     x, y = F.col("x"), F.col("y")
-    rows = train.withColumns({
-        "slope": F.regr_slope(y, x).over(frame), "intercept": F.regr_intercept(y, x).over(frame),
-        "rows": F.count(x).over(frame),
-        "b2": F.regr_slope(y, x).over(short), "a2": F.regr_intercept(y, x).over(short),
-        **weighted_sums(frame)})
-    b3, a3 = weighted_line()
+    rows = m.rolling_line(train, WINDOW, PURGE)
+    rows = m.rolling_line(rows, SHORT, PURGE, "s_")
+    rows = m.rolling_line(rows, WINDOW, PURGE, "w_", WEIGHT)
     known = F.col("rows") >= BASE_MIN
     points = {"p_base": F.col("intercept") + F.col("slope") * x,
-              "p_short": F.col("a2") + F.col("b2") * x, "p_weighted": a3 + b3 * x}
+              "p_short": F.col("s_intercept") + F.col("s_slope") * x,
+              "p_weighted": F.col("w_intercept") + F.col("w_slope") * x}
     rows = rows.withColumns({k: F.when(known, v) for k, v in points.items()})
     return rows.withColumns({k.replace("p_", "e_"): y - F.col(k) for k in points}).drop(
-        "w", "wx", "wy", "wxx", "wxy", "a2", "b2")
+        *[f"{p}_{c}" for p in "sw" for c in ("slope", "intercept", "rows")])
 
 
 def error_distribution(point: Column, errors: Column) -> dict[str, Column]:
@@ -110,28 +108,31 @@ def forecast_rows(train: DataFrame) -> DataFrame:
     lists = {f"l_{k}": F.collect_list(f"e_{k}").over(errors) for k in ("base", "short", "weighted")}
     pts = F.collect_list(F.struct("x", "y")).over(earlier(WINDOW))
     rows = rows.withColumns({**lists, "pts": pts}).where(F.col("ord") > EVALUATION_START)
-    rows = settle(rows, rs=F.array_sort(F.transform("pts", lambda p: p["y"] - (
+    rows = settle(rows, rs=F.sort_array(F.transform("pts", lambda p: p["y"] - (
         F.col("intercept") + F.col("slope") * p["x"]))),
-        **{k: F.array_sort(k.replace("s_", "l_")) for k in ("s_base", "s_short", "s_weighted")}).drop("pts")
+        **{k: F.sort_array(k.replace("s_", "l_")) for k in ("s_base", "s_short", "s_weighted")}).drop(
+        "pts", *lists)
     t, ln = m.TARGET, m.LEAN_TARGET
     rows = settle(rows, q=F.array(*[array_quantile(F.col("rs"), v) for v in (1 - t, t, 1 - ln, ln)]))
     rows = m.with_thresholds(rows, F.col("q"))
     rows = settle(rows, pu=m.probability_up(F.col("rs"), F.col("x")))
     x = F.col("x")
 
+    names = ("base", "short", "weighted")
+    rows = settle(rows, **{f"d_{k}": F.struct(*[v.alias(n) for n, v in error_distribution(
+        F.col(f"p_{k}"), F.col(f"s_{k}")).items()]) for k in names}).drop(*[f"s_{k}" for k in names], "rs")
+
     def challenger(name: str) -> Column:
         point = F.col(f"p_{name}")
-        d = error_distribution(point, F.col(f"s_{name}"))
+        d = {k: F.col(f"d_{name}.{k}") for k in ("p_up", "p_down", "low", "high")}
         side, band = probability_action(point, d["p_up"], d["p_down"], x)
-        return F.struct(point.alias("point"), d["p_up"].alias("p_up"), d["p_down"].alias("p_down"),
-                        d["low"].alias("low"), d["high"].alias("high"), side.alias("dir"),
-                        band.alias("band"))
+        return F.struct(point.alias("point"), *[c.alias(k) for k, c in d.items()],
+                        side.alias("dir"), band.alias("band"))
 
-    base = error_distribution(F.col("p_base"), F.col("s_base"))
     side, band = production_action(x)
     production = F.struct(
         F.col("p_base").alias("point"), F.col("pu").alias("p_up"), (1 - F.col("pu")).alias("p_down"),
-        base["low"].alias("low"), base["high"].alias("high"), side.alias("dir"), band.alias("band"))
+        F.col("d_base.low").alias("low"), F.col("d_base.high").alias("high"), side.alias("dir"), band.alias("band"))
     rows = settle(rows, production=production, prequential_360=challenger("base"),
                   short_180=challenger("short"), weighted_360=challenger("weighted"))
     return rows.select("series_id", "session", "ord", "x", "y", *CANDIDATES)

@@ -169,7 +169,7 @@ def sealed_forecast(train: DataFrame, window: int = 360, calibration: int = 120,
     """
     needed = window + calibration + 2 * purge
     sealed = (train.where((F.col("ord") >= F.col("n") - needed) & (F.col("n") > needed))
-              .groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("ord", "session", "x", "y"))).alias("p")))
+              .groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("ord", "session", "x", "y"))).alias("p")))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.exprs import draw
+from sluice.functions.exprs import settle
 from sluice.operators import decide, fit as m
 from sluice.operators.align import in_series
 from sluice.operators.evaluate import origin_rows
@@ -45,14 +45,16 @@ def artifacts(train: DataFrame) -> DataFrame:
         "effective_session", "training_start", "training_end", "rows")], *[micro(c) for c in (
             "slope", "intercept", "hike", "drop_", "lean_hike", "lean_drop", "daily_std")])
     g = g.where(F.col("fit_error").isNull()).withColumn("core", core).drop("q", "syy", "fit_error")
-    chain = g.groupBy("series_id").agg(F.array_sort(F.collect_list(
-        F.struct("block", "core"))).alias("a"))
+    rest = [c for c in g.columns if c not in ("series_id", "block")]
+    chain = g.groupBy("series_id").agg(F.sort_array(F.collect_list(
+        F.struct("block", F.struct(*rest).alias("r")))).alias("a"))
     ids = F.aggregate("a", F.array(F.lit(GENESIS)), lambda acc, s: F.concat(acc, F.array(
-        F.sha2(F.concat_ws("|", F.element_at(acc, -1), s["core"]), 256))))
-    links = chain.withColumn("ids", ids).select("series_id", F.inline(F.transform(
-        "a", lambda s, i: F.struct(s["block"].alias("block"), F.get("ids", i).alias("prior_artifact_id"),
+        F.sha2(F.concat_ws("|", F.element_at(acc, -1), s["r"]["core"]), 256))))
+    links = settle(chain, ids=ids).select("series_id", F.inline(F.transform(
+        "a", lambda s, i: F.struct(s["block"].alias("block"), s["r"].alias("r"),
+                                   F.get("ids", i).alias("prior_artifact_id"),
                                    F.get("ids", i + 1).alias("artifact_id")))))
-    return g.join(links, keys)
+    return links.select("series_id", "block", "r.*", "prior_artifact_id", "artifact_id")
 
 
 def byte_of(at: int, *keys: str) -> Column:

@@ -13,11 +13,16 @@ NAME = "[A-Za-z0-9._%+-]"
 
 
 def price_near_label(text: Column, label: str) -> Column:
-    """First price within reach after the label, on a line that holds the label."""
+    """First price within reach after the label, on a line that holds the label.
+
+    Most texts lack the label's last word altogether; that test is one plain
+    search and spares them the split into lines.
+    """
     lines = F.transform(F.split(text, LINE_BREAK), lambda l: F.regexp_replace(l, BLANKS, " "))
     after = F.transform(lines, lambda l: F.regexp_extract(l, f"(?i){label}(.{{0,{REACH}}})", 1))
     found = F.transform(after, lambda a: F.regexp_extract(a, r"\$?([0-9]+\.[0-9]{2,5})", 1))
-    return F.get(F.filter(found, lambda p: p != ""), F.lit(0)).cast("double")
+    price = F.get(F.filter(found, lambda p: p != ""), F.lit(0)).cast("double")
+    return F.when(F.contains(F.lower(text), F.lit(label.split()[-1].lower())), price)
 
 
 def posting_prices(postings: DataFrame) -> DataFrame:
@@ -76,7 +81,11 @@ def html_text(html: Column) -> Column:
 
 
 def mask_contacts(text: Column) -> Column:
-    """E-mail names reduced to two letters and the last; short names vanish."""
+    """E-mail names reduced to two letters and the last; short names vanish.
+
+    A text without an at sign holds no address and is passed through as it is.
+    """
     domain = r"([A-Za-z0-9.-]+)"
     long = F.regexp_replace(text, f"({NAME}{{2}}){NAME}+({NAME})@{domain}", "$1***$2@$3")
-    return F.regexp_replace(long, f"(^|[^A-Za-z0-9._%+*-]){NAME}{{1,3}}@{domain}", "$1***@$2")
+    masked = F.regexp_replace(long, f"(^|[^A-Za-z0-9._%+*-]){NAME}{{1,3}}@{domain}", "$1***@$2")
+    return F.when(F.contains(text, F.lit("@")), masked).otherwise(text)

@@ -205,7 +205,7 @@ def history_hash(rows: DataFrame) -> DataFrame:
     """Fingerprint per series of its rows in date order (bounded by the calendar)."""
     h = rows.select("series_id", "session", row_hash("session", "driver", "response").alias("h"))
     return h.groupBy("series_id").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session", "h"))),
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("session", "h"))),
                                         lambda s: s["h"]), ""), 256).alias("history_hash"),
         F.count("*").alias("rows"), F.max("session").alias("last_session"))
 

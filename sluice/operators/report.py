@@ -152,7 +152,7 @@ def mann_kendall(panel: DataFrame, rows: int = BASIS_ROWS) -> DataFrame:
     tail = (panel.where("driver IS NOT NULL AND response IS NOT NULL")
             .withColumn("back", F.row_number().over(in_series().orderBy(F.col("session").desc())))
             .where(F.col("back") <= rows))
-    g = tail.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+    g = tail.groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(
         "session", ((F.col("response") - F.col("driver")) * 100).alias("b")))), lambda s: s["b"]).alias("v"))
     g = settle(g, n=F.size("v").cast("double"))
     idx = lambda: F.sequence(F.lit(0), F.size("v") - 1)
@@ -163,7 +163,7 @@ def mann_kendall(panel: DataFrame, rows: int = BASIS_ROWS) -> DataFrame:
         s=total(F.transform("v", lambda v, i: total(F.transform(later(i), lambda w: F.signum(w - v))))),
         ties=F.transform("v", lambda v: F.size(F.filter("v", lambda w: w == v)).cast("double")),
         less=F.transform("v", lambda v: F.size(F.filter("v", lambda w: w < v)).cast("double")),
-        slopes=F.array_sort(F.flatten(F.transform("v", lambda v, i: F.transform(
+        slopes=F.sort_array(F.flatten(F.transform("v", lambda v, i: F.transform(
             later(i), lambda w, k: (w - v) / (k + 1))))))
     g = settle(
         g, tie_sum=total(F.transform("ties", lambda t: (t - 1) * (2 * t + 5))),

@@ -27,7 +27,7 @@ def block_totals(rows: DataFrame, order: str, columns: Sequence[str], block: int
     # series needs anyway.
     w = Window.partitionBy("series_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.select("series_id", order, *[F.sum(c).over(w).alias(c) for c in columns])
-    arr = sums.groupBy("series_id").agg(F.array_sort(F.collect_list(
+    arr = sums.groupBy("series_id").agg(F.sort_array(F.collect_list(
         F.struct(order, *columns))).alias("p"))
     zero = F.struct(F.get("p", F.lit(0))[order].alias(order),
                     *[F.lit(0.0).alias(c) for c in columns])
@@ -64,7 +64,7 @@ def block_intervals(rows: DataFrame, order: str, columns: Sequence[str], block:
 
 def iid_mean_interval(values: DataFrame, reps: int, seed: str, chunks: int = 32) -> DataFrame:
     """95% interval of the mean of ``v`` per series by iid resampling."""
-    arr = values.groupBy("series_id").agg(F.array_sort(F.collect_list("v")).alias("a"))
+    arr = values.groupBy("series_id").agg(F.sort_array(F.collect_list("v")).alias("a"))
     arr = arr.withColumn("n", F.size("a")).where("n > 0")
     work = replicates(arr, reps, chunks)
     work = settle(work, d=draws(F.concat_ws("|", F.lit(seed), "series_id", "rep"),

@@ -31,7 +31,15 @@ def stream_snapshot(spark, sf_dir):
     return jobs.run_to_table(jobs.stream_snapshots(ticks(spark, sf_dir))).drop("ts")
 
 
-@query("stream_swing")
+@query("stream_swing", with_ctes(TS, """
+po AS (SELECT instrument, CAST(st AS DATE) AS session, time_bucket(INTERVAL 5 MINUTE, st) AS slot, last(px ORDER BY ts, event_id) AS px FROM tk, wm
+  WHERE time_bucket(INTERVAL 5 MINUTE, st) + INTERVAL 5 MINUTE <= wm GROUP BY 1, 2, 3),
+pi AS (SELECT *, row_number() OVER (PARTITION BY instrument, session ORDER BY slot) AS i FROM po),
+sw AS (SELECT instrument, session, slot, px, i, 0.0::DOUBLE AS swing, px AS ref FROM pi WHERE i = 1
+  UNION ALL SELECT p.instrument, p.session, p.slot, p.px, p.i, (p.px - r.ref)/r.ref*100, r.ref FROM
+   (SELECT instrument, session, i, CASE WHEN abs(swing) >= 1.5 THEN round(px, 4) ELSE ref END AS ref FROM sw) r
+   JOIN pi p ON p.instrument = r.instrument AND p.session = r.session AND p.i = r.i + 1)""", """
+SELECT instrument, session, slot, px, round(swing, 6) AS swing FROM sw WHERE abs(swing) >= 1.5"""))
 def stream_swing(spark, sf_dir):
     return jobs.run_to_table(jobs.stream_swing(ticks(spark, sf_dir))).withColumn("swing", r6("swing"))
 

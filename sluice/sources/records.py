@@ -139,7 +139,7 @@ def swing_alerts(polled: DataFrame, bars: DataFrame) -> DataFrame:
     """
     ref = bars.select("instrument", "session", F.coalesce("prior_close", "open").alias("baseline"))
     g = polled.groupBy("instrument", "session").agg(
-        F.array_sort(F.collect_list(F.struct("day", "slot", "px"))).alias("p"))
+        F.sort_array(F.collect_list(F.struct("day", "slot", "px"))).alias("p"))
     g = g.join(ref, ["instrument", "session"])
     entry = "struct<day: date, slot: int, px: double, swing: double>"
     state = F.struct(F.col("baseline").alias("ref"), F.array().cast(f"array<{entry}>").alias("alerts"))
