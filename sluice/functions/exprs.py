@@ -79,14 +79,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+def replicate_chunks(df: DataFrame, chunks: int) -> DataFrame:
+    """``chunks`` copies of every row, each on a task of its own."""
+    copies = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return spread(copies, "series_id", "chunk")
+
+
 def replicates(df: DataFrame, reps: int, chunks: int) -> DataFrame:
     """``rep`` 1..reps for every row, spread over ``chunks`` tasks per row.
 
     Only ``chunks`` copies of a row are shuffled; the replicates of a chunk are
     unfolded behind the shuffle.
     """
-    copies = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    return spread(copies, "series_id", "chunk").withColumn("rep", F.explode(F.sequence(
+    return replicate_chunks(df, chunks).withColumn("rep", F.explode(F.sequence(
         F.col("chunk") + 1, F.lit(reps), F.lit(chunks))))
 
 

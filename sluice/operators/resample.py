@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.exprs import draws, replicates, settle
+from sluice.functions.exprs import draws, replicate_chunks, replicates, settle
 
 
 def block_totals(rows: DataFrame, order: str, columns: Sequence[str], block: int, reps: int,
@@ -34,18 +34,23 @@ def block_totals(rows: DataFrame, order: str, columns: Sequence[str], block: int
     arr = settle(arr, n=F.size("p"), c=F.concat(F.array(zero), F.col("p"))).drop("p")
     length = F.least(F.lit(block), F.col("n"))
     arr = arr.withColumn("len", length).withColumn("k", F.ceil(F.col("n") / length).cast("int"))
-    work = replicates(arr, reps, chunks)
-    work = settle(work, s=draws(F.concat_ws("|", F.lit(f"{seed}|{block}"), "series_id", "rep"),
-                                F.col("k"), F.col("n") - F.col("len") + 1))
-    spans = F.transform("s", lambda st, j: F.struct(
-        st.alias("a"), (st + F.least(F.col("len"), F.col("n") - j * F.col("len"))).alias("b")))
-    work = settle(work, sp=spans)
-
-    def total(name: str) -> Column:
-        return F.aggregate("sp", F.lit(0.0), lambda acc, p: acc + (
+    # The replicates of a chunk stay nested in its row, so the running sums are
+    # read in place and never copied per replicate.
+    work = replicate_chunks(arr, chunks).withColumn(
+        "reps", F.sequence(F.col("chunk") + 1, F.lit(reps), F.lit(chunks)))
+    work = settle(work, s=F.transform("reps", lambda r: draws(
+        F.concat_ws("|", F.lit(f"{seed}|{block}"), "series_id", r.cast("string")),
+        F.col("k"), F.col("n") - F.col("len") + 1)))
+    work = settle(work, sp=F.transform("s", lambda starts: F.transform(starts, lambda st, j: F.struct(
+        st.alias("a"), (st + F.least(F.col("len"), F.col("n") - j * F.col("len"))).alias("b"))))).drop("s")
+
+    def total(spans: Column, name: str) -> Column:
+        return F.aggregate(spans, F.lit(0.0), lambda acc, p: acc + (
             F.get(F.col("c"), p["b"])[name] - F.get(F.col("c"), p["a"])[name]))
 
-    return work.select("series_id", "rep", "n", *[total(c).alias(c) for c in columns])
+    out = F.transform("sp", lambda spans, i: F.struct(
+        F.get("reps", i).alias("rep"), *[total(spans, c).alias(c) for c in columns]))
+    return work.select("series_id", "n", F.inline(out))
 
 
 def block_intervals(rows: DataFrame, order: str, columns: Sequence[str], block: int, reps: int,
