@@ -35,6 +35,15 @@ def draw(key: Column, word: int | Column, n: Column) -> Column:
     return F.conv(hexa, 16, 10).cast("long") % n
 
 
+def tick_order(ts: str = "ts", tie: str = "event_id") -> Column:
+    """Order of ticks by time, then id, as one fixed-width number.
+
+    A struct would order the same way but cannot live in a hash aggregate's
+    buffer, so every ``max_by`` over it would sort the raw rows on the map side.
+    """
+    return F.expr(f"CAST(unix_micros(CAST({ts} AS TIMESTAMP)) AS DECIMAL(18,0)) * 10000000000000000000BD + {tie}")
+
+
 def array_quantile(arr: Column, q: Column | float) -> Column:
     """Linear-interpolation quantile of an ascending array."""
     q = F.lit(q) if isinstance(q, float) else q

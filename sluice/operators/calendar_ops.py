@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sluice.functions.calendar import (
     business_calendar, central_time, contract_symbol, last_trade_dates)
-from sluice.functions.exprs import count_if
+from sluice.functions.exprs import tick_order
 from sluice.sources.panel import read
 
 
@@ -82,7 +82,7 @@ def missing_sessions(spark: SparkSession, sf_dir: str, grace: int = 10) -> DataF
 
 def crack_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3:2:1 spread of the last daily quotes and its change on the day before."""
-    last = F.max_by("px", F.struct("ts", "event_id"))
+    last = F.max_by("px", tick_order())
     px = read(spark, sf_dir, "events", "event_id", "ts", "event_type", "value").withColumn(
         "px", 2 + F.col("value") / 500)
     daily = px.where(F.col("event_type").isin("click", "view", "error")).groupBy(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import MONTH_CODES, central_time, session_date
-from sluice.functions.exprs import count_if, r6
+from sluice.functions.exprs import count_if, r6, tick_order
 from sluice.operators import ledger, postings as po
 from sluice.operators.ledger import byte_of
 from sluice.plans.base import artifacts_of, log_of
@@ -151,7 +151,7 @@ SELECT * FROM c WHERE close IS NOT NULL"""))
 def candle_explode(spark, sf_dir):
     """Candle arrays as a vendor returns them, flattened; one entry per day."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    candle = F.max_by(F.struct(F.when(F.col("value") >= 5, F.col("px")).alias("close")), F.struct("ts", "event_id"))
+    candle = F.max_by(F.struct(F.when(F.col("value") >= 5, F.col("px")).alias("close")), tick_order())
     daily = ticks_of(spark, sf_dir).groupBy("instrument", day.alias("day")).agg(candle.alias("c"))
     millis = F.unix_millis(F.to_utc_timestamp(F.col("day").cast("timestamp"), F.current_timezone()))
     payload = daily.groupBy("instrument").agg(F.to_json(F.sort_array(F.collect_list(F.struct(

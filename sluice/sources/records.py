@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluice.functions.calendar import MONTH_CODES
+from sluice.functions.exprs import settle, tick_order
 from sluice.session import shared_folder
 
 QUOTE_SCHEMA = ("map<string, struct<reference: struct<futureActiveSymbol: string, futureIsActive: string>, "
@@ -96,7 +97,7 @@ def overlay(layers: DataFrame, keys: list[str], policy_suffixes: tuple[str, ...]
 
 def session_bars(ticks: DataFrame) -> DataFrame:
     """Open, high, low, close per (instrument, session), combined before the shuffle."""
-    at = F.struct("ts", "event_id")
+    at = tick_order()
     return ticks.groupBy("instrument", "session").agg(
         F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
         F.max_by("px", at).alias("close"), F.count("*").alias("ticks"))
@@ -128,7 +129,7 @@ def polls(ticks: DataFrame) -> DataFrame:
     """Last quote of every five-minute slot, as the tracker polls it."""
     slot = F.floor(F.hour("lt") * 12 + F.minute("lt") / 5).cast("int")
     return ticks.groupBy("instrument", "session", F.to_date("lt").alias("day"), slot.alias("slot")).agg(
-        F.max_by("px", F.struct("ts", "event_id")).alias("px"))
+        F.max_by("px", tick_order()).alias("px"))
 
 
 def swing_alerts(polled: DataFrame, bars: DataFrame) -> DataFrame:
@@ -152,5 +153,5 @@ def swing_alerts(polled: DataFrame, bars: DataFrame) -> DataFrame:
             F.when(hit, F.round(p["px"], 4)).otherwise(acc["ref"]).alias("ref"),
             F.when(hit, F.concat(acc["alerts"], F.array(alert))).otherwise(acc["alerts"]).alias("alerts"))
 
-    folded = g.withColumn("a", F.aggregate("p", state, step, lambda acc: acc["alerts"]))
+    folded = settle(g, a=F.aggregate("p", state, step, lambda acc: acc["alerts"]))
     return folded.select("instrument", "session", F.inline("a"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sluice.functions.exprs import tick_order
 from sluice.session import shared_folder
 from sluice.sources.records import SWING_PCT
 
@@ -48,7 +49,7 @@ def run_to_table(stream: DataFrame) -> DataFrame:
 
 def stream_bars(ticks: DataFrame) -> DataFrame:
     """Open, high, low, close of each closed session."""
-    at = F.struct("ts", "event_id")
+    at = tick_order()
     g = ticks.groupBy("instrument", F.window("st", "1 day").alias("w")).agg(
         F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
         F.max_by("px", at).alias("close"), F.count("*").alias("ticks"))
@@ -59,7 +60,7 @@ def stream_snapshots(ticks: DataFrame) -> DataFrame:
     """First quote inside 13:30-13:45 of each session, once."""
     clock = F.date_format(F.col("st") - F.expr("INTERVAL 7 HOURS"), "HHmm")
     g = ticks.where(clock.between("1330", "1345")).groupBy("instrument", F.window("st", "1 day").alias("w")).agg(
-        F.min_by(F.struct("px", "ts"), F.struct("ts", "event_id")).alias("s"))
+        F.min_by(F.struct("px", "ts"), tick_order()).alias("s"))
     return g.select("instrument", F.to_date("w.start").alias("session"), F.col("s.px").alias("px"), F.col("s.ts").alias("ts"))
 
 
@@ -117,7 +118,7 @@ def swing_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
 def stream_polls(ticks: DataFrame) -> DataFrame:
     """Last quote of each closed five-minute slot; at most 288 per session."""
     slots = ticks.groupBy("instrument", F.window("st", "5 minutes").alias("w")).agg(
-        F.max_by("px", F.struct("ts", "event_id")).alias("px"))
+        F.max_by("px", tick_order()).alias("px"))
     return slots.select("instrument", F.to_date("w.start").alias("session"), F.col("w.start").alias("slot"), "px")
 
 
