@@ -221,6 +221,21 @@ def confusion(rows: DataFrame, band: float = 0.1) -> DataFrame:
         count_if((d == 0) & (F.abs("y") > 0)).alias("report_missed"))
 
 
+def expanding_blocks(panel: DataFrame, first: int = 200, step: int = 30) -> DataFrame:
+    """Rows scored in blocks under thresholds of everything before the block."""
+    past = by_session().rowsBetween(Window.unboundedPreceding, -1)
+    up, down = F.expr(UP), F.expr(DOWN)
+    rows = consecutive_moves(panel).withColumns({
+        "h": clamped(F.percentile(up, HIKE_PCT).over(past), F.count(up).over(past), True),
+        "d": clamped(F.percentile(down, DROP_PCT).over(past), F.count(down).over(past), False)})
+    rows = rows.where(F.col("rn") > first).withColumn(
+        "block", F.floor((F.col("rn") - 1 - first) / step).cast("int"))
+    start = Window.partitionBy("series_id", "block")
+    rows = rows.withColumn("hike", F.min_by("h", "rn").over(start)).withColumn(
+        "drop_", F.min_by("d", "rn").over(start))
+    return rows.withColumn("dir", m.signal(F.col("x"), F.col("hike"), F.col("drop_")))
+
+
 def lag_window_search(panel: DataFrame, windows: Sequence[int] = (90, 120, 180, 240, 365),
                       max_lag: int = 2, min_rows: int = 20) -> DataFrame:
     """Level R-squared per (window, lag); window 0 stands for the whole series."""

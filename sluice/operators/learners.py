@@ -161,6 +161,17 @@ def boosted_correction(train: DataFrame, holdout: int = 90) -> DataFrame:
     return scored.select("series_id", "session", "y", "p_base", (F.col("p_base") + F.col("fix")).alias("point"))
 
 
+def pooled_huber(train: DataFrame) -> DataFrame:
+    """One robust line over every series' last window, fitted by Spark ML."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(m.last_rows(train))
+    model = LinearRegression(labelCol="y", loss="huber", epsilon=HUBER_EPSILON, regParam=HUBER_ALPHA,
+                             predictionCol="point", maxIter=200, tol=1e-8).fit(rows)
+    return model.transform(rows).select("series_id", "session", "x", "y", "point")
+
+
 def sealed_forecast(train: DataFrame, window: int = 360, calibration: int = 120, purge: int = 1) -> DataFrame:
     """Forecast of each series' newest move from its sealed last 482 pairs.
 

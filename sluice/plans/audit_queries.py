@@ -191,6 +191,20 @@ def confusion(spark, sf_dir):
     return au.confusion(scored(spark, sf_dir))
 
 
+@query("expanding_confusion", with_ctes(MOVES, """
+b AS (SELECT DISTINCT series_id, (rn - 201)//30 AS block, 201 + 30*((rn - 201)//30) AS start FROM mv WHERE rn > 200),
+q AS (SELECT b.series_id, b.block, quantile_cont(x, 0.15) FILTER (WHERE x > 0 AND y > 0) AS hq, count(*) FILTER (WHERE x > 0 AND y > 0) AS hn,
+  quantile_cont(x, 0.85) FILTER (WHERE x < 0 AND y < 0) AS dq, count(*) FILTER (WHERE x < 0 AND y < 0) AS dn FROM b JOIN mv ON mv.series_id = b.series_id AND mv.rn < b.start GROUP BY 1, 2),
+s AS (SELECT mv.series_id, y, CASE WHEN x >= CASE WHEN hn >= 5 THEN greatest(0.3, least(hq, 3.0)) ELSE 1.0 END THEN 1 WHEN x <= CASE WHEN dn >= 5 THEN greatest(-3.0, least(dq, -0.3)) ELSE -1.0 END THEN -1 ELSE 0 END AS dir
+  FROM mv JOIN q ON q.series_id = mv.series_id AND q.block = (mv.rn - 201)//30 WHERE mv.rn > 200)""", """
+SELECT series_id, count(*) FILTER (WHERE dir = 1 AND y > 0.1) AS correct_hikes, count(*) FILTER (WHERE dir = 1 AND NOT y > 0.1) AS false_hikes,
+  count(*) FILTER (WHERE dir = -1 AND y < -0.1) AS correct_drops, count(*) FILTER (WHERE dir = -1 AND NOT y < -0.1) AS false_drops,
+  count(*) FILTER (WHERE dir = 0 AND abs(y) > 0.1) AS missed_moves FROM s GROUP BY 1"""))
+def expanding_confusion(spark, sf_dir):
+    return au.confusion(au.expanding_blocks(weekday_panel(spark, sf_dir))).select(
+        "series_id", "correct_hikes", "false_hikes", "correct_drops", "false_drops", "missed_moves")
+
+
 @query("lag_window_search", with_ctes(MOVES, """
 g AS (SELECT mv.series_id, mv.session, w.win, mv.response, mv.driver FROM mv, (VALUES (90),(120),(180),(240),(365),(0)) w(win)
   WHERE w.win = 0 OR (n >= w.win AND n - rn < w.win)),

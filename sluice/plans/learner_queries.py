@@ -22,6 +22,11 @@ def huber_fit(spark, sf_dir):
     return rounded(ln.rolling_huber(train_of(spark, sf_dir)), "x", "y", "intercept", "slope", "point")
 
 
+@query("huber_pooled")
+def huber_pooled(spark, sf_dir):
+    return errors(ln.pooled_huber(cut_train(spark, sf_dir)))
+
+
 @query("ridge_residual")
 def ridge_residual(spark, sf_dir):
     return rounded(ln.rolling_ridge(cut_train(spark, sf_dir)), "y", "p_base", "point")

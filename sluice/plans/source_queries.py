@@ -151,11 +151,11 @@ SELECT * FROM c WHERE close IS NOT NULL"""))
 def candle_explode(spark, sf_dir):
     """Candle arrays as a vendor returns them, flattened; one entry per day."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    candle = F.max_by(F.struct(F.when(F.col("value") >= 5, F.col("px")).alias("close")), tick_order())
-    daily = ticks_of(spark, sf_dir).groupBy("instrument", day.alias("day")).agg(candle.alias("c"))
+    candle = F.max_by(F.when(F.col("value") >= 5, F.col("px")), tick_order())
+    daily = ticks_of(spark, sf_dir).groupBy("instrument", day.alias("day")).agg(candle.alias("close"))
     millis = F.unix_millis(F.to_utc_timestamp(F.col("day").cast("timestamp"), F.current_timezone()))
     payload = daily.groupBy("instrument").agg(F.to_json(F.sort_array(F.collect_list(F.struct(
-        millis.alias("datetime"), F.col("c.close").alias("close"))))).alias("candles"))
+        millis.alias("datetime"), F.col("close"))))).alias("candles"))
     return rec.candle_closes(payload, "candles")
 
 
@@ -239,6 +239,21 @@ def record_stem_check(spark, sf_dir):
                                          count_if(~F.col("stem_ok")).alias("misfiled"))
 
 
+@query("jsonl_ledger", with_ctes(ARTIFACTS, """
+l AS (SELECT series_id, CASE WHEN block % 6 = 1 THEN 'unreadable' WHEN block % 6 = 2 THEN 'missing_field' WHEN block % 6 = 3 THEN 'bad_date' ELSE 'ok' END AS status FROM arts)""", """
+SELECT series_id, status, count(*) AS lines FROM l GROUP BY 1, 2"""))
+def jsonl_ledger(spark, sf_dir):
+    """Artifact lines as JSON text, checked line by line."""
+    arts = artifacts_of(spark, sf_dir)
+    day = F.when(F.col("block") % 6 == 3, "someday").otherwise(F.col("effective_session").cast("string"))
+    record = F.struct(F.when(F.col("block") % 6 != 2, F.col("artifact_id")).alias("artifact_id"),
+                      day.alias("effective_session"), F.col("training_end").cast("string").alias("training_end"),
+                      F.struct("hike", "drop_").alias("calibration"))
+    text = F.to_json(record)
+    lines = arts.select("series_id", F.when(F.col("block") % 6 == 1, F.substring(text, 1, 40)).otherwise(text).alias("line"))
+    return rec.checked_lines(lines, "line").groupBy("series_id", "status").agg(F.count("*").alias("lines"))
+
+
 # --- posted text -----------------------------------------------------------
 
 _P = lambda c: f"(floor(({c})*1e4)::BIGINT // 10000)::VARCHAR || '.' || lpad((floor(({c})*1e4)::BIGINT % 10000)::VARCHAR, 4, '0')"

@@ -58,6 +58,30 @@ def split_malformed(lines: DataFrame, column: str, schema: str) -> DataFrame:
     return out.select("*", "r.*").withColumn("quarantined", F.col("_bad").isNotNull() | short).drop("r", "_bad")
 
 
+LEDGER_SCHEMA = ("artifact_id string, effective_session string, training_end string, "
+                 "calibration struct<hike: double, drop_: double>")
+
+
+def checked_lines(lines: DataFrame, column: str) -> DataFrame:
+    """Ledger lines with what is wrong with each; a bad line stops no other."""
+    parsed = F.from_json(column, f"{LEDGER_SCHEMA}, _bad string",
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.withColumn("r", parsed)
+    field = lambda n: F.col(f"r.{n}")
+    missing = field("artifact_id").isNull() | field("effective_session").isNull() | field("calibration").isNull()
+    status = (F.when(field("_bad").isNotNull(), "unreadable").when(missing, "missing_field")
+              .when(field("effective_session").try_cast("date").isNull(), "bad_date").otherwise("ok"))
+    return rows.withColumn("status", status)
+
+
+def export(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
+    """Write a result as parquet, csv or json; existing output is not replaced."""
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
+
+
 def write_and_check_stems(records: DataFrame, stem: str, expected: Column) -> DataFrame:
     """Write records under a folder per stem and read back what disagrees.
 

@@ -142,3 +142,15 @@ def test_quarantine_anywhere(spark):
     lines = spark.createDataFrame([("1,2026-01-01,5",), ("2,2026-01-02",), ("x,2026-01-03,7",), ("4,2026-01-04,8",)], "line string")
     out = rec.split_malformed(lines, "line", "k BIGINT, d DATE, c BIGINT").select("quarantined", "c")
     assert [r["quarantined"] for r in out.collect()] == [False, True, True, False]
+
+
+def test_export_round_trip_and_no_overwrite(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1.5), ("B", 2.5)], "series_id string, v double")
+    for fmt in ("parquet", "csv", "json"):
+        path = str(tmp_path / fmt)
+        rec.export(df, path, fmt)
+        reader = spark.read.schema(df.schema).format(fmt)
+        back = reader.options(header="true").load(path) if fmt == "csv" else reader.load(path)
+        assert sorted(map(tuple, back.collect())) == [("A", 1.5), ("B", 2.5)]
+        with pytest.raises(Exception):
+            rec.export(df, path, fmt)
