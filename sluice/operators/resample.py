@@ -101,17 +101,14 @@ def date_block_permutation(log: DataFrame, reps: int, seed: str) -> DataFrame:
     shuffled = spread.select("rep", *strata, F.col("session").alias("donor"), F.row_number().over(
         Window.partitionBy("rep", *strata).orderBy(order)).alias("place"))
     moved = shuffled.join(places.select("session", "place", *strata), [*strata, "place"])
-    # What each receiving session would earn from each donor is a product of
-    # two short vectors; it is needed once per distinct (session, donor) pair.
-    ask = moved.groupBy("session", "donor").agg(F.collect_list("rep").alias("reps"))
+    # What a receiving session would earn from a donor is a product of two
+    # short vectors, taken once per distinct (session, donor) pair.
     signals = log.where("dir <> 0").select("session", "series_id", "dir")
     outcomes = log.select(F.col("session").alias("donor"), "series_id", "y")
-    earned = (ask.select("session", "donor").join(signals, "session")
+    earned = (moved.select("session", "donor").distinct().join(signals, "session")
               .join(outcomes, ["donor", "series_id"])
               .groupBy("session", "donor").agg(F.sum(F.col("dir") * F.col("y")).alias("s")))
-    totals = (ask.join(earned, ["session", "donor"])
-              .select(F.explode("reps").alias("rep"), "s")
-              .groupBy("rep").agg(F.sum("s").alias("t")))
+    totals = moved.join(earned, ["session", "donor"]).groupBy("rep").agg(F.sum("s").alias("t"))
     real = log.agg(F.sum(F.col("dir") * F.col("y")).alias("real_savings"))
     null = totals.join(F.broadcast(real)).agg(
         F.max("real_savings").alias("real_savings"),

@@ -112,7 +112,8 @@ def swing_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
     state.update((ref,))
     end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
     state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["instrument", "session", "slot", "px", "swing"])
+    if out:
+        yield pd.DataFrame(out, columns=["instrument", "session", "slot", "px", "swing"])
 
 
 def stream_polls(ticks: DataFrame) -> DataFrame:
