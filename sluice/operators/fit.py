@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.exprs import array_quantile, clip, count_if, draw, draws, ratio, replicates, settle
+from sluice.functions.draws import hashed_draws
+from sluice.functions.exprs import array_quantile, clip, count_if, draw, ratio, replicate_chunks, replicates, settle
 
 # Fixed policy values.
 TARGET, LEAN_TARGET = 0.75, 0.65
@@ -241,15 +245,19 @@ def tail_risk(train: DataFrame, drops: DataFrame, reps: int = 2000, level: float
     base = settle(waits, cutoff=array_quantile(F.col("w"), level))
     base = (settle(base, t=tail_of(F.col("w"), F.col("cutoff")))
             .withColumn("tail_n", F.size("t")).where(F.col("tail_n") >= min_tail))
-    work = replicates(base.select("series_id", "w", "sample_n"), reps, chunks)
-    prefix = F.concat_ws("|", F.lit(seed), F.col("series_id"), F.col("rep"))
-    work = settle(work, d=draws(prefix, F.col("sample_n"), F.col("sample_n")))
-    work = settle(work, b=F.sort_array(F.transform("d", lambda i: F.get(F.col("w"), i))))
-    work = settle(work, c=array_quantile(F.col("b"), level))
-    boot = (settle(work, t=tail_of(F.col("b"), F.col("c")))
-            .withColumn("m", mean_of(F.col("t")))
-            .groupBy("series_id").agg(F.percentile(
-                "m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")))
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for sid, chunk, w in zip(batch["series_id"], batch["chunk"], batch["w"]):
+                out = []
+                for rep in range(chunk + 1, reps + 1, chunks):
+                    sample = w[hashed_draws(f"{seed}|{sid}|{rep}", len(w), len(w))]
+                    out.append(sample[sample >= np.quantile(sample, level)].mean())
+                yield pd.DataFrame({"series_id": sid, "m": out})
+
+    work = replicate_chunks(base.select("series_id", "w"), chunks)
+    boot = work.mapInPandas(means, "series_id string, m double").groupBy("series_id").agg(
+        F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     adverse = F.size(F.filter("w", lambda v: v > 0)) / F.col("sample_n")
     return base.join(boot, "series_id").select(
         "series_id", mean_of(F.col("t")).alias("cvar"), F.col("ci")[0].alias("cvar_low"),

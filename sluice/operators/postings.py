@@ -59,10 +59,15 @@ def effective_dates(postings: DataFrame) -> DataFrame:
 
 
 def import_reason(postings: DataFrame, existing: DataFrame) -> DataFrame:
-    """imported, already_present, or why a posting is quarantined."""
+    """imported, already_present, or why a posting is quarantined.
+
+    Most texts carry no date.  Their null keys would all meet in one partition
+    of a shuffled outer join, so the distinct sessions are broadcast instead:
+    there are never more of them than calendar days.
+    """
     rows = posting_prices(postings).withColumn("session", body_date(F.col("body")))
     have = existing.select("session").distinct().withColumn("present", F.lit(True))
-    joined = rows.join(have, "session", "left")
+    joined = rows.join(F.broadcast(have), "session", "left")
     status = (F.when(F.col("reason").isNotNull(), F.col("reason"))
               .when(F.col("session").isNull(), "no_date")
               .when(F.col("present"), "already_present").otherwise("imported"))

@@ -8,12 +8,15 @@ arrays hold one entry per session, which the calendar bounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from sluice.functions.exprs import draws, replicate_chunks, replicates, settle
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
+from sluice.functions.draws import hashed_draws
+from sluice.functions.exprs import replicate_chunks
 
 def block_totals(rows: DataFrame, order: str, columns: Sequence[str], block: int, reps: int,
                  seed: str, chunks: int = 16) -> DataFrame:
@@ -23,34 +26,31 @@ def block_totals(rows: DataFrame, order: str, columns: Sequence[str], block: int
     sample has the length of the series.  All columns of a replicate share the
     same draws, which keeps comparisons paired.
     """
-    # Running sums are taken before the collection, inside the one window the
-    # series needs anyway.
+    columns = list(columns)
     w = Window.partitionBy("series_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.select("series_id", order, *[F.sum(c).over(w).alias(c) for c in columns])
-    arr = sums.groupBy("series_id").agg(F.sort_array(F.collect_list(
-        F.struct(order, *columns))).alias("p"))
-    zero = F.struct(F.get("p", F.lit(0))[order].alias(order),
-                    *[F.lit(0.0).alias(c) for c in columns])
-    arr = settle(arr, n=F.size("p"), c=F.concat(F.array(zero), F.col("p"))).drop("p")
-    length = F.least(F.lit(block), F.col("n"))
-    arr = arr.withColumn("len", length).withColumn("k", F.ceil(F.col("n") / length).cast("int"))
-    # The replicates of a chunk stay nested in its row, so the running sums are
-    # read in place and never copied per replicate.
-    work = replicate_chunks(arr, chunks).withColumn(
-        "reps", F.sequence(F.col("chunk") + 1, F.lit(reps), F.lit(chunks)))
-    work = settle(work, s=F.transform("reps", lambda r: draws(
-        F.concat_ws("|", F.lit(f"{seed}|{block}"), "series_id", r.cast("string")),
-        F.col("k"), F.col("n") - F.col("len") + 1)))
-    work = settle(work, sp=F.transform("s", lambda starts: F.transform(starts, lambda st, j: F.struct(
-        st.alias("a"), (st + F.least(F.col("len"), F.col("n") - j * F.col("len"))).alias("b"))))).drop("s")
-
-    def total(spans: Column, name: str) -> Column:
-        return F.aggregate(spans, F.lit(0.0), lambda acc, p: acc + (
-            F.get(F.col("c"), p["b"])[name] - F.get(F.col("c"), p["a"])[name]))
-
-    out = F.transform("sp", lambda spans, i: F.struct(
-        F.get("reps", i).alias("rep"), *[total(spans, c).alias(c) for c in columns]))
-    return work.select("series_id", "n", F.inline(out))
+    arr = sums.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("p"))
+    work = replicate_chunks(arr.select("series_id", *[
+        F.col(f"p.{c}").alias(c) for c in columns]), chunks)
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                n = len(row[columns[0]])
+                length = min(block, n)
+                k = math.ceil(n / length)
+                mine = np.arange(row["chunk"] + 1, reps + 1, chunks)
+                starts = np.stack([hashed_draws(f"{seed}|{block}|{row['series_id']}|{r}", k, n - length + 1)
+                                   for r in mine])
+                ends = starts + np.minimum(length, n - np.arange(k) * length)
+                out = {"series_id": row["series_id"], "rep": mine, "n": n}
+                for c in columns:
+                    run = np.concatenate([[0.0], row[c]])
+                    out[c] = (run[ends] - run[starts]).sum(1)
+                yield pd.DataFrame(out)
+
+    fields = ", ".join(f"{c} double" for c in columns)
+    return work.mapInPandas(sample, f"series_id string, rep int, n int, {fields}")
 
 
 def block_intervals(rows: DataFrame, order: str, columns: Sequence[str], block: int, reps: int,
@@ -70,12 +70,16 @@ def block_intervals(rows: DataFrame, order: str, columns: Sequence[str], block:
 def iid_mean_interval(values: DataFrame, reps: int, seed: str, chunks: int = 32) -> DataFrame:
     """95% interval of the mean of ``v`` per series by iid resampling."""
     arr = values.groupBy("series_id").agg(F.sort_array(F.collect_list("v")).alias("a"))
-    arr = arr.withColumn("n", F.size("a")).where("n > 0")
-    work = replicates(arr, reps, chunks)
-    work = settle(work, d=draws(F.concat_ws("|", F.lit(seed), "series_id", "rep"),
-                                F.col("n"), F.col("n")))
-    mean = F.aggregate("d", F.lit(0.0), lambda acc, i: acc + F.get(F.col("a"), i)) / F.col("n")
-    return (work.withColumn("m", mean).groupBy("series_id").agg(
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for sid, chunk, a in zip(batch["series_id"], batch["chunk"], batch["a"]):
+                mine = range(chunk + 1, reps + 1, chunks)
+                yield pd.DataFrame({"series_id": sid, "m": [
+                    a[hashed_draws(f"{seed}|{sid}|{r}", len(a), len(a))].mean() for r in mine]})
+
+    work = replicate_chunks(arr.where(F.size("a") > 0), chunks)
+    return (work.mapInPandas(means, "series_id string, m double").groupBy("series_id").agg(
         F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
         .select("series_id", F.col("ci")[0].alias("mean_low"), F.col("ci")[1].alias("mean_high")))
 

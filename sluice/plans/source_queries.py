@@ -329,7 +329,7 @@ c AS (SELECT posting_id, stated AS session, 'body' AS rule FROM e WHERE stated I
 SELECT posting_id, session, rule FROM c WHERE session IN (SELECT session FROM wk)"""))
 def posting_effective_date(spark, sf_dir):
     sessions = weekdays(daily_panel(spark, sf_dir)).select("session").distinct()
-    return po.effective_dates(postings_of(spark, sf_dir)).join(sessions, "session", "left_semi").select(
+    return po.effective_dates(postings_of(spark, sf_dir)).join(F.broadcast(sessions), "session", "left_semi").select(
         "posting_id", "session", "rule")
 
 
