@@ -26,10 +26,16 @@ def local_session(cores: str = "*", app: str = "sluice") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for written intermediates."""
+    """The folder the cluster names for written intermediates.
+
+    Without one, a session whose executors all run on this machine gets a private folder; on a cluster that would leave
+    every executor with files of its own, so there it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
     return sc.getCheckpointDir()
 
