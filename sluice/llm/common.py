@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.session import shared_folder
 
@@ -50,6 +51,11 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tu
         yield start, len(texts)
 
 
+def widened(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` with the columns of ``more`` (name kind, name kind)."""
+    return StructType([*df.schema.fields, *(f for x in more.split(", ") for f in StructType().add(*x.split()).fields)])
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
