@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bytebpe, decontaminate, kneser, langid, quality, shards, simhash, syncmers, tokencount
+from sluice.llm import bytebpe, decontaminate, kneser, langid, quality, shards, simhash, suffixdedup, syncmers, tokencount
 from sluice.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_decontamination"] = decontaminate.SQL
 
 
+@query
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 200-byte string which starts more than once."""
+    return suffixdedup.measured(documents(spark, sf_dir))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text."""
