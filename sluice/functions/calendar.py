@@ -1,8 +1,9 @@
 """Business-day and futures-contract calendar as a generated dimension.
 
-The dimension holds one row per calendar day between two fixed years, so its
-size is bounded by the rule that builds it (about 13,000 rows for 36 years)
-and it may always be broadcast.
+The dimension holds one row per calendar day of the two centuries that prices
+can come from, so its size is bounded by the rule that builds it (some 73,000
+narrow rows) and it may always be broadcast.  A day outside of them is an
+error (``in_calendar``), never a row that a join leaves out.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sluice.session import durable
 
-FIRST_YEAR, LAST_YEAR = 1993, 2028
+FIRST_YEAR, LAST_YEAR = 1900, 2100
 
 # Fixed value: business days before the last trade date at which the quoted
 # front month moves to the next contract.
@@ -107,7 +108,7 @@ def generate_calendar(spark: SparkSession, early_roll_days: int = EARLY_ROLL_DAY
             .select(F.explode(F.sequence(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)),
                                          F.make_date(F.lit(last_year), F.lit(12), F.lit(31))))
                     .alias("d")))
-    # Bounded dimension: these two frames run over ~13,000 generated rows.
+    # Bounded dimension: these two frames run over ~73,000 generated rows.
     w = Window.orderBy("d")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -142,6 +143,14 @@ def generate_calendar(spark: SparkSession, early_roll_days: int = EARLY_ROLL_DAY
     return cal
 
 
+def in_calendar(rows: DataFrame, day: str, first_year: int = FIRST_YEAR,
+                last_year: int = LAST_YEAR) -> DataFrame:
+    """``rows`` as they are, or an error on a day that the calendar does not hold."""
+    known = F.col(day).isNull() | F.year(day).between(first_year, last_year)
+    message = F.concat(F.lit("no calendar day for "), F.col(day).cast("string"))
+    return rows.withColumn(day, F.when(known, F.col(day)).otherwise(F.raise_error(message).cast("date")))
+
+
 def last_trade_dates(cal: DataFrame) -> DataFrame:
     """(contract_month, ltd_refined, ltd_crude) per delivery month."""
     on = lambda name: F.max(F.when(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sluice.functions.calendar import in_calendar
 from sluice.functions.distributions import t_two_sided
 from sluice.functions.exprs import count_if, ratio, spread
 
@@ -31,7 +32,7 @@ def one_session_deltas(panel: DataFrame, cal: DataFrame) -> DataFrame:
     is a bounded dimension, so its join keeps the partitioning by series that
     the ``lag`` already paid for.
     """
-    present = panel.where(F.col("driver").isNotNull() & F.col("response").isNotNull())
+    present = in_calendar(panel.where(F.col("driver").isNotNull() & F.col("response").isNotNull()), "session")
     moves = (
         spread(present, "series_id")
         .withColumn("prior_session", F.lag("session").over(by_session()))
@@ -76,7 +77,7 @@ def moments() -> list[Column]:
 
 def solve_lag_fit(sums: DataFrame) -> DataFrame:
     """b0, b1, t and ratio of ``y ~ 1 + x + z`` from :func:`moments` columns."""
-    c = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
+    c = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / F.nullif(F.col("n"), F.lit(0.0))
     df = (sums.withColumn("cxx", c("sxx", "sx", "sx")).withColumn("czz", c("szz", "sz", "sz"))
           .withColumn("cxz", c("sxz", "sx", "sz")).withColumn("cxy", c("sxy", "sx", "sy"))
           .withColumn("czy", c("szy", "sz", "sy")).withColumn("cyy", c("syy", "sy", "sy"))
@@ -84,7 +85,7 @@ def solve_lag_fit(sums: DataFrame) -> DataFrame:
     enough = F.col("n") >= MIN_LAG_PAIRS
     return (df.withColumn("b0", F.when(enough, F.expr("(cxy*czz - czy*cxz)/det")))
             .withColumn("b1", F.when(enough, F.expr("(czy*cxx - cxy*cxz)/det")))
-            .withColumn("se_b1", F.expr("sqrt((cyy - b0*cxy - b1*czy)/(n - 3) * cxx/det)"))
+            .withColumn("se_b1", F.expr("sqrt((cyy - b0*cxy - b1*czy)/nullif(n - 3, 0) * cxx/det)"))
             .withColumn("t_b1", F.expr("b1 / nullif(se_b1, 0D)"))
             .withColumn("ratio", F.expr("abs(b1) / nullif(abs(b0), 0D)"))
             .withColumn("n", F.col("n").cast("long"))
@@ -96,8 +97,8 @@ def lag_diagnostics(pairs: DataFrame) -> DataFrame:
     return solve_lag_fit(adjacent_pairs(pairs).groupBy("series_id").agg(*moments()))
 
 
-def era_scan(pairs: DataFrame) -> DataFrame:
-    """Lag fit of every suffix of history that starts at a month boundary.
+def era_scan(pairs: DataFrame, history: DataFrame) -> DataFrame:
+    """Lag fit of every suffix of ``history`` that starts at a month boundary.
 
     The sums are additive, so each month is reduced once and the suffixes are a
     running sum from the end; no row is repeated per candidate.  A pair belongs
@@ -110,10 +111,16 @@ def era_scan(pairs: DataFrame) -> DataFrame:
                .withColumn("_first", F.lag("prior_session").over(by_session()))
                .where("prior_session = _last"))
     monthly = chained.groupBy("series_id", F.trunc("_first", "MM").alias("month")).agg(*moments())
+    # Every series gets every month of the whole history, also those in which it
+    # has no pair: a start there leaves it the pairs of its later months, or none.
+    span = history.agg(F.trunc(F.min("session"), "MM").alias("lo"), F.trunc(F.max("session"), "MM").alias("hi"))
+    months = F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month")
+    grid = history.select("series_id").distinct().join(F.broadcast(span)).select("series_id", months)
     suffix = (in_series().orderBy(F.col("month").desc())
               .rowsBetween(Window.unboundedPreceding, 0))
-    return solve_lag_fit(monthly.select("series_id", F.col("month").alias("start"), *[
-        F.sum(m).over(suffix).alias(m) for m in MOMENTS]))
+    every = grid.join(monthly, ["series_id", "month"], "left")
+    return solve_lag_fit(every.select("series_id", F.col("month").alias("start"), *[
+        F.coalesce(F.sum(m).over(suffix), F.lit(0.0)).alias(m) for m in MOMENTS]))
 
 
 def week_classes(rows: DataFrame) -> DataFrame:

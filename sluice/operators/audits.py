@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.exprs import count_if, draws, ratio, replicates, settle, spread
+from sluice.functions.exprs import array_quantile, count_if, draws, ratio, replicates, settle, spread
 from sluice.operators import fit as m
 from sluice.operators.align import by_session, in_series
 from sluice.operators.decide import z_band
@@ -222,18 +222,28 @@ def confusion(rows: DataFrame, band: float = 0.1) -> DataFrame:
 
 
 def expanding_blocks(panel: DataFrame, first: int = 200, step: int = 30) -> DataFrame:
-    """Rows scored in blocks under thresholds of everything before the block."""
-    past = by_session().rowsBetween(Window.unboundedPreceding, -1)
-    up, down = F.expr(UP), F.expr(DOWN)
-    rows = consecutive_moves(panel).withColumns({
-        "h": clamped(F.percentile(up, HIKE_PCT).over(past), F.count(up).over(past), True),
-        "d": clamped(F.percentile(down, DROP_PCT).over(past), F.count(down).over(past), False)})
-    rows = rows.where(F.col("rn") > first).withColumn(
-        "block", F.floor((F.col("rn") - 1 - first) / step).cast("int"))
-    start = Window.partitionBy("series_id", "block")
-    rows = rows.withColumn("hike", F.min_by("h", "rn").over(start)).withColumn(
-        "drop_", F.min_by("d", "rn").over(start))
-    return rows.withColumn("dir", m.signal(F.col("x"), F.col("hike"), F.col("drop_")))
+    """Rows scored in blocks under thresholds of everything before the block.
+
+    Thresholds are needed once per block, so they are taken once per block: a
+    series' moves are one array (bounded by its sessions), of which each block
+    sorts the part before it.
+    """
+    rows = consecutive_moves(panel).withColumn("block", F.floor((F.col("rn") - 1 - first) / step).cast("int"))
+    arrays = rows.groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.struct("rn", F.expr(UP).alias("up"), F.expr(DOWN).alias("down")))).alias("a"),
+        F.max("block").alias("last")).where("last >= 0")
+    blocks = arrays.select("series_id", "a", F.explode(F.sequence(F.lit(0), "last")).alias("block"))
+
+    def past(name: str) -> Column:
+        seen = F.slice(F.col("a"), F.lit(1), F.col("block") * step + first)
+        return F.sort_array(F.filter(F.transform(seen, lambda r: r[name]), lambda v: v.isNotNull()))
+
+    blocks = settle(blocks, ups=past("up"), downs=past("down"))
+    bound = lambda arr, q, up: clamped(F.when(F.size(arr) > 0, array_quantile(F.col(arr), q)), F.size(arr), up)
+    limits = blocks.select("series_id", "block", bound("ups", HIKE_PCT, True).alias("hike"),
+                           bound("downs", DROP_PCT, False).alias("drop_"))
+    return rows.where("block >= 0").join(limits, ["series_id", "block"]).withColumn(
+        "dir", m.signal(F.col("x"), F.col("hike"), F.col("drop_")))
 
 
 def lag_window_search(panel: DataFrame, windows: Sequence[int] = (90, 120, 180, 240, 365),

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sluice.functions.calendar import (
-    business_calendar, central_time, contract_symbol, last_trade_dates)
+    business_calendar, central_time, contract_symbol, in_calendar, last_trade_dates)
 from sluice.functions.exprs import tick_order
 from sluice.sources.panel import read
 
 
 def orders_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders reduced to one row per day before any calendar join."""
-    return read(spark, sf_dir, "orders", "o_orderdate").groupBy(
-        F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("orders"))
+    return in_calendar(read(spark, sf_dir, "orders", "o_orderdate").groupBy(
+        F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("orders")), "d")
 
 
 def lines_per_day(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem", "l_shipdate", *keys).groupBy(
-        *keys, F.to_date("l_shipdate").alias("d")).agg(F.count("*").alias("lines"))
+    return in_calendar(read(spark, sf_dir, "lineitem", "l_shipdate", *keys).groupBy(
+        *keys, F.to_date("l_shipdate").alias("d")).agg(F.count("*").alias("lines")), "d")
 
 
 def candidate_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def time_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (dow.between(0, 3) & ~((hm >= "1600") & (hm < "1700")))
         | ((dow == 4) & (hm < "1600")) | ((dow == 6) & (hm >= "1700")))
     n = lambda cond: F.sum(F.when(cond, F.col("ticks")).otherwise(0))
-    return minutes.join(F.broadcast(cal), "d").groupBy("instrument").agg(
+    return in_calendar(minutes, "d").join(F.broadcast(cal), "d").groupBy("instrument").agg(
         F.sum("ticks").alias("ticks"),
         n(hm.between("1330", "1345")).alias("snapshot_window"),
         n((hm >= "1435") & (hm < "1600")).alias("verdict_window"),
@@ -75,7 +75,7 @@ def missing_sessions(spark: SparkSession, sf_dir: str, grace: int = 10) -> DataF
     want = span.select("series_id", "hi", F.explode(F.sequence(
         "lo", F.date_add("hi", grace))).alias("session"))
     days = business_calendar(spark).where("is_bd").select(F.col("d").alias("session"))
-    return (want.join(F.broadcast(days), "session")
+    return (in_calendar(want, "session").join(F.broadcast(days), "session")
             .join(have, ["series_id", "session"], "left_anti")
             .select("series_id", "session", (F.col("session") > F.col("hi")).alias("appendable")))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.exprs import array_quantile, count_if, draws, ratio, replicates, settle, spread
+from sluice.functions.exprs import array_quantile, count_if, draws, replicates, settle, spread
 from sluice.operators import fit as m
 from sluice.operators.align import by_session, in_series
 
@@ -89,9 +89,10 @@ def quoted_probabilities(train: DataFrame, window: int = 240) -> DataFrame:
     """Test rows of a rolling origin with the quoted P(correct) and the outcome."""
     keys = ["series_id", "block"]
     fitted = m.with_fit(origin_rows(train, window=window), keys, F.col("is_train"))
-    # At most ``window`` residuals per group: the array is bounded.
-    resid = F.collect_list("resid").over(Window.partitionBy(*keys))
-    rows = (fitted.withColumn("rs", resid).where(~F.col("is_train") & (F.col("rows") >= m.MIN_FIT_ROWS))
+    # At most ``window`` residuals per block, gathered once and joined to its few
+    # test rows; both sides are dealt by the same keys already.
+    resid = fitted.where("resid IS NOT NULL").groupBy(*keys).agg(F.collect_list("resid").alias("rs"))
+    rows = (fitted.where(~F.col("is_train") & (F.col("rows") >= m.MIN_FIT_ROWS)).join(resid, keys)
             .withColumn("p_up", m.probability_up(F.col("rs"), F.col("x"))))
     right = F.when(F.col("x") >= 0, F.col("y") > 0).otherwise(F.col("y") < 0)
     return (rows.withColumn("quoted", m.probability_correct(F.col("p_up"), F.col("x")))

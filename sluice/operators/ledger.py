@@ -124,30 +124,50 @@ def settlement_based(source: Column) -> Column:
 
 
 def append_absent(ledger: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows whose key the ledger lacks, one per key (newest wins none:
-    the smallest row of a repeated key is kept, so a re-run appends the same)."""
+    """Incoming rows whose key the ledger lacks, one per key, with a ``conflict`` flag.
+
+    A key delivered several times appends once if its rows agree.  Different
+    rows for one key are a conflict: the smallest row is shown, so that a re-run
+    shows the same one, and the flag says that it must not be appended as it is.
+    """
     fresh = incoming.join(ledger.select(*keys), keys, "left_anti")
-    rest = [c for c in incoming.columns if c not in keys]
-    return fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
+    row = F.struct(*[c for c in incoming.columns if c not in keys])
+    return fresh.groupBy(*keys).agg(F.min(row).alias("r"), F.max(row).alias("q")).select(
+        *keys, "r.*", (~F.col("r").eqNullSafe(F.col("q"))).alias("conflict"))
 
 
 def append_status(ledger: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """new / same / conflict / out_of_order for each incoming artifact.
-
-    Order is checked against the newest ledger entry of the same series, which
-    a window over the union carries without a second join.
+    """same / conflict / out_of_order / broken_chain / training_back / new, per incoming artifact.
+
+    Every distinct id of a session has its own row: a session that is filed with
+    another id, or that arrives with two ids in one batch, is a conflict.  The
+    artifacts that are new must follow one another in session order behind the
+    newest entry of their series, name the one before them as ``prior_artifact_id``
+    and may not move ``training_end`` back.  A series' ledger is one window; its
+    rows are bounded by its sessions.
     """
-    both = (ledger.select("series_id", key, F.col("artifact_id").alias("old_id"),
-                          F.lit(None).cast("string").alias("new_id"))
-            .unionByName(incoming.select("series_id", key, F.lit(None).cast("string").alias("old_id"),
-                                         F.col("artifact_id").alias("new_id")))
-            .groupBy("series_id", key).agg(F.max("old_id").alias("old_id"), F.max("new_id").alias("new_id")))
-    newest = F.max(F.when(F.col("old_id").isNotNull(), F.col(key))).over(in_series())
-    return (both.withColumn("newest", newest).where(F.col("new_id").isNotNull())
-            .withColumn("status", F.when(F.col("old_id") == F.col("new_id"), "same")
-                        .when(F.col("old_id").isNotNull(), "conflict")
-                        .when(F.col(key) < F.col("newest"), "out_of_order").otherwise("new"))
-            .select("series_id", key, "old_id", "new_id", "status"))
+    cols = ["series_id", key, "artifact_id", "prior_artifact_id", "training_end"]
+    old = ledger.select(*cols).distinct().withColumn("filed", F.lit(True))
+    new = incoming.select(*cols).distinct().withColumn("filed", F.lit(False))
+    same_key = Window.partitionBy("series_id", key)
+    both = old.unionByName(new).withColumn("old_id", F.max(F.when(F.col("filed"), F.col("artifact_id"))).over(same_key))
+    arriving = F.when(~F.col("filed"), F.col("artifact_id"))
+    both = both.withColumn("ids", F.size(F.collect_set(arriving).over(same_key)))
+    newest = F.max(F.when(F.col("filed"), F.col(key))).over(in_series())
+    both = both.withColumn("newest", newest)
+    # The chain runs over filed entries and over arrivals that nothing else speaks against.
+    sound = F.col("filed") | (F.col("old_id").isNull() & (F.col("ids") == 1)
+                              & F.coalesce(F.col(key) > F.col("newest"), F.lit(True)))
+    before = in_series().orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(sound, F.struct("artifact_id", "training_end")), ignorenulls=True).over(before)
+    both = both.withColumn("last", last)
+    status = (F.when(F.col("old_id") == F.col("artifact_id"), "same")
+              .when(F.col("old_id").isNotNull() | (F.col("ids") > 1), "conflict")
+              .when(F.col(key) < F.col("newest"), "out_of_order")
+              .when(F.col("prior_artifact_id") != F.coalesce("last.artifact_id", F.lit(GENESIS)), "broken_chain")
+              .when(F.col("training_end") < F.col("last.training_end"), "training_back").otherwise("new"))
+    return both.withColumn("status", status).where(~F.col("filed")).select(
+        "series_id", key, "old_id", F.col("artifact_id").alias("new_id"), "status")
 
 
 def current_rows(ledger: DataFrame) -> DataFrame:

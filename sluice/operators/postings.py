@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Labels of a posting, price bounds and search distance.
@@ -74,14 +78,37 @@ def import_reason(postings: DataFrame, existing: DataFrame) -> DataFrame:
     return joined.withColumn("status", status)
 
 
+def unescaped(text: Column) -> Column:
+    """Named, decimal and hexadecimal character references as their characters, each once.
+
+    A reference that names no character stays as it is; a hard blank becomes a blank.
+    """
+    names = {n.removesuffix(";"): c for n, c in html.entities.html5.items() if n.endswith(";")} | {"nbsp": " "}
+    known = F.from_json(F.lit(json.dumps(names)), "map<string,string>")  # folded to a constant
+    digits = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(
+            name.startswith("#"), F.substring(name, 2, 7)).cast("long")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(name.startswith("#"), F.when(number == 160, " ").when(valid, digits(number))).when(
+            name != "", F.try_element_at(known, name))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&", -1)
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    whole = F.concat(F.get(parts, 0), F.array_join(rest, ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
     """Visible text: comments, scripts and styles go first, then the tags."""
     s = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     s = F.regexp_replace(s, r"(?is)<script\b.*?</script[^>]*>", " ")
     s = F.regexp_replace(s, r"(?is)<style\b.*?</style[^>]*>", " ")
     s = F.regexp_replace(s, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        s = F.replace(s, F.lit(entity), F.lit(char))
+    s = unescaped(s)
     return F.regexp_replace(F.regexp_replace(s, r"[ \t\r\n\f]+", " "), "^ | $", "")
 
 
@@ -94,3 +121,29 @@ def mask_contacts(text: Column) -> Column:
     long = F.regexp_replace(text, f"({NAME}{{2}}){NAME}+({NAME})@{domain}", "$1***$2@$3")
     masked = F.regexp_replace(long, f"(^|[^A-Za-z0-9._%+*-]){NAME}{{1,3}}@{domain}", "$1***@$2")
     return F.when(F.contains(text, F.lit("@")), masked).otherwise(text)
+
+
+def mask_recipient(value: Column) -> Column:
+    """One recipient: an address keeps its domain, anything else its first and last two letters."""
+    name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    ends = lambda v, keep: F.concat(F.substring(v, 1, 2), F.lit("***"), F.right(v, F.lit(keep)))
+    address = F.concat(F.when(F.length(name) <= 3, "***").otherwise(ends(name, 1)), F.lit("@"), domain)
+    other = F.when(F.length(value) <= 4, "***").otherwise(ends(value, 2))
+    return F.when(F.coalesce(value, F.lit("")) == "", "None").when(F.contains(value, F.lit("@")), address).otherwise(other)
+
+
+def mask_values(text: Column, values: Sequence[str]) -> Column:
+    """Given recipients, numbers and keys masked wherever they stand, the longest first.
+
+    Addresses and numbers count from three letters on, other values from five.
+    """
+    for v in sorted({v.strip() for v in values}, key=lambda v: (-len(v), v)):
+        if "@" in v and len(v) > 2:
+            name, domain = v.split("@", 1)
+            shown = f"{'***' if len(name) <= 3 else name[:2] + '***' + name[-1]}@{domain}"
+        elif len(v) > 4:
+            shown = f"{v[:2]}***{v[-2:]}"
+        else:
+            continue
+        text = F.replace(text, F.lit(v), F.lit(shown))
+    return F.coalesce(text, F.lit(""))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.functions.calendar import MONTH_CODES, valid_symbol
+from sluice.functions.calendar import MONTH_CODES, in_calendar, valid_symbol
 from sluice.functions.exprs import ratio
 from sluice.operators import decide
 from sluice.operators.align import by_session, in_series
@@ -32,7 +32,7 @@ def history_violations(raw: DataFrame, cal: DataFrame) -> DataFrame:
     same_day = Window.partitionBy("series_id", "session")
     priced = Window.partitionBy("series_id", F.col("driver").isNotNull()).orderBy("line_no")
     days = cal.select(F.col("d").alias("session"), "is_holiday_alt")
-    rows = (raw.withColumn("copies", F.count("*").over(same_day))
+    rows = (in_calendar(raw, "session").withColumn("copies", F.count("*").over(same_day))
             .withColumn("prev", F.lag("session").over(file_order))
             .withColumn("prev_driver", F.lag("driver").over(priced))
             .join(F.broadcast(days), "session", "left"))

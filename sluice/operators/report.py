@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sluice.functions.calendar import in_calendar
 from sluice.functions.exprs import array_quantile, count_if, ratio, settle
 from sluice.operators import fit as m
 from sluice.operators.align import by_session, in_series
@@ -12,7 +13,6 @@ from sluice.operators.ledger import settlement_based
 
 # Fixed values of the reports.
 DISPATCH_RATE, MIN_SIGNIFICANT, BASIS_ROWS = 0.50, 30, 65
-FLOORS = {"F": 0.53, "O": 0.60}
 Z95 = 1.959963984540054
 
 
@@ -32,7 +32,7 @@ def resolve_outcomes(log: DataFrame, history: DataFrame, cal: DataFrame) -> Data
             .withColumn("prev_response", F.lag("response").over(by_session()))
             .select("series_id", "session", "response", "prev_row", "prev_response"))
     days = cal.select(F.col("d").alias("session"), "prev_bd")
-    joined = (log.select("series_id", "session").join(F.broadcast(days), "session")
+    joined = (in_calendar(log.select("series_id", "session"), "session").join(F.broadcast(days), "session")
               .join(rows, ["series_id", "session"], "left"))
     gap = F.col("prev_row") != F.col("prev_bd")
     status = (F.when(F.col("prev_row").isNull(), "PENDING").when(gap, "NO_PRIOR_SESSION")
@@ -205,6 +205,17 @@ def significance_gate(log: DataFrame, days: int = 180, min_rows: int = 5) -> Dat
     return g.withColumn("available", (F.col("live_predictions") >= MIN_SIGNIFICANT) & (tested >= MIN_SIGNIFICANT))
 
 
+def tested_rows(live: DataFrame, days: int = 180, min_rows: int = 5) -> DataFrame:
+    """Rows of the period that :func:`significance_gate` names: the recent ones,
+    or the whole sample when fewer than ``min_rows`` of it are recent."""
+    as_of = live.agg(F.max("verdict_ts").alias("as_of"))  # one row, as is the next
+    recent = F.col("verdict_ts") >= F.col("as_of") - F.make_dt_interval(F.lit(days))
+    dated = live.join(F.broadcast(as_of))
+    period = dated.agg(count_if(recent).alias("recent_rows"))
+    return (dated.join(F.broadcast(period)).where(recent | (F.col("recent_rows") < min_rows))
+            .drop("as_of", "recent_rows"))
+
+
 def decoupling(log: DataFrame, days: int = 14, min_alerts: int = 5, floor: float = 0.40) -> DataFrame:
     """Series whose recent alerts mostly failed, as of their newest decision."""
     as_of = F.max("session").over(in_series())
@@ -265,15 +276,18 @@ def completeness(history: DataFrame, log: DataFrame, arts: DataFrame) -> DataFra
                .when(F.col("x") <= F.col("drop_"), "DROP").otherwise("FLAT")).alias("direction"))
 
 
-def live_floor_check(live: DataFrame, min_alerts: int = 20) -> DataFrame:
-    """Precision by series and conviction band against a historical floor."""
-    floor = F.create_map(*[F.lit(v) for kv in FLOORS.items() for v in kv])
+def live_floor_check(live: DataFrame, floors: DataFrame, min_alerts: int = 20) -> DataFrame:
+    """Precision by series and conviction band against a historical floor.
+
+    ``floors`` has (series_id, floor); a series without one is ``no_floor``.
+    """
     g = live.where("dir <> 0").groupBy("series_id", z_band(F.col("z")).alias("band")).agg(
         F.count("*").alias("alerts"), count_if(F.col("correct")).alias("hits"))
+    g = g.join(floors, "series_id", "left")
     p = ratio(F.col("hits"), F.col("alerts"))
     return g.withColumn("precision", F.when(F.col("alerts") >= min_alerts, p)).withColumn(
         "status", F.when(F.col("alerts") < min_alerts, "insufficient").when(
-            p >= floor[F.col("series_id")], "validated").otherwise("warning"))
+            F.col("floor").isNull(), "no_floor").when(p >= F.col("floor"), "validated").otherwise("warning")).drop("floor")
 
 
 def cumulative_trend(live: DataFrame, days: int = 90, min_rows: int = 10, fallback: int = 60) -> DataFrame:

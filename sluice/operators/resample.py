@@ -84,6 +84,19 @@ def iid_mean_interval(values: DataFrame, reps: int, seed: str, chunks: int = 32)
         .select("series_id", F.col("ci")[0].alias("mean_low"), F.col("ci")[1].alias("mean_high")))
 
 
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Summed products of the series of one partition, per stratum and pair of places."""
+    held: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for key, part in batch.groupby(["sig", "sig2", "k"], sort=False):
+            signals, outcomes = np.stack(part["dir"].to_numpy()), np.stack(part["y"].to_numpy())
+            held[key] = held.get(key, 0) + signals.T.astype(float) @ outcomes.astype(float)
+    for key, total in held.items():
+        days = np.arange(1, len(total) + 1)
+        for i, row in zip(days, total):
+            yield pd.DataFrame({"sig": key[0], "sig2": key[1], "k": key[2], "place": i, "at": days, "s": row})
+
+
 def date_block_permutation(log: DataFrame, reps: int, seed: str) -> DataFrame:
     """Total savings against outcomes permuted among like-covered sessions.
 
@@ -102,17 +115,21 @@ def date_block_permutation(log: DataFrame, reps: int, seed: str) -> DataFrame:
     places = day.withColumn("place", place)
     spread = places.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     order = F.md5(F.concat_ws("|", F.lit(seed), "rep", F.col("session").cast("string")).cast("binary"))
-    shuffled = spread.select("rep", *strata, F.col("session").alias("donor"), F.row_number().over(
+    shuffled = spread.select("rep", *strata, F.col("place").alias("donor_place"), F.row_number().over(
         Window.partitionBy("rep", *strata).orderBy(order)).alias("place"))
-    moved = shuffled.join(places.select("session", "place", *strata), [*strata, "place"])
+    moved = shuffled.withColumnRenamed("donor_place", "at")
     # What a receiving session would earn from a donor is a product of two
-    # short vectors, taken once per distinct (session, donor) pair.
-    signals = log.where("dir <> 0").select("session", "series_id", "dir")
-    outcomes = log.select(F.col("session").alias("donor"), "series_id", "y")
-    earned = (moved.select("session", "donor").distinct().join(signals, "session")
-              .join(outcomes, ["donor", "series_id"])
-              .groupBy("session", "donor").agg(F.sum(F.col("dir") * F.col("y")).alias("s")))
-    totals = moved.join(earned, ["session", "donor"]).groupBy("rep").agg(F.sum("s").alias("t"))
+    # short vectors.  Each task multiplies the signals and outcomes of its own
+    # series as matrices of one stratum's sessions and hands on their sum, so a
+    # (session, donor) pair is a row once per task, not once per series.
+    one = log.groupBy("session", "series_id").agg(F.sum("dir").alias("dir"), F.sum("y").alias("y"))
+    vectors = one.join(places.select("session", "place", *strata), "session").groupBy(*strata, "series_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "dir", "y"))).alias("v"))
+    vectors = vectors.select(*strata, F.col("v.dir").alias("dir"), F.col("v.y").alias("y"))
+    sums = vectors.mapInPandas(_products, "sig long, sig2 decimal(38,0), k long, place int, at int, s double")
+    earned = sums.groupBy(*strata, "place", "at").agg(F.sum("s").alias("s"))
+    moved = moved.select("rep", *strata, "place", "at")
+    totals = moved.join(earned, [*strata, "place", "at"]).groupBy("rep").agg(F.sum("s").alias("t"))
     real = log.agg(F.sum(F.col("dir") * F.col("y")).alias("real_savings"))
     null = totals.join(F.broadcast(real)).agg(
         F.max("real_savings").alias("real_savings"),

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from sluice.functions.calendar import business_calendar
 from sluice.functions.distributions import t_two_sided
-from sluice.functions.exprs import count_if, r6, ratio
+from sluice.functions.exprs import r6
 from sluice.operators import align
 from sluice.operators.fit import with_fit
 from sluice.plans.base import pairs_of, train_of
@@ -147,14 +147,16 @@ def alignment_gate(spark, sf_dir):
 
 
 @query("era_scan", with_ctes(PAIRS, ADJ, """
-starts AS (SELECT DISTINCT series_id, date_trunc('month', first_s)::DATE AS start FROM adj),
+starts AS (SELECT series_id, start FROM (SELECT DISTINCT series_id FROM wk), (SELECT unnest(generate_series(
+   date_trunc('month', min(session)), date_trunc('month', max(session)), INTERVAL 1 MONTH))::DATE AS start FROM wk)),
 era AS (SELECT s.start, a.* FROM starts s JOIN adj a ON a.series_id = s.series_id AND a.first_s >= s.start)""",
     lag_fit_sql("lagf", "era", "series_id, start"), f"""
-each AS (SELECT *, n >= 30 AND abs(t_b1) <= {T05} AS ok FROM lagf)""", """
-SELECT series_id, start, n, round(b0, 6) AS b0, round(b1, 6) + 0.0 AS b1, round(t_b1, 4) + 0.0 AS t_b1,
+each AS (SELECT starts.*, lagf.* EXCLUDE (series_id, start), lagf.n >= 30 AND abs(t_b1) <= {T05} AS ok
+   FROM starts LEFT JOIN lagf USING (series_id, start))""", """
+SELECT series_id, start, coalesce(n, 0) AS n, round(b0, 6) AS b0, round(b1, 6) + 0.0 AS b1, round(t_b1, 4) + 0.0 AS t_b1,
   bool_and(coalesce(ok, false)) OVER (PARTITION BY start) AS clean FROM each"""))
 def era_scan(spark, sf_dir):
-    scan = align.era_scan(pairs_of(spark, sf_dir))
+    scan = align.era_scan(pairs_of(spark, sf_dir), weekdays(daily_panel(spark, sf_dir)))
     p = t_two_sided("t_b1", F.col("n") - 3)
     scan = scan.withColumn("ok", F.coalesce((F.col("n") >= align.MIN_LAG_PAIRS)
                                             & (p >= align.ERA_P), F.lit(False)))

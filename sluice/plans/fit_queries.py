@@ -43,7 +43,8 @@ SELECT series_id, session, round(expected, 6) + 0.0 AS expected, round(p_up, 6)
   round(CASE WHEN x >= 0 THEN p_up ELSE 1 - p_up END, 6) AS p_correct FROM p"""))
 def residual_cdf(spark, sf_dir):
     rows = m.with_fit(m.last_rows(train_of(spark, sf_dir)), ["series_id"])
-    rows = rows.withColumn("rs", F.collect_list("resid").over(in_series()))
+    # At most a window of residuals per series, gathered once.
+    rows = rows.join(rows.groupBy("series_id").agg(F.collect_list("resid").alias("rs")), "series_id")
     p_up = m.probability_up(F.col("rs"), F.col("x"))
     return rows.select("series_id", "session",
                        r6(F.col("intercept") + F.col("slope") * F.col("x")).alias("expected"),
@@ -111,7 +112,7 @@ def economic_value(spark, sf_dir):
         (F.round("net_value_dollars", 4) + 0.0).alias("net_value_dollars"), "economically_positive")
 
 
-@query("threshold_ci", with_ctes(TRAIN, f"""
+CI_SQL = (f"""
 r0 AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ord) - 1 AS i,
   count(*) OVER (PARTITION BY series_id) AS m, x, y FROM train WHERE {LAST}),
 sz AS (SELECT DISTINCT series_id, m FROM r0 WHERE m >= 40),
@@ -121,7 +122,10 @@ bs AS (SELECT d.series_id, d.rep, r0.x, r0.y FROM dr d JOIN r0 ON r0.series_id =
     thresholds("bt", "bs", "series_id, rep"), """
 SELECT series_id, round(quantile_cont(hike, 0.025), 6) AS hike_low, round(quantile_cont(hike, 0.975), 6) AS hike_high,
   round(quantile_cont(drop_, 0.025), 6) AS drop_low, round(quantile_cont(drop_, 0.975), 6) AS drop_high, count(*) AS replicates
-FROM bt WHERE fit_error IS NULL GROUP BY 1 HAVING count(*) >= 400"""))
+FROM bt WHERE fit_error IS NULL GROUP BY 1 HAVING count(*) >= 400""")
+
+
+@query("threshold_ci", with_ctes(TRAIN, *CI_SQL))
 def threshold_ci(spark, sf_dir):
     ci = m.block_threshold_interval(m.last_rows(train_of(spark, sf_dir)))
     return rounded(ci, "hike_low", "hike_high", "drop_low", "drop_high")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import (
-    business_calendar, central_time, contract_symbol, last_trade_dates, session_date, valid_symbol)
+    business_calendar, central_time, contract_symbol, in_calendar, last_trade_dates, session_date, valid_symbol)
 from sluice.functions.exprs import count_if, r6
 from sluice.operators import calendar_ops as ops
 from sluice.plans.ctes import CAL, PANEL
@@ -46,10 +46,10 @@ SELECT h.d, h.holiday, count(l_orderkey) AS lines, coalesce(sum(round(l_extended
 FROM hol h JOIN lineitem ON CAST(l_shipdate AS DATE) = h.d GROUP BY 1, 2"""))
 def holidays(spark, sf_dir):
     """Lines shipped on a market holiday: reduced per day, then joined to the dim."""
-    days = read(spark, sf_dir, "lineitem", "l_extendedprice", "l_shipdate").groupBy(
+    days = in_calendar(read(spark, sf_dir, "lineitem", "l_extendedprice", "l_shipdate").groupBy(
         F.to_date("l_shipdate").alias("d")).agg(
         F.count("*").alias("lines"),
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents")), "d")
     cal = business_calendar(spark).where("is_holiday").select("d", "holiday")
     return days.join(F.broadcast(cal), "d").select("d", "holiday", "lines", "cents")
 
@@ -73,16 +73,17 @@ def business_days(spark, sf_dir):
 
 
 @query("prev_next_business", with_ctes(CAL, """
-SELECT d, prev_bd, next_bd, bd_ord::BIGINT AS bd_ord, last_bd, orders FROM
+SELECT d, prev_bd, next_bd, (bd_ord - min(bd_ord) OVER ())::BIGINT AS bd_ord, last_bd, orders FROM
  (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS orders FROM orders GROUP BY 1)
  JOIN cal USING (d) JOIN (SELECT month, max(d) FILTER (WHERE is_bd) AS last_bd FROM cal2 GROUP BY month) USING (month)"""))
 def prev_next_business(spark, sf_dir):
     cal = business_calendar(spark)
     last = last_trade_dates(cal).select(
         F.add_months("contract_month", -1).alias("month"), F.col("ltd_refined").alias("last_bd"))
-    return (ops.orders_per_day(spark, sf_dir).join(F.broadcast(cal), "d")
-            .join(F.broadcast(last), "month")
-            .select("d", "prev_bd", "next_bd", "bd_ord", "last_bd", "orders"))
+    days = ops.orders_per_day(spark, sf_dir).join(F.broadcast(cal), "d").join(F.broadcast(last), "month")
+    start = days.agg(F.min("bd_ord").alias("start"))  # one row
+    return days.join(F.broadcast(start)).select(
+        "d", "prev_bd", "next_bd", (F.col("bd_ord") - F.col("start")).alias("bd_ord"), "last_bd", "orders")
 
 
 @query("last_trade_dates", with_ctes(CAL, """
@@ -118,7 +119,7 @@ def front_month(spark, sf_dir):
 SELECT series_id, session, is_roll, is_roll_crude, front_refined FROM wk JOIN cal ON d = session
 WHERE is_roll OR is_roll_crude"""))
 def roll_sessions(spark, sf_dir):
-    return (weekdays(daily_panel(spark, sf_dir))
+    return (in_calendar(weekdays(daily_panel(spark, sf_dir)), "session")
             .join(F.broadcast(business_calendar(spark).withColumnRenamed("d", "session")), "session")
             .where("is_roll OR is_roll_crude")
             .select("series_id", "session", "is_roll", "is_roll_crude", "front_refined"))

@@ -138,7 +138,8 @@ def policy_benchmark(spark, sf_dir):
 
 
 @query("date_block_perm", with_ctes(LIVE, """
-w AS (SELECT * FROM live WHERE verdict_ts >= (SELECT max(verdict_ts) FROM live) - INTERVAL 180 DAY),
+lately AS (SELECT max(verdict_ts) - INTERVAL 180 DAY AS since FROM live),
+w AS (SELECT live.* FROM live, lately WHERE verdict_ts >= since OR (SELECT count(*) FROM live, lately WHERE verdict_ts >= since) < 5),
 sg AS (SELECT session, list(series_id ORDER BY series_id) AS sig, count(*) AS k, count(DISTINCT series_id) AS kd FROM w GROUP BY 1),
 pl AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY session) AS place FROM sg),
 sh AS (SELECT rep, sig, session AS donor, row_number() OVER (PARTITION BY rep, sig ORDER BY md5('dates|' || rep || '|' || session::VARCHAR)) AS place FROM pl, range(1, 5001) r(rep)),
@@ -148,10 +149,8 @@ re AS (SELECT sum(dir*actual) AS real_savings FROM w)""", """
 SELECT round(max(real_savings), 6) AS real_savings, count(*) FILTER (WHERE t >= real_savings - 1e-9) AS as_extreme, count(*) AS permutations, round(avg(t), 6) + 0.0 AS null_mean,
   round((count(*) FILTER (WHERE t >= real_savings - 1e-9) + 1)/(count(*) + 1), 6) AS p_value, (SELECT count(*) FROM sg WHERE k <> kd) AS duplicate_sessions FROM t, re"""))
 def date_block_perm(spark, sf_dir):
-    live = rp.live_rows(log_of(spark, sf_dir))
-    newest = live.agg(F.max("verdict_ts").alias("as_of"))
-    recent = live.join(F.broadcast(newest)).where("verdict_ts >= as_of - INTERVAL 180 DAYS")
-    rows = durable(recent.select("series_id", "session", "dir", F.col("actual").alias("y")))
+    rows = durable(rp.tested_rows(rp.live_rows(log_of(spark, sf_dir))).select(
+        "series_id", "session", "dir", F.col("actual").alias("y")))
     return rounded(rs.date_block_permutation(rows, 5000, "dates"), "real_savings", "null_mean", "p_value").select(
         "real_savings", "as_extreme", "permutations", "null_mean", "p_value", "duplicate_sessions")
 
@@ -276,7 +275,11 @@ g AS (SELECT series_id, CASE WHEN abs(z) >= 1.5 THEN 'High' WHEN abs(z) >= 1 THE
 SELECT series_id, band, alerts, hits, CASE WHEN alerts >= 20 THEN round(hits/alerts, 6) END AS precision,
   CASE WHEN alerts < 20 THEN 'insufficient' WHEN hits/alerts >= CASE series_id WHEN 'F' THEN 0.53 ELSE 0.60 END THEN 'validated' ELSE 'warning' END AS status FROM g"""))
 def live_floor_check(spark, sf_dir):
-    return rounded(rp.live_floor_check(rp.live_rows(log_of(spark, sf_dir))), "precision")
+    """The floors are a parameter table: one series has its own, the others share one."""
+    live = durable(rp.live_rows(log_of(spark, sf_dir)))
+    floors = live.select("series_id").distinct().withColumn(
+        "floor", F.when(F.col("series_id") == "F", 0.53).otherwise(0.60))
+    return rounded(rp.live_floor_check(live, floors), "precision")
 
 
 @query("cumulative_trend", with_ctes(LIVE, """
@@ -299,18 +302,16 @@ def snapshot_error(spark, sf_dir):
 
 
 @query("verdict_context", with_ctes(LOG, THRESH, CI, WF, TAIL, f"""
-la AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY session DESC) AS k FROM log),
+la AS (SELECT * FROM log),
 wl AS (SELECT series_id, oos_alerts, oos_correct/oos_alerts AS op, {WILSON('oos_correct', 'oos_alerts')} FROM (SELECT series_id, oos_alerts::DOUBLE AS oos_alerts, oos_correct::DOUBLE AS oos_correct FROM wfa))""", """
 SELECT la.series_id, la.session, modeled_action, round(expected, 6) + 0.0 AS expected, round(net_edge/100*8500, 4) + 0.0 AS net_value_dollars,
   CASE WHEN modeled_action = 'BUY_NOW' THEN move >= hike_high WHEN modeled_action = 'WAIT' THEN move <= drop_low END AS stable,
   round(op, 6) AS oos_precision, wilson_low, wilson_high, round(cvar, 6) AS cvar, round(adverse, 6) AS probability_adverse
-FROM la JOIN ci USING (series_id) JOIN wl USING (series_id) LEFT JOIN wt USING (series_id) LEFT JOIN wc USING (series_id) WHERE k <= 20"""))
+FROM la JOIN ci USING (series_id) JOIN wl USING (series_id) LEFT JOIN wt USING (series_id) LEFT JOIN wc USING (series_id)"""))
 def verdict_context(spark, sf_dir):
-    """What an operator should see beside each of the last twenty verdicts."""
+    """What an operator should see beside each verdict."""
     train = cut_train(spark, sf_dir)
     log = ledger.decision_log(train, ledger.artifacts(train))
-    recent = log.withColumn("k", F.row_number().over(
-        in_series().orderBy(F.col("session").desc()))).where("k <= 20")
     last = m.last_rows(train)
     ci = rounded(m.block_threshold_interval(last), "hike_high", "drop_low").select("series_id", "hike_high", "drop_low")
     wf = walk_totals(train)
@@ -322,7 +323,7 @@ def verdict_context(spark, sf_dir):
     act = F.col("modeled_action")
     stable = F.when(act == "BUY_NOW", F.col("move") >= F.col("hike_high")).when(
         act == "WAIT", F.col("move") <= F.col("drop_low"))
-    out = recent.join(ci, "series_id").join(wf, "series_id").join(tail, "series_id", "left")
+    out = log.join(ci, "series_id").join(wf, "series_id").join(tail, "series_id", "left")
     return out.select("series_id", "session", "modeled_action", r6("expected").alias("expected"),
                       (F.round(F.col("net_edge") / 100 * m.TRUCK_GALLONS, 4) + 0.0).alias("net_value_dollars"),
                       stable.alias("stable"), "oos_precision", "wilson_low", "wilson_high", "cvar",

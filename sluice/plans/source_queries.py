@@ -23,39 +23,53 @@ def key_byte(i):
 
 
 @query("log_append_absent", with_ctes(LOG, """
-SELECT series_id, session, direction, signal_price FROM log WHERE session >= DATE '2000-01-01'"""))
+SELECT series_id, session, direction, signal_price + CASE WHEN """ + byte(11, "series_id", "session") + """ < 8 THEN 0.01 ELSE 0 END AS signal_price,
+  """ + byte(11, "series_id", "session") + """ < 8 AS conflict FROM log WHERE session >= DATE '2000-01-01'"""))
 def log_append_absent(spark, sf_dir):
-    """A whole log delivered again and twice over: only unknown keys append."""
+    """A whole log delivered again and twice over: only unknown keys append, and
+    those whose two deliveries differ are conflicts."""
     log = log_of(spark, sf_dir).select("series_id", "session", "direction", "signal_price")
     stored = log.where("session < DATE '2000-01-01'")
-    return ledger.append_absent(stored, log.unionByName(log), ["series_id", "session"])
+    changed = F.col("signal_price") + F.when(key_byte(11) < 8, 0.02).otherwise(0.0)
+    moved = F.col("signal_price") + F.when(key_byte(11) < 8, 0.01).otherwise(0.0)
+    twice = log.withColumn("signal_price", moved).unionByName(log.withColumn("signal_price", changed))
+    return ledger.append_absent(stored, twice, ["series_id", "session"])
 
 
 @query("artifact_append_status", with_ctes(ARTIFACTS, """
-i AS (SELECT series_id, effective_session, artifact_id AS orig, CASE WHEN block % 7 = 0 THEN sha256(artifact_id || 'edited') ELSE artifact_id END AS new_id FROM arts),
-s AS (SELECT i.*, CASE WHEN effective_session BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' THEN orig END AS old_id FROM i),
-m AS (SELECT *, max(CASE WHEN old_id IS NOT NULL THEN effective_session END) OVER (PARTITION BY series_id) AS newest FROM s)""", """
-SELECT series_id, effective_session, old_id, new_id, CASE WHEN old_id = new_id THEN 'same' WHEN old_id IS NOT NULL THEN 'conflict' WHEN effective_session < newest THEN 'out_of_order' ELSE 'new' END AS status FROM m"""))
+i AS (SELECT series_id, effective_session, prior_artifact_id AS prior, artifact_id AS orig, CASE WHEN block % 7 = 0 THEN sha256(artifact_id || 'edited') ELSE artifact_id END AS new_id, block % 11 = 5 AS twice FROM arts),
+s AS (SELECT i.*, CASE WHEN effective_session BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' THEN orig END AS old_id FROM i),
+m AS (SELECT *, max(CASE WHEN old_id IS NOT NULL THEN effective_session END) OVER (PARTITION BY series_id) AS newest FROM s),
+sound AS (SELECT series_id, effective_session, coalesce(old_id, new_id) AS id FROM m WHERE old_id IS NOT NULL OR (NOT twice AND (newest IS NULL OR effective_session > newest))),
+x AS (SELECT m.*, coalesce((SELECT arg_max(id, effective_session) FROM sound s WHERE s.series_id = m.series_id AND s.effective_session < m.effective_session), 'bootstrap_config') AS before FROM m),
+y AS (SELECT * FROM x UNION ALL SELECT * REPLACE (sha256(orig || 'again') AS new_id) FROM x WHERE twice)""", """
+SELECT series_id, effective_session, old_id, new_id, CASE WHEN old_id = new_id THEN 'same' WHEN old_id IS NOT NULL OR twice THEN 'conflict' WHEN effective_session < newest THEN 'out_of_order'
+  WHEN prior <> before THEN 'broken_chain' ELSE 'new' END AS status FROM y"""))
 def artifact_append_status(spark, sf_dir):
-    arts = durable(artifacts_of(spark, sf_dir).select("series_id", "block", "effective_session", "artifact_id"))
-    stored = arts.where("effective_session BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'")
-    edited = F.sha2(F.concat("artifact_id", F.lit("edited")), 256)
-    incoming = arts.withColumn("artifact_id", F.when(F.col("block") % 7 == 0, edited).otherwise(F.col("artifact_id")))
-    return ledger.append_status(stored, incoming, "effective_session")
+    """All artifacts against a ledger of one year; some are edited, some arrive with two ids."""
+    arts = durable(artifacts_of(spark, sf_dir).select(
+        "series_id", "block", "effective_session", "artifact_id", "prior_artifact_id", "training_end"))
+    stored = arts.where("effective_session BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'")
+    other = lambda word: F.sha2(F.concat("artifact_id", F.lit(word)), 256)
+    incoming = arts.withColumn("artifact_id", F.when(F.col("block") % 7 == 0, other("edited")).otherwise(F.col("artifact_id")))
+    again = arts.where("block % 11 = 5").withColumn("artifact_id", other("again"))
+    return ledger.append_status(stored, incoming.unionByName(again), "effective_session")
 
 
 @query("settle_priority_pick", with_ctes(LOG, f"""
-c AS (SELECT series_id, session, 1 AS priority, driver AS price, 'daily_file' AS source FROM wk WHERE {B(6)} < 96
+c AS (SELECT series_id, session, 1 AS priority, CASE WHEN {B(6)} >= 32 THEN driver END AS price, 'daily_file' AS source FROM wk WHERE {B(6)} < 96
   UNION ALL SELECT series_id, session, 2, signal_price, 'log_snapshot' FROM log UNION ALL SELECT series_id, session, 3, driver, 'history' FROM wk)""", """
-SELECT series_id, session, min(priority) AS priority, arg_min(price, priority) AS price, arg_min(source, priority) AS source FROM c GROUP BY 1, 2"""))
+SELECT series_id, session, min(priority) AS priority, arg_min(price, priority) AS price, arg_min(source, priority) AS source FROM c WHERE price IS NOT NULL GROUP BY 1, 2"""))
 def settle_priority_pick(spark, sf_dir):
     panel = weekdays(daily_panel(spark, sf_dir))
     cand = lambda df, k, price, name: df.select(
         "series_id", "session", F.lit(k).alias("priority"), F.col(price).alias("price"), F.lit(name).alias("source"))
+    # The daily file holds some sessions without a price.
+    daily = panel.where(key_byte(6) < 96).withColumn("driver", F.when(key_byte(6) >= 32, F.col("driver")))
     return rec.priority_pick(
-        cand(panel.where(key_byte(6) < 96), 1, "driver", "daily_file")
+        cand(daily, 1, "driver", "daily_file")
         .unionByName(cand(log_of(spark, sf_dir), 2, "signal_price", "log_snapshot"))
-        .unionByName(cand(panel, 3, "driver", "history")), ["series_id", "session"])
+        .unionByName(cand(panel, 3, "driver", "history")), ["series_id", "session"], "price")
 
 
 @query("null_only_backfill", with_ctes(PANEL, f"""
@@ -76,7 +90,7 @@ WITH a AS (SELECT l_suppkey, count(*) AS n, max(l_discount) AS md FROM lineitem
 l AS (SELECT s_suppkey, 0 AS rank, unnest(['TARGET', 'NOISE_FLOOR', 'BUY_COST_CENTS_PER_GAL']) AS name, unnest([0.75, 0.6, 0.0]::DOUBLE[]) AS value FROM supplier
   UNION ALL SELECT s_suppkey, 1, 'BUY_COST_CENTS_PER_GAL', 0.5 FROM supplier WHERE s_acctbal < 0
   UNION ALL SELECT s_suppkey, 1, 'NOISE_FLOOR', 1.2 FROM supplier WHERE s_acctbal > 5000
-  UNION ALL SELECT l_suppkey, 2, 'NOISE_FLOOR', md FROM a WHERE n > 600
+  UNION ALL SELECT l_suppkey, 2, 'NOISE_FLOOR', md FROM a WHERE l_suppkey % 3 = 0
   UNION ALL SELECT l_suppkey, 2, 'LINES', n FROM a)
 SELECT s_suppkey, name, arg_max(value, rank) AS value, max(rank) AS rank FROM l GROUP BY 1, 2""")
 def config_overlay(spark, sf_dir):
@@ -92,7 +106,7 @@ def config_overlay(spark, sf_dir):
         layer(supplier, 0, row("TARGET", F.lit(0.75)), row("NOISE_FLOOR", F.lit(0.6)), row(cost, F.lit(0.0))),
         layer(supplier.where("s_acctbal < 0"), 1, row(cost, F.lit(0.5))),
         layer(supplier.where("s_acctbal > 5000"), 1, row("NOISE_FLOOR", F.lit(1.2))),
-        layer(cache.where("n > 600"), 2, row("NOISE_FLOOR", F.col("md"))),
+        layer(cache.where("s_suppkey % 3 = 0"), 2, row("NOISE_FLOOR", F.col("md"))),
         # The cache also carries a stale statistic and a copied policy key.
         layer(cache, 2, row("LINES", F.col("n")), row("LINES_historical_win_rate", F.col("md")), row(cost, F.lit(9.0)))]
     both = layers[0]
@@ -192,17 +206,19 @@ def quote_active_symbol(spark, sf_dir):
 
 
 @query("snapshot_complete_pairs", with_ctes(LOG, """
-v AS (SELECT session, max(signal_price) FILTER (WHERE series_id = 'F') AS price_f, max(signal_price) FILTER (WHERE series_id = 'O') AS price_o, count(DISTINCT series_id) AS k
-  FROM log WHERE prediction_source = 'live' AND snapshot_based AND baseline_source <> 'exchange_close' AND signal_price > 0 GROUP BY 1)""", """
-SELECT session, round(price_f, 6) AS price_f, round(price_o, 6) AS price_o FROM v WHERE k = 2"""))
+v AS (SELECT * FROM log WHERE prediction_source = 'live' AND snapshot_based AND baseline_source <> 'exchange_close' AND signal_price > 0),
+k AS (SELECT session FROM v GROUP BY 1 HAVING count(DISTINCT series_id) = (SELECT count(DISTINCT series_id) FROM log))""", """
+SELECT session, series_id, round(max(signal_price), 6) AS price FROM v JOIN k USING (session) GROUP BY 1, 2"""))
 def snapshot_complete_pairs(spark, sf_dir):
     """Sessions whose verified snapshots cover every series."""
     ok = ((F.col("prediction_source") == "live") & ledger.settlement_based(F.col("settlement_source"))
           & (F.col("baseline_source") != "exchange_close") & (F.col("signal_price") > 0))
-    price = lambda s: F.max(F.when(F.col("series_id") == s, F.col("signal_price")))
-    g = log_of(spark, sf_dir).where(ok).groupBy("session").agg(
-        price("F").alias("price_f"), price("O").alias("price_o"), F.countDistinct("series_id").alias("k"))
-    return g.where("k = 2").select("session", r6("price_f").alias("price_f"), r6("price_o").alias("price_o"))
+    log = log_of(spark, sf_dir)
+    total = log.agg(F.countDistinct("series_id").alias("total"))  # one row
+    prices = log.where(ok).groupBy("session", "series_id").agg(F.max("signal_price").alias("price"))
+    complete = (prices.groupBy("session").agg(F.count("*").alias("k")).join(F.broadcast(total))
+                .where("k = total").select("session"))
+    return prices.join(complete, "session").select("session", "series_id", r6("price").alias("price"))
 
 
 @query("malformed_quarantine", """
@@ -260,7 +276,7 @@ _P = lambda c: f"(floor(({c})*1e4)::BIGINT // 10000)::VARCHAR || '.' || lpad((fl
 _PK = lambda i: byte(i, "session")
 
 POSTINGS = PANEL + f""",
-pw AS (SELECT session, max(response) FILTER (WHERE series_id = 'F') AS u, max(response) FILTER (WHERE series_id = 'O') AS d FROM wk GROUP BY 1 HAVING u IS NOT NULL AND d IS NOT NULL),
+pw AS (SELECT session, arg_min(response, series_id) AS u, arg_max(response, series_id) AS d FROM wk GROUP BY 1 HAVING count(*) > 1),
 pt AS (SELECT 'p' || session::VARCHAR AS posting_id, session AS true_session, u, d, 'Daily notice' || chr(10) || '  E10 -  Unleaded : $' || {_P('u')} || chr(10)
   || CASE WHEN {_PK(0)} < 16 THEN 'Premium on request' ELSE 'E10 - PREMIUM, ' || {_P('u + CASE WHEN ' + _PK(0) + ' < 24 THEN 9.0 ELSE 0.2 END::DOUBLE')} END || chr(10)
   || 'CLEAR DIESEL/' || {_P('d')} || CASE WHEN {_PK(1)} < 64 THEN '' ELSE chr(10) || 'Good  from ' || month(session) || '/' || day(session) || '/' || year(session) END AS body,
@@ -271,9 +287,10 @@ docs AS (SELECT 'd' || doc_id AS posting_id, text AS body FROM documents)"""
 def postings_of(spark, sf_dir):
     """One posting per session, some incomplete, undated or late."""
     panel = weekdays(daily_panel(spark, sf_dir))
-    price = lambda s: F.max(F.when(F.col("series_id") == s, F.col("response")))
-    rows = panel.groupBy("session").agg(price("F").alias("u"), price("O").alias("d")).where(
-        "u IS NOT NULL AND d IS NOT NULL")
+    # The first and the last series that are priced on a day stand for two products.
+    rows = panel.groupBy("session").agg(
+        F.min_by("response", "series_id").alias("u"), F.max_by("response", "series_id").alias("d"),
+        F.count("*").alias("k")).where("k > 1")
 
     def text(c):
         k = F.floor(c * 1e4)
@@ -344,7 +361,7 @@ def posting_import_new(spark, sf_dir):
 WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS s FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(s, '(?is)<script\b.*?</script[^>]*>', ' ', 'g'), '(?is)<style\b.*?</style[^>]*>', ' ', 'g') AS s FROM a),
 c AS (SELECT page_id, regexp_replace(s, '(?s)<[^>]*>', ' ', 'g') AS s FROM b),
-d AS (SELECT page_id, replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS s FROM c),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS s FROM c),
 e AS (SELECT page_id, regexp_replace(regexp_replace(s, '[ \t\r\n\f]+', ' ', 'g'), '^ | $', '', 'g') AS s FROM d)
 SELECT page_id, md5(s) AS text_md5, length(s) AS n_chars FROM e""")
 def html_text(spark, sf_dir):
@@ -366,3 +383,18 @@ def mask_contacts(spark, sf_dir):
     both = docs.unionByName(conv).withColumn("masked", po.mask_contacts(F.col("text")))
     return both.select("id", F.md5(F.col("masked").cast("binary")).alias("masked_md5"),
                        (F.col("masked") != F.col("text")).alias("changed"))
+
+
+@query("mask_recipients", r"""
+WITH r AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN lower(replace(s_name, '#', '.')) || '@mail.example' WHEN 1 THEN '+1-555-' || lpad((s_suppkey * 7919 % 10000)::VARCHAR, 4, '0')
+  WHEN 2 THEN substr(md5(s_name), 1, 24) ELSE s_suppkey::VARCHAR END AS v FROM supplier)
+SELECT s_suppkey, CASE WHEN v LIKE '%@%' THEN CASE WHEN strpos(v, '@') <= 4 THEN '***' ELSE substr(v, 1, 2) || '***' || substr(v, strpos(v, '@') - 1, 1) END || '@' || split_part(v, '@', 2)
+  WHEN length(v) <= 4 THEN '***' ELSE substr(v, 1, 2) || '***' || right(v, 2) END AS masked FROM r""")
+def mask_recipients(spark, sf_dir):
+    """Addresses, telephone numbers, keys and short names, one kind per supplier."""
+    k = F.col("s_suppkey")
+    number = F.concat(F.lit("+1-555-"), F.lpad((k * 7919 % 10000).cast("string"), 4, "0"))
+    value = (F.when(k % 4 == 0, F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("."))), F.lit("@mail.example")))
+             .when(k % 4 == 1, number).when(k % 4 == 2, F.substring(F.md5(F.col("s_name").cast("binary")), 1, 24))
+             .otherwise(k.cast("string")))
+    return read(spark, sf_dir, "supplier", "s_suppkey", "s_name").select("s_suppkey", po.mask_recipient(value).alias("masked"))

@@ -35,7 +35,10 @@ def stream_snapshot(spark, sf_dir):
 po AS (SELECT instrument, CAST(st AS DATE) AS session, time_bucket(INTERVAL 5 MINUTE, st) AS slot, last(px ORDER BY ts, event_id) AS px FROM tk, wm
   WHERE time_bucket(INTERVAL 5 MINUTE, st) + INTERVAL 5 MINUTE <= wm GROUP BY 1, 2, 3),
 pi AS (SELECT *, row_number() OVER (PARTITION BY instrument, session ORDER BY slot) AS i FROM po),
-sw AS (SELECT instrument, session, slot, px, i, 0.0::DOUBLE AS swing, px AS ref FROM pi WHERE i = 1
+br AS (SELECT instrument, session, coalesce(lag(close) OVER (PARTITION BY instrument ORDER BY session), open) AS base FROM (
+  SELECT instrument, CAST(st AS DATE) AS session, first(px ORDER BY ts, event_id) AS open, last(px ORDER BY ts, event_id) AS close
+  FROM tk, wm WHERE time_bucket(INTERVAL 5 MINUTE, st) + INTERVAL 5 MINUTE <= wm GROUP BY 1, 2)),
+sw AS (SELECT pi.instrument, pi.session, slot, px, i, (px - base)/base*100 AS swing, base AS ref FROM pi JOIN br ON br.instrument = pi.instrument AND br.session = pi.session WHERE i = 1
   UNION ALL SELECT p.instrument, p.session, p.slot, p.px, p.i, (p.px - r.ref)/r.ref*100, r.ref FROM
    (SELECT instrument, session, i, CASE WHEN abs(swing) >= 1.5 THEN round(px, 4) ELSE ref END AS ref FROM sw) r
    JOIN pi p ON p.instrument = r.instrument AND p.session = r.session AND p.i = r.i + 1)""", """
@@ -44,7 +47,8 @@ def stream_swing(spark, sf_dir):
     return jobs.run_to_table(jobs.stream_swing(ticks(spark, sf_dir))).withColumn("swing", r6("swing"))
 
 
-@query("stream_once", with_ctes(TS, "SELECT DISTINCT instrument, CAST(st AS DATE) AS session FROM tk"))
+@query("stream_once", with_ctes(TS, """
+SELECT DISTINCT instrument, CAST(st AS DATE) AS session FROM tk, wm WHERE time_bucket(INTERVAL 5 MINUTE, st) + INTERVAL 5 MINUTE <= wm"""))
 def stream_once(spark, sf_dir):
     return jobs.run_to_table(jobs.stream_once(ticks(spark, sf_dir)))
 
@@ -66,17 +70,15 @@ def stream_rate(spark, sf_dir):
     return jobs.run_to_table(jobs.stream_rate(ticks(spark, sf_dir)))
 
 
+# The second stream's clock is the first tick of the newest closed poll.
 @query("stream_activity", with_ctes(TS, """
+cl AS (SELECT max(f) AS wm2 FROM (SELECT min(st) AS f FROM tk, wm GROUP BY instrument, time_bucket(INTERVAL 5 MINUTE, st), wm HAVING time_bucket(INTERVAL 5 MINUTE, st) + INTERVAL 5 MINUTE <= wm)),
 g AS (SELECT *, st - lag(st) OVER w > INTERVAL 30 MINUTE AS cut FROM tk WINDOW w AS (PARTITION BY instrument ORDER BY st)),
 s AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY instrument ORDER BY st) AS k FROM g),
 a AS (SELECT instrument, k, min(st) AS start, max(st) + INTERVAL 30 MINUTE AS e, count(*) AS ticks FROM s GROUP BY 1, 2)""", """
-SELECT instrument, CAST(start AS DATE) AS session, count(*) AS bursts, sum(ticks)::BIGINT AS ticks FROM a, wm WHERE e <= wm AND CAST(start AS DATE) + 3 <= CAST(wm AS DATE) GROUP BY 1, 2"""))
+SELECT instrument, CAST(start AS DATE) AS session, count(*) AS bursts, sum(ticks)::BIGINT AS ticks FROM a, cl WHERE e <= wm2 GROUP BY 1, 2"""))
 def stream_activity(spark, sf_dir):
-    """Bursts per session; the newest sessions are still open and left out."""
+    """Closed bursts per session: those whose silence the watermark has passed."""
     rows = jobs.run_to_table(jobs.stream_activity(ticks(spark, sf_dir)))
-    newest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(
-        F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/Chicago")
-        + F.expr("INTERVAL 7 HOURS") - F.expr("INTERVAL 15 HOURS")).alias("wm"))
-    closed = rows.join(F.broadcast(newest)).where("date_add(to_date(start), 3) <= to_date(wm)")
-    return closed.groupBy("instrument", F.to_date("start").alias("session")).agg(
+    return rows.groupBy("instrument", F.to_date("start").alias("session")).agg(
         F.count("*").alias("bursts"), F.sum("ticks").alias("ticks"))

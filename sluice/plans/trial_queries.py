@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import business_calendar
-from sluice.functions.exprs import r6
 from sluice.operators import forecast as fc, ledger, trial as tr
 from sluice.operators.ledger import byte_of
 from sluice.plans.base import cut_train

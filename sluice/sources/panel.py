@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -25,7 +25,7 @@ def daily_panel(spark: SparkSession, sf_dir: str,
                  "l_extendedprice", "l_discount", "l_shipdate")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     kept = 100 - F.round(F.col("l_discount") * 100).cast("long")
-    key = F.col(series[0]) if len(series) == 1 else F.concat_ws("-", *series)
+    key = F.col(series[0]).cast("string") if len(series) == 1 else F.concat_ws("-", *series)
     sums = lines.groupBy(key.alias("series_id"), F.to_date("l_shipdate").alias("session")).agg(
         F.sum(cents).alias("s1"), F.sum(cents * kept).alias("s2"), F.count("*").alias("lines"))
     n = F.col("lines").cast("double")
@@ -35,28 +35,19 @@ def daily_panel(spark: SparkSession, sf_dir: str,
         (2.0 + F.col("s2").cast("double") / (n * 1e9)).alias("response"))
 
 
-def dedup_sessions(rows: DataFrame, tie_break: str) -> DataFrame:
-    """First row per (series, session) in ``tie_break`` order."""
-    w = Window.partitionBy("series_id", "session").orderBy(tie_break)
-    return (rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
-
-
 def weekdays(rows: DataFrame, day: str = "session") -> DataFrame:
     """Monday to Friday only.  Must come before any ``lag``: a weekend row left
     in would split one session's move in two."""
     return rows.where(F.weekday(day) < 5)
 
 
-def wide_panel(panel: DataFrame, ids: Sequence[str] = ("F", "O")) -> DataFrame:
-    """One row per session with a driver and a response column per series."""
-    return panel.groupBy("session").agg(*[
-        F.max(F.when(F.col("series_id") == i, F.col(c))).alias(f"{c}_{i.lower()}")
-        for i in ids for c in ("driver", "response")])
+def wide_panel(panel: DataFrame) -> DataFrame:
+    """One row per session with the prices of every series in a map by its id."""
+    prices = F.struct("driver", "response")
+    return panel.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("series_id", prices))).alias("prices"))
 
 
-def long_panel(wide: DataFrame, ids: Sequence[str] = ("F", "O")) -> DataFrame:
+def long_panel(wide: DataFrame) -> DataFrame:
     """Unpivot of :func:`wide_panel`, rows with neither price dropped."""
-    arms = ", ".join(f"'{i}', driver_{i.lower()}, response_{i.lower()}" for i in ids)
-    return wide.selectExpr(
-        "session", f"stack({len(ids)}, {arms}) AS (series_id, driver, response)"
-    ).where("driver IS NOT NULL OR response IS NOT NULL")
+    rows = wide.select("session", F.explode("prices").alias("series_id", "p"))
+    return rows.select("series_id", "session", "p.driver", "p.response").where("driver IS NOT NULL OR response IS NOT NULL")

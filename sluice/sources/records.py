@@ -95,14 +95,14 @@ def write_and_check_stems(records: DataFrame, stem: str, expected: Column) -> Da
     return back.withColumn("stem_ok", expected)
 
 
-def priority_pick(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidate of lowest priority number per key.
+def priority_pick(candidates: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Candidate of lowest priority number per key that has a ``value`` at all.
 
     A minimum over (priority, value) is combined before the shuffle, unlike a
     ranking window over all candidates.
     """
     rest = [c for c in candidates.columns if c not in keys and c != "priority"]
-    return candidates.groupBy(*keys).agg(F.min(F.struct("priority", *rest)).alias("r")).select(*keys, "r.*")
+    return candidates.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(F.struct("priority", *rest)).alias("r")).select(*keys, "r.*")
 
 
 def overlay(layers: DataFrame, keys: list[str], policy_suffixes: tuple[str, ...],

@@ -64,15 +64,31 @@ def stream_snapshots(ticks: DataFrame) -> DataFrame:
     return g.select("instrument", F.to_date("w.start").alias("session"), F.col("s.px").alias("px"), F.col("s.ts").alias("ts"))
 
 
+def polls_again(ticks: DataFrame, delay: str) -> DataFrame:
+    """The table of closed polls as a stream: at most 288 rows per instrument and
+    session reach what follows, however many ticks there were.
+
+    The first stream has closed the slots in order, so a short delay is enough.
+    """
+    polls = stream_polls(ticks)
+    return (ticks.sparkSession.readStream.schema(polls.schema).parquet(drain(polls))
+            .withWatermark("first_st", delay))
+
+
 def stream_once(ticks: DataFrame) -> DataFrame:
     """One alert per instrument and session however often it fires."""
-    keyed = ticks.select("instrument", F.to_date("st").alias("session"), "st")
+    keyed = polls_again(ticks, WATERMARK).select("instrument", "session", "first_st")
     return keyed.dropDuplicatesWithinWatermark(["instrument", "session"]).select("instrument", "session")
 
 
 def stream_rate(ticks: DataFrame) -> DataFrame:
-    """Ticks per instrument over the last seven days, sliding daily."""
-    g = ticks.groupBy("instrument", F.window("st", "7 days", "1 day").alias("w")).agg(F.count("*").alias("alerts"))
+    """Ticks per instrument over the last seven days, sliding daily.
+
+    Ticks are counted per day first; only day counts are copied into windows.
+    """
+    days = ticks.groupBy("instrument", F.window("st", "1 day").alias("d")).agg(F.count("*").alias("n"))
+    g = days.groupBy("instrument", F.window(F.window_time("d"), "7 days", "1 day").alias("w")).agg(
+        F.sum("n").alias("alerts"))
     return g.select("instrument", F.to_date("w.start").alias("first_day"), "alerts")
 
 
@@ -94,33 +110,34 @@ SWING_OUT = "instrument string, session date, slot timestamp, px double, swing d
 
 
 def swing_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Alerts of one (instrument, session): state is the last reference price.
+    """Alerts of one instrument, poll by poll.
 
-    The state leaves with the session, once the watermark has passed its end.
+    The state is the session, its reference price and the last price.  A session
+    starts from the last price of the one before, the first of all from its open.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
     polls = pd.concat(list(batches)).sort_values("slot")
-    ref = state.get[0] if state.exists else float(polls["px"].iloc[0])
+    session, ref, last = state.get if state.exists else (None, None, None)
     out = []
-    for slot, px in zip(polls["slot"], polls["px"]):
+    for day, slot, first, px in zip(polls["session"], polls["slot"], polls["first_px"], polls["px"]):
+        if day != session:
+            session, ref = day, first if last is None else last
         swing = (px - ref) / ref * 100
         if abs(swing) >= SWING_PCT:
-            out.append((key[0], key[1], slot, px, swing))
+            out.append((key[0], day, slot, px, swing))
             ref = round(px, 4)
-    state.update((ref,))
-    end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
-    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        last = px
+    state.update((session, float(ref), float(last)))
     if out:
         yield pd.DataFrame(out, columns=["instrument", "session", "slot", "px", "swing"])
 
 
 def stream_polls(ticks: DataFrame) -> DataFrame:
-    """Last quote of each closed five-minute slot; at most 288 per session."""
+    """First and last quote of each closed five-minute slot; at most 288 per session."""
     slots = ticks.groupBy("instrument", F.window("st", "5 minutes").alias("w")).agg(
-        F.max_by("px", tick_order()).alias("px"))
-    return slots.select("instrument", F.to_date("w.start").alias("session"), F.col("w.start").alias("slot"), "px")
+        F.min_by("px", tick_order()).alias("first_px"), F.max_by("px", tick_order()).alias("px"),
+        F.min("st").alias("first_st"), F.max("st").alias("last_st"), F.count("*").alias("ticks"))
+    return slots.select("instrument", F.to_date("w.start").alias("session"), F.col("w.start").alias("slot"),
+                        "first_px", "px", "first_st", "last_st", "ticks")
 
 
 def stream_swing(ticks: DataFrame) -> DataFrame:
@@ -129,14 +146,18 @@ def stream_swing(ticks: DataFrame) -> DataFrame:
     Reducing ticks to polls in a stream of its own bounds what one key can hold
     before any Python state sees it.
     """
-    polls = stream_polls(ticks)
-    table = (ticks.sparkSession.readStream.schema(polls.schema).parquet(drain(polls))
-             .withWatermark("slot", WATERMARK))
-    return table.groupBy("instrument", "session").applyInPandasWithState(
-        swing_step, SWING_OUT, "ref double", "append", GroupStateTimeout.EventTimeTimeout)
+    return polls_again(ticks, WATERMARK).groupBy("instrument").applyInPandasWithState(
+        swing_step, SWING_OUT, "session date, ref double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_activity(ticks: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Polls coalesced into activity sessions separated by silence."""
-    g = ticks.groupBy("instrument", F.session_window("st", gap).alias("w")).agg(F.count("*").alias("ticks"))
+def stream_activity(ticks: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Ticks coalesced into activity sessions separated by silence.
+
+    A poll stands for its ticks: it opens at its first one and stays open for the
+    gap after its last one, so polls merge exactly where ticks would.
+    """
+    polls = polls_again(ticks, "0 seconds")
+    open_for = F.unix_millis("last_st") - F.unix_millis("first_st") + gap_minutes * 60_000
+    gap = F.concat(open_for.cast("string"), F.lit(" milliseconds"))
+    g = polls.groupBy("instrument", F.session_window("first_st", gap).alias("w")).agg(F.sum("ticks").alias("ticks"))
     return g.select("instrument", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "ticks")

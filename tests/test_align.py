@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.calendar import business_calendar
 from sluice.operators import align
-from sluice.sources.panel import weekdays
+from sluice.sources.panel import long_panel, weekdays, wide_panel
 from tests.helpers import panel, synthetic
 
 
@@ -54,10 +54,44 @@ def test_too_few_pairs_are_not_aligned(spark):
 def test_era_scan_last_suffix_equals_direct_fit(spark):
     frame = synthetic(spark, 300)
     pairs = align.one_session_deltas(frame, business_calendar(spark))
-    scan = align.era_scan(pairs).orderBy("start").collect()
+    scan = align.era_scan(pairs, frame).orderBy("start").collect()
     whole = align.lag_diagnostics(pairs).first()
     assert scan[0]["n"] == whole["n"] and scan[0]["b0"] == pytest.approx(whole["b0"], abs=1e-9)
     cut = scan[3]["start"]
     part = align.one_session_deltas(frame.where(F.col("session") >= F.lit(cut)), business_calendar(spark))
     direct = align.lag_diagnostics(part).first()
     assert scan[3]["n"] == direct["n"] and scan[3]["b1"] == pytest.approx(direct["b1"], abs=1e-9)
+
+
+@pytest.mark.parametrize("start", ["1985-03-04", "2035-03-05"])
+def test_no_session_is_lost_outside_the_present(spark, start):
+    frame = synthetic(spark, 60, start=start)
+    assert align.one_session_deltas(frame, business_calendar(spark)).count() == 59
+
+
+def test_a_session_without_a_calendar_day_is_an_error(spark):
+    rows = [("A", "2101-01-03", 2.0, 2.0), ("A", "2101-01-04", 2.0, 2.0)]
+    with pytest.raises(Exception, match="no calendar day for 2101-01-0"):
+        align.one_session_deltas(panel(spark, rows), business_calendar(spark)).collect()
+
+
+def test_wide_panel_keeps_every_series(spark):
+    rows = [(s, d, p, q) for s, p, q in (("F", 1.0, 2.0), ("O", 3.0, None), ("third", None, None), ("4", 5.0, 6.0))
+            for d in ("2026-05-18", "2026-05-19")]
+    frame = panel(spark, rows)
+    back = long_panel(wide_panel(frame))
+    want = [tuple(r) for r in frame.where("driver IS NOT NULL OR response IS NOT NULL").orderBy("series_id", "session").collect()]
+    assert [tuple(r) for r in back.orderBy("series_id", "session").collect()] == want
+
+
+def test_era_scan_holds_every_series_to_every_month(spark):
+    """A series without pairs in a month is judged there by its later months."""
+    good = synthetic(spark, 300, start="2010-01-04", series="GOOD")
+    bad = synthetic(spark, 300, start="2010-01-04", lag=1, series="BAD").where("month(session) <> 5")
+    frame = good.unionByName(bad)
+    scan = align.era_scan(align.one_session_deltas(frame, business_calendar(spark)), frame)
+    rows = {(r["series_id"], r["start"].isoformat()): r for r in scan.collect()}
+    months = sorted({k[1] for k in rows})
+    assert len(rows) == 2 * len(months) and "2010-05-01" in months
+    assert rows["BAD", "2010-05-01"]["n"] == rows["BAD", "2010-06-01"]["n"] > 30
+    assert rows["GOOD", months[-1]]["n"] < 30

@@ -1,21 +1,13 @@
-"""Registered queries against their SQL on the smallest tables.
-
-By default one query per family runs; SLUICE_ALL=1 runs every one.
-"""
-
-import os
+"""Every registered query with SQL against that SQL on the smallest tables."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from sluice.plans import catalog
 from tools.compare import duck, rows_of
 
 SF = "/root/testdata/sf0.001"
-DEFAULT = ["panel_weekday", "roll_sessions", "time_windows", "aligned_deltas", "redate_gates", "thresholds",
-           "walk_forward", "rolling_origin", "losing_streak", "artifact_ledger", "action_ladder", "hamed_rao",
-           "config_overlay", "quote_active_symbol", "posting_prices", "mask_contacts", "execution_violations",
-           "contract_audit", "swing_alerts", "stream_ohlc"]
-NAMES = sorted(oracle_sql()) if os.environ.get("SLUICE_ALL") else DEFAULT
+NAMES = sorted(catalog.ORACLES)
 
 
 @pytest.fixture(scope="module")
