@@ -138,8 +138,7 @@ def _per_document(shard: Shard, searches: Searches) -> Iterator[tuple[int, list[
     hit = _covered(shard, searches.size[window], position)
     count = max(1, len(searches.size))
     pairs = np.unique(shard.doc_of(position) * count + window) if len(position) else np.zeros(0, dtype=np.int64)
-    of, bounds = pairs // count, np.searchsorted(pairs // count, np.arange(len(shard.sizes) + 1))
-    del of
+    bounds = np.searchsorted(pairs // count, np.arange(len(shard.sizes) + 1))
     for d, n in enumerate(shard.sizes.tolist()):
         mine = pairs[bounds[d]:bounds[d + 1]] % count
         items = sorted({i for w in mine.tolist() for i, _ in searches.places[w]})

@@ -192,7 +192,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def grouped(prints: DataFrame, id_col: str = "doc_id", fingerprint_col: str = "fingerprint",
             out: str = "component_id") -> DataFrame:
-    """``prints`` with ``out``: the smallest id of a row's component of linked fingerprints.
+    """``prints`` with ``out``, the smallest id of a row's component of linked fingerprints, and group_, its smallest code.
 
     Equal fingerprints are one code with their smallest id before anything is compared, so groups of copies cost one
     row.  Null ids never name a component unless it has no other.  Repeated rows each keep their row.
@@ -203,7 +203,7 @@ def grouped(prints: DataFrame, id_col: str = "doc_id", fingerprint_col: str = "f
     of = codes.join(label, "code", "left").select("code", "least", F.coalesce("rep", "code").alias("rep"))
     # Components get their smallest id; a component of thousands of codes is reduced on the map side.
     ids = of.groupBy("rep").agg(F.min("least").alias(out))
-    wide = parked(of.join(ids, "rep").select(F.col("code").alias(fingerprint_col), out), "simhash-groups")
+    wide = parked(of.join(ids, "rep").select(F.col("code").alias(fingerprint_col), out, F.col("rep").alias("group_")), "simhash-groups")
     return prints.join(wide, fingerprint_col)
 
 
