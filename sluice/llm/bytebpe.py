@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from sluice.llm.common import column, slices
 
 #: Pre-tokens, transducer states and entry pairs that a worker remembers; beyond it starts anew.
-WORDS, STATES, PAIRS = 300_000, 100_000, 1_000_000
+WORDS, STATES, PAIRS = 400_000, 150_000, 800_000
+#: Below a trie node with so many entries at most, a reading is followed only if one of them may come.
+FEW = 16
 #: Entries decoded at a time.
 CHUNK = 1 << 16
 _LOADED: dict[tuple[str, str], "Transducer"] = {}
@@ -39,10 +41,13 @@ class Transducer:
         # The trie holds the entries that encode to themselves; others never come out of the merges.
         self.child: list[dict[int, int]] = [{}]
         self.entry: list[int] = [-1]
-        # An entry that is a whole pre-token is taken as it is, even if merges would not reach it.
-        self.whole = {b: i for b, i in entries.items() if len(self.merged(b)) != 1}
+        # The last merge of each entry, and entries that merges would not reach: one that is a whole pre-token is
+        # taken as it is all the same.
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.whole: dict[bytes, int] = {}
         for b, i in entries.items():
-            if b in self.whole:
+            if not self._halve(b, i):
+                self.whole[b] = i
                 continue
             node = 0
             for x in b:
@@ -52,7 +57,18 @@ class Transducer:
                     self.entry.append(-1)
                 node = self.child[node][x]
             self.entry[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # The entries that lie below a node, where they are few.
+        self.below: list[tuple[int, ...] | None] = [()] * len(self.child)
+        for node in range(len(self.child) - 1, -1, -1):  # children come after their parents
+            under: list[int] | None = []
+            for to in self.child[node].values():
+                more = self.below[to]
+                if under is None or more is None:
+                    under = None
+                    break
+                under += [*([self.entry[to]] if self.entry[to] >= 0 else []), *more]
+            self.below[node] = tuple(under) if under is not None and len(under) <= FEW else None
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.reset()
 
@@ -61,46 +77,93 @@ class Transducer:
         self.states: dict[tuple[Config, ...], int] = {start: 0}
         self.sets: list[tuple[Config, ...]] = [start]
         self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-
-    def merged(self, text: bytes) -> list[int]:
-        """Entries of a short text by applying merges in rank order; only the compiler asks this."""
+        self.ahead: dict[int, int] = {}
+        self.alike: dict[tuple[int, tuple[int, ...]], int] = {}
+
+    def _open(self, last: int, node: int) -> int:
+        """``last``, or an entry that the same entries below ``node`` may follow; -2 if none may."""
+        below = self.below[node]
+        if below is None or last < 0:
+            return last
+        key = last << 32 | node
+        found = self.ahead.get(key)
+        if found is None:
+            if len(self.ahead) > PAIRS:
+                self.ahead.clear()
+                self.alike.clear()
+            may = tuple(e for e in below if self.neighbours(last, e))
+            found = self.ahead[key] = self.alike.setdefault((node, may), last) if may else -2
+        return found
+
+    def _halve(self, text: bytes, entry: int) -> bool:
+        """Whether merging reaches the entry; notes the two entries that its last merge joins."""
         parts = [text[i:i + 1] for i in range(len(text))]
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 40))
             if parts[best] + parts[best + 1] not in self.ranks:
-                break
+                return False
+            if len(parts) == 2:
+                self.halves[entry] = self.ranks[parts[0]], self.ranks[parts[1]]
             parts[best:best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        return True
+
+    def _spine(self, entry: int, side: int) -> list[tuple[int, bytes, int]]:
+        """The entries at one end of an entry as its merges go on: rank of the merge that ends each, and its bytes."""
+        found, until = [], 1 << 40
+        while True:
+            found.append((until, self.bytes_of[entry], entry))
+            if entry not in self.halves:
+                return found
+            until, entry = entry, self.halves[entry][side]
 
     def neighbours(self, a: int, b: int) -> bool:
-        """Whether entry ``b`` may follow entry ``a``."""
-        known = self.pairs.get((a, b))
+        """Whether entry ``b`` may follow entry ``a``: no merge across the border comes before those that end its sides.
+
+        Of equal merges the left one is first, so one inside ``a`` wins against the border and that one against ``b``.
+        """
+        key = a << 32 | b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            both = self.bytes_of[a] + self.bytes_of[b]
-            known = both not in self.ranks and self.merged(both) == [a, b]
-            self.pairs[a, b] = known
+            left, right, ranks = self._spine(a, 1), self._spine(b, 0), self.ranks
+            known = True
+            for until_a, x, _ in left:
+                for until_b, y, _ in right:
+                    across = ranks.get(x + y)
+                    if across is not None and across < until_a and across <= until_b:
+                        known = False
+            self.pairs[key] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The arc for ``byte``: next state and the entries that are certain now."""
-        found: list[Config] = []
+        child, entries, neighbours = self.child, self.entry, self.neighbours
+        found: list[Config] = []  # in the order of where the open entry begins; the closed reading stands last
+        closed: Config | None = None
         for last, node, owed in self.sets[state]:
-            to = self.child[node].get(byte)
+            to = child[node].get(byte)
             if to is None:
                 continue
-            if self.child[to]:
-                found.append((last, to, owed))
-            entry = self.entry[to]
-            if entry >= 0 and (last < 0 or self.neighbours(last, entry)):
-                found.append((entry, 0, (*owed, entry)))
-        shared = 0
-        shortest = min(len(c[2]) for c in found)
-        while shared < shortest and len({c[2][shared] for c in found}) == 1:
-            shared += 1
-        out = found[0][2][:shared]
-        key = tuple(sorted((last, node, owed[shared:]) for last, node, owed in found))
+            if child[to]:
+                alike = self._open(last, to)
+                if alike != -2:
+                    found.append((alike, to, owed))
+            entry = entries[to]
+            if entry >= 0 and closed is None and (last < 0 or neighbours(last, entry)):
+                closed = entry, 0, (*owed, entry)
+        assert closed is not None  # every string of bytes has one encoding
+        found.append(closed)
+        out = found[0][2]
+        if out:
+            for c in found:
+                size = min(len(out), len(c[2]))
+                while out[:size] != c[2][:size]:
+                    size -= 1
+                out = out[:size]
+            if out:
+                found = [(last, node, owed[len(out):]) for last, node, owed in found]
+        key = tuple(found)
         to_state = self.states.get(key)
         if to_state is None:
             to_state = self.states[key] = len(self.sets)
@@ -124,7 +187,7 @@ class Transducer:
             state = arc[0]
             if arc[1]:
                 out += arc[1]
-        out += next(owed for _, node, owed in self.sets[state] if node == 0)
+        out += self.sets[state][-1][2]
         return out
 
     def encode(self, text: str) -> bytes:
@@ -132,7 +195,7 @@ class Transducer:
         pieces, words = self.split.findall(text), self.words
         if len(words) > WORDS:
             words.clear()
-        for w in set(pieces) - words.keys():
+        for w in set(pieces).difference(words):
             words[w] = np.array(self.run(w.encode()), dtype="<u4").tobytes()
         return b"".join(map(words.__getitem__, pieces))
 

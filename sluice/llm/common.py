@@ -52,8 +52,8 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tu
 
 
 def widened(df: DataFrame, more: str) -> StructType:
-    """The schema of ``df`` with the columns of ``more`` (name kind, name kind)."""
-    return StructType([*df.schema.fields, *(f for x in more.split(", ") for f in StructType().add(*x.split()).fields)])
+    """The schema of ``df`` with the columns of ``more``, written as in SQL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sluice.llm.common import column, slices
+from sluice.llm.common import column, slices, widened
 
 #: Words in a window, text bytes of the benchmark in one block, bytes split into words at once.
 WINDOW, BLOCK_BYTES, PIECE = 10, 32 << 20, 1 << 20
@@ -168,12 +169,11 @@ def _searched(docs: DataFrame, items: list, text_col: str, keep: list[str], sche
                 new = list(zip(*rows(shard, searches)))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(k)) for k in keep), *map(pa.array, new)],
-                    names=[*keep, *(x.split()[0] for x in schema.split("; "))])
+                    [*(part.column(part.schema.get_field_index(k)) for k in keep), *map(pa.array, new, types)],
+                    names=kinds.names)
 
-    kinds = docs.select(*keep).schema
-    for x in schema.split("; "):
-        kinds = kinds.add(*x.split())
+    kinds = widened(docs.select(*keep), schema)
+    types = [to_arrow_type(f.dataType) for f in kinds.fields[len(keep):]]
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, kinds)
 
 
@@ -191,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     keep = keep or ["doc_id"]
     blocks = list(_blocks(benchmark, "item_id", "text"))
     if len(blocks) == 1:
-        return _searched(docs, blocks[0], text_col, keep, "n_words long; n_hit long; n_items long; items_sha256 string",
+        return _searched(docs, blocks[0], text_col, keep, "n_words long, n_hit long, n_items long, items_sha256 string",
                          lambda shard, searches: (_row(*d) for d in _per_document(shard, searches)))
 
     def flat(shard: Shard, searches: Searches) -> Iterator[tuple]:
@@ -200,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
 
     docs = docs.withColumn("copy_key", F.xxhash64(text_col))
     keys = [*keep, "copy_key"]
-    parts = [_searched(docs, b, text_col, keys, "n_words long; runs array<long>; items array<string>", flat)
+    parts = [_searched(docs, b, text_col, keys, "n_words long, runs array<long>, items array<string>", flat)
              .withColumn("first", F.lit(int(i == 0))) for i, b in enumerate(blocks)]
     united = parts[0]
     for p in parts[1:]:
@@ -221,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
                 [*(batch.column(batch.schema.get_field_index(k)) for k in (*keep, "copies")), *map(pa.array, zip(*out))],
                 names=[*keep, "copies", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    schema = rows.select(*keep, "copies").schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string")
+    schema = widened(rows.select(*keep, "copies"), "n_words long, n_hit long, n_items long, items_sha256 string")
     return rows.mapInArrow(unite, schema).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")
 
 

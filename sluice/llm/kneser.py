@@ -198,7 +198,7 @@ class Words:
     def ids(self, words: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list(set().union(*words) - self.known.keys())
+        new = list(set().union(*words).difference(self.known))
         if new:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, _HASH_SEED) for w in new), dtype=np.uint64, count=len(new))
             self.known.update(zip(new, self.look_up(hashes).tolist()))
@@ -216,7 +216,7 @@ def _word_counts(texts: DataFrame, folder: str, parts: int) -> DataFrame:
                 words = [w for t in values[a:b] for w in words_of(t)]
                 if len(known) > CACHE:
                     known.clear()
-                for w in set(words) - known.keys():
+                for w in set(words).difference(known):
                     known[w] = xxhash.xxh64_intdigest(w, _HASH_SEED)
                 yield from tally.add(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
         yield from tally.send()

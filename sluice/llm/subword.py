@@ -149,8 +149,9 @@ def fitted(rows: DataFrame, id_col: str, text_col: str, label_col: str, fold: bo
                  pa.array([f[1].tobytes() for f in found], pa.binary())], names=["id", "label", "ids", "shares"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = sorted((column(b, "id")[i], column(b, "label")[i], column(b, "ids")[i], column(b, "shares")[i])
-                      for b in map(_whole, [list(batches)]) for i in range(b.num_rows))
+        # In the order of the ids, so that the result does not depend on how the rows arrived.
+        data = sorted((row for b in batches for row in zip(*(column(b, n) for n in ("id", "label", "ids", "shares")))),
+                      key=lambda d: (repr(d[0]), d[1], d[2], d[3]))
         if not data:
             return
         classes = sorted({d[1] for d in data})
@@ -173,12 +174,6 @@ def fitted(rows: DataFrame, id_col: str, text_col: str, label_col: str, fold: bo
     return Model(table, np.array(m["bias"]), list(m["classes"]), m["heat"], m["reject_below"])
 
 
-def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """The bounded sample as one batch."""
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if sum(b.num_rows for b in batches) else \
-        pa.RecordBatch.from_arrays([pa.array([])] * 4, names=["id", "label", "ids", "shares"])
-
-
 class Scorer:
     """Class probabilities of whole texts under a model; remembers the summed scores of words it has met."""
 

@@ -116,7 +116,7 @@ class WordMerges:
         split = [self.pieces(t) if t else (0, []) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list(set().union(*(w for _, w in split)) - self.cache.keys())
+        new = list(set().union(*(w for _, w in split)).difference(self.cache))
         if new:
             self.cache.update(zip(new, self.survivors([w.encode() for w in new]).tolist()))
         size = self.cache.__getitem__
