@@ -10,7 +10,7 @@ from sluice.functions.exprs import r6
 from sluice.operators import align
 from sluice.operators.fit import with_fit
 from sluice.plans.base import pairs_of, train_of
-from sluice.plans.ctes import CAL, PAIRS, PANEL, TRAIN, fit
+from sluice.plans.ctes import CAL, PAIRS, PANEL, TRAIN, fit, simpson, t_density
 from sluice.plans.registry import query, with_ctes
 from sluice.session import durable
 from sluice.sources.panel import daily_panel, weekdays
@@ -117,9 +117,11 @@ def lag_diag(spark, sf_dir):
                     (F.col("ratio") > align.MAX_LAG_RATIO).alias("material"))
 
 
-@query("lag_p_value")
+@query("lag_p_value", with_ctes(PAIRS, ADJ, lag_fit_sql("lagf", "adj", "series_id"), f"""
+SELECT series_id, n, round(greatest(0, 1 - 2 * {simpson(t_density('n - 3'), 'abs(t_b1)')}), 6) AS p_b1
+FROM lagf, range(2001) r(i) GROUP BY 1, 2"""))
 def lag_p_value(spark, sf_dir):
-    """Two-sided p of the lag coefficient; a distribution value, so rows only."""
+    """Two-sided p of the lag coefficient; the SQL integrates the density."""
     d = align.lag_diagnostics(pairs_of(spark, sf_dir))
     return d.select("series_id", "n", r6(t_two_sided("t_b1", F.col("n") - 3)).alias("p_b1"))
 

@@ -8,7 +8,7 @@ from sluice.functions.distributions import f_upper
 from sluice.functions.exprs import r6
 from sluice.operators import audits as au, fit as m
 from sluice.plans.base import train_of
-from sluice.plans.ctes import PANEL, TRAIN, fit, mixed_draw, payoff
+from sluice.plans.ctes import PANEL, TRAIN, f_density, fit, mixed_draw, payoff, simpson
 from sluice.plans.fit_queries import PAY, rounded
 from sluice.plans.registry import query, with_ctes
 from sluice.sources.panel import daily_panel, weekdays
@@ -149,11 +149,14 @@ def roll_share(spark, sf_dir):
                    "roll_savings", "normal_savings", "roll_pct")
 
 
-@query("variance_ratio", with_ctes(MOVES, "m2 AS (SELECT * FROM mv WHERE x IS NOT NULL)", fit("vf", "m2", "series_id"), """
+VARIANCES = ("m2 AS (SELECT * FROM mv WHERE x IS NOT NULL)", fit("vf", "m2", "series_id"), """
 v0 AS (SELECT series_id, session, resid, CASE WHEN count(x) OVER f = 20 THEN stddev_samp(x) OVER f END AS v FROM vf_r
   WINDOW f AS (PARTITION BY series_id ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 v1 AS (SELECT *, coalesce(v, first_value(v IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY session ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS vol FROM v0),
-v2 AS (SELECT *, vol >= quantile_cont(vol, 0.5) OVER (PARTITION BY series_id) AS high FROM v1)""", """
+v2 AS (SELECT *, vol >= quantile_cont(vol, 0.5) OVER (PARTITION BY series_id) AS high FROM v1)""")
+
+
+@query("variance_ratio", with_ctes(MOVES, *VARIANCES, """
 SELECT series_id, count(*) FILTER (WHERE high) AS high_n, count(*) FILTER (WHERE NOT high) AS low_n,
   round(var_pop(resid) FILTER (WHERE high), 6) AS high_var, round(var_pop(resid) FILTER (WHERE NOT high), 6) AS low_var,
   round(var_pop(resid) FILTER (WHERE high) / var_pop(resid) FILTER (WHERE NOT high), 6) AS f_ratio FROM v2 GROUP BY 1"""))
@@ -161,9 +164,12 @@ def variance_ratio(spark, sf_dir):
     return rounded(au.variance_ratio(weekday_panel(spark, sf_dir)), "high_var", "low_var", "f_ratio")
 
 
-@query("variance_p_value")
+@query("variance_p_value", with_ctes(MOVES, *VARIANCES, """
+v3 AS (SELECT series_id, (count(*) FILTER (WHERE high) - 1)::DOUBLE AS d1, (count(*) FILTER (WHERE NOT high) - 1)::DOUBLE AS d2,
+  var_pop(resid) FILTER (WHERE high) / var_pop(resid) FILTER (WHERE NOT high) AS f FROM v2 GROUP BY 1)""", f"""
+SELECT series_id, round(greatest(0, 1 - {simpson(f_density('d1', 'd2'), 'f')}), 6) AS p_value FROM v3, range(2001) r(i) GROUP BY 1"""))
 def variance_p_value(spark, sf_dir):
-    """Upper-tail p of the variance ratio; a distribution value, so rows only."""
+    """Upper-tail p of the variance ratio; the SQL integrates the density."""
     v = au.variance_ratio(weekday_panel(spark, sf_dir))
     return v.select("series_id", r6(f_upper(
         F.col("f_ratio"), F.col("high_n") - 1, F.col("low_n") - 1)).alias("p_value"))

@@ -185,3 +185,36 @@ log AS (SELECT *, CASE dir WHEN 1 THEN 'HIKE' WHEN -1 THEN 'DROP' ELSE 'FLAT' EN
 
 LIVE = LOG + """,
 live AS (SELECT * FROM log WHERE prediction_source = 'live' AND snapshot_based AND actual IS NOT NULL)"""
+
+
+def simpson(density: str, upper: str, panels: int = 2000) -> str:
+    """Aggregate over ``range(panels + 1) r(i)``: the integral of ``density`` (of ``v``) from 0 to ``upper``."""
+    at = density.replace("v_", f"(({upper}) * i / {panels}.0)")
+    weight = f"CASE WHEN i IN (0, {panels}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(max({upper}) / {3 * panels}.0 * sum({weight} * {at}))"
+
+
+def t_density(dof: str) -> str:
+    return (f"exp(lgamma(({dof} + 1) / 2.0) - lgamma(({dof}) / 2.0) - 0.5 * ln(({dof}) * pi())"
+            f" - (({dof}) + 1) / 2.0 * ln(1 + v_ * v_ / ({dof})))")
+
+
+NORMAL_DENSITY = "(exp(-v_ * v_ / 2) / sqrt(2 * pi()))"
+
+
+def f_density(d1: str, d2: str) -> str:
+    return (f"CASE WHEN i = 0 THEN 0 ELSE exp(lgamma(({d1} + {d2}) / 2.0) - lgamma(({d1}) / 2.0) - lgamma(({d2}) / 2.0)"
+            f" + ({d1}) / 2.0 * ln(({d1})::DOUBLE / ({d2})) + (({d1}) / 2.0 - 1) * ln(greatest(v_, 1e-300))"
+            f" - ({d1} + {d2}) / 2.0 * ln(1 + ({d1})::DOUBLE / ({d2}) * v_)) END")
+
+
+def beta_ends(name: str, src: str, key: str, wins: str, losses: str, panels: int = 100_000) -> str:
+    """CTE ``name`` (key, low, high): 2.5% and 97.5% points of Beta(wins + 1, losses + 1), off its summed density."""
+    a, b = f"({wins} + 1.0)", f"({losses} + 1.0)"
+    density = (f"CASE WHEN i IN (0, {panels}) THEN 0 ELSE exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})"
+               f" + ({a} - 1) * ln(greatest(i, 1) / {panels}.0) + ({b} - 1) * ln(greatest({panels} - i, 1) / {panels}.0)) END")
+    point = lambda q: f"(max(i) FILTER (WHERE c < {q}) + ({q} - max(c) FILTER (WHERE c < {q})) / (min(c) FILTER (WHERE c >= {q}) - max(c) FILTER (WHERE c < {q}))) / {panels}.0"
+    return f"""
+{name}_d AS (SELECT {key}, i, {density} / {panels}.0 AS d FROM {src}, range({panels + 1}) r(i)),
+{name}_c AS (SELECT {key}, i, sum(d) OVER (PARTITION BY {key} ORDER BY i) - d / 2 AS c FROM {name}_d),
+{name} AS (SELECT {key}, {point('0.025')} AS low, {point('0.975')} AS high FROM {name}_c GROUP BY 1)"""

@@ -10,7 +10,7 @@ from sluice.operators import evaluate as ev, fit as m
 from sluice.operators.align import in_series
 from sluice.operators.decide import action_ladder
 from sluice.plans.base import cut_train, train_of
-from sluice.plans.ctes import DIR, TRAIN, draw, fit, mixed_draw, payoff, thresholds
+from sluice.plans.ctes import DIR, TRAIN, beta_ends, draw, fit, mixed_draw, payoff, thresholds
 from sluice.plans.registry import query, with_ctes
 
 LAST = "ord > n - 360"
@@ -229,9 +229,12 @@ def wilson_q(spark, sf_dir):
     return g.withColumn("wilson_low", r6(lo)).withColumn("wilson_high", r6(hi))
 
 
-@query("beta_interval")
+@query("beta_interval", with_ctes(TRAIN, origin_sql(360), """
+bw AS (SELECT series_id, count(*) FILTER (WHERE dir <> 0) AS alerts, count(*) FILTER (WHERE dir*y > 0) AS correct FROM o_s GROUP BY 1)""",
+    beta_ends("be", "bw", "series_id", "correct", "(alerts - correct)"), """
+SELECT series_id, alerts, correct, round(low, 6) AS low, round(high, 6) AS high FROM bw JOIN be USING (series_id)"""))
 def beta_interval_q(spark, sf_dir):
-    """Posterior interval of the out-of-sample precision; rows only."""
+    """Posterior interval of the out-of-sample precision; the SQL sums the density."""
     g = ev.rolling_scores(train_of(spark, sf_dir)).groupBy("series_id").agg(
         count_if(F.col("dir") != 0).alias("alerts"),
         count_if(F.col("dir") * F.col("y") > 0).alias("correct"))

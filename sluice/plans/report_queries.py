@@ -10,7 +10,7 @@ from sluice.functions.exprs import count_if, r6, wilson
 from sluice.operators import fit as m, ledger, report as rp, resample as rs
 from sluice.operators.align import in_series
 from sluice.plans.base import cut_train, log_of
-from sluice.plans.ctes import LIVE, LOG, PANEL, mixed_draw
+from sluice.plans.ctes import LIVE, LOG, NORMAL_DENSITY, PANEL, beta_ends, mixed_draw, simpson
 from sluice.plans.decision_queries import CI, WF, walk_totals
 from sluice.plans.fit_queries import TAIL, THRESH, WILSON, rounded
 from sluice.plans.registry import query, with_ctes
@@ -97,9 +97,13 @@ def live_summary(spark, sf_dir):
                    "mean_probability", "precision", "calibration_gap")
 
 
-@query("live_posterior")
+@query("live_posterior", with_ctes(LIVE, """
+lw AS (SELECT series_id, count(*) AS alerts, count(*) FILTER (WHERE correct) AS wins FROM live WHERE dir <> 0 GROUP BY 1
+  UNION ALL SELECT 'All', count(*), count(*) FILTER (WHERE correct) FROM live WHERE dir <> 0)""",
+    beta_ends("be", "lw", "series_id", "wins", "(alerts - wins)"), """
+SELECT series_id, alerts, wins, round(low, 6) AS low, round(high, 6) AS high FROM lw JOIN be USING (series_id)"""))
 def live_posterior(spark, sf_dir):
-    """Posterior interval of the live precision, all and per series; rows only."""
+    """Posterior interval of the live precision, all and per series; the SQL sums the density."""
     s = rp.live_summary(rp.live_rows(log_of(spark, sf_dir)))
     lo, hi = beta_interval(F.col("wins"), F.col("alerts") - F.col("wins"))
     return s.select("series_id", "alerts", "wins", r6(lo).alias("low"), r6(hi).alias("high"))
@@ -216,9 +220,11 @@ def basis_drift(spark, sf_dir):
                      (F.round(65 * F.col("sen_slope"), 5) + 0.0).alias("change_over_window"))
 
 
-@query("basis_p_value")
+@query("basis_p_value", with_ctes(MK, f"""
+SELECT series_id, round(greatest(0, 1 - 2 * {simpson(NORMAL_DENSITY, 'abs((s - sign(s))/sqrt(var0*inflation))')}), 6) AS p_value
+FROM mz, range(2001) r(i) GROUP BY 1"""))
 def basis_p_value(spark, sf_dir):
-    """Two-sided p of the trend; a distribution value, so rows only."""
+    """Two-sided p of the trend; the SQL integrates the density."""
     mk = rp.mann_kendall(weekdays(daily_panel(spark, sf_dir)))
     return mk.select("series_id", r6(normal_two_sided(F.col("z"))).alias("p_value"))
 

@@ -83,16 +83,20 @@ def export(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[s
 
 
 def write_and_check_stems(records: DataFrame, stem: str, expected: Column) -> DataFrame:
-    """Write records under a folder per stem and read back what disagrees.
+    """Write records under a name per stem and read back what disagrees.
 
-    The folder is a new one below the shared checkpoint directory.
+    The stem that is checked is the one in the path of the file a record came
+    from, not a column of the record.  The folder is a new one below the shared
+    checkpoint directory.
     """
     spark = records.sparkSession
     path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     schema = records.drop(stem).schema
     records.repartition(stem).write.partitionBy(stem).json(path)
-    back = spark.read.schema(schema.add(stem, "string")).json(path)
-    return back.withColumn("stem_ok", expected)
+    # Every file as it lies, without partition columns.
+    back = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+    filed = F.regexp_extract(F.col("_metadata.file_path"), f"/{stem}=([^/]+)/", 1)
+    return back.withColumn(stem, filed).withColumn("stem_ok", expected)
 
 
 def priority_pick(candidates: DataFrame, keys: list[str], value: str) -> DataFrame:
