@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +22,9 @@ SAMPLE, CALIBRATE = 6000, 0.2
 BUCKETS, DIM = 1 << 16, 16
 GRAMS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 32, 0.5
-#: Words a worker remembers, and characters of one word that give n-grams in one piece.
-CACHE, PIECE = 200_000, 4096
+#: Words a worker remembers.
+CACHE = 200_000
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass
@@ -38,13 +38,31 @@ class Model:
     reject_below: float
 
 
-def word_features(word: str) -> np.ndarray:
-    """Buckets of one word: itself and its character n-grams between marks.  All letters of any word count."""
-    marked = f"<{word}>"
-    grams = [xxhash.xxh32_intdigest(marked, 1)]
-    for n in GRAMS:
-        grams += [xxhash.xxh32_intdigest(marked[i:i + n], 2) for i in range(len(marked) - n + 1)]
-    return np.array(grams, dtype=np.int64) % BUCKETS
+def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return ((hashes ^ np.uint64(kind)) * _MIX >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The bucket of each word, and of each size of n-gram the word's number and the bucket.
+
+    All words are hashed at once: their letters stand in one array, marked at both ends, and n-grams inside a word are
+    polynomials of neighbouring letters.  Every letter of any word counts.
+    """
+    marked = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    letters = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    first = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(words)), sizes)
+    inside = np.arange(len(letters)) - first[of]
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), _STEP))
+    own = _bucket(np.add.reduceat(letters * powers[inside], first), 1)
+    grams, h = [], letters
+    for n in range(2, max(GRAMS) + 1):
+        h = h[:-1] * _STEP + letters[n - 1:]
+        if n in GRAMS:
+            whole = np.flatnonzero(inside[:len(h)] + n <= sizes[of[:len(h)]])
+            grams.append((of[whole], _bucket(h[whole], n)))
+    return own, grams
 
 
 def pair_features(codes: np.ndarray) -> np.ndarray:
@@ -58,20 +76,21 @@ def _split(text: str, fold: bool) -> list[str]:
     return (text.lower() if fold else text).split()
 
 
-def counts_of(text: str, fold: bool, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(text: str, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
     words = _split(text, fold)
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
-    if len(known) > CACHE:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = word_features(w)
-    codes = np.array([known[w][0] for w in words])
-    flat = np.concatenate([*(known[w] for w in words), pair_features(codes)])
-    ids, n = np.unique(flat, return_counts=True)
-    return ids, (n / len(flat)).astype(np.float32)
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    order = np.array([number[w] for w in words])
+    times = np.bincount(order)
+    own, grams = word_features(list(number))
+    total = np.bincount(own, weights=times, minlength=BUCKETS)
+    for of, bucket in grams:
+        total += np.bincount(bucket, weights=times[of], minlength=BUCKETS)
+    total += np.bincount(pair_features(own[order]), minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, (total[ids] / total.sum()).astype(np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -141,9 +160,8 @@ def fitted(rows: DataFrame, id_col: str, text_col: str, label_col: str, fold: bo
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = [counts_of(t, fold, known) for t in column(batch, "text")]
+            found = [counts_of(t, fold) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()),
                  pa.array([f[1].tobytes() for f in found], pa.binary())], names=["id", "label", "ids", "shares"])
@@ -185,33 +203,35 @@ class Scorer:
     def _learn(self, words: set[str]) -> None:
         if len(self.place) > CACHE:
             self.place.clear()
-        new = [w for w in words if w not in self.place]
-        need = len(self.place) + len(new)
+        new = list(words.difference(self.place))
+        if not new:
+            return
+        at, need = len(self.place), len(self.place) + len(new)
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((2 * need - len(self.rows), self.rows.shape[1]))])
-        at = len(self.place)
-        for i, w in enumerate(new):
-            ids = word_features(w)
-            self.rows[at + i, :-2] = self.model.table[ids].sum(axis=0)
-            self.rows[at + i, -2:] = len(ids), ids[0]
-            self.place[w] = at + i
-
-    def scores(self, text: str) -> np.ndarray:
-        words = _split(text, self.fold)
+        table = self.model.table
+        own, grams = word_features(new)
+        rows = self.rows[at:need]
+        rows[:, :-2], rows[:, -2], rows[:, -1] = table[own], 1, own
+        for of, bucket in grams:
+            for c in range(table.shape[1]):
+                rows[:, c] += np.bincount(of, weights=table[bucket, c], minlength=len(new))
+            rows[:, -2] += np.bincount(of, minlength=len(new))
+        self.place.update(zip(new, range(at, need)))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Class scores of a text whose words have been learned."""
         if not words:
             return self.model.bias.astype(float)
-        words_known = set(words)
-        if not words_known <= self.place.keys():
-            self._learn(words_known)
         rows = self.rows[[self.place[w] for w in words]]
-        total, n = rows[:, :-2].sum(axis=0), rows[:, -2].sum()
         pairs = pair_features(rows[:, -1].astype(np.int64))
-        total = total + self.model.table[pairs].sum(axis=0, dtype=float)
-        return total / (n + len(pairs)) + self.model.bias
+        total = rows[:, :-2].sum(axis=0) + self.model.table[pairs].sum(axis=0, dtype=float)
+        return total / (rows[:, -2].sum() + len(pairs)) + self.model.bias
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        z = np.stack([self.scores(t or "") for t in texts]) / self.model.heat
-        return _softmax(z)
+        words = [_split(t or "", self.fold) for t in texts]
+        self._learn(set().union(*words))
+        return _softmax(np.stack([self.scores(w) for w in words]) / self.model.heat)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str, fold: bool, add: str, fill) -> DataFrame:

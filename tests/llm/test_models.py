@@ -68,8 +68,22 @@ def test_features_fold_into_one_table():
     model = subword.Model(rng.normal(size=(subword.BUCKETS, 3)).astype(np.float32), np.arange(3.0), ["a", "b", "c"], 1.0, 0.0)
     scorer = subword.Scorer(model, fold=False)
     for text in ("one two two three", prose(3, 200), "x"):
-        ids, share = subword.counts_of(text, False, {})
-        assert np.allclose(scorer.scores(text), share @ model.table[ids] + model.bias, atol=1e-4)
+        ids, share = subword.counts_of(text, False)
+        z = share @ model.table[ids] + model.bias
+        assert np.allclose(scorer.probabilities([text])[0], np.exp(z) / np.exp(z).sum(), atol=1e-4)
+
+
+def test_ngrams_stay_inside_their_words():
+    own, grams = subword.word_features(["ab", "c", "abab"])
+    pieces = [[w[i:i + n] for i in range(len(w) - n + 1)] for n in subword.GRAMS for w in ("<ab>", "<c>", "<abab>")]
+    for k, (of, bucket) in enumerate(grams):
+        want = pieces[3 * k:3 * k + 3]
+        assert [int((of == i).sum()) for i in range(3)] == [len(p) for p in want]
+        code = {}
+        for text, b in zip([p for part in want for p in part], bucket.tolist()):
+            assert code.setdefault(text, b) == b
+        assert len(set(code.values())) == len(code)
+    assert len(set(own.tolist())) == 3
 
 
 def plain_model(texts):
