@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluice.functions.exprs import settle
 from sluice.operators import decide, fit as m
 from sluice.operators.align import in_series
 from sluice.operators.evaluate import origin_rows
+from sluice.session import durable
 
 # Artifacts are published every 20 pairs from the first full window on.
 ARTIFACT_FIRST, ARTIFACT_STEP = m.FIT_WINDOW, 20
@@ -136,6 +138,40 @@ def append_absent(ledger: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
         *keys, "r.*", (~F.col("r").eqNullSafe(F.col("q"))).alias("conflict"))
 
 
+def table_at(path: str, like: DataFrame) -> DataFrame:
+    """The rows filed under ``path``; none before the first append."""
+    spark = like.sparkSession
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)
+
+
+def append_table(incoming: DataFrame, path: str, keys: list[str], session: str = "session") -> DataFrame:
+    """Append what the table at ``path`` lacks and tell what became of every incoming key.
+
+    ``appended`` rows are new.  ``present`` ones are filed already just so, which
+    makes a re-run append nothing.  A key that is filed with another row, or that
+    arrives with different rows, is a ``conflict`` and changes nothing.  The table
+    is partitioned by month, and only the months that arrive are read.  Appends
+    to one table must not run side by side.
+    """
+    month = F.date_format(session, "yyyy-MM")
+    rows = incoming.withColumn("month", month)
+    row = F.struct(*[c for c in incoming.columns if c not in keys])
+    arriving = durable(rows.groupBy("month", *keys).agg(F.min(row).alias("r"), F.max(row).alias("q")))
+    filed = table_at(path, rows).join(F.broadcast(arriving.select("month").distinct()), "month", "left_semi")
+    filed = filed.select("month", *keys, row.alias("old"), F.lit(True).alias("known"))
+    status = (F.when(~F.col("r").eqNullSafe(F.col("q")), "conflict").when(F.col("known").isNull(), "appended")
+              .when(F.col("old").eqNullSafe(F.col("r")), "present").otherwise("conflict"))
+    decided = durable(arriving.join(filed, ["month", *keys], "left").withColumn("status", status))
+    fresh = decided.where("status = 'appended'").select("month", *keys, "r.*").select(*rows.columns)
+    fresh.repartition("month").write.mode("append").partitionBy("month").parquet(path)
+    return decided.select(*keys, "status")
+
+
 def append_status(ledger: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """same / conflict / out_of_order / broken_chain / training_back / new, per incoming artifact.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.functions.calendar import business_calendar
 from sluice.operators import ledger
 from sluice.operators.align import one_session_deltas, training_pairs
-from sluice.session import durable
+from sluice.session import durable, shared_folder
 from sluice.sources.panel import daily_panel, weekdays
 
 
@@ -29,7 +31,21 @@ def artifacts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.artifacts(train_of(spark, sf_dir))
 
 
+_LEDGERS: dict[tuple[str, str], DataFrame] = {}
+
+
 def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision log; written once, since reports read it in several branches."""
-    train = cut_train(spark, sf_dir)
-    return durable(ledger.decision_log(train, ledger.artifacts(train)))
+    """The decision log, as the ledger table that reports read.
+
+    It is filed once per application and input folder through the append that
+    production uses; every report then reads the columns it needs from the table
+    instead of fitting all models again.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _LEDGERS:
+        train = cut_train(spark, sf_dir)
+        log = ledger.decision_log(train, ledger.artifacts(train))
+        path = f"{shared_folder(spark)}/decision-log-{uuid.uuid4().hex}"
+        ledger.append_table(log, path, ["series_id", "session"])
+        _LEDGERS[key] = spark.read.schema(log.schema).parquet(path)
+    return _LEDGERS[key]

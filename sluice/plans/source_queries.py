@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import MONTH_CODES, central_time, session_date
@@ -11,7 +13,7 @@ from sluice.operators.ledger import byte_of
 from sluice.plans.base import artifacts_of, log_of
 from sluice.plans.ctes import ARTIFACTS, LOG, PANEL, byte
 from sluice.plans.registry import query, with_ctes
-from sluice.session import durable
+from sluice.session import durable, shared_folder
 from sluice.sources import records as rec
 from sluice.sources.panel import daily_panel, read, weekdays
 
@@ -56,6 +58,41 @@ def artifact_append_status(spark, sf_dir):
     return ledger.append_status(stored, incoming.unionByName(again), "effective_session")
 
 
+@query("log_table_rerun", with_ctes(LOG, """
+d AS (SELECT 1 AS delivery, series_id, session FROM log WHERE session < DATE '1998-01-01' UNION ALL SELECT 2, series_id, session FROM log),
+s AS (SELECT delivery, CASE WHEN delivery = 2 AND session < DATE '1998-01-01' THEN CASE WHEN """ + byte(12, "series_id", "session") + """ < 8 THEN 'conflict' ELSE 'present' END ELSE 'appended' END AS status FROM d
+  UNION ALL SELECT 3, CASE WHEN session < DATE '1998-01-01' AND """ + byte(12, "series_id", "session") + """ < 8 THEN 'conflict' ELSE 'present' END FROM log)""", """
+SELECT delivery, status, count(*) AS keys, (SELECT count(*) FROM log) AS filed FROM s GROUP BY 1, 2"""))
+def log_table_rerun(spark, sf_dir):
+    """Three deliveries into one ledger table: a part, all with some rows changed, the same again."""
+    log = log_of(spark, sf_dir).select("series_id", "session", "direction", "signal_price")
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    early = F.col("session") < F.lit("1998-01-01").cast("date")
+    changed = F.col("signal_price") + F.when(early & (key_byte(12) < 8), 0.01).otherwise(0.0)
+    second = log.withColumn("signal_price", changed)
+    told = [ledger.append_table(rows, path, ["series_id", "session"]).withColumn("delivery", F.lit(k))
+            for k, rows in enumerate((log.where(early), second, second), 1)]
+    filed = ledger.table_at(path, log).agg(F.count("*").alias("filed"))
+    every = told[0].unionByName(told[1]).unionByName(told[2])
+    return every.groupBy("delivery", "status").agg(F.count("*").alias("keys")).join(F.broadcast(filed))
+
+
+@query("write_once_records", with_ctes(PANEL, f"""
+r AS (SELECT 'input' AS kind, session FROM wk GROUP BY 2 UNION ALL SELECT 'forecast', session FROM wk GROUP BY 2 HAVING max({byte(13, 'session')}) < 200)""", f"""
+SELECT kind, CASE WHEN {byte(14, 'session')} < 24 THEN 'conflict' ELSE 'present' END AS status, count(*) AS records FROM r GROUP BY 1, 2"""))
+def write_once_records(spark, sf_dir):
+    """Sealed records keyed by (kind, session): a second delivery files nothing and may not differ."""
+    days = weekdays(daily_panel(spark, sf_dir)).groupBy("session").agg(F.sum("driver").alias("total"))
+    body = F.sha2(F.round("total", 9).cast("string"), 256)
+    record = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "session", body.alias("body"))
+    first = durable(record("input", days).unionByName(record("forecast", days.where(byte_of(13, "session") < 200))))
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    ledger.append_table(first, path, ["kind", "session"])
+    again = first.withColumn("body", F.when(byte_of(14, "session") < 24, F.sha2("body", 256)).otherwise(F.col("body")))
+    told = ledger.append_table(again, path, ["kind", "session"])
+    return told.groupBy("kind", "status").agg(F.count("*").alias("records"))
+
+
 @query("settle_priority_pick", with_ctes(LOG, f"""
 c AS (SELECT series_id, session, 1 AS priority, CASE WHEN {B(6)} >= 32 THEN driver END AS price, 'daily_file' AS source FROM wk WHERE {B(6)} < 96
   UNION ALL SELECT series_id, session, 2, signal_price, 'log_snapshot' FROM log UNION ALL SELECT series_id, session, 3, driver, 'history' FROM wk)""", """

@@ -149,6 +149,18 @@ def test_append_status_follows_the_chain(spark):
     assert status_of(spark, [], batch[2:3]) == [("2026-01-06", "a2", "broken_chain")]
 
 
+def test_append_table_is_idempotent_and_refuses_changes(spark, tmp_path):
+    made = lambda *rows: spark.createDataFrame([("A", day(d), v) for d, v in rows], "series_id string, session date, v string")
+    told = lambda rows: {(r["session"].isoformat()): r["status"] for r in ledger.append_table(
+        made(*rows), str(tmp_path / "log"), ["series_id", "session"]).collect()}
+    assert told([("2026-01-05", "a"), ("2026-02-03", "b")]) == {"2026-01-05": "appended", "2026-02-03": "appended"}
+    assert told([("2026-01-05", "a"), ("2026-02-03", "z"), ("2026-02-04", None)]) == {
+        "2026-01-05": "present", "2026-02-03": "conflict", "2026-02-04": "appended"}
+    assert told([("2026-02-04", None), ("2026-02-05", "c"), ("2026-02-05", "d")]) == {"2026-02-04": "present", "2026-02-05": "conflict"}
+    filed = ledger.table_at(str(tmp_path / "log"), made(("2026-01-01", "x"))).collect()
+    assert sorted((r["session"].isoformat(), r["v"]) for r in filed) == [("2026-01-05", "a"), ("2026-02-03", "b"), ("2026-02-04", None)]
+
+
 def test_priority_skips_missing_prices(spark):
     c = spark.createDataFrame([("A", 1, None, "first"), ("A", 2, 2.5, "second"), ("B", 1, None, "first")],
                               "series_id string, priority int, price double, source string")
