@@ -97,6 +97,13 @@ def production_action(x: Column) -> tuple[Column, Column]:
     return side, F.when(full, "FULL").when(lean, "LEAN").otherwise("FLAT")
 
 
+def challenger(point: Column, d: dict[str, Column], x: Column) -> Column:
+    """A candidate's forecast: its point, what earlier errors say about it, and the action."""
+    side, band = probability_action(point, d["p_up"], d["p_down"], x)
+    return F.struct(point.alias("point"), *[d[k].alias(k) for k in ("p_up", "p_down", "low", "high")],
+                    side.alias("dir"), band.alias("band"))
+
+
 def forecast_rows(train: DataFrame) -> DataFrame:
     """One row per evaluated pair; ``f`` maps each candidate to its forecast.
 
@@ -122,23 +129,19 @@ def forecast_rows(train: DataFrame) -> DataFrame:
     rows = settle(rows, **{f"d_{k}": F.struct(*[v.alias(n) for n, v in error_distribution(
         F.col(f"p_{k}"), F.col(f"s_{k}")).items()]) for k in names}).drop(*[f"s_{k}" for k in names], "rs")
 
-    def challenger(name: str) -> Column:
-        point = F.col(f"p_{name}")
-        d = {k: F.col(f"d_{name}.{k}") for k in ("p_up", "p_down", "low", "high")}
-        side, band = probability_action(point, d["p_up"], d["p_down"], x)
-        return F.struct(point.alias("point"), *[c.alias(k) for k, c in d.items()],
-                        side.alias("dir"), band.alias("band"))
+    def of(name: str) -> Column:
+        return challenger(F.col(f"p_{name}"), {k: F.col(f"d_{name}.{k}") for k in ("p_up", "p_down", "low", "high")}, x)
 
     side, band = production_action(x)
     production = F.struct(
         F.col("p_base").alias("point"), F.col("pu").alias("p_up"), (1 - F.col("pu")).alias("p_down"),
         F.col("d_base.low").alias("low"), F.col("d_base.high").alias("high"), side.alias("dir"), band.alias("band"))
-    rows = settle(rows, production=production, prequential_360=challenger("base"),
-                  short_180=challenger("short"), weighted_360=challenger("weighted"))
+    rows = settle(rows, production=production, prequential_360=of("base"),
+                  short_180=of("short"), weighted_360=of("weighted"))
     return rows.select("series_id", "session", "ord", "x", "y", *CANDIDATES)
 
 
-def losses(rows: DataFrame) -> DataFrame:
+def losses(rows: DataFrame, candidates: tuple[str, ...] = CANDIDATES) -> DataFrame:
     """Long form: one row per pair and candidate with losses and gains."""
     y = F.col("y")
     up = (y > 0).cast("double")
@@ -158,7 +161,7 @@ def losses(rows: DataFrame) -> DataFrame:
             c("low").alias("low"), c("high").alias("high"), c("dir").alias("dir"),
             pay(name).alias("pay"), (c("dir") != F.col("production.dir")).alias("changed"), *gains)
 
-    return rows.select("series_id", "session", "y", F.inline(F.array(*[entry(n) for n in CANDIDATES])))
+    return rows.select("series_id", "session", "y", F.inline(F.array(*[entry(n) for n in candidates])))
 
 
 def scorecard(long: DataFrame, *keys: str) -> DataFrame:

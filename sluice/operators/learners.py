@@ -14,9 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sluice.functions.exprs import spread
+from sluice.functions.exprs import settle, spread
 from sluice.operators import fit as m, forecast as fc
 from sluice.operators.align import by_session, in_series
+from sluice.session import durable
 
 # Fixed values of the learners.
 HUBER_EPSILON, HUBER_ALPHA = 1.35, 1e-4
@@ -143,22 +144,57 @@ def rolling_ridge(train: DataFrame, window: int = fc.WINDOW, purge: int = fc.PUR
         per_run(fit), "series_id string, session date, y double, p_base double, point double")
 
 
-def boosted_correction(train: DataFrame, holdout: int = 90) -> DataFrame:
-    """Baseline plus a boosted correction, pooled over series.
+def boosted_correction(train: DataFrame, refit: int = 400, first: int = 240) -> DataFrame:
+    """Baseline plus a boosted correction along the history, pooled over series.
 
-    One model is fitted on all rows before the last ``holdout`` sessions of
-    each series and one purge row, and scored on those sessions.
+    A model is fitted anew every ``refit`` rows of a series, on all rows that end
+    one purge row before, and scores the rows up to the next fit.  The number of
+    fits is bounded by the calendar, whatever the number of series.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     feats = fc.causal_features(train).where("e_base IS NOT NULL AND prior_20_std IS NOT NULL AND prior_basis IS NOT NULL")
-    back = F.row_number().over(in_series().orderBy(F.col("session").desc()))
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(feats.withColumn("back", back))
-    model = GBTRegressor(labelCol="e_base", predictionCol="fix", seed=1729, **GBT).fit(
-        rows.where(F.col("back") > holdout + fc.PURGE))
-    scored = model.transform(rows.where(F.col("back") <= holdout))
-    return scored.select("series_id", "session", "y", "p_base", (F.col("p_base") + F.col("fix")).alias("point"))
+    rows = durable(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
+        feats.withColumn("at", F.row_number().over(by_session()))))
+    last = rows.agg(F.max("at")).first()[0] or 0
+    out = None
+    for start in range(first, last, refit):
+        model = GBTRegressor(labelCol="e_base", predictionCol="fix", seed=1729, **GBT).fit(
+            rows.where(F.col("at") <= start - fc.PURGE))
+        part = model.transform(rows.where((F.col("at") > start) & (F.col("at") <= start + refit)))
+        part = part.select("series_id", "session", "y", "p_base", (F.col("p_base") + F.col("fix")).alias("point"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.where("false").select("series_id", "session", "y", "p_base", F.col("p_base").alias("point"))
+    return out
+
+
+LEARNERS = ("production", "prequential_360", "huber", "ridge", "boosted")
+
+
+def learner_rows(train: DataFrame) -> DataFrame:
+    """Forecasts of the fitted line, the prequential line and the three learners on identical dates.
+
+    Each learner's probabilities come from its own earlier errors, as the
+    baseline's do; a pair counts once every candidate has all of them.
+    """
+    points = {"huber": rolling_huber(train), "ridge": rolling_ridge(train), "boosted": boosted_correction(train)}
+    base = fc.forecast_rows(train).select("series_id", "session", "ord", "x", "y", *LEARNERS[:2])
+    rows = train.select("series_id", "session", "y")
+    for name, df in points.items():
+        rows = rows.join(df.select("series_id", "session", F.col("point").alias(f"p_{name}")), ["series_id", "session"], "left")
+    past = fc.earlier(fc.ERRORS)
+    rows = rows.withColumns({f"l_{k}": F.collect_list(F.col("y") - F.col(f"p_{k}")).over(past) for k in points})
+    for k in points:
+        rows = rows.where(F.col(f"p_{k}").isNotNull() & (F.size(f"l_{k}") == fc.ERRORS))
+    rows = settle(rows.drop("y"), **{f"s_{k}": F.sort_array(f"l_{k}") for k in points}).drop(*[f"l_{k}" for k in points])
+    rows = base.join(rows, ["series_id", "session"])
+    rows = settle(rows, **{f"d_{k}": F.struct(*[v.alias(n) for n, v in fc.error_distribution(
+        F.col(f"p_{k}"), F.col(f"s_{k}")).items()]) for k in points})
+    made = {k: fc.challenger(F.col(f"p_{k}"), {n: F.col(f"d_{k}.{n}") for n in ("p_up", "p_down", "low", "high")}, F.col("x"))
+            for k in points}
+    return settle(rows, **made).select("series_id", "session", "ord", "x", "y", *LEARNERS)
 
 
 def pooled_huber(train: DataFrame) -> DataFrame:
