@@ -13,44 +13,63 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 
-def beta_cdf(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if not (x == x and a > 0 and b > 0):
-        return float("nan")
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_cdf(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x)) / a
-    # Continued fraction evaluated forwards (modified Lentz).
+# Terms of the continued fraction; a value that needs more is not a number, never a cut-off one.
+MAX_TERMS = 20_000
+
+
+def _log_gamma(v: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(x) for x in v])
+
+
+def beta_cdf(a, b, x) -> np.ndarray:
+    """Regularised incomplete beta of arrays, by its continued fraction."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, x)))
+    out = np.full(a.shape, np.nan)
+    valid = (a > 0) & (b > 0) & (x == x)
+    out[valid & (x <= 0)] = 0.0
+    out[valid & (x >= 1)] = 1.0
+    inside = valid & (x > 0) & (x < 1)
+    if not inside.any():
+        return out
+    a, b, x = a[inside], b[inside], x[inside]
+    flip = x > (a + 1.0) / (a + b + 2.0)
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1.0 - x, x)
+    shape = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
+    front = np.exp(shape + a * np.log(x) + b * np.log1p(-x)) / a
+    # Evaluated forwards (modified Lentz); all values go on until the slowest has settled.
     tiny = 1e-300
-    c, d = 1.0, 1.0 / ((1.0 - (a + b) * x / (a + 1.0)) or tiny)
-    h = d
-    for m in range(1, 300):
+    guard = lambda v: np.where(v == 0, tiny, v)
+    c, d = np.ones_like(a), 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
+    h, settled = d.copy(), np.zeros(len(a), dtype=bool)
+    for m in range(1, MAX_TERMS):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for num in (even, odd):
-            d = 1.0 / ((1.0 + num * d) or tiny)
-            c = (1.0 + num / c) or tiny
-            h *= c * d
-        if abs(c * d - 1.0) < 1e-15:
+            d = 1.0 / guard(1.0 + num * d)
+            c = guard(1.0 + num / c)
+            h = h * c * d
+        settled |= np.abs(c * d - 1.0) < 1e-15
+        if settled.all():
             break
-    return front * h
+    part = np.where(settled, front * h, np.nan)
+    out[inside] = np.where(flip, 1.0 - part, part)
+    return out
 
 
-def beta_quantile(a: float, b: float, q: float) -> float:
-    lo, hi = 0.0, 1.0
+def beta_quantile(a, b, q) -> np.ndarray:
+    """Points below which a Beta variable lies with chance ``q``, by bisection."""
+    a, b, q = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, q)))
+    low, high = np.zeros(a.shape), np.ones(a.shape)
     for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if beta_cdf(a, b, mid) < q else (lo, mid)
-    return (lo + hi) / 2
+        mid = (low + high) / 2
+        below = beta_cdf(a, b, mid) < q
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
 
 
 @F.pandas_udf(T.DoubleType())
 def _t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([beta_cdf(v / 2.0, 0.5, v / (v + s * s)) if s == s and v == v else None
-                      for s, v in zip(t, dof)], dtype="float64")
+    return pd.Series(beta_cdf(dof / 2.0, 0.5, dof / (dof + t * t)), dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -60,13 +79,12 @@ def _normal_two_sided(z: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _beta_quantile(a: pd.Series, b: pd.Series, q: pd.Series) -> pd.Series:
-    return pd.Series([beta_quantile(*v) for v in zip(a, b, q)], dtype="float64")
+    return pd.Series(beta_quantile(a, b, q), dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def _f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([beta_cdf(n / 2.0, m / 2.0, n / (n + m * v)) if v == v else np.nan
-                      for v, m, n in zip(f, d1, d2)], dtype="float64")
+    return pd.Series(beta_cdf(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f)), dtype="float64")
 
 
 def t_two_sided(t: str | Column, dof: Column) -> Column:

@@ -43,8 +43,9 @@ def windows_of(values: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.nd
     return values[np.clip(index, 0, None)], mask
 
 
-def huber_lines(x: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Intercepts and slopes of Huber fits with a jointly fitted scale.
+def huber_lines(x: np.ndarray, y: np.ndarray, mask: np.ndarray,
+                rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intercepts and slopes of Huber fits with a jointly fitted scale, and whether each has converged.
 
     The driver is standardised first.  Weights and scale are the stationary
     conditions of the joint loss, iterated until the scale settles.
@@ -70,12 +71,12 @@ def huber_lines(x: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 60
         inside = (np.abs(r) <= HUBER_EPSILON * scale[:, None]) & mask
         free = n - (mask & ~inside).sum(1) * HUBER_EPSILON ** 2
         new = np.sqrt((np.where(inside, r, 0.0) ** 2).sum(1) / np.maximum(free, 1e-9)) + 1e-12
-        done = np.max(np.abs(new - scale) / scale) < 1e-10
+        settled = np.abs(new - scale) / scale < 1e-10
         scale = new
-        if done:
+        if settled.all():
             break
     slope = b / sd
-    return a - slope * mean, slope
+    return a - slope * mean, slope, settled
 
 
 def per_run(fit: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]) -> Callable:
@@ -97,17 +98,17 @@ def rolling_huber(train: DataFrame, window: int = fc.WINDOW, purge: int = fc.PUR
         keep = mask.sum(1) >= minimum
         out = pdf.loc[own[keep], ["series_id", "session", "ord", "x", "y"]].copy()
         if keep.any():
-            a, b = huber_lines(x[keep], y[keep], mask[keep])
+            a, b, settled = huber_lines(x[keep], y[keep], mask[keep])
         else:
-            a = b = np.empty(0)
-        out["intercept"], out["slope"] = a, b
+            a, b, settled = np.empty(0), np.empty(0), np.empty(0, dtype=bool)
+        out["intercept"], out["slope"], out["converged"] = a, b, settled
         out["point"] = out["intercept"] + out["slope"] * out["x"]
         return out
 
     tagged = run_rows(train, window, purge).select("series_id", "run", "session", "ord", "x", "y")
     return tagged.groupBy("series_id", "run").applyInPandas(
         per_run(fit), "series_id string, session date, ord int, x double, y double, "
-                      "intercept double, slope double, point double")
+                      "intercept double, slope double, converged boolean, point double")
 
 
 def rolling_ridge(train: DataFrame, window: int = fc.WINDOW, purge: int = fc.PURGE) -> DataFrame:
@@ -229,7 +230,7 @@ def sealed_forecast(train: DataFrame, window: int = 360, calibration: int = 120,
             ends = np.append(np.arange(end - calibration, end) - purge, end)
             wx, mask = windows_of(x[:past], ends, window)
             wy, _ = windows_of(y[:past], ends, window)
-            a, b = huber_lines(wx, wy, mask)
+            a, b, settled = huber_lines(wx, wy, mask)
             at = np.arange(end - calibration, end)
             errors = y[at] - (a[:-1] + b[:-1] * x[at])
             point = a[-1] + b[-1] * move
@@ -241,7 +242,7 @@ def sealed_forecast(train: DataFrame, window: int = 360, calibration: int = 120,
             out.append((sid, day[-1], move, point, p_up, p_down, low, high,
                         0 if flat else (1 if point > 0 else -1),
                         "FLAT" if flat else ("FULL" if p >= m.TARGET else "LEAN"), b[-1], a[-1],
-                        day[end - window], day[end - 1], day[end - calibration], day[end - 1]))
+                        day[end - window], day[end - 1], day[end - calibration], day[end - 1], bool(settled.all())))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SEALED.split(", ")])
 
     return spread(sealed, "series_id").mapInPandas(lambda it: (fit(p) for p in it), SEALED)
@@ -249,4 +250,4 @@ def sealed_forecast(train: DataFrame, window: int = 360, calibration: int = 120,
 
 SEALED = ("series_id string, session date, move double, point double, p_up double, p_down double, low double, "
           "high double, direction int, band string, slope double, intercept double, fit_start date, fit_end date, "
-          "calibration_start date, calibration_end date")
+          "calibration_start date, calibration_end date, converged boolean")

@@ -1,7 +1,10 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sluice.functions.distributions import beta_cdf, beta_quantile
+from sluice.functions.distributions import beta_cdf, beta_quantile, f_upper, normal_two_sided, t_two_sided
 from sluice.operators import learners as ln
 from tests.helpers import synthetic, train
 
@@ -17,7 +20,8 @@ def test_huber_resists_outliers_and_minimises_its_loss():
     x = rng.normal(0, 4, 360)
     y = 0.3 + 0.7 * x + rng.normal(0, 0.5, 360)
     y[::20] += 30
-    a, b = ln.huber_lines(x[None], y[None], np.ones((1, 360), bool))
+    a, b, settled = ln.huber_lines(x[None], y[None], np.ones((1, 360), bool))
+    assert settled.all()
     assert b[0] == pytest.approx(0.7, abs=0.05) and a[0] == pytest.approx(0.3, abs=0.3)
     mean, sd = x.mean(), x.std()
     z = (x - mean) / sd
@@ -39,7 +43,7 @@ def test_rolling_huber_equals_a_single_window(spark):
     assert min(rows) == 122
     for o in (122, 300, len(x)):
         lo, hi = max(0, o - 362), o - 2
-        a, b = ln.huber_lines(x[None, lo:hi], y[None, lo:hi], np.ones((1, hi - lo), bool))
+        a, b, _ = ln.huber_lines(x[None, lo:hi], y[None, lo:hi], np.ones((1, hi - lo), bool))
         assert rows[o]["slope"] == pytest.approx(b[0], abs=1e-8)
 
 
@@ -74,3 +78,49 @@ def test_beta_distribution():
     assert beta_cdf(1, 1, 0.3) == pytest.approx(0.3)
     q = beta_quantile(15, 3, 0.025)
     assert beta_cdf(15, 3, q) == pytest.approx(0.025, abs=1e-9)
+
+
+def test_beta_values_of_arrays_and_edges():
+    x = np.linspace(-0.5, 1.5, 21)
+    assert np.allclose(beta_cdf(1, 4, x), 1 - (1 - np.clip(x, 0, 1)) ** 4)
+    assert np.isnan(beta_cdf([0.0, -1.0, 2.0], 1, [0.5, 0.5, np.nan])).all()
+    assert beta_cdf(40_000, 40_000, 0.5) == pytest.approx(0.5, abs=1e-9)
+    assert np.allclose(beta_quantile(1, 1, [0.1, 0.5, 0.9]), [0.1, 0.5, 0.9])
+
+
+def test_tail_values_have_their_closed_forms(spark):
+    df = spark.createDataFrame([(float(v),) for v in (0.0, 0.3, 1.0, 2.5, 7.0, 40.0)], "v double")
+    rows = df.select("v", t_two_sided("v", F.lit(1)).alias("t1"), t_two_sided("v", F.lit(2)).alias("t2"),
+                     normal_two_sided(F.col("v")).alias("z"), f_upper(F.col("v"), F.lit(2), F.lit(9)).alias("f")).collect()
+    for r in rows:
+        v = r["v"]
+        assert r["t1"] == pytest.approx(1 - 2 / math.pi * math.atan(v), abs=1e-12)
+        assert r["t2"] == pytest.approx(1 - v / math.sqrt(2 + v * v), abs=1e-12)
+        assert r["z"] == pytest.approx(math.erfc(v / math.sqrt(2)), abs=1e-15)
+        assert r["f"] == pytest.approx((1 + 2 * v / 9) ** -4.5, abs=1e-12)
+
+
+def test_pooled_huber_follows_the_common_line(spark):
+    t = train(spark, synthetic(spark, 420, series="A").unionByName(synthetic(spark, 420, seed=6, series="B")))
+    rows = ln.pooled_huber(t).toPandas()
+    b, a = np.polyfit(rows["x"], rows["point"], 1)
+    assert np.allclose(a + b * rows["x"], rows["point"], atol=1e-9)
+    assert b == pytest.approx(0.7, abs=0.02) and len(rows) == 720
+
+
+def test_boosted_correction_refits_and_never_looks_ahead(spark, monkeypatch):
+    monkeypatch.setitem(ln.GBT, "maxIter", 4)
+    frame = synthetic(spark, 700)
+    whole = {r["session"]: r["point"] for r in ln.boosted_correction(train(spark, frame), 150, 150).collect()}
+    days = sorted(whole)
+    cut = days[len(days) // 2]
+    t = train(spark, frame)
+    part = {r["session"]: r["point"] for r in ln.boosted_correction(t.where(F.col("session") <= F.lit(cut)), 150, 150).collect()}
+    assert len(part) > 100 and all(whole[d] == pytest.approx(p, abs=1e-9) for d, p in part.items())
+
+
+def test_learners_meet_on_identical_dates(spark, monkeypatch):
+    monkeypatch.setitem(ln.GBT, "maxIter", 4)
+    rows = ln.learner_rows(train(spark, synthetic(spark, 760))).collect()
+    assert rows and all(r[name]["point"] is not None for r in rows for name in ln.LEARNERS)
+    assert all(0 < r[name]["p_up"] < 1 for r in rows for name in ln.LEARNERS)
