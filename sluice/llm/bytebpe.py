@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from sluice.llm.common import column, slices
 
 #: Pre-tokens, transducer states and entry pairs that a worker remembers; beyond it starts anew.
-WORDS, STATES, PAIRS = 400_000, 150_000, 800_000
+WORDS, STATES, PAIRS = 400_000, 200_000, 800_000
 #: Below a trie node with so many entries at most, a reading is followed only if one of them may come.
 FEW = 16
 #: Entries decoded at a time.
@@ -38,6 +40,9 @@ class Transducer:
         self.ranks = entries
         self.bytes_of = {i: b for b, i in entries.items()}
         self.split = regex.compile(pattern)
+        # The same pattern where all letters are ASCII, for the plain engine.
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        self.ascii_split = re.compile(plain.replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]"))
         # The trie holds the entries that encode to themselves; others never come out of the merges.
         self.child: list[dict[int, int]] = [{}]
         self.entry: list[int] = [-1]
@@ -69,7 +74,8 @@ class Transducer:
                 under += [*([self.entry[to]] if self.entry[to] >= 0 else []), *more]
             self.below[node] = tuple(under) if under is not None and len(under) <= FEW else None
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.spines: tuple[dict, dict] = ({}, {})  # bounded by the vocabulary
+        self.words = _Words(self)
         self.reset()
 
     def reset(self) -> None:
@@ -91,7 +97,7 @@ class Transducer:
             if len(self.ahead) > PAIRS:
                 self.ahead.clear()
                 self.alike.clear()
-            may = tuple(e for e in below if self.neighbours(last, e))
+            may = tuple(e for e in below if self.fits(last, e))
             found = self.ahead[key] = self.alike.setdefault((node, may), last) if may else -2
         return found
 
@@ -107,33 +113,40 @@ class Transducer:
             parts[best:best + 2] = [parts[best] + parts[best + 1]]
         return True
 
-    def _spine(self, entry: int, side: int) -> list[tuple[int, bytes, int]]:
+    def _spine(self, entry: int, side: int) -> list[tuple[int, bytes]]:
         """The entries at one end of an entry as its merges go on: rank of the merge that ends each, and its bytes."""
-        found, until = [], 1 << 40
-        while True:
-            found.append((until, self.bytes_of[entry], entry))
-            if entry not in self.halves:
-                return found
-            until, entry = entry, self.halves[entry][side]
+        found = self.spines[side].get(entry)
+        if found is None:
+            found, until, part = [], 1 << 40, entry
+            while True:
+                found.append((until, self.bytes_of[part]))
+                if part not in self.halves:
+                    break
+                until, part = part, self.halves[part][side]
+            self.spines[side][entry] = found
+        return found
 
-    def neighbours(self, a: int, b: int) -> bool:
+    def fits(self, a: int, b: int) -> bool:
         """Whether entry ``b`` may follow entry ``a``: no merge across the border comes before those that end its sides.
 
         Of equal merges the left one is first, so one inside ``a`` wins against the border and that one against ``b``.
         """
+        right, rank = self._spine(b, 0), self.ranks.get
+        for until_a, x in self._spine(a, 1):
+            for until_b, y in right:
+                across = rank(x + y)
+                if across is not None and across < until_a and across <= until_b:
+                    return False
+        return True
+
+    def neighbours(self, a: int, b: int) -> bool:
+        """``fits``, remembered."""
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            left, right, ranks = self._spine(a, 1), self._spine(b, 0), self.ranks
-            known = True
-            for until_a, x, _ in left:
-                for until_b, y, _ in right:
-                    across = ranks.get(x + y)
-                    if across is not None and across < until_a and across <= until_b:
-                        known = False
-            self.pairs[key] = known
+            known = self.pairs[key] = self.fits(a, b)
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -181,23 +194,19 @@ class Transducer:
         out: list[int] = []
         state, arcs = 0, self.arcs
         for byte in text:
-            arc = arcs[state].get(byte)
-            if arc is None:
-                arc = self.step(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
+            try:
+                state, more = arcs[state][byte]
+            except KeyError:
+                state, more = self.step(state, byte)
+            if more:
+                out += more
         out += self.sets[state][-1][2]
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        pieces, words = self.split.findall(text), self.words
-        if len(words) > WORDS:
-            words.clear()
-        for w in set(pieces).difference(words):
-            words[w] = np.array(self.run(w.encode()), dtype="<u4").tobytes()
-        return b"".join(map(words.__getitem__, pieces))
+        split = self.ascii_split if text.isascii() else self.split
+        return b"".join(map(self.words.__getitem__, split.findall(text)))
 
     def decode(self, ids: bytes) -> Iterator[bytes]:
         """The bytes of the ids, in pieces, as a stream would deliver them."""
@@ -215,6 +224,25 @@ class Transducer:
         return seen.hexdigest()
 
 
+class _Words(dict):
+    """Ids of the pre-tokens met last, in two generations, so that frequent ones outlive the rest."""
+
+    def __init__(self, fst: Transducer):
+        super().__init__()
+        self.fst, self.before = fst, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            found = self.fst.run(word.encode())
+            ids = pack(f"<{len(found)}I", *found)
+        if len(self) >= WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Utf8Stream:
     """Incremental UTF-8: gives whole characters and keeps an unfinished one until its bytes arrive.
 

@@ -22,6 +22,8 @@ LETTERS = ["a", "b", "A", "é", "É", "ß", "Σ", "ς", "İ", "ǅ", "中", "한"
 def texts(count: int) -> list[str]:
     rnd = random.Random(count)
     made = ["".join(rnd.choice(LETTERS) for _ in range(rnd.randint(0, 40))) for _ in range(count)]
+    plain = [x for x in LETTERS if x.isascii()] + ["\x0b", "\x0c", "\x1f", "\x00", "\r"]
+    made += ["".join(rnd.choice(plain) for _ in range(rnd.randint(0, 40))) for _ in range(count)]
     return [*made, *("a" * n for n in range(1, 80)), "ab" * 500, "ha" * 333, "the" * 999, " " * 300, "é" * 200]
 
 
