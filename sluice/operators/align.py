@@ -177,8 +177,15 @@ def redate_plan(stamped: DataFrame, external: DataFrame, cal: DataFrame,
             F.coalesce("donor", "ext")).alias("driver"), "response")
 
 
-def alignment_gate(pairs: DataFrame, stamped: DataFrame) -> DataFrame:
-    """Per series: lag check on the pairs, share of late-stamped weeks on the rows."""
+def alignment_gate(stamped: DataFrame, cal: DataFrame, era_start: str | None = None) -> DataFrame:
+    """Per series: lag check on the weekday pairs, share of late-stamped weeks on the rows.
+
+    With ``era_start`` both look at the calibration era alone.  The rows are cut
+    before they are differenced, so no pair reaches back across the cut.
+    """
+    if era_start is not None:
+        stamped = stamped.where(F.col("session") >= F.lit(era_start).cast("date"))
+    pairs = one_session_deltas(stamped.where(F.weekday("session") < 5), cal)
     diag = lag_diagnostics(pairs)
     drifted = (F.col("ratio") > MAX_LAG_RATIO) & (t_two_sided("t_b1", F.col("n") - 3) < DRIFT_P)
     diag = diag.withColumn("aligned", (F.col("n") >= MIN_LAG_PAIRS)

@@ -174,15 +174,12 @@ def boosted_correction(train: DataFrame, refit: int = 400, first: int = 240) ->
 LEARNERS = ("production", "prequential_360", "huber", "ridge", "boosted")
 
 
-def learner_rows(train: DataFrame) -> DataFrame:
-    """Forecasts of the fitted line, the prequential line and the three learners on identical dates.
+def with_probabilities(train: DataFrame, points: dict[str, DataFrame]) -> DataFrame:
+    """(series_id, session, x, <name>...): each learner's forecast with what its earlier errors say about it.
 
-    Each learner's probabilities come from its own earlier errors, as the
-    baseline's do; a pair counts once every candidate has all of them.
+    A pair counts once every learner has a point and all ``ERRORS`` earlier errors.
     """
-    points = {"huber": rolling_huber(train), "ridge": rolling_ridge(train), "boosted": boosted_correction(train)}
-    base = fc.forecast_rows(train).select("series_id", "session", "ord", "x", "y", *LEARNERS[:2])
-    rows = train.select("series_id", "session", "y")
+    rows = train.select("series_id", "session", "x", "y")
     for name, df in points.items():
         rows = rows.join(df.select("series_id", "session", F.col("point").alias(f"p_{name}")), ["series_id", "session"], "left")
     past = fc.earlier(fc.ERRORS)
@@ -190,12 +187,28 @@ def learner_rows(train: DataFrame) -> DataFrame:
     for k in points:
         rows = rows.where(F.col(f"p_{k}").isNotNull() & (F.size(f"l_{k}") == fc.ERRORS))
     rows = settle(rows.drop("y"), **{f"s_{k}": F.sort_array(f"l_{k}") for k in points}).drop(*[f"l_{k}" for k in points])
-    rows = base.join(rows, ["series_id", "session"])
     rows = settle(rows, **{f"d_{k}": F.struct(*[v.alias(n) for n, v in fc.error_distribution(
         F.col(f"p_{k}"), F.col(f"s_{k}")).items()]) for k in points})
     made = {k: fc.challenger(F.col(f"p_{k}"), {n: F.col(f"d_{k}.{n}") for n in ("p_up", "p_down", "low", "high")}, F.col("x"))
             for k in points}
-    return settle(rows, **made).select("series_id", "session", "ord", "x", "y", *LEARNERS)
+    return settle(rows, **made).select("series_id", "session", *points)
+
+
+def learner_rows(train: DataFrame) -> DataFrame:
+    """Forecasts of the fitted line, the prequential line and the three learners on identical dates."""
+    points = {"huber": rolling_huber(train), "ridge": rolling_ridge(train), "boosted": boosted_correction(train)}
+    base = fc.forecast_rows(train).select("series_id", "session", "ord", "x", "y", *LEARNERS[:2])
+    return base.join(with_probabilities(train, points), ["series_id", "session"]).select(
+        "series_id", "session", "ord", "x", "y", *LEARNERS)
+
+
+def sealed_forecasts(train: DataFrame) -> DataFrame:
+    """The sealed forecast of every session, (series_id, session, huber).
+
+    Its line is the rolling fit of the sealed window and its errors are those of the same rolling fits before it, so
+    one pass gives for all sessions what :func:`sealed_forecast` gives for the newest.
+    """
+    return with_probabilities(train, {"huber": rolling_huber(train)})
 
 
 def pooled_huber(train: DataFrame) -> DataFrame:

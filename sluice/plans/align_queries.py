@@ -126,26 +126,40 @@ def lag_p_value(spark, sf_dir):
     return d.select("series_id", "n", r6(t_two_sided("t_b1", F.col("n") - 3)).alias("p_b1"))
 
 
-@query("alignment_gate", with_ctes(STAMPED, CAL, """
+def gate_sql(stamped: str) -> tuple[str, ...]:
+    """Parts of the gate's SQL over the rows of ``STAMPED`` as given."""
+    return (stamped, CAL, """
 smoved AS (SELECT *, lag(session) OVER w AS prior_session, (driver - lag(driver) OVER w) * 100 AS x,
    (response - lag(response) OVER w) * 100 AS y FROM stamped
    WHERE driver IS NOT NULL AND response IS NOT NULL AND isodow(session) < 6
    WINDOW w AS (PARTITION BY series_id ORDER BY session)),
 pairs AS (SELECT m.* FROM smoved m JOIN cal c ON c.d = m.session WHERE prior_session = c.prev_bd)""",
-    ADJ, lag_fit_sql("lagf", "adj", "series_id"), f"""
+            ADJ, lag_fit_sql("lagf", "adj", "series_id"), """
 shares AS (SELECT series_id, count(*) FILTER (WHERE sat) / nullif(count(*) FILTER (WHERE sat OR mon), 0) AS legacy_share
    FROM weeks GROUP BY 1)""", f"""
 SELECT series_id, n, n >= 30 AND NOT (ratio > 0.08 AND abs(t_b1) > {T01}) AS aligned,
   round(legacy_share, 6) AS legacy_share, legacy_share <= 0.15 AS structure_ok,
   n >= 30 AND NOT (ratio > 0.08 AND abs(t_b1) > {T01}) AND legacy_share <= 0.15 AS passed
-FROM lagf JOIN shares USING (series_id)"""))
+FROM lagf JOIN shares USING (series_id)""")
+
+
+def gate_columns(gate):
+    return gate.select("series_id", "n", "aligned", r6("legacy_share").alias("legacy_share"), "structure_ok", "passed")
+
+
+@query("alignment_gate", with_ctes(*gate_sql(STAMPED)))
 def alignment_gate(spark, sf_dir):
     """Regression check on weekdays and structural check on all stamped days."""
     stamped = durable(stamped_panel(spark, sf_dir))
-    pairs = align.one_session_deltas(weekdays(stamped), business_calendar(spark))
-    return align.alignment_gate(pairs, stamped).select(
-        "series_id", "n", "aligned", r6("legacy_share").alias("legacy_share"),
-        "structure_ok", "passed")
+    return gate_columns(align.alignment_gate(stamped, business_calendar(spark)))
+
+
+@query("alignment_gate_era", with_ctes(*gate_sql(STAMPED.replace(
+    "ON d.series_id = r.series_id AND d.session = r.stamp)", f"ON d.series_id = r.series_id AND d.session = r.stamp WHERE r.stamp >= DATE '{ERA_START}')"))))
+def alignment_gate_era(spark, sf_dir):
+    """The same checks on the calibration era alone."""
+    stamped = durable(stamped_panel(spark, sf_dir))
+    return gate_columns(align.alignment_gate(stamped, business_calendar(spark), ERA_START))
 
 
 @query("era_scan", with_ctes(PAIRS, ADJ, """

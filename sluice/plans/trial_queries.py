@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import business_calendar
-from sluice.operators import forecast as fc, ledger, trial as tr
+from sluice.operators import forecast as fc, learners as ln, ledger, trial as tr
 from sluice.operators.ledger import byte_of
 from sluice.plans.base import cut_train
 from sluice.plans.ctes import LOG, byte
@@ -42,8 +42,12 @@ oc AS (SELECT *, abs(expected - actual) AS prod_abs_error, abs(ip - actual) AS i
   CASE WHEN dir = -1 THEN greatest(actual, 0) ELSE 0 END::DOUBLE AS prod_wrong_wait_cost, CASE WHEN idr = -1 THEN greatest(actual, 0) ELSE 0 END::DOUBLE AS itt_wrong_wait_cost FROM t6)"""
 
 
-def forecasts_of(spark, sf_dir):
-    """Sealed inputs with forecast states and the challenger's numbers."""
+def forecasts_of(spark, sf_dir, sealed_huber=False):
+    """Sealed inputs with forecast states and the challenger's numbers.
+
+    The challenger is the weighted line, which SQL can follow, or the sealed
+    Huber forecast of every session.
+    """
     train = cut_train(spark, sf_dir)
     log = ledger.decision_log(train, ledger.artifacts(train))
     minutes = lambda i, n: F.make_dt_interval(F.lit(0), F.lit(0), b(i) % n)
@@ -55,9 +59,10 @@ def forecasts_of(spark, sf_dir):
     sealed = (sealed.withColumn("computed_at", F.col("captured_at") + minutes(7, 20))
               .withColumn("worker_failed", b(8) < 4)
               .withColumn("input_hash", F.sha2(F.concat_ws("|", "series_id", F.col("session").cast("string"), "artifact_id"), 256)))
-    shadow = fc.forecast_rows(train).select(
-        "series_id", "session", F.col("weighted_360.point").alias("shadow_point"),
-        F.col("weighted_360.p_up").alias("shadow_p_up"), F.col("weighted_360.dir").alias("shadow_dir"))
+    name = "huber" if sealed_huber else "weighted_360"
+    rows = ln.sealed_forecasts(train) if sealed_huber else fc.forecast_rows(train)
+    shadow = rows.select("series_id", "session", *[
+        F.col(f"{name}.{c}").alias(f"shadow_{c}") for c in ("point", "p_up", "dir")])
     return durable(tr.states(sealed).join(shadow, ["series_id", "session"]))
 
 
@@ -82,6 +87,21 @@ def trial_scores(spark, sf_dir):
     return rounded(tr.outcomes(forecasts_of(spark, sf_dir)), *_SC).select("series_id", "session", "on_time", *_SC)
 
 
+@query("trial_sealed_scores")
+def trial_sealed_scores(spark, sf_dir):
+    """The same scores with the sealed Huber forecast of every session as the challenger."""
+    scored = tr.outcomes(forecasts_of(spark, sf_dir, sealed_huber=True))
+    return rounded(scored, *_SC).select("series_id", "session", "on_time", *_SC)
+
+
+@query("trial_sealed_status")
+def trial_sealed_status(spark, sf_dir):
+    """Where the trial of the sealed Huber forecast stands."""
+    f = forecasts_of(spark, sf_dir, sealed_huber=True)
+    return rounded(tr.status(f, business_calendar(spark), START), "prod_mae", "itt_mae", "prod_rmse", "itt_rmse",
+                   "prod_brier", "itt_brier")
+
+
 @query("trial_link_audit", with_ctes(TRIAL, f"""
 st AS (SELECT *, {B(9)} AS t FROM oc),
 au AS (SELECT series_id, CASE WHEN t = 0 THEN 'input_hash' WHEN t = 1 THEN 'scored_before_forecast' WHEN t = 2 THEN 'mislabelled' WHEN t = 3 THEN 'score_differs' ELSE 'ok' END AS issue FROM st

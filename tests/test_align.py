@@ -39,7 +39,7 @@ def test_week_classes(spark):
 def test_lag_diagnostics_tell_a_shifted_series(spark, lag, aligned):
     frame = synthetic(spark, 400, lag=lag)
     pairs = align.one_session_deltas(frame, business_calendar(spark))
-    row = align.alignment_gate(pairs, frame).first()
+    row = align.alignment_gate(frame, business_calendar(spark)).first()
     assert row["aligned"] is aligned
     diag = align.lag_diagnostics(pairs).first()
     assert (abs(diag["b1"]) > abs(diag["b0"])) is (lag == 1)
@@ -95,3 +95,13 @@ def test_era_scan_holds_every_series_to_every_month(spark):
     assert len(rows) == 2 * len(months) and "2010-05-01" in months
     assert rows["BAD", "2010-05-01"]["n"] == rows["BAD", "2010-06-01"]["n"] > 30
     assert rows["GOOD", months[-1]]["n"] < 30
+
+
+def test_gate_looks_at_its_era_alone(spark):
+    """A shifted past fails the gate, unless the era begins after it."""
+    cal = business_calendar(spark)
+    old = synthetic(spark, 400, lag=1, start="2001-01-02")
+    new = synthetic(spark, 400, lag=0, start="2003-03-03")
+    both = old.unionByName(new)
+    assert align.alignment_gate(both, cal).first()["aligned"] is False
+    assert align.alignment_gate(both, cal, "2003-03-03").first()["aligned"] is True

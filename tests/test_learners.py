@@ -124,3 +124,12 @@ def test_learners_meet_on_identical_dates(spark, monkeypatch):
     rows = ln.learner_rows(train(spark, synthetic(spark, 760))).collect()
     assert rows and all(r[name]["point"] is not None for r in rows for name in ln.LEARNERS)
     assert all(0 < r[name]["p_up"] < 1 for r in rows for name in ln.LEARNERS)
+
+
+def test_sealed_forecasts_of_all_sessions_end_with_the_newest(spark):
+    t = train(spark, synthetic(spark, 620))
+    newest = ln.sealed_forecast(t).first()
+    rows = {r["session"]: r["huber"] for r in ln.sealed_forecasts(t).collect()}
+    assert rows[newest["session"]]["point"] == pytest.approx(newest["point"], abs=1e-7)
+    assert rows[newest["session"]]["p_up"] == pytest.approx(newest["p_up"], abs=1e-9)
+    assert rows[newest["session"]]["dir"] == newest["direction"]
