@@ -146,14 +146,13 @@ def _per_document(shard: Shard, searches: Searches) -> Iterator[tuple[int, list[
         yield n, _runs(hit[shard.first[d]:shard.first[d] + n]) if len(mine) else [], items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of bounded size, whatever its own."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
+    """How many blocks of bounded size the benchmark has, and one after another their items."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("id IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = total // BLOCK_BYTES + 1
-    for k in range(count):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)
-        yield [(r["id"], r["text"]) for r in part.collect()]
+    parts = (rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) for k in range(count))
+    return count, ([(r["id"], r["text"]) for r in part.collect()] for part in parts)
 
 
 def _searched(docs: DataFrame, items: list, text_col: str, keep: list[str], schema: str, rows) -> DataFrame:
@@ -189,9 +188,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     row.  Repeated rows each give a row; an empty table gives none.
     """
     keep = keep or ["doc_id"]
-    blocks = list(_blocks(benchmark, "item_id", "text"))
-    if len(blocks) == 1:
-        return _searched(docs, blocks[0], text_col, keep, "n_words long, n_hit long, n_items long, items_sha256 string",
+    count, blocks = _blocks(benchmark)
+    if count == 1:
+        return _searched(docs, next(blocks), text_col, keep, "n_words long, n_hit long, n_items long, items_sha256 string",
                          lambda shard, searches: (_row(*d) for d in _per_document(shard, searches)))
 
     def flat(shard: Shard, searches: Searches) -> Iterator[tuple]:
@@ -247,7 +246,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return ((m,) for m in out)
 
     kind = "matches array<struct<item:string,item_word:long,doc_word:long,n_words:long>>"
-    parts = [_searched(docs, b, "text", ["doc_id"], kind, rows) for b in _blocks(benchmark, "item_id", "text")]
+    parts = [_searched(docs, b, "text", ["doc_id"], kind, rows) for b in _blocks(benchmark)[1]]
     united = parts[0]
     for p in parts[1:]:
         united = united.union(p)
