@@ -47,12 +47,13 @@ def resolve_outcomes(spark, sf_dir):
 
 
 @query("score_log", with_ctes(LOG, """
-SELECT series_id, session, direction, actual, savings + 0.0 AS savings, correct, round(sum(savings) OVER (PARTITION BY series_id ORDER BY verdict_ts), 6) + 0.0 AS cumulative
+SELECT series_id, session, direction, actual, savings + 0.0 AS savings, correct, sum(round(savings * 1e6)::BIGINT) OVER (PARTITION BY series_id ORDER BY verdict_ts)::BIGINT / 1e6::DOUBLE AS cumulative
 FROM log WHERE actual IS NOT NULL"""))
 def score_log(spark, sf_dir):
-    rows = log_of(spark, sf_dir).where("actual IS NOT NULL")
+    # Whole millionths add up alike in any order.
+    rows = log_of(spark, sf_dir).where("actual IS NOT NULL").withColumn("millionths", F.round(F.col("savings") * 1e6).cast("long"))
     return rows.select("series_id", "session", "direction", "actual", (F.col("savings") + 0.0).alias("savings"),
-                       "correct", r6(F.sum("savings").over(in_series().orderBy("verdict_ts"))).alias("cumulative"))
+                       "correct", (F.sum("millionths").over(in_series().orderBy("verdict_ts")) / 1e6).alias("cumulative"))
 
 
 @query("source_split", with_ctes(LOG, """

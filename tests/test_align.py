@@ -47,8 +47,7 @@ def test_lag_diagnostics_tell_a_shifted_series(spark, lag, aligned):
 
 def test_too_few_pairs_are_not_aligned(spark):
     frame = synthetic(spark, 20)
-    pairs = align.one_session_deltas(frame, business_calendar(spark))
-    assert align.alignment_gate(pairs, frame).first()["aligned"] is False
+    assert align.alignment_gate(frame, business_calendar(spark)).first()["aligned"] is False
 
 
 def test_era_scan_last_suffix_equals_direct_fit(spark):
