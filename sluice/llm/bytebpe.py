@@ -10,6 +10,7 @@ lookahead.  At the end of a pre-token the one reading that stands between two en
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,6 +29,9 @@ WORDS, STATES, PAIRS = 400_000, 200_000, 800_000
 FEW = 16
 #: Entries decoded at a time.
 CHUNK = 1 << 16
+#: Letters of the first 256 characters but for the three that stand apart, and whatever is neither they nor ASCII.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_BEYOND_LATIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 _LOADED: dict[tuple[str, str], "Transducer"] = {}
 
 Config = tuple[int, int, tuple[int, ...]]  # last entry or -1, trie node, entries owed
@@ -40,9 +44,12 @@ class Transducer:
         self.ranks = entries
         self.bytes_of = {i: b for b, i in entries.items()}
         self.split = regex.compile(pattern)
-        # The same pattern where all letters are ASCII, for the plain engine.
-        plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-        self.ascii_split = re.compile(plain.replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]"))
+        # The same pattern for texts of ASCII and Latin letters alone, for the plain and faster engine.
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\t-\r {_LATIN}0-9]").replace(r"\p{L}", f"[{_LATIN}]").replace(r"\p{N}", "[0-9]")
+        self.latin_split = re.compile(plain.replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]"))
+        self.table = [b""] * (1 + max(entries.values()))
+        for b, i in entries.items():
+            self.table[i] = b
         # The trie holds the entries that encode to themselves; others never come out of the merges.
         self.child: list[dict[int, int]] = [{}]
         self.entry: list[int] = [-1]
@@ -205,14 +212,14 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        split = self.ascii_split if text.isascii() else self.split
+        split = self.split if _BEYOND_LATIN.search(text) else self.latin_split
         return b"".join(map(self.words.__getitem__, split.findall(text)))
 
     def decode(self, ids: bytes) -> Iterator[bytes]:
         """The bytes of the ids, in pieces, as a stream would deliver them."""
         for at in range(0, len(ids), 4 * CHUNK):
-            part = np.frombuffer(ids[at:at + 4 * CHUNK], dtype="<u4").tolist()
-            yield b"".join(map(self.bytes_of.__getitem__, part))
+            part = np.frombuffer(ids[at:at + 4 * CHUNK], dtype="<u4")
+            yield b"".join(map(self.table.__getitem__, part.data))
 
     def decoded_digest(self, ids: bytes) -> str:
         """SHA-256 of the bytes of the ids, which must arrive as whole UTF-8 characters."""
@@ -299,6 +306,7 @@ def loaded(path: str, pattern: str) -> Transducer:
         with open(path, "rb") as f:
             entries = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _LOADED[path, pattern] = Transducer(entries, pattern)
+        gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
     return _LOADED[path, pattern]
 
 

@@ -24,6 +24,10 @@ def texts(count: int) -> list[str]:
     made = ["".join(rnd.choice(LETTERS) for _ in range(rnd.randint(0, 40))) for _ in range(count)]
     plain = [x for x in LETTERS if x.isascii()] + ["\x0b", "\x0c", "\x1f", "\x00", "\r"]
     made += ["".join(rnd.choice(plain) for _ in range(rnd.randint(0, 40))) for _ in range(count)]
+    latin = [*plain, *map(chr, range(0x80, 0x100))]
+    made += ["".join(rnd.choice(latin) for _ in range(rnd.randint(0, 40))) for _ in range(count)]
+    letters = [c for c in latin if c.isalpha() and c not in "ªµº"] + list(" \n'!1")
+    made += ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(count)]
     return [*made, *("a" * n for n in range(1, 80)), "ab" * 500, "ha" * 333, "the" * 999, " " * 300, "é" * 200]
 
 
