@@ -173,6 +173,27 @@ class Model:
         return sum(self.sizes)
 
 
+class _Hashes(dict):
+    """Hashes of the words met so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word, _HASH_SEED)
+        return code
+
+
+class _Numbers(dict):
+    """Ids of the words met so far; a new word gets a number below -1 until all new ones are looked up together."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = -2 - len(self.new)
+        self.new.append(word)
+        return code
+
+
 class Words:
     """Ids of words, from the mapped arrays of sorted hashes."""
 
@@ -180,7 +201,7 @@ class Words:
         self.folder, self.parts = folder, parts
         self.start = np.cumsum([0, *sizes])
         self.hashes = [_map(folder, f"words-{p}", "<u8") if n else np.zeros(0, "<u8") for p, n in enumerate(sizes)]
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Id of each hash, -1 where training never saw it."""
@@ -198,26 +219,28 @@ class Words:
     def ids(self, words: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        if new:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, _HASH_SEED) for w in new), dtype=np.uint64, count=len(new))
-            self.known.update(zip(new, self.look_up(hashes).tolist()))
         get = self.known.__getitem__
-        return [np.fromiter(map(get, ws), dtype=np.int64, count=len(ws)) for ws in words]
+        out = [np.fromiter(map(get, ws), dtype=np.int64, count=len(ws)) for ws in words]
+        if self.known.new:
+            new, self.known.new = self.known.new, []
+            found = self.look_up(np.fromiter((xxhash.xxh64_intdigest(w, _HASH_SEED) for w in new), dtype=np.uint64, count=len(new)))
+            self.known.update(zip(new, found.tolist()))
+            for ids in out:
+                open_ = ids < -1
+                ids[open_] = found[-2 - ids[open_]]
+        return out
 
 
 def _word_counts(texts: DataFrame, folder: str, parts: int) -> DataFrame:
     """First job: sorted word hashes and their counts; gives (part, size, tokens)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, known = _Tally(parts, lambda k: _top(k, parts)), {}
+        tally, known = _Tally(parts, lambda k: _top(k, parts)), _Hashes()
         for batch in batches:
             values = column(batch, "text")
             for a, b in slices(values):
                 words = [w for t in values[a:b] for w in words_of(t)]
                 if len(known) > CACHE:
                     known.clear()
-                for w in set(words).difference(known):
-                    known[w] = xxhash.xxh64_intdigest(w, _HASH_SEED)
                 yield from tally.add(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
         yield from tally.send()
 
