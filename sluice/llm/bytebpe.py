@@ -10,7 +10,6 @@ lookahead.  At the end of a pre-token the one reading that stands between two en
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import column, slices
+from sluice.llm.common import column, in_worker, slices
 
 #: Pre-tokens, transducer states and entry pairs that a worker remembers; beyond it starts anew.
 WORDS, STATES, PAIRS = 400_000, 200_000, 800_000
@@ -306,7 +305,6 @@ def loaded(path: str, pattern: str) -> Transducer:
         with open(path, "rb") as f:
             entries = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _LOADED[path, pattern] = Transducer(entries, pattern)
-        gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
     return _LOADED[path, pattern]
 
 
@@ -319,7 +317,7 @@ def encoded(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", t
     without a shuffle.  Letters that Unicode added after the libraries' tables may split differently.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = loaded(vocab, pattern)
+        fst = in_worker(__name__).loaded(vocab, pattern)
         for batch in batches:
             texts = column(batch, text_col)
             for a, b in slices(texts):
@@ -344,7 +342,7 @@ def decoded(ids: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id") ->
     kind = ids.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = loaded(vocab, pattern)
+        fst = in_worker(__name__).loaded(vocab, pattern)
         for batch in batches:
             texts = []
             for row in column(batch, "token_ids"):

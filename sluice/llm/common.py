@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from importlib import import_module
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,14 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tu
         yield start, len(texts)
 
 
+def in_worker(module: str) -> ModuleType:
+    """The module as the worker process itself holds it.
+
+    Functions reach a task as copies with globals of their own; what is kept in the module proper outlives the task.
+    """
+    return import_module(module)
+
+
 def widened(df: DataFrame, more: str) -> StructType:
     """The schema of ``df`` with the columns of ``more``, written as in SQL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import column, slices
+from sluice.llm.common import column, in_worker, slices
 
 #: Fixed values of the vocabulary's pre-tokenizer; the pattern itself is read from the file.
 _NONE = np.iinfo(np.int64).max
@@ -137,7 +137,7 @@ def counted(docs: DataFrame, vocab: str, limit: int = 2048, id_col: str = "doc_i
     hand and the remembered pre-tokens bound a worker's memory.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = loaded(vocab)
+        merges = in_worker(__name__).loaded(vocab)
         for batch in batches:
             texts = column(batch, text_col)
             n_tokens: list[int] = []
