@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from sluice.llm.common import column, in_worker, slices
 
 #: Pre-tokens, transducer states and entry pairs that a worker remembers; beyond it starts anew.
-WORDS, STATES, PAIRS = 400_000, 200_000, 800_000
+WORDS, STATES, PAIRS = 120_000, 100_000, 300_000
 #: Below a trie node with so many entries at most, a reading is followed only if one of them may come.
 FEW = 16
 #: Entries decoded at a time.
