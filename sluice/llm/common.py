@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from sluice.session import shared_folder
 
 #: Text bytes handled at once inside a task; bounds a worker's memory whatever the batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

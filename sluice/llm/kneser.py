@@ -30,6 +30,8 @@ ORDER, FOLDS, HELD = 2, 5, 1
 END = b" "
 #: Distinct n-grams that a task holds before it merges them, and words a worker remembers.
 HOLD, CACHE = 1 << 22, 300_000
+#: Text bytes counted or scored at once; larger slices repeat fewer look-ups.
+SLICE = 4 << 20
 _HASH_SEED, _PAIR_MIX = 0, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -237,7 +239,7 @@ def _word_counts(texts: DataFrame, folder: str, parts: int) -> DataFrame:
         tally, known = _Tally(parts, lambda k: _top(k, parts)), _Hashes()
         for batch in batches:
             values = column(batch, "text")
-            for a, b in slices(values):
+            for a, b in slices(values, SLICE):
                 words = [w for t in values[a:b] for w in words_of(t)]
                 if len(known) > CACHE:
                     known.clear()
@@ -271,7 +273,7 @@ def _pair_counts(texts: DataFrame, folder: str, parts: int, sizes: list[int]) ->
         tally, words = _Tally(parts, lambda k: _pair_part(k, parts)), Words(folder, parts, sizes)
         for batch in batches:
             values = column(batch, "text")
-            for a, b in slices(values):
+            for a, b in slices(values, SLICE):
                 ids = words.ids([words_of(t) for t in values[a:b]])
                 yield from tally.add(np.concatenate([_pairs(i, n_words) for i in ids]))
         yield from tally.send()
@@ -441,7 +443,7 @@ def scored(docs: DataFrame) -> DataFrame:
         scorer = mapped.setdefault(0, Scorer(model))
         for batch in batches:
             texts = column(batch, "text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 part = batch.slice(a, b - a)
                 size, known, low, score = scorer.score(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
