@@ -92,6 +92,11 @@ class Transducer:
         self.ahead: dict[int, int] = {}
         self.alike: dict[tuple[int, tuple[int, ...]], int] = {}
 
+    def forget(self) -> None:
+        """Give back what texts have made."""
+        self.words, self.pairs, self.spines = _Words(self), {}, ({}, {})
+        self.reset()
+
     def _open(self, last: int, node: int) -> int:
         """``last``, or an entry that the same entries below ``node`` may follow; -2 if none may."""
         below = self.below[node]
@@ -300,24 +305,29 @@ class Utf8Stream:
             raise ValueError("the text ends inside a character")
 
 
+def read(path: str, pattern: str) -> Transducer:
+    with open(path, "rb") as f:
+        return Transducer({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+
+
 def loaded(path: str, pattern: str) -> Transducer:
     if (path, pattern) not in _LOADED:
-        with open(path, "rb") as f:
-            entries = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path, pattern] = Transducer(entries, pattern)
+        _LOADED[path, pattern] = read(path, pattern)
     return _LOADED[path, pattern]
 
 
 def encoded(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-            with_ids: bool = True) -> DataFrame:
+            with_ids: bool = True, lasting: bool = True) -> DataFrame:
     """Id, n_tokens, token_ids, ids_sha256 and decoded_sha256 of every whole text; null text counts as empty.
 
     ids_sha256 is of the ids as little-endian 32-bit integers, decoded_sha256 of the bytes that streaming decoding gives
     back.  Repeated rows each give a row, an empty table gives no rows, other columns are not read.  One Python pass
-    without a shuffle.  Letters that Unicode added after the libraries' tables may split differently.
+    without a shuffle.  A ``lasting`` transducer stays in its worker and serves later tasks; otherwise each task builds its
+    own and gives the memory back, for jobs whose workers go on to other stages.  Letters that Unicode added after the libraries' tables may split differently.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = in_worker(__name__).loaded(vocab, pattern)
+        home = in_worker(__name__)
+        fst = (home.loaded if lasting else home.read)(vocab, pattern)
         for batch in batches:
             texts = column(batch, text_col)
             for a, b in slices(texts):
@@ -330,6 +340,8 @@ def encoded(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(id_col)), pa.array(sizes, pa.int64()), *lists, *digests],
                     names=[id_col, "n_tokens", *["token_ids"] * with_ids, "ids_sha256", "decoded_sha256"])
+        if not lasting:
+            fst.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     ids_kind = "token_ids array<int>, " if with_ids else ""
