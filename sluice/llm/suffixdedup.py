@@ -6,7 +6,7 @@ neighbours part give common prefixes and repeated intervals.  It needs LENGTH ro
 corpus affords (figures in the README).  ``spans_of`` therefore refines the same intervals on sampled suffixes:
 
 * In every window of LENGTH bytes the GRAM-byte string of the smallest hash is its anchor (leftmost of equals).  Equal
-  windows have their anchors at equal offsets, so only suffixes that start at an anchor need comparing: 1 in 75.
+  windows have their anchors at equal offsets, so only suffixes that start at an anchor need comparing: about 1 in 60.
 * An interval is the set of anchors with one GRAM; a shard reduces its own before they are merged.  A member whose
   whole surroundings (all windows of that anchor) occur twice is decided; an interval of one member is dropped.
 * What is left is refined: the offsets are cut into blocks, the string common to all windows of a block splits the
