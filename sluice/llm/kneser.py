@@ -1,10 +1,12 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark, kept as sorted hash arrays.
 
-Three counting jobs shuffle packed arrays, not single rows: each task counts its own texts, cuts the sorted result by
+Counting jobs shuffle packed arrays, not single rows: each task counts its own texts, cuts the sorted result by
 hash range and sends one array per range; the task of a range adds them up and writes its part of the model to the
-shared folder.  Words are 64-bit hashes; a word's id is its rank among all sorted hashes.  N-grams of ORDER 2 are
-(context id, word id) pairs, spread by a hash of the pair so that a frequent word's pairs lie in all parts.  Scoring maps
-those files into memory and looks words and pairs up by binary search.
+shared folder.  Words are 64-bit hashes; a word's id is its rank among all sorted hashes.  Pairs are (context id, word id),
+spread by a hash of the pair so that a frequent word's pairs lie in all parts.  An n-gram of three words or more is (place
+of its context among all n-grams one word shorter, word id) and lies in the part of its context, so every order is counted
+by one more shuffle of 64-bit keys.  The longest n-grams have raw counts, all shorter ones count the different words
+before them.  Scoring maps those files into memory and looks words and n-grams up by binary search.
 
 The folder must be one that workers can open as files (a shared mount); pages are read as they are needed, so a
 worker's own memory does not grow with the model.
@@ -15,17 +17,19 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import column, fold_of, new_folder, slices
 
-ORDER, FOLDS, HELD = 2, 5, 1
+#: ORDER is what ``trained`` and ``scored`` take by themselves; the query asks for QUERY_ORDER.
+ORDER, QUERY_ORDER, FOLDS, HELD = 2, 3, 5, 1
 #: One end per text; white space cannot be part of a word.
 END = b" "
 #: Distinct n-grams that a task holds before it merges them, and words a worker remembers.
@@ -169,6 +173,8 @@ class Model:
     pair_discount: list[float]
     word_discount: list[float]
     word_counts: list[int]  # words with 1, 2 and more continuations
+    levels: list[list[int]]  # n-grams of 2, 3, ... words in each part; empty for order 2
+    discounts: list[list[float]]  # of n-grams of 3 words and more
 
     @property
     def words(self) -> int:
@@ -257,40 +263,214 @@ def _word_counts(texts: DataFrame, folder: str, parts: int) -> DataFrame:
     return _dealt(texts.mapInArrow(count, _PARTS), parts).mapInArrow(write, "part int, size long, tokens long")
 
 
-def _pairs(ids: np.ndarray, words: int) -> np.ndarray:
-    """(context, word) keys of one text; the context of its first word is the id behind the last word's."""
-    return np.r_[words, ids[:-1]].astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
+def _starts(found: list[np.ndarray]) -> np.ndarray:
+    """Where each text begins among all ids."""
+    return np.cumsum([0, *map(len, found[:-1])])
 
 
-def _pair_counts(texts: DataFrame, folder: str, parts: int, sizes: list[int]) -> DataFrame:
-    """Second job: sorted pairs with counts per part, then per word what contexts and continuations need.
+class Grams:
+    """N-grams of ``length`` words in mapped arrays of sorted keys; a gram's place counts over all parts."""
 
-    Gives (kind, one, two, three, four, total): how many pairs and how many words have 1, 2, 3 and 4 (continuations).
+    def __init__(self, folder: str, length: int, sizes: list[int], words: int, shorter: Grams | None):
+        self.length, self.shorter, self.parts, self.total = length, shorter, len(sizes), sum(sizes)
+        self.start = np.cumsum([0, *sizes])
+        self.keys = [_map(folder, f"grams-{length}-{p}", "<u8") if n else np.zeros(0, "<u8") for p, n in enumerate(sizes)]
+        self.bits = _bits(length, words, shorter)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each of the sorted distinct keys, -1 where training never saw it."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        part = _gram_part(self.shorter, self.bits, self.parts, keys)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
+        for p, have in enumerate(self.keys):
+            mine = order[bounds[p]:bounds[p + 1]]
+            if len(mine) and len(have):
+                at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
+                out[mine] = np.where(have[at] == keys[mine], at + self.start[p], -1)
+        return out
+
+    def places(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Place of each (context, word), -1 if either or both together are unknown."""
+        out = np.full(len(ids), -1, dtype=np.int64)
+        asked = (context >= 0) & (ids >= 0)
+        keys, back = np.unique(_keys(context[asked], ids[asked], self.bits), return_inverse=True)
+        out[asked] = self.find(keys)[back]
+        return out
+
+
+def _bits(length: int, words: int, shorter: Grams | None) -> np.uint64:
+    """Bits of a key that hold its word."""
+    if length == 2:
+        return np.uint64(32)
+    bits = words.bit_length()
+    if shorter.total.bit_length() + bits > 64:
+        raise ValueError(f"n-grams of {length} words need more than 64 bits; widen the keys")
+    return np.uint64(bits)
+
+
+def _keys(context: np.ndarray, ids: np.ndarray, bits: np.uint64) -> np.ndarray:
+    return context.astype(np.uint64) << bits | ids.astype(np.uint64)
+
+
+def _gram_part(shorter: Grams | None, bits: np.uint64, parts: int, keys: np.ndarray) -> np.ndarray:
+    """Pairs go by their hash, longer n-grams to the part of their context; the context before a text to the last."""
+    if shorter is None:
+        return _pair_part(keys, parts)
+    return np.minimum(np.searchsorted(shorter.start, (keys >> bits).astype(np.int64), side="right") - 1, parts - 1)
+
+
+def _levels(folder: str, sizes: list[list[int]], words: int) -> list[Grams]:
+    out: list[Grams] = []
+    for s in sizes:
+        out.append(Grams(folder, len(out) + 2, s, words, out[-1] if out else None))
+    return out
+
+
+def _contexts(found: list[np.ndarray], words: int, levels: list[Grams]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n-grams of 2 words, 3 words, ...: each word's context, and the n-gram's own place among ``levels``.
+
+    The context of a text's first word is the place behind the last one; past ``levels`` there are contexts alone.
     """
+    ids, first = np.concatenate(found), _starts(found)
+    place, behind = ids, words
+    for level in [*levels, None]:
+        context = np.r_[behind, place[:-1]]
+        context[first] = behind
+        place = level.places(context, ids) if level else place
+        yield context, place
+        behind = level.total if level else behind
+
+
+def _counted(texts: DataFrame, folder: str, parts: int, sizes: list[int], levels: list[list[int]]) -> DataFrame:
+    """N-grams one word longer than those of ``levels``, counted in each task and dealt to their parts."""
     n_words = sum(sizes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, words = _Tally(parts, lambda k: _pair_part(k, parts)), Words(folder, parts, sizes)
+        words, shorter = Words(folder, parts, sizes), _levels(folder, levels, n_words)
+        last = shorter[-1] if shorter else None
+        bits = _bits(len(levels) + 2, n_words, last)
+        tally = _Tally(parts, lambda k: _gram_part(last, bits, parts, k))
         for batch in batches:
             values = column(batch, "text")
             for a, b in slices(values, SLICE):
-                ids = words.ids([words_of(t) for t in values[a:b]])
-                yield from tally.add(np.concatenate([_pairs(i, n_words) for i in ids]))
+                found = words.ids([words_of(t) for t in values[a:b]])
+                *_, (context, _) = _contexts(found, n_words, shorter)
+                yield from tally.add(_keys(context, np.concatenate(found), bits))
         yield from tally.send()
 
+    return _dealt(texts.mapInArrow(count, _PARTS), parts)
+
+
+def _kept_counts(folder: str, length: int, part: int, counts: np.ndarray) -> None:
+    """Counts of a part's n-grams, and how many of them have 1, 2, 3 and 4."""
+    _save(folder, f"gram-counts-{length}-{part}", np.minimum(counts, (1 << 32) - 1).astype("<u4"))
+    _save(folder, f"counts-of-{length}-{part}", np.array([(counts == i).sum() for i in (1, 2, 3, 4)]).astype("<i8"))
+
+
+def _kept_contexts(folder: str, length: int, part: int, context: np.ndarray, counts: np.ndarray, first: int, last: int) -> None:
+    """Total and how many words followed once, twice, more often, of the contexts ``first`` to ``last`` of a part.
+
+    Most contexts are followed by one word, once; only the others are written.
+    """
+    place, *stats = _summed(context, counts, *((counts == i).astype(np.int64) for i in (1, 2)), (counts > 2).astype(np.int64))
+    ends = np.ones(last - first, dtype=bool)
+    ends[place - first] = False  # n-grams that nothing follows, as they end a text
+    odd = np.stack(stats, axis=1)
+    other = (odd != (1, 1, 0, 0)).any(axis=1)
+    place = np.r_[place[other] - first, np.flatnonzero(ends)]
+    odd = np.concatenate([odd[other], np.zeros((int(ends.sum()), 4), dtype=np.int64)])
+    order = np.argsort(place)
+    _save(folder, f"odd-places-{length}-{part}", place[order].astype("<i8"))
+    _save(folder, f"odd-contexts-{length}-{part}", odd[order].astype("<u4"))
+
+
+def _written(folder: str, parts: int, words: int, levels: list[list[int]], top: bool):
+    """Writes the parts of n-grams of 3 words or more.  Returns of each (part, size), and of ``top`` ones what
+    ``_continued`` takes: the places of the n-grams that are left without their first word, and how often."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = _levels(folder, levels, words)
+        shorter, length = grams[-1], len(levels) + 2
+        bits = _bits(length, words, shorter)
         for part, keys, counts in _received(batches):
-            counts = counts[0]
-            _save(folder, f"pairs-{part}", keys.astype("<u8"))
-            _save(folder, f"pair-counts-{part}", np.minimum(counts, (1 << 32) - 1).astype("<u4"))
-            # Contexts: total, and how many words followed once, twice, more often.  Words: how many contexts, and
-            # as many columns of pairs with 1, 2, 3, 4, which only have to be added up.
-            context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-            n = [(counts == i).astype(np.int64) for i in (1, 2, 3, 4)]
-            of = _summed(context, counts, n[0], n[1], (counts > 2).astype(np.int64), *[np.zeros_like(counts)] * 3)
-            to = _summed(word, *[np.zeros_like(counts)] * 4, np.ones_like(counts), n[2], n[3])
-            k, *c = _summed(np.r_[of[0], to[0]], *(np.r_[x, y] for x, y in zip(of[1:], to[1:])))
-            yield from _sent((k * np.uint64(parts) // np.uint64(n_words + 1)).astype(np.int64), parts, k, np.stack(c, axis=1))
+            context = (keys >> bits).astype(np.int64)
+            ids = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            _save(folder, f"grams-{length}-{part}", keys.astype("<u8"))
+            # What the context is without its first word, then the n-gram without its own.
+            rest = np.full(len(keys), shorter.shorter.total if shorter.shorter else words, dtype=np.int64)
+            inside = context < shorter.total
+            local = context[inside] - shorter.start[part]
+            if length == 3:
+                rest[inside] = (shorter.keys[part][local] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            elif inside.any():
+                rest[inside] = _map(folder, f"links-{length - 1}-{part}", "<i8")[local]
+            link = shorter.places(rest, ids)
+            if not top:
+                _save(folder, f"links-{length}-{part}", link.astype("<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64())], names=["part", "size"])
+                continue
+            yield from _finished(folder, parts, shorter, length, part, context, link, counts[0])
+
+    return write
+
+
+def _finished(folder: str, parts: int, shorter: Grams, length: int, part: int, context: np.ndarray, link: np.ndarray,
+              counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts and contexts of a part's n-grams are written; sent on is how many of them end in each shorter one."""
+    _kept_counts(folder, length, part, counts)
+    first, last = int(shorter.start[part]), int(shorter.start[part + 1]) + (part == parts - 1)
+    _kept_contexts(folder, length, part, context, counts, first, last)
+    places, n = _summed(link.astype(np.uint64), np.ones(len(link), dtype=np.int64))
+    to = np.searchsorted(shorter.start, places.astype(np.int64), side="right") - 1
+    yield from _sent(to, parts, places, n[:, None])
+
+
+def _continued(folder: str, parts: int, words: int, levels: list[list[int]]):
+    """Takes how many longer n-grams end in each n-gram of the last of ``levels``, as its count, and goes on below."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = _levels(folder, levels, words)
+        own, length = grams[-1], len(levels) + 1
+        for part, places, counts in _received(batches):
+            keys = own.keys[part]  # each ends some longer n-gram, so places are all of the part's
+            if length == 2:
+                yield from _pair_sums(folder, parts, words, part, np.array(keys), counts[0])
+            else:
+                yield from _finished(folder, parts, own.shorter, length, part, (keys >> own.bits).astype(np.int64),
+                                     np.array(_map(folder, f"links-{length}-{part}", "<i8")), counts[0])
+
+    return work
+
+
+def _pair_sums(folder: str, parts: int, n_words: int, part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Writes the counts of a part's pairs and sends what contexts and words need."""
+    _save(folder, f"gram-counts-2-{part}", np.minimum(counts, (1 << 32) - 1).astype("<u4"))
+    # Contexts: total, and how many words followed once, twice, more often.  Words: how many contexts, and
+    # as many columns of pairs with 1, 2, 3, 4, which only have to be added up.
+    context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    n = [(counts == i).astype(np.int64) for i in (1, 2, 3, 4)]
+    of = _summed(context, counts, n[0], n[1], (counts > 2).astype(np.int64), *[np.zeros_like(counts)] * 3)
+    to = _summed(word, *[np.zeros_like(counts)] * 4, np.ones_like(counts), n[2], n[3])
+    k, *c = _summed(np.r_[of[0], to[0]], *(np.r_[x, y] for x, y in zip(of[1:], to[1:])))
+    yield from _sent((k * np.uint64(parts) // np.uint64(n_words + 1)).astype(np.int64), parts, k, np.stack(c, axis=1))
+
+
+def _gram_counts(texts: DataFrame, folder: str, parts: int, sizes: list[int], order: int) -> tuple[DataFrame, list[list[int]]]:
+    """The other jobs: sorted n-grams with counts per part, then per word what contexts and continuations need.
+
+    Gives (kind, one, two, three, four, total): how many pairs and how many words have 1, 2, 3 and 4 (continuations);
+    and how many n-grams of each length but the longest a part has.
+    """
+    n_words = sum(sizes)
+
+    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys, _ in _received(batches):
+            _save(folder, f"grams-2-{part}", keys.astype("<u8"))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64())], names=["part", "size"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys, counts in _received(batches):
+            _save(folder, f"grams-2-{part}", keys.astype("<u8"))
+            yield from _pair_sums(folder, parts, n_words, part, keys, counts[0])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, keys, counts in _received(batches, 7):
@@ -306,8 +486,17 @@ def _pair_counts(texts: DataFrame, folder: str, parts: int, sizes: list[int]) ->
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(x)) for x in zip(*kinds)], names=["kind", "one", "two", "three", "four", "total"])
 
-    made = _dealt(texts.mapInArrow(count, _PARTS), parts).mapInArrow(write, _PARTS)
-    return _dealt(made, parts).mapInArrow(gather, "kind string, one long, two long, three long, four long, total long")
+    levels: list[list[int]] = []
+    for length in range(2, order):
+        step = only_keys if length == 2 else _written(folder, parts, n_words, list(levels), False)
+        found = {r["part"]: r["size"] for r in
+                 _counted(texts, folder, parts, sizes, list(levels)).mapInArrow(step, "part int, size long").collect()}  # a row per part
+        levels.append([found.get(p, 0) for p in range(parts)])
+    step = write if order == 2 else _written(folder, parts, n_words, list(levels), True)
+    made = _counted(texts, folder, parts, sizes, list(levels)).mapInArrow(step, _PARTS)
+    for below in range(len(levels), 0, -1):
+        made = _dealt(made, parts).mapInArrow(_continued(folder, parts, n_words, levels[:below]), _PARTS)
+    return _dealt(made, parts).mapInArrow(gather, "kind string, one long, two long, three long, four long, total long"), levels
 
 
 def discounts(one: int, two: int, three: int, four: int) -> list[float]:
@@ -318,24 +507,53 @@ def discounts(one: int, two: int, three: int, four: int) -> list[float]:
     return [min(max(d, 0.05), i) for d, (i, _, _) in zip(found, steps)]
 
 
-def trained(texts: DataFrame, parts: int | None = None) -> Model:
-    """The model of the rows (text) of ``texts``; null and empty texts train one end each."""
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs made and run inside leave no shuffle files behind when they end; the model's own files are all that is kept."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def trained(texts: DataFrame, parts: int | None = None, order: int = ORDER) -> Model:
+    """The model of the rows (text) of ``texts``; null and empty texts train one end each.
+
+    ``order`` is the longest n-gram's number of words, 2 or more; a text's first words have starts before them.
+    """
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = texts.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = _file_path(new_folder(spark, "kneser"))
     os.makedirs(folder, exist_ok=True)
+    with _freed(spark):
+        return _model(texts, folder, parts, order)
+
+
+def _model(texts: DataFrame, folder: str, parts: int, order: int) -> Model:
     found = {r["part"]: r for r in _word_counts(texts, folder, parts).collect()}  # a row per part
     sizes = [found[p]["size"] if p in found else 0 for p in range(parts)]
     if sum(sizes) >= 1 << 32:
         raise ValueError("more than 2^32 distinct words; widen the pair keys")
     tokens = sum(r["tokens"] for r in found.values())
-    sums = {k: [0] * 5 for k in ("pair", "word")}
+    sums, levels, high = {k: [0] * 5 for k in ("pair", "word")}, [], []
     if tokens:
-        for r in _pair_counts(texts, folder, parts, sizes).collect():
+        made, levels = _gram_counts(texts, folder, parts, sizes, order)
+        for r in made.collect():
             sums[r["kind"]] = [a + b for a, b in zip(sums[r["kind"]], (r["one"], r["two"], r["three"], r["four"], r["total"]))]
+        for length in range(3, order + 1):  # a few numbers of each part
+            names = (f"counts-of-{length}-{p}" for p in range(parts))
+            high.append(discounts(*sum((_map(folder, n, "<i8").astype(int) for n in names if os.path.exists(f"{folder}/{n}")), np.zeros(4, int)).tolist()))
+        if levels:
+            sizes_of = (os.path.getsize(f) // 8 if os.path.exists(f) else 0 for f in (f"{folder}/grams-{order}-{p}" for p in range(parts)))
+            levels.append(list(sizes_of))
     w = sums["word"]
     return Model(folder, parts, sizes, tokens, sums["pair"][4], discounts(*sums["pair"][:4]), discounts(*w[:4]),
-                 [w[0], w[1], w[4] - w[0] - w[1]])
+                 [w[0], w[1], w[4] - w[0] - w[1]], levels, high)
 
 
 class Scorer:
@@ -346,11 +564,13 @@ class Scorer:
         self.words = Words(model.folder, model.parts, model.sizes)
         self.counts = [_map(model.folder, f"word-counts-{p}", "<i8") if s else None for p, s in enumerate(model.sizes)]
         self.start = self.words.start
-        self.pairs, self.pair_counts, self.contexts, self.continuations = [], [], [], []
+        self.contexts, self.continuations = [], []
+        files = [f"{model.folder}/grams-2-{p}" for p in range(model.parts)]
+        self.levels = _levels(model.folder, model.levels or [[os.path.getsize(f) // 8 if os.path.exists(f) else 0 for f in files]], n)
+        self.gram_counts = [self._arrays(f"gram-counts-{g.length}", "<u4") for g in self.levels]
+        self.odd = [(self._arrays(f"odd-places-{g.length}", "<i8"), self._arrays(f"odd-contexts-{g.length}", "<u4"))
+                    for g in self.levels[1:]]
         for p in range(model.parts):
-            has = os.path.exists(f"{model.folder}/pairs-{p}")
-            self.pairs.append(_map(model.folder, f"pairs-{p}", "<u8") if has else np.zeros(0, "<u8"))
-            self.pair_counts.append(_map(model.folder, f"pair-counts-{p}", "<u4") if has else np.zeros(0, "<u4"))
             there = os.path.exists(f"{model.folder}/contexts-{p}")
             self.contexts.append(_map(model.folder, f"contexts-{p}", "<u4").reshape(-1, 4) if there else None)
             self.continuations.append(_map(model.folder, f"continuations-{p}", "<u4") if there else None)
@@ -377,28 +597,38 @@ class Scorer:
         part = np.searchsorted(self.range_first, ids, side="right") - 1
         return self._by_part(part, arrays, ids - self.range_first[part], columns)
 
-    def pair_count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct keys."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        part = _pair_part(keys, self.model.parts)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(self.model.parts + 1))
-        for p, have in enumerate(self.pairs):
-            mine = order[bounds[p]:bounds[p + 1]]
-            if len(mine) and len(have):
-                at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
-                out[mine] = np.where(have[at] == keys[mine], self.pair_counts[p][at], 0)
+    def _arrays(self, name: str, kind: str) -> list:
+        return [_map(self.model.folder, f"{name}-{p}", kind) if os.path.exists(f"{self.model.folder}/{name}-{p}") else None
+                for p in range(self.model.parts)]
+
+    def gram_count(self, level: int, places: np.ndarray) -> np.ndarray:
+        """Counts of n-grams by their places, 0 for -1."""
+        out, seen = np.zeros(len(places), dtype=np.int64), places >= 0
+        start = self.levels[level].start
+        part = np.searchsorted(start, places[seen], side="right") - 1
+        out[seen] = self._by_part(part, self.gram_counts[level], places[seen] - start[part])
+        return out
+
+    def context_stats(self, level: int, context: np.ndarray) -> np.ndarray:
+        """Total, and words that followed once, twice, more often, of contexts of two words or more; 0 for -1."""
+        out = np.zeros((len(context), 4), dtype=np.int64)
+        shorter, (places, stats) = self.levels[level - 1], self.odd[level - 1]
+        part = np.where(context < 0, -1, np.minimum(np.searchsorted(shorter.start, context, side="right") - 1, self.model.parts - 1))
+        for p in np.unique(part[part >= 0]):
+            mine = np.flatnonzero(part == p)
+            out[mine] = (1, 1, 0, 0)
+            if places[p] is not None and len(places[p]):
+                local = context[mine] - shorter.start[p]
+                at = np.minimum(np.searchsorted(places[p], local), len(places[p]) - 1)
+                here = places[p][at] == local
+                out[mine[here]] = stats[p].reshape(-1, 4)[at[here]]
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and log10 probability of each text."""
         m, n = self.model, self.model.words
         found = self.words.ids([words_of(t) for t in texts])
-        size = np.array([len(f) for f in found])
-        first = np.cumsum(np.r_[0, size[:-1]])
-        ids = np.concatenate(found)
-        context = np.r_[n, ids[:-1]]
-        context[first] = n
+        size, first, ids = np.array([len(f) for f in found]), _starts(found), np.concatenate(found)
         known = ids >= 0
 
         word, back = np.unique(ids, return_inverse=True)
@@ -410,25 +640,25 @@ class Scorer:
         low = np.maximum(cont - self.lower[np.minimum(cont, 3)], 0) / max(m.pairs, 1) + self.unseen
         prob = low[back]
 
-        asked = known & (context >= 0)
         if m.pairs:
-            keys = context[asked].astype(np.uint64) << np.uint64(32) | ids[asked].astype(np.uint64)
-            pair, pair_back = np.unique(keys, return_inverse=True)
-            times = np.zeros(len(ids), dtype=np.int64)
-            times[asked] = self.pair_count(pair)[pair_back]
-            ctx, ctx_back = np.unique(context, return_inverse=True)
-            stats = np.zeros((len(ctx), 4), dtype=np.int64)
-            stats[ctx >= 0] = self._of_range(ctx[ctx >= 0], self.contexts, 4)
-            total = stats[:, 0]
-            left = stats[:, 1:] @ np.array(m.pair_discount) / np.maximum(total, 1)
-            total, left = total[ctx_back], np.where(total > 0, left, 1.0)[ctx_back]
-            prob = np.maximum(times - self.discount[np.minimum(times, 3)], 0) / np.maximum(total, 1) + left * prob
+            for level, (context, places) in zip(range(len(self.levels)), _contexts(found, n, self.levels)):
+                times = self.gram_count(level, places)
+                ctx, ctx_back = np.unique(context, return_inverse=True)
+                if level:
+                    stats, discount = self.context_stats(level, ctx), np.r_[0.0, m.discounts[level - 1]]
+                else:
+                    stats, discount = np.zeros((len(ctx), 4), dtype=np.int64), self.discount
+                    stats[ctx >= 0] = self._of_range(ctx[ctx >= 0], self.contexts, 4)
+                total = stats[:, 0]
+                left = stats[:, 1:] @ discount[1:] / np.maximum(total, 1)
+                total, left = total[ctx_back], np.where(total > 0, left, 1.0)[ctx_back]
+                prob = np.maximum(times - discount[np.minimum(times, 3)], 0) / np.maximum(total, 1) + left * prob
         return (size, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first),
                 np.add.reduceat(np.log10(prob), first))
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """Every whole document under the model of the documents outside fold HELD.
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Every whole document under the model, of ``order`` words, of the documents outside fold HELD.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.  Null text counts as
     empty and has its end alone; without training rows every word has probability 1 / (0 + 1).  Repeated rows each give
@@ -436,7 +666,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     fold = fold_of(F.col("doc_id"), FOLDS)
     base = docs.select("doc_id", "text", (fold == HELD).alias("held_out"))
-    model = trained(base.where(~F.col("held_out")).select("text"))
+    model = trained(base.where(~F.col("held_out")).select("text"), order=order)
     mapped: dict[int, Scorer] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

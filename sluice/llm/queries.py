@@ -62,8 +62,8 @@ def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every whole text."""
-    return kneser.scored(documents(spark, sf_dir))
+    """Log probability of every whole text, each word after the two before it."""
+    return kneser.scored(documents(spark, sf_dir), kneser.QUERY_ORDER)
 
 
 @query
