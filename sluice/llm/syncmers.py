@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers over words (native DataFrame operations only).
 
 A run of K words is a closed syncmer if the smallest hash among its runs of S words is the first or the last of them.
-That depends on the run alone, so equal passages give equal anchors wherever they stand.  The fingerprint keeps the
-smallest WIDTH anchor hashes of a text, an unbiased sample of its set of anchors; two fingerprints are compared by the
-share of common values among the smallest values of their union.
+That depends on the run alone, so equal passages give equal anchors wherever they stand.  The fingerprint keeps every
+anchor of a text, its hash and its position, so it grows with the text.  Two fingerprints are compared by position:
+common anchors in a row that stand at one offset to each other form a run, and the heaviest chain of runs that follow
+each other in both texts counts, so passages in another order are less alike than passages in the same order.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import range_of
 
-K, S, WIDTH = 4, 2, 48
-_DIGITS = 8
+K, S = 4, 2
+_SOURCE, _LOW = 1 << 31, (1 << 31) - 1
 #: Rows that a range of ids holds on average; ranges are window partitions.
 RANGE_ROWS, MOST_RANGES = 2000, 8192
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: (position, hash) of every closed syncmer of ``text``; a text of fewer than K words is one anchor.
+    """Adds ``out``: (position, hash) of every closed syncmer of ``text``.
+
+    Two runs of K words in a row hold an anchor for sure; a text of at most K words also has each word as an anchor.
 
     Each step is a column of its own, so that the arrays are made once and not inside the loops that read them.
     """
@@ -37,31 +40,83 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
                       F.struct(i.alias("position"), run.alias("hash")))
 
     found = F.filter(F.transform(h, at), lambda a: a.isNotNull())
-    short = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(w).alias("hash")))
-    marks = F.when(n >= K, found).when(n > 0, short).otherwise(F.filter(short, lambda a: F.lit(False)))
+    single = F.transform(w, lambda x, i: F.struct(i.alias("position"), F.xxhash64(x).alias("hash")))
+    marks = F.when(n <= K, F.concat(found, single)).otherwise(found)
     return df.withColumn(out, marks).drop(words, inner)
 
 
-def fingerprint(marks: Column) -> Column:
-    """The WIDTH smallest distinct anchor hashes as hexadecimal digits; empty for a text without words."""
-    codes = F.transform(marks, lambda a: F.lower(F.substring(F.lpad(F.hex(a["hash"]), 16, "0"), 1, _DIGITS)))
-    return F.array_join(F.slice(F.array_sort(F.array_distinct(codes)), 1, WIDTH), "")
+def packed(marks: Column) -> Column:
+    """Each anchor as a long: 32 bits of the hash, then the position."""
+    return F.transform(marks, lambda a: F.shiftleft(F.shiftright(a["hash"], 32), 32).bitwiseOR(a["position"].cast("long")))
+
 
+def fingerprint(anchors: Column) -> Column:
+    """All packed anchors as 16 hexadecimal digits each, in the order of the text; empty for a text without words."""
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common anchors, 0 to 1; two empty fingerprints are alike."""
-    def codes(x: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(x) - _DIGITS + 1, F.lit(1)), F.lit(_DIGITS))
-        return F.when(x == "", F.array().cast("array<string>")).otherwise(
-            F.transform(starts, lambda i: F.substring(x, i, F.lit(_DIGITS))))
 
-    union = F.slice(F.array_sort(F.array_union(codes(a), codes(b))), 1, WIDTH)
-    both = F.array_intersect(union, F.array_intersect(codes(a), codes(b)))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.size(both) / F.greatest(F.size(union), F.lit(1)))
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: 0 to 1, the aligned share of the packed anchors of ``a`` and ``b``; two empty ones are alike.
+
+    With ``c`` anchors on the heaviest chain it is c / (anchors of a + anchors of b - c).  An anchor that a text repeats
+    is paired by its turn: the first with the first, the second with the second.  The chain is found in a time that
+    grows with the square of the number of runs, which edits leave small.
+    """
+    both, starts, pairs, cuts, runs, chain = (f"{out}_{x}" for x in ("both", "starts", "pairs", "cuts", "runs", "chain"))
+    x, first, pair, cut, run = (F.col(f"`{c}`") for c in (both, starts, pairs, cuts, runs))
+    left, right = F.col(f"`{a}`"), F.col(f"`{b}`")
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    hash_of = lambda v: F.shiftright(v, 32)
+    of_right = lambda v: v.bitwiseAND(F.lit(_SOURCE)) != 0
+    place = lambda v: v.bitwiseAND(F.lit(_LOW))
+    # Sorted by hash, then text, then position: each hash of both texts is one group.
+    df = df.withColumn(both, F.when(left == right, F.array().cast("array<long>")).otherwise(
+        F.sort_array(F.concat(left, F.transform(right, lambda v: v.bitwiseOR(F.lit(_SOURCE)))))))
+    # Where the right text's part of a common hash begins: its neighbour before is of the left text.
+    df = df.withColumn(starts, F.filter(numbers(F.size(x)), lambda i: (i > 0) & of_right(F.get(x, i)) & ~of_right(F.get(x, i - 1))
+                                        & (hash_of(F.get(x, i)) == hash_of(F.get(x, i - 1)))))
+
+    def back(i: Column) -> Column:
+        """How many of the left text hold the hash at ``i``, by doubling the reach until its front is found."""
+        same = lambda j: (j >= 0) & (hash_of(F.get(x, j)) == hash_of(F.get(x, i)))
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(31))))
+        return F.when(~same(i - 2), F.lit(1)).otherwise(F.aggregate(
+            steps, F.lit(0), lambda n, step: F.when((i >= n + step) & same(i - n - step), n + step).otherwise(n)))
+
+    def ahead(i: Column) -> Column:
+        same = lambda j: (j < F.size(x)) & (hash_of(F.get(x, j)) == hash_of(F.get(x, i)))
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(31))))
+        return F.when(~same(i + 1), F.lit(1)).otherwise(F.aggregate(
+            steps, F.lit(0), lambda n, step: F.when((F.size(x) - i >= n + step) & same(i + n + step - 1), n + step).otherwise(n)))
+
+    def paired(i: Column) -> Column:
+        n = back(i)
+        return F.transform(F.sequence(F.lit(0), F.least(n, ahead(i)) - 1), lambda k: F.shiftleft(place(F.get(x, i - n + k)), 32).bitwiseOR(place(F.get(x, i + k))))
+
+    # (position in a, position in b), by the position in a.
+    df = df.withColumn(pairs, F.sort_array(F.flatten(F.transform(first, paired))))
+    shift = lambda v: place(v) - hash_of(v)
+    df = df.withColumn(cuts, F.filter(numbers(F.size(pair)), lambda i: (i == 0) | (shift(F.get(pair, i)) != shift(F.get(pair, i - 1)))))
+
+    def run_of(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(cut, k + 1), F.size(pair))
+        return F.struct(place(F.get(pair, i)).alias("first"), place(F.get(pair, end - 1)).alias("last"), (end - i).cast("long").alias("weight"))
+
+    df = df.withColumn(runs, F.transform(cut, run_of))
+
+    def longer(chains: Column, r: Column) -> Column:
+        before = F.transform(F.filter(chains, lambda c: c["last"] < r["first"]), lambda c: c["weight"])
+        return F.concat(chains, F.array(F.struct(r["last"].alias("last"), (r["weight"] + F.coalesce(F.array_max(before), F.lit(0))).alias("weight"))))
+
+    none = F.array().cast("array<struct<last:long,weight:long>>")
+    df = df.withColumn(chain, F.coalesce(F.aggregate(run, none, longer, lambda cs: F.array_max(F.transform(cs, lambda c: c["weight"]))), F.lit(0)))
+    c = F.col(f"`{chain}`")
+    share = F.when(left == right, F.lit(1.0)).otherwise(c / F.greatest(F.size(left) + F.size(right) - c, F.lit(1)))
+    return df.withColumn(out, share).drop(both, starts, pairs, cuts, runs, chain)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, order, text, fingerprint) with text and fingerprint of the next row by ascending id.
+    """Rows (doc_id, order, text, packed anchors) with text and anchors of the next row by ascending id.
 
     Ids are cut into ranges at approximate quantiles; each range is a window partition, and the first row of every
     range also visits the range before it, so that no window spans the table.
@@ -87,11 +142,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     guest = F.struct(F.col("host").alias("range"), F.lit(True).alias("guest"), F.when(F.col("turn"), 1).otherwise(0).alias("late"))
     own = F.struct(F.col("range"), F.lit(False).alias("guest"), F.lit(0).alias("late"))
     visits = F.when(F.col("order") == F.col("order_min"), F.array(own, guest)).otherwise(F.array(own))
-    rows = rows.withColumn("to", F.explode(visits)).select("doc_id", "order", "text", "fingerprint", "to.*")
+    rows = rows.withColumn("to", F.explode(visits)).select("doc_id", "order", "text", "anchors", "to.*")
     # Repeated ids: the text's hash decides, so the next row is the same in every run.  A guest stands after all.
     window = Window.partitionBy("range").orderBy("guest", "late", "order", F.xxhash64("text"))
     return rows.withColumn("next_text", F.lead("text").over(window)).withColumn(
-        "next_fingerprint", F.lead("fingerprint").over(window)).where(~F.col("guest"))
+        "next_anchors", F.lead("anchors").over(window)).where(~F.col("guest"))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -101,16 +156,15 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     Rows with equal id are ordered by text.  An empty table gives no rows.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    base = with_anchors(base, "text", "anchors").withColumn("fingerprint", fingerprint(F.col("anchors"))).drop("anchors")
+    base = with_anchors(base, "text", "marks").withColumn("anchors", packed(F.col("marks"))).drop("marks")
     near = with_next(base).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     keep = (F.col("n_chars") - cut).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), keep), F.substring(F.col("next_text"), F.lit(1), cut))
     near = near.withColumn("edited", edited)
-    near = with_anchors(near, "edited", "anchors")
-    near = near.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    near = near.withColumn("edited_fingerprint", fingerprint(F.col("anchors")))
+    near = near.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("text", "next_text")
+    near = with_anchors(near, "edited", "marks").withColumn("edited_anchors", packed(F.col("marks"))).drop("marks", "edited")
+    near = with_likeness(with_likeness(near, "anchors", "edited_anchors", "near_edited"), "anchors", "next_anchors", "near_next")
     return near.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("anchors")).alias("fingerprint"),
+        fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"), "near_edited", "near_next")
