@@ -39,10 +39,10 @@ def words_of(text: str | None) -> Iterator[list[bytes]]:
 class Searches:
     """Distinct windows of a block of benchmark items, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
+    def __init__(self, items: list[tuple[str | None, str | None]]):
         self.vocab: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], int] = {}
-        self.places: list[list[tuple[str, int]]] = []  # of each window: (item, word position)
+        self.places: list[list[tuple[str | None, int]]] = []  # of each window: (item, word position)
         for item, text in items:
             codes = [self.vocab.setdefault(w, len(self.vocab) + 1) for ws in words_of(text) for w in ws]
             for i in range(max(1, len(codes) - WINDOW + 1) if codes else 0):
@@ -133,7 +133,7 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _per_document(shard: Shard, searches: Searches) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+def _per_document(shard: Shard, searches: Searches) -> Iterator[tuple[int, list[tuple[int, int]], list[str | None]]]:
     """(words, hit word runs, items) of each document of a shard."""
     window, position = shard.find(searches)
     hit = _covered(shard, searches.size[window], position)
@@ -142,13 +142,15 @@ def _per_document(shard: Shard, searches: Searches) -> Iterator[tuple[int, list[
     bounds = np.searchsorted(pairs // count, np.arange(len(shard.sizes) + 1))
     for d, n in enumerate(shard.sizes.tolist()):
         mine = pairs[bounds[d]:bounds[d + 1]] % count
-        items = sorted({i for w in mine.tolist() for i, _ in searches.places[w]})
+        found = {i for w in mine.tolist() for i, _ in searches.places[w]}
+        items = [*sorted(found - {None}), *([None] if None in found else [])]
         yield n, _runs(hit[shard.first[d]:shard.first[d] + n]) if len(mine) else [], items
 
 
-def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
-    """How many blocks of bounded size the benchmark has, and one after another their items."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("id IS NOT NULL")
+def _blocks(benchmark: DataFrame, unnamed: bool = False) -> tuple[int, Iterator[list[tuple[str | None, str | None]]]]:
+    """How many blocks of bounded size the benchmark has, and one after another their items; ``unnamed`` ones if asked."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), "text")
+    rows = rows if unnamed else rows.where("id IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = total // BLOCK_BYTES + 1
     parts = (rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) for k in range(count))
@@ -176,19 +178,22 @@ def _searched(docs: DataFrame, items: list, text_col: str, keep: list[str], sche
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, kinds)
 
 
-def _row(n: int, runs: list[tuple[int, int]], items: list[str]) -> tuple:
-    return n, sum(b - a for a, b in runs), len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
+def _row(n: int, runs: list[tuple[int, int]], items: list[str | None]) -> tuple:
+    named = ",".join(i for i in items if i is not None)
+    return n, sum(b - a for a, b in runs), len(items), hashlib.sha256(named.encode()).hexdigest()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text_col: str = "text",
+                 unnamed: bool = False) -> DataFrame:
     """``keep`` (the id) with n_words, n_hit, n_items, items_sha256 of every whole document.
 
-    Null and empty texts have no words.  Items without words have no window; null item ids are left aside.  Without
+    Null and empty texts have no words.  Items without words have no window.  Items with a null id are left aside, or,
+    if ``unnamed``, searched as one item, as the SQL does: counted in n_hit and n_items, not named in the digest.  Without
     items nothing is hit.  A benchmark beyond one block takes a pass per block, whose runs of hit words are united per
     row.  Repeated rows each give a row; an empty table gives none.
     """
     keep = keep or ["doc_id"]
-    count, blocks = _blocks(benchmark)
+    count, blocks = _blocks(benchmark, unnamed)
     if count == 1:
         return _searched(docs, next(blocks), text_col, keep, "n_words long, n_hit long, n_items long, items_sha256 string",
                          lambda shard, searches: (_row(*d) for d in _per_document(shard, searches)))
@@ -215,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
                 for r in runs:
                     np.add.at(hit, r[::2], 1)
                     np.add.at(hit, r[1::2], -1)
-                out.append(_row(n, _runs(np.cumsum(hit)[:n] > 0), sorted({i for x in items for i in x})))
+                out.append(_row(n, _runs(np.cumsum(hit)[:n] > 0), sorted({i for x in items for i in x}, key=lambda i: (i is None, i or ""))))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(k)) for k in (*keep, "copies")), *map(pa.array, zip(*out))],
                 names=[*keep, "copies", "n_words", "n_hit", "n_items", "items_sha256"])

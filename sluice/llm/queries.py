@@ -35,7 +35,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
-    found = decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 

@@ -63,6 +63,6 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     def work(d: DataFrame) -> DataFrame:
-        return decontaminate.contaminated(d, benchmark, keep=d.columns).where("n_hit = 0")
+        return decontaminate.contaminated(d, benchmark, keep=d.columns, unnamed=True).where("n_hit = 0")
 
     return shielded(docs, work)
