@@ -22,10 +22,10 @@ PER_RANGE = 24
 WHOLE_PART = 1 / 256
 
 
-def _splitters(rows: DataFrame, bytes_each: float, whole_groups: bool) -> list[tuple]:
-    """Keys at about every ``bytes_each`` bytes of ``rows``, from a sample that prefers large records."""
+def _splitters(rows: DataFrame, bytes_each: float, whole_groups: bool, turn: int = 0) -> list[tuple]:
+    """Keys at about every ``bytes_each`` bytes of ``rows``, from a sample that prefers large records; one for each turn."""
     share = F.col("size") * PER_RANGE / F.lit(float(bytes_each))
-    draw = F.pmod(F.xxhash64("key", "tie", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("key", "tie", F.lit("draw"), F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     weight = F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)
     sample = rows.select("key", "tie", weight.alias("weight")).where("weight > 0")
     if whole_groups:
@@ -60,14 +60,14 @@ def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     ranges = min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
     ideal = max(1.0, total / ranges)
 
-    cuts = _splitters(rows, ideal, whole_groups=True)
-    counted: list = []
-    for _ in range(4):  # an overfull range shrinks by the sample's factor each time; ties of one id stay together
+    cuts, turn = _splitters(rows, ideal, whole_groups=True), 0
+    while True:  # each turn but the last adds a cut, so what is counted last belongs to the cuts that stay
         placed = _with_range(rows, cuts)
         counted = sorted(placed.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
                          .collect(), key=lambda r: r["range"])
-        over = [r["range"] for r in counted if r["size"] > 4 * ideal]
-        finer = _splitters(placed.where(F.col("range").isin(over)), ideal, whole_groups=False) if over else []
+        over, turn = [r["range"] for r in counted if r["size"] > 4 * ideal], turn + 1
+        # An overfull range shrinks by the sample's factor each time; ties of one id stay together.
+        finer = _splitters(placed.where(F.col("range").isin(over)), ideal, whole_groups=False, turn=turn) if over else []
         more = sorted(set(cuts) | set(finer))
         if len(more) == len(cuts):
             break
