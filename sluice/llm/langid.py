@@ -26,7 +26,8 @@ def predicted(docs: DataFrame, model: subword.Model | None, text_col: str = "tex
 
     A text that is null or has no letter is ``und`` with score 0 and rejected; so is every text when nothing could be
     learned.  Otherwise the likeliest language (ties: the first in order) with its calibrated probability, rejected if
-    that lies below the limit under which only 1 in 1000 right predictions of the calibration rows fell.
+    that lies below the limit under which only 1 in 1000 right predictions of the calibration rows fell, or below 0.5 if
+    the limit is higher.  With two languages nothing with a letter is rejected, as the best one always has 0.5.
     """
     if model is None:
         return docs.withColumns({"lang_pred_": F.lit(UNKNOWN), "score_": F.lit(0.0), "rejected_": F.lit(True)})

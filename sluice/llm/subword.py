@@ -132,7 +132,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: lis
 
 
 def _calibrated(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Temperature of least log loss, and the score below which at most 1 in 1000 right predictions falls."""
+    """Temperature of least log loss, and the score below which at most 1 in 1000 right predictions falls, or 0.5 if less."""
     if not len(scores):
         return 1.0, 0.0
     heats = np.geomspace(0.05, 20, 61)
