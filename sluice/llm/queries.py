@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bytebpe, decontaminate, kneser, langid, quality, shards, simhash, suffixdedup, syncmers, tokencount
+from sluice.llm import bytebpe, decontaminate, dialogue, kneser, langid, quality, shards, simhash, suffixdedup, syncmers, tokencount
 from sluice.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.sharded(documents(spark, sf_dir), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and the digest of what the repair leaves."""
+    return dialogue.examined(dialogue.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
