@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bytebpe, decontaminate, dialogue, kneser, langid, quality, shards, simhash, suffixdedup, syncmers, tokencount
+from sluice.llm import bytebpe, decontaminate, dialogue, kneser, langid, quality, shards, simhash, suffixdedup, syncmers, tokencount, variants, vectors
 from sluice.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,15 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation, its cheapest repair and the digest of what the repair leaves."""
     return dialogue.examined(dialogue.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent words of all texts, with the spelling each is a variant of."""
+    return variants.variants(documents(spark, sf_dir))
+
+
+@query
+def op13_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
