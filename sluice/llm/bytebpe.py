@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import column, in_worker, slices
+from sluice.llm.common import column, give_back, in_worker, pieces
 
 #: Pre-tokens, transducer states and entry pairs that a worker remembers; beyond it starts anew.
 WORDS, STATES, PAIRS = 120_000, 100_000, 300_000
@@ -329,11 +329,9 @@ def encoded(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", t
         home = in_worker(__name__)
         fst = (home.loaded if lasting else home.read)(vocab, pattern)
         for batch in batches:
-            texts = column(batch, text_col)
-            for a, b in slices(texts):
-                ids = [fst.encode(t or "") for t in texts[a:b]]
+            for part, texts in pieces(batch, text_col):
+                ids = [fst.encode(t or "") for t in texts]
                 sizes = np.array([len(i) // 4 for i in ids])
-                part = batch.slice(a, b - a)
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").view("<i4"))
                 lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)] if with_ids else []
                 digests = [pa.array(list(map(f, ids))) for f in (lambda i: hashlib.sha256(i).hexdigest(), fst.decoded_digest)]
@@ -342,6 +340,7 @@ def encoded(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", t
                     names=[id_col, "n_tokens", *["token_ids"] * with_ids, "ids_sha256", "decoded_sha256"])
         if not lasting:
             fst.forget()
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     ids_kind = "token_ids array<int>, " if with_ids else ""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from importlib import import_module
 from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,19 +43,6 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts of about ``limit`` characters; one longer text stands alone."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if held and held + n > limit:
-            yield start, i
-            start, held = i, 0
-        held += n + 1
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def in_worker(module: str) -> ModuleType:
     """The module as the worker process itself holds it.
 
@@ -70,6 +60,30 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def pieces(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of a batch with their texts: about ``limit`` bytes each, one longer text alone.
+
+    Only the slice in hand becomes Python strings, however large the batch is.
+    """
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size.astype(np.int64) + 1)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        part = batch.slice(start, stop - start)
+        yield part, column(part, name)
+        start = stop
+
+
+def give_back() -> None:
+    """Hands memory that a worker has freed to the system, for jobs whose workers go on to other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def range_of(key: Column, splitters: list[tuple[int, ...]]) -> Column:
     """How many of the sorted ``splitters`` are at or below the struct of longs ``key``, by binary search in the row."""
     if not splitters:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sluice.llm.common import column, slices, widened
+from sluice.llm.common import column, pieces, widened
 
 #: Words in a window, text bytes of the benchmark in one block, bytes split into words at once.
 WINDOW, BLOCK_BYTES, PIECE = 10, 32 << 20, 1 << 20
@@ -164,11 +164,9 @@ def _searched(docs: DataFrame, items: list, text_col: str, keep: list[str], sche
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searches = block.value
         for batch in batches:
-            texts = column(batch, text_col)
-            for a, b in slices(texts):
-                shard = Shard([searches.code(t) for t in texts[a:b]], len(searches.vocab))
+            for part, texts in pieces(batch, text_col):
+                shard = Shard([searches.code(t) for t in texts], len(searches.vocab))
                 new = list(zip(*rows(shard, searches)))
-                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(part.schema.get_field_index(k)) for k in keep), *map(pa.array, new, types)],
                     names=kinds.names)

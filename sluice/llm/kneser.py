@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import column, fold_of, new_folder, slices
+from sluice.llm.common import fold_of, new_folder, pieces
 
 #: ORDER is what ``trained`` and ``scored`` take by themselves; the query asks for QUERY_ORDER.
 ORDER, QUERY_ORDER, FOLDS, HELD = 2, 3, 5, 1
@@ -244,9 +244,8 @@ def _word_counts(texts: DataFrame, folder: str, parts: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, known = _Tally(parts, lambda k: _top(k, parts)), _Hashes()
         for batch in batches:
-            values = column(batch, "text")
-            for a, b in slices(values, SLICE):
-                words = [w for t in values[a:b] for w in words_of(t)]
+            for _, values in pieces(batch, "text", SLICE):
+                words = [w for t in values for w in words_of(t)]
                 if len(known) > CACHE:
                     known.clear()
                 yield from tally.add(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
@@ -352,9 +351,8 @@ def _counted(texts: DataFrame, folder: str, parts: int, sizes: list[int], levels
         bits = _bits(len(levels) + 2, n_words, last)
         tally = _Tally(parts, lambda k: _gram_part(last, bits, parts, k))
         for batch in batches:
-            values = column(batch, "text")
-            for a, b in slices(values, SLICE):
-                found = words.ids([words_of(t) for t in values[a:b]])
+            for _, values in pieces(batch, "text", SLICE):
+                found = words.ids([words_of(t) for t in values])
                 *_, (context, _) = _contexts(found, n_words, shorter)
                 yield from tally.add(_keys(context, np.concatenate(found), bits))
         yield from tally.send()
@@ -672,12 +670,10 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = mapped.setdefault(0, Scorer(model))
         for batch in batches:
-            texts = column(batch, "text")
-            for a, b in slices(texts, SLICE):
-                part = batch.slice(a, b - a)
-                size, known, low, score = scorer.score(texts[a:b])
+            for part, texts in pieces(batch, "text", SLICE):
+                size, known, low, score = scorer.score(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(size), pa.array(known), pa.array([model.tokens] * (b - a), pa.int64()),
+                    [part.column(0), part.column(2), pa.array(size), pa.array(known), pa.array([model.tokens] * len(texts), pa.int64()),
                      pa.array(low), pa.array(score), pa.array(10 ** (-score / size))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 

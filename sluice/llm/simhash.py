@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import column, parked, slices, widened
+from sluice.llm.common import parked, pieces, widened
 
 BITS, BLOCKS, WITHIN, SEED, SHINGLE = 64, 4, 2, 42, 3
 #: Children of an index node, and (query, node) pairs held at once.
@@ -55,10 +55,8 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "finge
     """All columns of ``docs`` and ``out``, the fingerprint as a signed long; null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column(batch, text_col)
-            for a, b in slices(texts):
-                codes = np.array([fingerprint(t) for t in texts[a:b]], dtype=np.uint64).view(np.int64)
-                part = batch.slice(a, b - a)
+            for part, texts in pieces(batch, text_col):
+                codes = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codes)], names=[*part.schema.names, out])
 
     return docs.mapInArrow(run, widened(docs, f"{out} long"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import column, slices, widened
+from sluice.llm.common import column, give_back, pieces, widened
 
 #: Labelled rows used for training at most (drawn by a hash of the id), and the part of them that calibrates.
 SAMPLE, CALIBRATE = 6000, 0.2
@@ -161,7 +161,7 @@ def fitted(rows: DataFrame, id_col: str, text_col: str, label_col: str, fold: bo
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counts_of(t, fold) for t in column(batch, "text")]
+            found = [counts_of(t, fold) for _, texts in pieces(batch, "text") for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()),
                  pa.array([f[1].tobytes() for f in found], pa.binary())], names=["id", "label", "ids", "shares"])
@@ -244,12 +244,13 @@ def scored(docs: DataFrame, model: Model, text_col: str, fold: bool, add: str, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = made.setdefault(0, Scorer(shared.value, fold))
         for batch in batches:
-            texts = column(batch, text_col)
-            for a, b in slices(texts):
-                part = batch.slice(a, b - a)
-                more = fill(scorer, texts[a:b])
+            for part, texts in pieces(batch, text_col):
+                more = fill(scorer, texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, more)],
                                                  names=[*part.schema.names, *(x.split()[0] for x in add.split(", "))])
+        made.clear()
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, widened(docs, add))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import column, parked, slices
+from sluice.llm.common import column, give_back, parked, pieces
 
 LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
@@ -84,8 +84,8 @@ def merged_repeats(shards: list[list[bytes]], length: int = LENGTH) -> list[tupl
     return sorted(found)
 
 
-def anchors(raw: bytes, start: int = 0) -> Iterator[tuple[int, int, int, int]]:
-    """(GRAM hash, position, smallest and largest distance to a window start) of the anchors of one piece of text."""
+def anchors(raw: bytes, start: int = 0) -> tuple[np.ndarray, ...]:
+    """GRAM hashes, positions, smallest and largest distances to a window start, of the anchors of one piece of text."""
     data = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64) * _A
     data ^= data >> np.uint64(29)
     size = 1
@@ -106,8 +106,7 @@ def anchors(raw: bytes, start: int = 0) -> Iterator[tuple[int, int, int, int]]:
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:], len(at)] - 1
     where = at[first]
-    code = data[where].view(np.int64)
-    yield from zip(code.tolist(), (where + start).tolist(), (where - last).tolist(), (where - first).tolist())
+    return data[where].view(np.int64), where + start, where - last, where - first
 
 
 def _pieces(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -116,35 +115,41 @@ def _pieces(raw: bytes) -> Iterator[tuple[int, bytes]]:
         yield start, raw[start:start + PIECE + LENGTH - 1]
 
 
-def _place(position: int, near: int, far: int) -> int:
+def _place(position: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
     return position << 16 | near << 8 | far
 
 
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of a shard.  Members with equal surroundings are decided at once (kind 1); one of them goes on (kind 0)."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        refs, texts = column(batch, "ref"), column(batch, "text")
-        for a, b in slices(texts):
-            members: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for ref, text in zip(refs[a:b], texts[a:b]):
+        for part, texts in pieces(batch, "text"):
+            held: list[tuple[np.ndarray, ...]] = []  # arrays of each piece: core, span, ref, place
+            for ref, text in zip(column(part, "ref"), texts):
                 raw = (text or "").encode()
-                for start, part in _pieces(raw):
-                    for code, p, near, far in anchors(part, start):
-                        span = xxhash.xxh3_64_intdigest(raw[p - far:p - near + LENGTH], near << 8 | far)
-                        members[code, span].append((ref, _place(p, near, far)))
-            core = [c for c, _ in members]
-            span = np.array([s for _, s in members], dtype=np.uint64).view(np.int64)
-            ref, place = ([m[0][i] for m in members.values()] for i in (0, 1))
-            many = [len(m) > 1 for m in members.values()]
-            yield _anchor_rows(0, core, span, ref, place, many)
-            more = [(r, p) for m in members.values() if len(m) > 1 for r, p in m]
-            zero = [0] * len(more)
-            yield _anchor_rows(1, zero, zero, [r for r, _ in more], [p for _, p in more], [True] * len(more))
-
-
-def _anchor_rows(kind: int, core, span, ref, place, many) -> pa.RecordBatch:
+                for start, piece in _pieces(raw):
+                    code, p, near, far = anchors(piece, start)
+                    seeds, begin, end = near << 8 | far, p - far, p - near + LENGTH
+                    span = np.fromiter(map(digest, map(raw.__getitem__, map(slice, begin.tolist(), end.tolist())), seeds.tolist()),
+                                       dtype=np.uint64, count=len(p))
+                    held.append((code, span.view(np.int64), np.full(len(p), ref), _place(p, near, far)))
+            if not held:
+                continue
+            core, span, ref, place = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((span, core))
+            core, span, ref, place = core[order], span[order], ref[order], place[order]
+            first = np.flatnonzero(np.r_[True, (core[1:] != core[:-1]) | (span[1:] != span[:-1])])
+            many = np.diff(np.r_[first, len(core)]) > 1
+            yield _anchor_rows(0, core[first], span[first], ref[first], place[first], many)
+            inside = np.repeat(many, np.diff(np.r_[first, len(core)]))
+            zero = np.zeros(int(inside.sum()), dtype=np.int64)
+            yield _anchor_rows(1, zero, zero, ref[inside], place[inside], np.ones(len(zero), dtype=bool))
+    give_back()
+
+
+def _anchor_rows(kind: int, core: np.ndarray, span: np.ndarray, ref: np.ndarray, place: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(core), pa.int32()), *(pa.array(x, pa.int64()) for x in (core, span, ref, place)), pa.array(many, pa.bool_())],
+        [pa.array(np.full(len(core), kind, dtype=np.int32)), *(pa.array(x, pa.int64()) for x in (core, span, ref, place)), pa.array(many, pa.bool_())],
         names=["kind", "core", "span", "ref", "place", "many"])
 
 
@@ -189,11 +194,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _surroundings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the open members and partners of each text."""
     for batch in rows:
-        texts = column(batch, "text")
-        refs, needs = column(batch, "ref"), column(batch, "needs")
-        for a, b in slices(texts, 1 << 20):
+        for part, texts in pieces(batch, "text", 1 << 20):
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for ref, text, need in zip(refs[a:b], texts[a:b], needs[a:b]):
+            for ref, text, need in zip(column(part, "ref"), texts, column(part, "needs")):
                 raw = text.encode()
                 for x in need:
                     p, near, far = x["place"] >> 16, x["place"] >> 8 & 255, x["place"] & 255
@@ -346,14 +349,15 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, cuts in zip(column(batch, "text"), column(batch, "runs")):
-                raw = (text or "").encode()
-                left, spans = _cut(raw, cuts)
-                out.append((len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest()))
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([ids.field(0), *map(pa.array, zip(*out))],
-                                             names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for part, texts in pieces(batch, "text"):
+                out = []
+                for text, cuts in zip(texts, column(part, "runs")):
+                    raw = (text or "").encode()
+                    left, spans = _cut(raw, cuts)
+                    out.append((len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest()))
+                ids = part.column(part.schema.get_field_index("doc_id")).flatten()[0]
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, zip(*out))],
+                                                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return keyed.join(runs, "ref", "left").select("doc_id", "ref", "text", "runs").mapInArrow(
@@ -373,15 +377,17 @@ def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cuts = column(batch, "text"), column(batch, "runs")
-            new = [_cut(t.encode(), c)[0].decode("utf-8", "ignore") if c else t for t, c in zip(texts, cuts)]
-            rows = batch.column(batch.schema.get_field_index("doc_id")).flatten()
-            rows.insert(of[text_col], pa.array(new, pa.string()))
-            if chars_col in of:
-                old = rows[of[chars_col]].to_pylist()
-                size = [len(n) if c else o for n, c, o in zip(new, cuts, old)]
-                rows[of[chars_col]] = pa.array(size, rows[of[chars_col]].type)
-            stays = pa.array([not c or n != "" for n, c in zip(new, cuts)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(rows, names=names).filter(stays)
+            for part, texts in pieces(batch, "text"):
+                cuts = column(part, "runs")
+                new = [_cut(t.encode(), c)[0].decode("utf-8", "ignore") if c else t for t, c in zip(texts, cuts)]
+                rows = part.column(part.schema.get_field_index("doc_id")).flatten()
+                rows.insert(of[text_col], pa.array(new, pa.string()))
+                if chars_col in of:
+                    old = rows[of[chars_col]].to_pylist()
+                    size = [len(n) if c else o for n, c, o in zip(new, cuts, old)]
+                    rows[of[chars_col]] = pa.array(size, rows[of[chars_col]].type)
+                stays = pa.array([not c or n != "" for n, c in zip(new, cuts)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(rows, names=names).filter(stays)
+        give_back()
 
     return keyed.join(runs, "ref", "left").select("doc_id", "ref", "text", "runs").mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import column, in_worker, slices
+from sluice.llm.common import in_worker, pieces
 
 #: Fixed values of the vocabulary's pre-tokenizer; the pattern itself is read from the file.
 _NONE = np.iinfo(np.int64).max
@@ -139,14 +139,12 @@ def counted(docs: DataFrame, vocab: str, limit: int = 2048, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = in_worker(__name__).loaded(vocab)
         for batch in batches:
-            texts = column(batch, text_col)
-            n_tokens: list[int] = []
-            for a, b in slices(texts):
-                n_tokens += merges.count(texts[a:b])
-            n_bytes = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(id_col)), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()),
-                 pa.array([n > limit for n in n_tokens], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            for part, texts in pieces(batch, text_col):
+                n_tokens = list(merges.count(texts))
+                n_bytes = [len(t.encode()) if t else 0 for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index(id_col)), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()),
+                     pa.array([n > limit for n in n_tokens], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import column, parked, slices
+from sluice.llm.common import column, parked, pieces
 
 #: Letters a word has at least, occurrences it needs, and how much more frequent its form has to be.
 LETTERS, OCCURRENCES, TIMES = 5, 3, 2
@@ -75,30 +75,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(lost), pa.string()), pa.array(list(lost.values()), pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for row in range(0, batch.num_rows, 256):  # a part of the batch becomes Python strings at a time
-            part = batch.slice(row, 256)
-            ids, texts = column(part, "id"), column(part, "text")
-            for a, b in slices(texts):
-                found, owners = [], []
-                for at in range(a, b):
-                    if texts[at]:
-                        runs = RUNS.findall(texts[at].encode().lower().decode())  # bytes: only A-Z change
-                        found.append(np.fromiter(map(words.__getitem__, runs), dtype=np.int64, count=len(runs)))
-                        owners.append(zlib.crc32(f"{ids[at]}:".encode()))
-                sizes, crcs = words.measured()
-                counts = np.r_[counts, np.zeros(len(sizes) - len(counts), dtype=np.int64)]
-                for owner, numbers in zip(owners, found):
-                    draw = _shifts(owner, sizes[numbers]) ^ crcs[numbers]
-                    hit = draw % DRAW == 0
-                    counts += np.bincount(numbers[~hit], minlength=len(counts))
-                    for number, h in zip(numbers[hit].tolist(), draw[hit].tolist()):
-                        word = words.words[number]
-                        at = h % len(word)
-                        word = word[:at] + word[at + 1:]
-                        lost[word] = lost.get(word, 0) + 1
-                if len(words.words) + len(lost) > CACHE:
-                    yield from flushed()
-                    words, counts, lost = _Vocabulary(), np.zeros(0, dtype=np.int64), {}
+        for part, texts in pieces(batch, "text"):
+            found, owners = [], []
+            for owner, text in zip(column(part, "id"), texts):
+                if text:
+                    runs = RUNS.findall(text.encode().lower().decode())  # bytes: only A-Z change
+                    found.append(np.fromiter(map(words.__getitem__, runs), dtype=np.int64, count=len(runs)))
+                    owners.append(zlib.crc32(f"{owner}:".encode()))
+            sizes, crcs = words.measured()
+            counts = np.r_[counts, np.zeros(len(sizes) - len(counts), dtype=np.int64)]
+            for owner, numbers in zip(owners, found):
+                draw = _shifts(owner, sizes[numbers]) ^ crcs[numbers]
+                hit = draw % DRAW == 0
+                np.add.at(counts, numbers[~hit], 1)
+                for number, h in zip(numbers[hit].tolist(), draw[hit].tolist()):
+                    word = words.words[number]
+                    at = h % len(word)
+                    word = word[:at] + word[at + 1:]
+                    lost[word] = lost.get(word, 0) + 1
+            if len(words.words) + len(lost) > CACHE:
+                yield from flushed()
+                words, counts, lost = _Vocabulary(), np.zeros(0, dtype=np.int64), {}
     yield from flushed()
 
 
