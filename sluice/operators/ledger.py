@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluice.functions.exprs import settle
-from sluice.operators import decide, fit as m
+from sluice.operators import commits, decide, fit as m
 from sluice.operators.align import in_series
 from sluice.operators.evaluate import origin_rows
 from sluice.session import durable
@@ -139,37 +138,47 @@ def append_absent(ledger: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
 
 
 def table_at(path: str, like: DataFrame) -> DataFrame:
-    """The rows filed under ``path``; none before the first append."""
-    spark = like.sparkSession
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], like.schema)
+    """The rows committed under ``path``; none before the first append."""
+    return commits.latest(like.sparkSession, path).rows(like.sparkSession, like.schema).select(*like.columns)
 
 
-def append_table(incoming: DataFrame, path: str, keys: list[str], session: str = "session") -> DataFrame:
+def month_of(session: str) -> Column:
+    """The partition of a row; rows without a session have one of their own."""
+    return F.coalesce(F.date_format(session, "yyyy-MM"), F.lit("none"))
+
+
+def append_table(incoming: DataFrame, path: str, keys: list[str], session: str = "session",
+                 writer: str | None = None, batch: int | None = None) -> DataFrame:
     """Append what the table at ``path`` lacks and tell what became of every incoming key.
 
     ``appended`` rows are new.  ``present`` ones are filed already just so, which
     makes a re-run append nothing.  A key that is filed with another row, or that
     arrives with different rows, is a ``conflict`` and changes nothing.  The table
-    is partitioned by month, and only the months that arrive are read.  Appends
-    to one table must not run side by side.
+    is partitioned by month, and only the months that arrive are read.  Appends may
+    run side by side: one commits first, the other decides anew over what it filed.
+    The ``batch`` of a ``writer`` is filed once; a repeated one is told as such.
+    The session has to be among the keys, since a key belongs to one month.
     """
-    month = F.date_format(session, "yyyy-MM")
-    rows = incoming.withColumn("month", month)
+    if session not in keys:
+        raise ValueError(f"{session} must be one of the keys")
+    spark, rows = incoming.sparkSession, incoming.withColumn("month", month_of(session))
     row = F.struct(*[c for c in incoming.columns if c not in keys])
     arriving = durable(rows.groupBy("month", *keys).agg(F.min(row).alias("r"), F.max(row).alias("q")))
-    filed = table_at(path, rows).join(F.broadcast(arriving.select("month").distinct()), "month", "left_semi")
-    filed = filed.select("month", *keys, row.alias("old"), F.lit(True).alias("known"))
+    months = {r["month"] for r in arriving.select("month").distinct().collect()}  # bounded by the calendar
+    same_keys = F.lit(True)
+    for k in ("month", *keys):
+        same_keys = same_keys & F.col(f"arriving.{k}").eqNullSafe(F.col(f"filed.{k}"))
     status = (F.when(~F.col("r").eqNullSafe(F.col("q")), "conflict").when(F.col("known").isNull(), "appended")
               .when(F.col("old").eqNullSafe(F.col("r")), "present").otherwise("conflict"))
-    decided = durable(arriving.join(filed, ["month", *keys], "left").withColumn("status", status))
-    fresh = decided.where("status = 'appended'").select("month", *keys, "r.*").select(*rows.columns)
-    fresh.repartition("month").write.mode("append").partitionBy("month").parquet(path)
-    return decided.select(*keys, "status")
+
+    def decide(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        known = filed.select("month", *keys, row.alias("old"), F.lit(True).alias("known")).alias("filed")
+        decided = durable(arriving.alias("arriving").join(known, same_keys, "left").select(
+            "arriving.*", "old", "known").withColumn("status", status))
+        return decided.where("status = 'appended'").select("month", *keys, "r.*").select(*rows.columns), decided.select(*keys, "status")
+
+    told = commits.append(spark, path, rows.schema, decide, months, writer, batch)
+    return arriving.select(*keys, F.lit("repeated").alias("status")) if told is None else told
 
 
 def append_status(ledger: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -206,6 +215,26 @@ def append_status(ledger: DataFrame, incoming: DataFrame, key: str) -> DataFrame
         "series_id", key, "old_id", F.col("artifact_id").alias("new_id"), "status")
 
 
+def file_artifacts(incoming: DataFrame, path: str, key: str = "effective_session") -> DataFrame:
+    """File the artifacts that continue the chains of the ledger at ``path``, and tell what became of each.
+
+    The status is that of ``append_status`` over what is filed; an artifact behind a broken or refused link of its
+    series is ``held_back``, since its own predecessor is not filed.  So a filed chain has no gap, also when two
+    deliveries run side by side: the second is judged over what the first has committed.
+    """
+    rows = incoming.withColumn("month", month_of(key))
+    before = in_series().orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+
+    def decide(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        told = append_status(filed, rows, key)
+        broken = F.max(F.col("status").isin("broken_chain", "training_back")).over(before)
+        told = durable(told.withColumn("status", F.when((F.col("status") == "new") & broken, "held_back").otherwise(F.col("status"))))
+        taken = told.where("status = 'new'").select("series_id", key, F.col("new_id").alias("artifact_id"))
+        return rows.join(taken, ["series_id", key, "artifact_id"], "left_semi").dropDuplicates(["series_id", key]), told
+
+    return commits.append(incoming.sparkSession, path, rows.schema, decide)
+
+
 def current_rows(ledger: DataFrame) -> DataFrame:
     """Rows no later record supersedes; absent references never enter the join."""
     gone = (ledger.where(F.col("supersedes").isNotNull())

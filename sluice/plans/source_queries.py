@@ -77,6 +77,29 @@ def log_table_rerun(spark, sf_dir):
     return every.groupBy("delivery", "status").agg(F.count("*").alias("keys")).join(F.broadcast(filed))
 
 
+@query("artifact_ledger_filed", with_ctes(ARTIFACTS, """
+e AS (SELECT series_id, effective_session AS es, block % 13 = 7 AS ed, lag(block) OVER (PARTITION BY series_id ORDER BY effective_session) % 13 = 7 AS after_ed, effective_session < DATE '1998-01-01' AS early FROM arts),
+f AS (SELECT series_id, min(CASE WHEN ed AND NOT early THEN es END) AS cut FROM e GROUP BY 1),
+g AS (SELECT e.*, cut, cut IS NULL OR es <= cut AS before, es = (SELECT min(es) FROM e x WHERE x.series_id = e.series_id AND x.es > cut) AS next FROM e JOIN f USING (series_id)),
+s AS (SELECT 1 AS delivery, series_id, 'new' AS status FROM g WHERE early
+  UNION ALL SELECT 2, series_id, CASE WHEN early AND ed THEN 'conflict' WHEN early THEN 'same' WHEN before THEN 'new' WHEN after_ed THEN 'broken_chain' ELSE 'held_back' END FROM g
+  UNION ALL SELECT 3, series_id, CASE WHEN es = cut THEN 'conflict' WHEN early OR before THEN 'same' WHEN next THEN 'broken_chain' ELSE 'held_back' END FROM g)""", """
+SELECT delivery, series_id, status, count(*) AS artifacts, (SELECT count(*) FROM g WHERE g.series_id = s.series_id AND (early OR before)) AS filed FROM s GROUP BY 1, 2, 3"""))
+def artifact_ledger_filed(spark, sf_dir):
+    """Three deliveries into one chained ledger: a part, all with some ids edited, all as they were."""
+    arts = durable(artifacts_of(spark, sf_dir).select(
+        "series_id", "block", "effective_session", "artifact_id", "prior_artifact_id", "training_end"))
+    other = F.sha2(F.concat("artifact_id", F.lit("edited")), 256)
+    edited = arts.withColumn("artifact_id", F.when(F.col("block") % 13 == 7, other).otherwise(F.col("artifact_id")))
+    path = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
+    early = arts.where("effective_session < DATE '1998-01-01'")
+    told = [ledger.file_artifacts(rows.drop("block"), path).withColumn("delivery", F.lit(k))
+            for k, rows in enumerate((early, edited, arts), 1)]
+    filed = ledger.table_at(path, arts.drop("block")).groupBy("series_id").agg(F.count("*").alias("filed"))
+    every = told[0].unionByName(told[1]).unionByName(told[2])
+    return every.groupBy("delivery", "series_id", "status").agg(F.count("*").alias("artifacts")).join(filed, "series_id")
+
+
 @query("write_once_records", with_ctes(PANEL, f"""
 r AS (SELECT 'input' AS kind, session FROM wk GROUP BY 2 UNION ALL SELECT 'forecast', session FROM wk GROUP BY 2 HAVING max({byte(13, 'session')}) < 200)""", f"""
 SELECT kind, CASE WHEN {byte(14, 'session')} < 24 THEN 'conflict' ELSE 'present' END AS status, count(*) AS records FROM r GROUP BY 1, 2"""))
