@@ -205,14 +205,15 @@ def tick_upsert(spark, sf_dir):
 
 
 @query("swing_alerts", with_ctes(TICKS, """
-po AS (SELECT instrument, session, CAST(lt AS DATE) AS day, (hour(lt)*12 + minute(lt)//5)::INT AS slot, last(px ORDER BY ts, event_id) AS px FROM tk GROUP BY 1, 2, 3, 4),
+po AS (SELECT instrument, session, CAST(lt AS DATE) AS day, (hour(lt)*12 + minute(lt)//5)::INT AS slot, last(px ORDER BY ts, event_id) AS px, strftime(max(lt) + INTERVAL 10 DAY + INTERVAL 12 HOUR, '%Y-%m') AS contract FROM tk GROUP BY 1, 2, 3, 4),
 pi AS (SELECT *, row_number() OVER (PARTITION BY instrument, session ORDER BY day, slot) AS i FROM po),
 br AS (SELECT instrument, session, coalesce(lag(close) OVER (PARTITION BY instrument ORDER BY session), open) AS base FROM bars),
-st AS (SELECT pi.instrument, pi.session, day, slot, px, i, (px - base)/base*100 AS swing, base AS ref FROM pi JOIN br ON br.instrument = pi.instrument AND br.session = pi.session WHERE i = 1
-  UNION ALL SELECT p.instrument, p.session, p.day, p.slot, p.px, p.i, (p.px - r.ref)/r.ref*100, r.ref FROM
-   (SELECT instrument, session, i, CASE WHEN abs(swing) >= 1.5 THEN round(px, 4) ELSE ref END AS ref FROM st) r
-   JOIN pi p ON p.instrument = r.instrument AND p.session = r.session AND p.i = r.i + 1)""", """
-SELECT instrument, session, day, slot, px, round(swing, 6) AS swing FROM st WHERE abs(swing) >= 1.5"""))
+st AS (SELECT pi.*, base, (px - base)/base*100 AS swing, NULL::DOUBLE AS ap, '' AS ac FROM pi JOIN br ON br.instrument = pi.instrument AND br.session = pi.session WHERE i = 1
+  UNION ALL SELECT instrument, session, day, slot, px, contract, i, base, (px - ref)/ref*100, ap, ac FROM (
+   SELECT p.*, r.base, r.ap, r.ac, CASE WHEN r.ac = p.contract THEN r.ap ELSE r.base END AS ref FROM
+    (SELECT instrument, session, i, base, CASE WHEN abs(swing) >= 1.5 THEN round(px, 4) ELSE ap END AS ap, CASE WHEN abs(swing) >= 1.5 THEN contract ELSE ac END AS ac FROM st) r
+    JOIN pi p ON p.instrument = r.instrument AND p.session = r.session AND p.i = r.i + 1))""", """
+SELECT instrument, session, day, slot, contract, px, round(swing, 6) AS swing FROM st WHERE abs(swing) >= 1.5"""))
 def swing_alerts(spark, sf_dir):
     ticks = ticks_of(spark, sf_dir)
     bars = rec.bar_context(rec.session_bars(ticks))

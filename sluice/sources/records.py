@@ -153,32 +153,46 @@ def upsert_ticks(ticks: DataFrame, stamp: Column) -> DataFrame:
 SWING_PCT = 1.5
 
 
+def traded_contract(st: Column) -> Column:
+    """The contract month quoted at a time of the session clock, which is seven hours ahead of the local one.
+
+    Quotes go over to the next month's contract at noon, eleven days before a month of
+    31 days ends: inside a session.
+    """
+    return F.date_format(st + F.expr("INTERVAL 10 DAYS 5 HOURS"), "yyyy-MM")
+
+
 def polls(ticks: DataFrame) -> DataFrame:
-    """Last quote of every five-minute slot, as the tracker polls it."""
+    """Last quote of every five-minute slot, as the tracker polls it, with the contract quoted then."""
     slot = F.floor(F.hour("lt") * 12 + F.minute("lt") / 5).cast("int")
+    contract = traded_contract(F.col("lt") + F.expr("INTERVAL 7 HOURS"))
     return ticks.groupBy("instrument", "session", F.to_date("lt").alias("day"), slot.alias("slot")).agg(
-        F.max_by("px", tick_order()).alias("px"))
+        F.max_by("px", tick_order()).alias("px"), F.max(contract).alias("contract"))
 
 
 def swing_alerts(polled: DataFrame, bars: DataFrame) -> DataFrame:
-    """Alerts at 1.5% from the last alert of the session, else from the prior close.
+    """Alerts at 1.5% from the last alert of the session and contract, else from the prior close.
 
-    A session has at most 288 polls, so its fold runs over one bounded array,
+    A contract that takes over inside a session starts from the prior close again.  A session has at most 288 polls, so its fold runs over one bounded array,
     and each (instrument, session) folds on its own.
     """
     ref = bars.select("instrument", "session", F.coalesce("prior_close", "open").alias("baseline"))
     g = polled.groupBy("instrument", "session").agg(
-        F.sort_array(F.collect_list(F.struct("day", "slot", "px"))).alias("p"))
+        F.sort_array(F.collect_list(F.struct("day", "slot", "px", "contract"))).alias("p"))
     g = g.join(ref, ["instrument", "session"])
-    entry = "struct<day: date, slot: int, px: double, swing: double>"
-    state = F.struct(F.col("baseline").alias("ref"), F.array().cast(f"array<{entry}>").alias("alerts"))
+    entry = "struct<day: date, slot: int, contract: string, px: double, swing: double>"
+    state = F.struct(F.lit(None).cast("double").alias("ref"), F.lit("").alias("contract"),
+                     F.array().cast(f"array<{entry}>").alias("alerts"))
 
     def step(acc: Column, p: Column) -> Column:
-        swing = (p["px"] - acc["ref"]) / acc["ref"] * 100
+        ref = F.when(acc["contract"] == p["contract"], acc["ref"]).otherwise(F.col("baseline"))
+        swing = (p["px"] - ref) / ref * 100
         hit = F.abs(swing) >= SWING_PCT
-        alert = F.struct(p["day"].alias("day"), p["slot"].alias("slot"), p["px"].alias("px"), swing.alias("swing"))
+        alert = F.struct(p["day"].alias("day"), p["slot"].alias("slot"), p["contract"].alias("contract"),
+                         p["px"].alias("px"), swing.alias("swing"))
         return F.struct(
             F.when(hit, F.round(p["px"], 4)).otherwise(acc["ref"]).alias("ref"),
+            F.when(hit, p["contract"]).otherwise(acc["contract"]).alias("contract"),
             F.when(hit, F.concat(acc["alerts"], F.array(alert))).otherwise(acc["alerts"]).alias("alerts"))
 
     folded = settle(g, a=F.aggregate("p", state, step, lambda acc: acc["alerts"]))
