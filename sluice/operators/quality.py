@@ -15,6 +15,9 @@ from sluice.operators.align import by_session, in_series
 from sluice.operators.ledger import GENESIS, micro
 
 # Fixed values of the validators.
+PRICES = ("driver", "response")
+#: Texts that count as a missing value, in any letter case.
+BLANKS = ("", "na", "n/a", "nan", "null", "none")
 MAX_GAP_DAYS, PRICE_LOW, PRICE_HIGH, MAX_JUMP = 7, 1.0, 10.0, 1.0
 MOVE_TOL, Z_TOL, CONTRACT_TOL, BASELINE_GAP = 0.011, 0.005, 0.00015, 0.05
 SHA = "^[0-9a-f]{64}$"
@@ -30,25 +33,50 @@ def history_violations(raw: DataFrame, cal: DataFrame) -> DataFrame:
     """Rules on a price file in the order it was written (``line_no``)."""
     file_order = in_series().orderBy("line_no")
     same_day = Window.partitionBy("series_id", "session")
-    priced = Window.partitionBy("series_id", F.col("driver").isNotNull()).orderBy("line_no")
+    before = file_order.rowsBetween(Window.unboundedPreceding, -1)
     days = cal.select(F.col("d").alias("session"), "is_holiday_alt")
     rows = (in_calendar(raw, "session").withColumn("copies", F.count("*").over(same_day))
             .withColumn("prev", F.lag("session").over(file_order))
-            .withColumn("prev_driver", F.lag("driver").over(priced))
+            .withColumns({f"prev_{p}": F.last(p, ignorenulls=True).over(before) for p in PRICES})
             .join(F.broadcast(days), "session", "left"))
     c = F.col
     trading = (F.weekday("session") < 5) & ~c("is_holiday_alt")
+    # Against the last line that has this price, however many lines lie between.
+    jumped = lambda p: F.abs(c(p) - c(f"prev_{p}")) > MAX_JUMP
     outside = lambda p: (p > 0) & ((p < PRICE_LOW) | (p > PRICE_HIGH))
     return violations(rows, ["series_id", "session"], {
         "duplicate_date": c("copies") > 1, "unsorted": c("session") < c("prev"),
         "gap_over_7_days": F.datediff("session", "prev") > MAX_GAP_DAYS,
         "not_positive": (c("driver") <= 0) | (c("response") <= 0),
         "out_of_bounds": outside(c("driver")) | outside(c("response")),
-        "jump_over_1": c("driver").isNotNull() & (F.abs(c("driver") - c("prev_driver")) > MAX_JUMP),
+        "jump_over_1": jumped("driver"), "response_jump_over_1": jumped("response"),
         "missing_on_trading_day": trading & c("driver").isNull(),
     })
 
 
+def file_violations(rows: DataFrame, file: str, session: str = "session", prices: tuple[str, ...] = PRICES) -> DataFrame:
+    """Rules on a price file as it was delivered, all of its columns text: (file, column, rule, lines).
+
+    A column that is not there is told and the others are checked all the same; a file without lines is ``empty_file``.
+    Blank values are missing, not wrong.  One pass, whatever the number of columns.
+    """
+    spark, there = rows.sparkSession, [c for c in (session, *prices) if c in rows.columns]
+    missing = spark.createDataFrame([(file, c, "missing_column", None) for c in (session, *prices) if c not in there],
+                                    "file string, column string, rule string, lines long")
+    text = lambda name: F.trim(F.col(f"`{name}`").cast("string"))
+    wrong: dict[str, Column] = {}
+    for c in there:
+        read = text(c).try_cast("date") if c == session else text(c).try_cast("double")
+        wrong[c] = F.count_if(~F.coalesce(F.lower(text(c)), F.lit("")).isin(*BLANKS) & read.isNull())
+    counted = rows.agg(F.count("*").alias("all"), *(n.alias(f"wrong_{i}") for i, n in enumerate(wrong.values())))
+    told = [F.struct(F.lit("*").alias("column"), F.lit("empty_file").alias("rule"),
+                     F.when(F.col("all") == 0, F.lit(0)).cast("long").alias("lines"))]
+    told += [F.struct(F.lit(c).alias("column"), F.lit("invalid_date" if c == session else "non_numeric").alias("rule"),
+                      F.nullif(F.col(f"wrong_{i}"), F.lit(0)).cast("long").alias("lines")) for i, c in enumerate(wrong)]
+    found = counted.select(F.lit(file).alias("file"), F.inline(F.array(*told))).where("lines IS NOT NULL")
+    return missing.unionByName(found)
+
+
 def parity_violations(raw: DataFrame) -> DataFrame:
     """Sessions on which some series have a driver and others do not."""
     g = raw.groupBy("session").agg(F.count("driver").alias("k"), F.count("*").alias("n"))

@@ -27,7 +27,7 @@ def by_rule(v, *keys):
 
 
 DIRTY = PANEL + f""",
-dr AS (SELECT series_id, session, CASE WHEN {B(11)} < 4 THEN NULL WHEN {B(12)} = 0 THEN -driver WHEN {B(12)} = 1 THEN driver + 9.5 WHEN {B(12)} = 2 THEN driver + 1.5 ELSE driver END AS driver, response,
+dr AS (SELECT series_id, session, CASE WHEN {B(11)} < 4 THEN NULL WHEN {B(12)} = 0 THEN -driver WHEN {B(12)} = 1 THEN driver + 9.5 WHEN {B(12)} = 2 THEN driver + 1.5 ELSE driver END AS driver, CASE WHEN {B(15)} = 3 THEN response + 1.25 WHEN {B(15)} = 4 THEN NULL ELSE response END AS response,
   (session - DATE '1990-01-01')*10 - CASE WHEN {B(13)} < 2 THEN 305 ELSE 0 END AS line0, CASE WHEN {B(10)} < 2 THEN 2 ELSE 1 END AS copies FROM panel
   WHERE NOT (series_id = 'F' AND session BETWEEN DATE '1998-03-02' AND DATE '1998-03-13')),
 dirty AS (SELECT series_id, session, driver, response, line0 + c AS line_no FROM dr, range(2) r(c) WHERE c < copies)"""
@@ -42,18 +42,21 @@ def dirty_history(spark, sf_dir):
               .otherwise(F.col("driver")))
     line = F.datediff("session", F.lit("1990-01-01").cast("date")) * 10 - F.when(b(13) < 2, 305).otherwise(0)
     copies = F.sequence(F.lit(0), F.when(b(10) < 2, 1).otherwise(0))
-    return p.select("series_id", "session", driver.alias("driver"), "response", line.alias("l"),
+    response = F.when(b(15) == 3, F.col("response") + 1.25).when(b(15) != 4, F.col("response"))
+    return p.select("series_id", "session", driver.alias("driver"), response.alias("response"), line.alias("l"),
                     F.explode(copies).alias("c")).withColumn("line_no", F.col("l") + F.col("c")).drop("l", "c")
 
 
 @query("history_violations", with_ctes(DIRTY, CAL, """
 a AS (SELECT *, count(*) OVER (PARTITION BY series_id, session) AS copies, lag(session) OVER (PARTITION BY series_id ORDER BY line_no) AS prev FROM dirty),
 pd AS (SELECT series_id, line_no, lag(driver) OVER (PARTITION BY series_id ORDER BY line_no) AS pdv FROM dirty WHERE driver IS NOT NULL),
-j AS (SELECT a.*, pdv, is_holiday_alt, dow FROM a LEFT JOIN pd USING (series_id, line_no) LEFT JOIN cal1 ON cal1.d = a.session),
+pr AS (SELECT series_id, line_no, lag(response) OVER (PARTITION BY series_id ORDER BY line_no) AS prv FROM dirty WHERE response IS NOT NULL),
+j AS (SELECT a.*, pdv, prv, is_holiday_alt, dow FROM a LEFT JOIN pd USING (series_id, line_no) LEFT JOIN pr USING (series_id, line_no) LEFT JOIN cal1 ON cal1.d = a.session),
 v AS (SELECT series_id, 'duplicate_date' AS rule FROM j WHERE copies > 1 UNION ALL SELECT series_id, 'unsorted' FROM j WHERE session < prev
   UNION ALL SELECT series_id, 'gap_over_7_days' FROM j WHERE session - prev > 7 UNION ALL SELECT series_id, 'not_positive' FROM j WHERE driver <= 0 OR response <= 0
   UNION ALL SELECT series_id, 'out_of_bounds' FROM j WHERE (driver > 0 AND (driver < 1 OR driver > 10)) OR (response > 0 AND (response < 1 OR response > 10))
-  UNION ALL SELECT series_id, 'jump_over_1' FROM j WHERE driver IS NOT NULL AND abs(driver - pdv) > 1 UNION ALL SELECT series_id, 'missing_on_trading_day' FROM j WHERE dow < 5 AND NOT is_holiday_alt AND driver IS NULL
+  UNION ALL SELECT series_id, 'jump_over_1' FROM j WHERE driver IS NOT NULL AND abs(driver - pdv) > 1 UNION ALL SELECT series_id, 'response_jump_over_1' FROM j WHERE response IS NOT NULL AND abs(response - prv) > 1
+  UNION ALL SELECT series_id, 'missing_on_trading_day' FROM j WHERE dow < 5 AND NOT is_holiday_alt AND driver IS NULL
   UNION ALL SELECT '*', 'mismatched_presence' FROM (SELECT session FROM dirty GROUP BY 1 HAVING count(driver) > 0 AND count(driver) < count(*)))""", """
 SELECT series_id, rule, count(*) AS violations FROM v GROUP BY 1, 2"""))
 def history_violations(spark, sf_dir):
@@ -62,6 +65,24 @@ def history_violations(spark, sf_dir):
     return by_rule(v.unionByName(ql.parity_violations(raw)), "series_id")
 
 
+@query("history_file_violations", with_ctes(PANEL, f"""
+t AS (SELECT CASE WHEN {B(13)} = 5 THEN '2020-13-45' ELSE CAST(session AS VARCHAR) END AS s, CASE WHEN {B(11)} = 5 THEN 'err' WHEN {B(11)} = 6 THEN ' N/A ' ELSE CAST(driver AS VARCHAR) END AS d,
+  CASE WHEN {B(12)} = 5 THEN '1.2.3' WHEN {B(12)} = 6 THEN '' ELSE CAST(response AS VARCHAR) END AS r FROM panel),
+v AS (SELECT 'whole' AS file, unnest(['session', 'driver', 'response']) AS "column", unnest(['invalid_date', 'non_numeric', 'non_numeric']) AS rule, unnest([count(*) FILTER (WHERE s = '2020-13-45'), count(*) FILTER (WHERE d = 'err'), count(*) FILTER (WHERE r = '1.2.3')]) AS lines FROM t
+  UNION ALL SELECT 'narrow', 'response', 'missing_column', NULL UNION ALL SELECT 'narrow', 'driver', 'non_numeric', count(*) FILTER (WHERE d = 'err') FROM t
+  UNION ALL SELECT 'narrow', 'session', 'invalid_date', count(*) FILTER (WHERE s = '2020-13-45') FROM t UNION ALL SELECT 'empty', '*', 'empty_file', 0)""", """
+SELECT file, "column", rule, lines::BIGINT AS lines FROM v WHERE lines IS NULL OR lines > 0 OR rule = 'empty_file'"""))
+def history_file_violations(spark, sf_dir):
+    """Three price files as text: one with unreadable values, one without a column, one without lines."""
+    as_text = lambda c: F.col(c).cast("string")
+    whole = durable(daily_panel(spark, sf_dir).select(
+        F.when(b(13) == 5, "2020-13-45").otherwise(as_text("session")).alias("session"),
+        F.when(b(11) == 5, "err").when(b(11) == 6, " N/A ").otherwise(as_text("driver")).alias("driver"),
+        F.when(b(12) == 5, "1.2.3").when(b(12) == 6, "").otherwise(as_text("response")).alias("response")))
+    return (ql.file_violations(whole, "whole").unionByName(ql.file_violations(whole.drop("response"), "narrow"))
+            .unionByName(ql.file_violations(whole.where("false"), "empty")))
+
+
 LOGV = LOG + f""",
 tl AS (SELECT * EXCLUDE (label, move, z, hike), {B(14)} AS tb,
   CASE WHEN {B(14)} = 0 THEN 'High confidence (99%) | p=0.6000' WHEN {B(14)} = 1 THEN 'High conviction' ELSE label END AS label,
