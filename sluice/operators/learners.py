@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, functions as F
 from sluice.functions.exprs import settle, spread
 from sluice.operators import fit as m, forecast as fc
 from sluice.operators.align import by_session, in_series
-from sluice.session import durable
 
 # Fixed values of the learners.
 HUBER_EPSILON, HUBER_ALPHA = 1.35, 1e-4
 RIDGE_ALPHA, CORRECTION_MIN = 10.0, 80
-GBT = {"maxIter": 60, "maxDepth": 2, "minInstancesPerNode": 30, "stepSize": 0.05}
+BOOST = {"trees": 60, "leaf": 30, "rate": 0.05}
+#: Bins of a feature in a window.
+BINS = 64
 FEATURES = ["x", "abs_x", "prior_basis", "prior_error", "prior_error_missing",
             "prior_20_std", "season_sin", "season_cos"]
 RUN = 64
@@ -111,32 +112,30 @@ def rolling_huber(train: DataFrame, window: int = fc.WINDOW, purge: int = fc.PUR
                       "intercept double, slope double, converged boolean, point double")
 
 
-def rolling_ridge(train: DataFrame, window: int = fc.WINDOW, purge: int = fc.PURGE) -> DataFrame:
-    """Baseline forecast plus a ridge correction learned from earlier errors."""
+#: From windows of features (origins x rows x features), earlier errors and their mask, and the features of the rows to
+#: correct: a correction for each.
+Corrector = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def rolling_correction(train: DataFrame, corrector: Corrector, window: int = fc.WINDOW, purge: int = fc.PURGE) -> DataFrame:
+    """Baseline forecast plus a correction learned anew at every origin from the earlier errors of its series.
+
+    One shuffle deals the rows to runs of origins; every row behind ``CORRECTION_MIN`` usable ones gets a point.
+    """
     feats = fc.causal_features(train).where("e_base IS NOT NULL AND prior_20_std IS NOT NULL AND prior_basis IS NOT NULL")
     feats = (feats.withColumn("first", F.row_number().over(by_session()))
              .withColumn("session_ord", F.col("ord")).withColumn("ord", F.col("first"))
              .withColumn("n", F.count("*").over(in_series())))
 
     def fit(pdf: pd.DataFrame, own: np.ndarray) -> pd.DataFrame:
-        ends = own - purge
         cols = pdf[FEATURES].to_numpy()
-        index = ends[:, None] + np.arange(-window, 0)
+        index = (own - purge)[:, None] + np.arange(-window, 0)
         mask = index >= 0
         keep = mask.sum(1) >= CORRECTION_MIN
         out = pdf.loc[own[keep], ["series_id", "session", "y", "p_base"]].copy()
-        index, w = np.clip(index[keep], 0, None), mask[keep].astype(float)
-        f, e = cols[index], pdf["e_base"].to_numpy()[index]
-        n = w.sum(1)
-        mean = (w[:, :, None] * f).sum(1) / n[:, None]
-        sd = np.sqrt((w[:, :, None] * (f - mean[:, None]) ** 2).sum(1) / n[:, None])
-        sd = np.where(sd > 1e-12, sd, 1.0)
-        z = (f - mean[:, None]) / sd[:, None] * w[:, :, None]
-        bar = (w * e).sum(1) / n
-        gram = np.einsum("oik,oil->okl", z, z) + RIDGE_ALPHA * np.eye(len(FEATURES))
-        beta = np.linalg.solve(gram, np.einsum("oik,oi->ok", z, e - bar[:, None])[:, :, None])[:, :, 0]
-        here = (cols[own[keep]] - mean) / sd
-        out["point"] = out["p_base"] + bar + (here * beta).sum(1)
+        index, mask = np.clip(index[keep], 0, None), mask[keep]
+        fixed = corrector(cols[index], pdf["e_base"].to_numpy()[index], mask, cols[own[keep]]) if keep.any() else np.empty(0)
+        out["point"] = out["p_base"] + fixed
         return out
 
     tagged = run_rows(feats, window, purge).select(
@@ -145,30 +144,94 @@ def rolling_ridge(train: DataFrame, window: int = fc.WINDOW, purge: int = fc.PUR
         per_run(fit), "series_id string, session date, y double, p_base double, point double")
 
 
-def boosted_correction(train: DataFrame, refit: int = 400, first: int = 240) -> DataFrame:
-    """Baseline plus a boosted correction along the history, pooled over series.
-
-    A model is fitted anew every ``refit`` rows of a series, on all rows that end
-    one purge row before, and scores the rows up to the next fit.  The number of
-    fits is bounded by the calendar, whatever the number of series.
+def ridge_corrections(f: np.ndarray, e: np.ndarray, mask: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Ridge regression on standardised features."""
+    w = mask.astype(float)
+    n = w.sum(1)
+    mean = (w[:, :, None] * f).sum(1) / n[:, None]
+    sd = np.sqrt((w[:, :, None] * (f - mean[:, None]) ** 2).sum(1) / n[:, None])
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    z = (f - mean[:, None]) / sd[:, None] * w[:, :, None]
+    bar = (w * e).sum(1) / n
+    gram = np.einsum("oik,oil->okl", z, z) + RIDGE_ALPHA * np.eye(f.shape[2])
+    beta = np.linalg.solve(gram, np.einsum("oik,oi->ok", z, e - bar[:, None])[:, :, None])[:, :, 0]
+    return bar + ((here - mean) / sd * beta).sum(1)
+
+
+def _bins(f: np.ndarray, mask: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin of every value of a window between BINS quantiles of its feature there, and of the values to correct."""
+    ordered = np.sort(np.where(mask[:, :, None], f, np.inf), axis=1)
+    at = mask.sum(1)[:, None] * np.arange(1, BINS) // BINS
+    edges = np.take_along_axis(ordered, np.repeat(at[:, :, None], f.shape[2], axis=2), axis=1)
+    codes, own = np.zeros(f.shape, dtype=np.int64), np.zeros(here.shape, dtype=np.int64)
+    for j in range(BINS - 1):
+        codes += f >= edges[:, None, j]
+        own += here >= edges[:, j]
+    return codes, own
+
+
+def _best_cuts(sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and last bin of the left side, of the cut that takes most squared error; bin BINS where none may be made.
+
+    ``sums`` and ``counts`` are (nodes, features, bins); of equal cuts the first counts.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    left, n_left = sums.cumsum(axis=2)[:, :, :-1], counts.cumsum(axis=2)[:, :, :-1]
+    total, n = sums.sum(axis=2)[:, :, None], counts.sum(axis=2)[:, :, None]
+    n_right = n - n_left
+    allowed = (n_left >= BOOST["leaf"]) & (n_right >= BOOST["leaf"])
+    gain = left ** 2 / np.maximum(n_left, 1) + (total - left) ** 2 / np.maximum(n_right, 1) - total ** 2 / np.maximum(n, 1)
+    gain = np.where(allowed & (gain > 1e-12), np.round(gain, 9), -1.0).reshape(len(sums), -1)
+    best = gain.argmax(axis=1)
+    possible = gain[np.arange(len(gain)), best] >= 0
+    return best // (BINS - 1), np.where(possible, best % (BINS - 1), BINS)
+
+
+def boosted_corrections(f: np.ndarray, e: np.ndarray, mask: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Boosted trees of depth 2 on histograms, of all windows at once.
+
+    A tree is three cuts a window: the sums of residuals by (window, feature, bin) give the first, the same sums by side
+    the other two.
+    """
+    origins, rows, features = f.shape
+    codes, own = _bins(f, mask, here)
+    w, each = mask.astype(float), np.arange(origins)
+    cell = (each[:, None, None] * features + np.arange(features)) * BINS + codes
+    cells = origins * features * BINS
+    point = (w * e).sum(1) / w.sum(1)
+    r = (e - point[:, None]) * w
+
+    def histogram(where: np.ndarray, values: np.ndarray, nodes: int) -> np.ndarray:
+        spread_out = np.broadcast_to(values[:, :, None], where.shape).ravel()
+        return np.bincount(where.ravel(), weights=spread_out, minlength=nodes * features * BINS).reshape(nodes, features, BINS)
+
+    whole = histogram(cell, w, origins)
+    for _ in range(BOOST["trees"]):
+        k, cut = _best_cuts(histogram(cell, r, origins), whole)
+        side = np.take_along_axis(codes, k[:, None, None], axis=2)[:, :, 0] > cut[:, None]
+        own_side = own[each, k] > cut
+        both = cell + side[:, :, None] * cells
+        k2, cut2 = _best_cuts(histogram(both, r, 2 * origins), histogram(both, w, 2 * origins))
+        k2, cut2 = k2.reshape(2, origins), cut2.reshape(2, origins)
+        node = side.astype(np.int64)
+        mine = np.take_along_axis(codes, k2[node, each[:, None]][:, :, None], axis=2)[:, :, 0]
+        leaf = each[:, None] * 4 + 2 * node + (mine > cut2[node, each[:, None]])
+        o = own_side.astype(np.int64)
+        own_leaf = each * 4 + 2 * o + (own[each, k2[o, each]] > cut2[o, each])
+        total, n = (np.bincount(leaf.ravel(), weights=v.ravel(), minlength=4 * origins) for v in (r, w))
+        value = BOOST["rate"] * total / np.maximum(n, 1)
+        r = (r - value[leaf]) * w
+        point = point + value[own_leaf]
+    return point
 
-    feats = fc.causal_features(train).where("e_base IS NOT NULL AND prior_20_std IS NOT NULL AND prior_basis IS NOT NULL")
-    rows = durable(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-        feats.withColumn("at", F.row_number().over(by_session()))))
-    last = rows.agg(F.max("at")).first()[0] or 0
-    out = None
-    for start in range(first, last, refit):
-        model = GBTRegressor(labelCol="e_base", predictionCol="fix", seed=1729, **GBT).fit(
-            rows.where(F.col("at") <= start - fc.PURGE))
-        part = model.transform(rows.where((F.col("at") > start) & (F.col("at") <= start + refit)))
-        part = part.select("series_id", "session", "y", "p_base", (F.col("p_base") + F.col("fix")).alias("point"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return rows.where("false").select("series_id", "session", "y", "p_base", F.col("p_base").alias("point"))
-    return out
+
+def rolling_ridge(train: DataFrame, window: int = fc.WINDOW, purge: int = fc.PURGE) -> DataFrame:
+    """Baseline forecast plus a ridge correction learned from earlier errors."""
+    return rolling_correction(train, ridge_corrections, window, purge)
+
+
+def boosted_correction(train: DataFrame, window: int = fc.WINDOW, purge: int = fc.PURGE) -> DataFrame:
+    """Baseline forecast plus a boosted correction learned from earlier errors, per series and origin."""
+    return rolling_correction(train, boosted_corrections, window, purge)
 
 
 LEARNERS = ("production", "prequential_360", "huber", "ridge", "boosted")

@@ -108,19 +108,81 @@ def test_pooled_huber_follows_the_common_line(spark):
     assert b == pytest.approx(0.7, abs=0.02) and len(rows) == 720
 
 
-def test_boosted_correction_refits_and_never_looks_ahead(spark, monkeypatch):
-    monkeypatch.setitem(ln.GBT, "maxIter", 4)
-    frame = synthetic(spark, 700)
-    whole = {r["session"]: r["point"] for r in ln.boosted_correction(train(spark, frame), 150, 150).collect()}
-    days = sorted(whole)
-    cut = days[len(days) // 2]
-    t = train(spark, frame)
-    part = {r["session"]: r["point"] for r in ln.boosted_correction(t.where(F.col("session") <= F.lit(cut)), 150, 150).collect()}
+def plain_boosting(f, e, here, trees, leaf, rate, bins):
+    """One window, loop by loop."""
+    n, features = f.shape
+    edges = [sorted(f[:, k])[n * j // bins] for k in range(features) for j in range(1, bins)]
+    code = lambda v, k: sum(v >= x for x in edges[k * (bins - 1):(k + 1) * (bins - 1)])
+    codes = [[code(row[k], k) for k in range(features)] for row in f]
+    own = [code(here[k], k) for k in range(features)]
+    point = sum(e) / n
+    r = [v - point for v in e]
+
+    def cut(rows):
+        best, found = 0.0, None
+        total = sum(r[i] for i in rows)
+        for k in range(features):
+            for b in range(bins - 1):
+                left = [i for i in rows if codes[i][k] <= b]
+                if len(left) < leaf or len(rows) - len(left) < leaf:
+                    continue
+                s = sum(r[i] for i in left)
+                gain = s * s / len(left) + (total - s) ** 2 / (len(rows) - len(left)) - total ** 2 / len(rows)
+                if gain > 1e-12 and round(gain, 9) > best:
+                    best, found = round(gain, 9), (k, b)
+        return found
+
+    def grown(rows, depth):
+        at = cut(rows) if depth else None
+        if at is None:
+            return sum(r[i] for i in rows) / len(rows)
+        sides = [[i for i in rows if (codes[i][at[0]] > at[1]) == s] for s in (False, True)]
+        return at, [grown(x, depth - 1) for x in sides]
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            (k, b), sides = tree
+            tree = sides[int(row[k] > b)]
+        return tree
+
+    for _ in range(trees):
+        tree = grown(range(n), 2)
+        r = [x - rate * value(tree, codes[i]) for i, x in enumerate(r)]
+        point += rate * value(tree, own)
+    return point
+
+
+def test_boosted_corrections_equal_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(ln, "BINS", 9)
+    monkeypatch.setattr(ln, "BOOST", {"trees": 7, "leaf": 12, "rate": 0.2})
+    rng = np.random.default_rng(5)
+    f = rng.normal(size=(6, 90, 3))
+    f[:, :, 1] = np.round(f[:, :, 1])  # ties
+    f[2, :, 2] = 1.0  # a feature without values to cut at
+    e = np.sin(2 * f[:, :, 0]) + f[:, :, 1] * (f[:, :, 2] > 0) + 0.1 * rng.normal(size=(6, 90))
+    mask = np.ones((6, 90), dtype=bool)
+    mask[3, :40] = False
+    mask[4, :70] = False  # too few rows for any cut
+    here = rng.normal(size=(6, 3))
+    got = ln.boosted_corrections(f, e, mask, here)
+    want = [plain_boosting(f[i][mask[i]], e[i][mask[i]], here[i], 7, 12, 0.2, 9) for i in range(6)]
+    assert got == pytest.approx(want, abs=1e-8)
+    assert got[4] == pytest.approx(e[4][mask[4]].mean())
+
+
+def test_boosted_correction_scores_every_origin_and_never_looks_ahead(spark, monkeypatch):
+    monkeypatch.setitem(ln.BOOST, "trees", 6)
+    t = train(spark, synthetic(spark, 560))
+    whole = {r["session"]: r["point"] for r in ln.boosted_correction(t).collect()}
+    ridge = {r["session"] for r in ln.rolling_ridge(t).collect()}
+    assert set(whole) == ridge and len(whole) > 250
+    cut = sorted(whole)[len(whole) // 2]
+    part = {r["session"]: r["point"] for r in ln.boosted_correction(t.where(F.col("session") <= F.lit(cut))).collect()}
     assert len(part) > 100 and all(whole[d] == pytest.approx(p, abs=1e-9) for d, p in part.items())
 
 
 def test_learners_meet_on_identical_dates(spark, monkeypatch):
-    monkeypatch.setitem(ln.GBT, "maxIter", 4)
+    monkeypatch.setitem(ln.BOOST, "trees", 4)
     rows = ln.learner_rows(train(spark, synthetic(spark, 760))).collect()
     assert rows and all(r[name]["point"] is not None for r in rows for name in ln.LEARNERS)
     assert all(0 < r[name]["p_up"] < 1 for r in rows for name in ln.LEARNERS)
