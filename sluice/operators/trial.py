@@ -25,26 +25,56 @@ def hhmm(ts: Column) -> Column:
     return F.date_format(ts, "HHmm")
 
 
+def known_at(log: DataFrame, history: DataFrame) -> DataFrame:
+    """``log`` with what the history held at ``captured_at``: the prior posting, and whether an outcome was on file.
+
+    The history is bitemporal: a row says what was recorded for a session at ``recorded_at``, and a later record of the
+    same session replaces it from then on.  ``h_driver`` is the newest record of the prior session, ``on_file`` tells
+    that some row of this or a later session was there already.
+    """
+    keys = ["series_id", "session"]
+    versions = history.select("series_id", F.col("session").alias("prior_session"), F.col("driver").alias("v_driver"), "recorded_at")
+    # A session has a few records; the newest one known at the capture is taken.
+    in_time = log.select(*keys, "prior_session", "captured_at").distinct().join(versions, ["series_id", "prior_session"])
+    prior = in_time.where("recorded_at <= captured_at").groupBy(*keys, "captured_at").agg(
+        F.max_by("v_driver", "recorded_at").alias("h_driver"))
+    # The earliest record of this session or of any later one, by one pass over the sessions of a series.
+    first = history.groupBy(*keys).agg(F.min("recorded_at").alias("first_record"))
+    asked = log.select(*keys).distinct()
+    back = Window.partitionBy("series_id").orderBy(F.desc("session"))
+    earliest = first.join(asked, keys, "full").withColumn("earliest", F.min("first_record").over(back)).select(*keys, "earliest")
+    return (log.join(prior, [*keys, "captured_at"], "left").join(earliest, keys, "left")
+            .withColumn("on_file", F.coalesce(F.col("earliest") <= F.col("captured_at"), F.lit(False))).drop("earliest"))
+
+
 def inputs(log: DataFrame, train: DataFrame, history: DataFrame) -> DataFrame:
-    """Sealed inputs with the first reason that makes one ineligible.
+    """Sealed inputs with the first reason that makes one ineligible, one row per (series, session).
 
-    ``log`` carries ``captured_at`` and ``recorded_baseline``.  Captures past
-    the deadline never happened and leave no row.
+    ``log`` carries ``captured_at``, ``recorded_baseline``, ``snapshot_at`` and the hashes of the runtime configuration
+    at the decision (``logged_config``) and at the capture (``runtime_config``); a session may have several rows, of
+    which exactly one must be live.  ``history`` carries ``recorded_at``.  Captures past the deadline never happened and
+    leave no row.
     """
     back = lambda k: F.lag("session", k).over(by_session())
     bounds = train.select("series_id", "session", (F.col("ord") - 1).alias("prior_pairs"),
                           back(NEEDED_PAIRS).alias("training_start"), back(1).alias("training_end"))
-    prior = history.select("series_id", F.col("session").alias("prior_session"), F.col("driver").alias("h_driver"))
-    rows = (log.where(hhmm(F.col("captured_at")) < DEADLINE)
-            .join(bounds, ["series_id", "session"]).join(prior, ["series_id", "prior_session"], "left"))
+    live = F.coalesce(F.col("prediction_source") == "live", F.lit(False))
+    same_session = Window.partitionBy("series_id", "session")
+    one = (log.withColumn("live_rows", F.count_if(live).over(same_session))
+           .withColumn("turn", F.row_number().over(same_session.orderBy(live.desc(), "captured_at"))).where("turn = 1").drop("turn"))
+    rows = known_at(one.where(hhmm(F.col("captured_at")) < DEADLINE), history).join(bounds, ["series_id", "session"])
     c = F.col
-    same = (c("baseline_source").isin(*decide.CALIBRATED_SOURCES) & settlement_based(c("settlement_source"))
-            & (hhmm(c("verdict_ts")) >= "1435") & (hhmm(c("verdict_ts")) < DEADLINE))
-    reason = (F.when(c("prediction_source") != "live", "no_live_row")
+    snapshot = ((F.to_date("snapshot_at") == c("session")) & (hhmm(c("snapshot_at")) >= "1330") & (hhmm(c("snapshot_at")) <= "1345")
+                & (c("snapshot_at") <= c("verdict_ts")) & (c("verdict_ts") <= c("captured_at")))
+    same = F.coalesce(c("baseline_source").isin(*decide.CALIBRATED_SOURCES) & settlement_based(c("settlement_source"))
+                      & (hhmm(c("verdict_ts")) >= "1435") & (hhmm(c("verdict_ts")) < DEADLINE) & snapshot, F.lit(False))
+    reason = (F.when(c("live_rows") != 1, "no_unique_live_row")
               .when(~same, "not_same_contract_verdict")
+              .when(c("on_file"), "outcome_on_file")
               .when(c("h_driver").isNull(), "prior_posting_missing")
               .when(F.abs(c("h_driver") - c("recorded_baseline")) > BASELINE_TOL, "baseline_differs")
-              .when(c("prior_pairs") < NEEDED_PAIRS, "insufficient_history"))
+              .when(c("prior_pairs") < NEEDED_PAIRS, "insufficient_history")
+              .when(~c("logged_config").eqNullSafe(c("runtime_config")), "config_changed"))
     return rows.withColumn("reason", reason).withColumn(
         "status", F.when(F.col("reason").isNull(), "eligible").otherwise("ineligible"))
 

@@ -18,6 +18,7 @@ from sluice.session import durable
 START = "1999-01-04"
 B = lambda i: byte(i, "series_id", "session")
 LB = lambda i: byte(i, "l.series_id", "l.session")
+TB = lambda i: byte(i, "t0.series_id", "t0.session")
 
 
 def b(i):
@@ -28,10 +29,14 @@ TRIAL = LOG + "," + HIST + "," + PREQ + "," + adapter_sql("weighted") + f""",
 t0 AS (SELECT l.*, verdict_ts + to_minutes({LB(16)} % 4) AS captured_at, baseline_price + CASE WHEN {LB(15)} < 4 THEN 0.001 ELSE 0.0 END::DOUBLE AS recorded_baseline,
   lag(session, 482) OVER w AS training_start0, lag(session) OVER w AS training_end0 FROM log l WINDOW w AS (PARTITION BY series_id ORDER BY session)),
 tb AS (SELECT series_id, session, lag(session, 482) OVER w AS training_start, lag(session) OVER w AS training_end FROM train WINDOW w AS (PARTITION BY series_id ORDER BY session)),
-t1 AS (SELECT t0.* EXCLUDE (training_start0, training_end0), tb.training_start, tb.training_end, h.driver AS h_driver FROM t0 JOIN tb USING (series_id, session)
-  LEFT JOIN hist h ON h.series_id = t0.series_id AND h.session = t0.prior_session WHERE t0.session >= DATE '{START}' AND strftime(captured_at, '%H%M') < '1600'),
-t2 AS (SELECT *, CASE WHEN prediction_source <> 'live' THEN 'no_live_row' WHEN NOT (baseline_source <> 'exchange_close' AND snapshot_based) THEN 'not_same_contract_verdict' WHEN h_driver IS NULL THEN 'prior_posting_missing'
-  WHEN abs(h_driver - recorded_baseline) > 0.000051 THEN 'baseline_differs' WHEN ord - 1 < 482 THEN 'insufficient_history' END AS reason FROM t1),
+hv AS (SELECT series_id, session, driver + CASE WHEN {B(22)} < 6 THEN 0.002 ELSE 0.0 END::DOUBLE AS driver, session + CASE WHEN {B(20)} < 4 THEN INTERVAL 14 HOUR WHEN {B(21)} < 4 THEN INTERVAL 79 HOUR ELSE INTERVAL 31 HOUR END AS recorded_at FROM hist
+  UNION ALL SELECT series_id, session, driver, session + INTERVAL 100 HOUR FROM hist WHERE {B(22)} < 6),
+t1 AS (SELECT t0.* EXCLUDE (training_start0, training_end0), tb.training_start, tb.training_end, prediction_source = 'live' AND {TB(17)} >= 4 AS unique_live, session + to_minutes(810 + {TB(18)} % 18) AS snapshot_at, {TB(19)} < 3 AS reconfigured,
+  (SELECT arg_max(h.driver, h.recorded_at) FROM hv h WHERE h.series_id = t0.series_id AND h.session = t0.prior_session AND h.recorded_at <= t0.captured_at) AS h_driver,
+  EXISTS (SELECT 1 FROM hv h WHERE h.series_id = t0.series_id AND h.session >= t0.session AND h.recorded_at <= t0.captured_at) AS on_file FROM t0 JOIN tb USING (series_id, session)
+  WHERE t0.session >= DATE '{START}' AND strftime(captured_at, '%H%M') < '1600'),
+t2 AS (SELECT *, CASE WHEN NOT unique_live THEN 'no_unique_live_row' WHEN NOT (baseline_source <> 'exchange_close' AND snapshot_based AND strftime(snapshot_at, '%H%M') BETWEEN '1330' AND '1345') THEN 'not_same_contract_verdict' WHEN on_file THEN 'outcome_on_file' WHEN h_driver IS NULL THEN 'prior_posting_missing'
+  WHEN abs(h_driver - recorded_baseline) > 0.000051 THEN 'baseline_differs' WHEN ord - 1 < 482 THEN 'insufficient_history' WHEN reconfigured THEN 'config_changed' END AS reason FROM t1),
 t3 AS (SELECT *, CASE WHEN reason IS NULL THEN 'eligible' ELSE 'ineligible' END AS status, captured_at + to_minutes({B(7)} % 20) AS computed_at, {B(8)} < 4 AS worker_failed, CASE WHEN move >= 0 THEN p ELSE 1.0::DOUBLE - p END AS p_up FROM t2),
 t4 AS (SELECT *, CASE WHEN status = 'ineligible' THEN 'ineligible' WHEN strftime(computed_at, '%H%M') >= '1600' THEN 'missed_deadline' WHEN worker_failed THEN 'failed' ELSE 'forecasted' END AS state FROM t3),
 t5 AS (SELECT t4.*, e.point AS shadow_point, e.p_up AS shadow_p_up, e.dir AS shadow_dir FROM t4 JOIN eo_weighted e USING (series_id, session)),
@@ -42,6 +47,15 @@ oc AS (SELECT *, abs(expected - actual) AS prod_abs_error, abs(ip - actual) AS i
   CASE WHEN dir = -1 THEN greatest(actual, 0) ELSE 0 END::DOUBLE AS prod_wrong_wait_cost, CASE WHEN idr = -1 THEN greatest(actual, 0) ELSE 0 END::DOUBLE AS itt_wrong_wait_cost FROM t6)"""
 
 
+def recorded_history(spark, sf_dir):
+    """The history with the time each row was recorded: mostly next morning, some at once or days late, some corrected later."""
+    at = lambda hours: F.to_timestamp_ntz(F.col("session").cast("string"), F.lit("yyyy-MM-dd")) + F.make_dt_interval(F.lit(0), hours)
+    h = gappy_history(spark, sf_dir)
+    first = h.withColumn("recorded_at", at(F.when(b(20) < 4, 14).when(b(21) < 4, 79).otherwise(31))).withColumn(
+        "driver", F.col("driver") + F.when(b(22) < 6, 0.002).otherwise(0.0))
+    return first.unionByName(h.where(b(22) < 6).withColumn("recorded_at", at(F.lit(100))))
+
+
 def forecasts_of(spark, sf_dir, sealed_huber=False):
     """Sealed inputs with forecast states and the challenger's numbers.
 
@@ -55,7 +69,12 @@ def forecasts_of(spark, sf_dir, sealed_huber=False):
            .withColumn("captured_at", F.col("verdict_ts") + minutes(16, 4))
            .withColumn("recorded_baseline", F.col("baseline_price") + F.when(b(15) < 4, 0.001).otherwise(0.0))
            .withColumn("p_up", F.when(F.col("move") >= 0, F.col("p")).otherwise(1.0 - F.col("p"))))
-    sealed = tr.inputs(log, train, gappy_history(spark, sf_dir))
+    # Some sessions were decided twice, some snapshots came early or late, some configurations changed before the capture.
+    log = log.withColumns({
+        "snapshot_at": F.to_timestamp_ntz(F.col("session").cast("string"), F.lit("yyyy-MM-dd")) + F.make_dt_interval(F.lit(0), F.lit(0), 810 + b(18) % 18),
+        "logged_config": F.col("artifact_id"), "runtime_config": F.when(b(19) < 3, F.sha2("artifact_id", 256)).otherwise(F.col("artifact_id")),
+        "twice": F.when(b(17) < 4, 2).otherwise(1)}).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("twice")))).drop("twice", "copy")
+    sealed = tr.inputs(log, train, recorded_history(spark, sf_dir))
     sealed = (sealed.withColumn("computed_at", F.col("captured_at") + minutes(7, 20))
               .withColumn("worker_failed", b(8) < 4)
               .withColumn("input_hash", F.sha2(F.concat_ws("|", "series_id", F.col("session").cast("string"), "artifact_id"), 256)))
