@@ -15,7 +15,7 @@ from sluice.plans.registry import query, with_ctes
 from sluice.plans.report_queries import HIST, gappy_history
 from sluice.session import durable
 
-START = "1999-01-04"
+START = "1996-07-01"
 B = lambda i: byte(i, "series_id", "session")
 LB = lambda i: byte(i, "l.series_id", "l.session")
 TB = lambda i: byte(i, "t0.series_id", "t0.session")
