@@ -23,7 +23,7 @@ def texts_of(df):
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {f"{k.split('_')[0]}_" for k in llm.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {f"{k.split('_')[0]}_" for k in llm.QUERIES}
     assert {*llm.QUERIES, "pipeline"} <= set(queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "repeated_passages", "decontamination", "tokens"]
 
