@@ -60,22 +60,24 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def pieces(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of a batch with their texts: about ``limit`` bytes each, one longer text alone.
-
-    Only the slice in hand becomes Python strings, however large the batch is.
-    """
+def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text each, one longer text alone."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size.astype(np.int64) + 1)
     start = 0
     while start < batch.num_rows:
         before = int(ends[start - 1]) if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        part = batch.slice(start, stop - start)
-        yield part, column(part, name)
+        yield batch.slice(start, stop - start)
         start = stop
 
 
+def pieces(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The slices with their texts: only the slice in hand becomes Python strings, however large the batch is."""
+    for part in slices(batch, name, limit):
+        yield part, column(part, name)
+
+
 def give_back() -> None:
     """Hands memory that a worker has freed to the system, for jobs whose workers go on to other stages."""
     pa.default_memory_pool().release_unused()

@@ -2,11 +2,11 @@
 
 Counting jobs shuffle packed arrays, not single rows: each task counts its own texts, cuts the sorted result by
 hash range and sends one array per range; the task of a range adds them up and writes its part of the model to the
-shared folder.  Words are 64-bit hashes; a word's id is its rank among all sorted hashes.  Pairs are (context id, word id),
+shared folder.  Words are 64-bit hashes, taken from a slice's bytes all at once; a word's id is its rank among all sorted hashes.  Pairs are (context id, word id),
 spread by a hash of the pair so that a frequent word's pairs lie in all parts.  An n-gram of three words or more is (place
 of its context among all n-grams one word shorter, word id) and lies in the part of its context, so every order is counted
 by one more shuffle of 64-bit keys.  The longest n-grams have raw counts, all shorter ones count the different words
-before them.  Scoring maps those files into memory and looks words and n-grams up by binary search.
+before them.  Counts are kept in a byte each, with the few larger ones apart.  Scoring maps those files into memory and looks words and n-grams up by binary search.
 
 The folder must be one that workers can open as files (a shared mount); pages are read as they are needed, so a
 worker's own memory does not grow with the model.
@@ -22,26 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fold_of, new_folder, pieces
+from sluice.llm.common import fold_of, new_folder, slices
+from sluice.llm.wordhash import hashed
 
 #: ORDER is what ``trained`` and ``scored`` take by themselves; the query asks for QUERY_ORDER.
 ORDER, QUERY_ORDER, FOLDS, HELD = 2, 3, 5, 1
-#: One end per text; white space cannot be part of a word.
-END = b" "
-#: Distinct n-grams that a task holds before it merges them, and words a worker remembers.
-HOLD, CACHE = 1 << 22, 300_000
+#: Distinct n-grams that a task holds before it merges them.
+HOLD = 1 << 22
 #: Text bytes counted or scored at once; larger slices repeat fewer look-ups.
 SLICE = 4 << 20
-_HASH_SEED, _PAIR_MIX = 0, np.uint64(0x9E3779B97F4A7C15)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, then the end."""
-    return [*(text or "").encode().lower().split(), END]
+_PAIR_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _file_path(uri: str) -> str:
@@ -62,7 +55,30 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
 
 def _map(folder: str, name: str, kind: str) -> np.ndarray:
     path = f"{folder}/{name}"
-    return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind)
+    return np.memmap(path, dtype=kind, mode="r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, dtype=kind)
+
+
+def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts in a byte each; those of 255 and more are also written with their places, in order."""
+    flat = counts.reshape(-1)
+    large = np.flatnonzero(flat >= 255)
+    _save(folder, f"{name}-large", np.stack([large, flat[large]], axis=1).astype("<i8"))
+    _save(folder, name, np.minimum(flat, 255).astype("u1"))
+
+
+class Counts:
+    """What ``_save_counts`` wrote, mapped into memory as rows of ``columns`` counts."""
+
+    def __init__(self, folder: str, name: str, columns: int):
+        self.rows = _map(folder, name, "u1").reshape(-1, columns)
+        self.large = _map(folder, f"{name}-large", "<i8").reshape(-1, 2)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.rows[at].astype(np.int64)
+        row, column = np.nonzero(out == 255)
+        if len(row):
+            out[row, column] = self.large[np.searchsorted(self.large[:, 0], at[row] * out.shape[1] + column), 1]
+        return out
 
 
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -157,6 +173,15 @@ def _top(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, with the places where it does, in order."""
+    if len(part):
+        order = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for mine in np.split(order, first[1:]):
+            yield int(part[mine[0]]), mine
+
+
 def _pair_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return _top((keys ^ keys >> np.uint64(29)) * _PAIR_MIX, parts)
 
@@ -181,80 +206,61 @@ class Model:
         return sum(self.sizes)
 
 
-class _Hashes(dict):
-    """Hashes of the words met so far."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = xxhash.xxh64_intdigest(word, _HASH_SEED)
-        return code
-
-
-class _Numbers(dict):
-    """Ids of the words met so far; a new word gets a number below -1 until all new ones are looked up together."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = -2 - len(self.new)
-        self.new.append(word)
-        return code
-
-
 class Words:
     """Ids of words, from the mapped arrays of sorted hashes."""
 
     def __init__(self, folder: str, parts: int, sizes: list[int]):
-        self.folder, self.parts = folder, parts
+        self.parts = parts
         self.start = np.cumsum([0, *sizes])
         self.hashes = [_map(folder, f"words-{p}", "<u8") if n else np.zeros(0, "<u8") for p, n in enumerate(sizes)]
-        self.known = _Numbers()
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of each hash, -1 where training never saw it."""
+        """Id of each of the sorted hashes, -1 where training never saw it."""
         out = np.full(len(hashes), -1, dtype=np.int64)
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        bounds = np.searchsorted(_top(hashes, self.parts), np.arange(self.parts + 1))
-        for p in range(self.parts):
-            mine, have = hashes[bounds[p]:bounds[p + 1]], self.hashes[p]
-            if len(mine) and len(have):
-                at = np.minimum(np.searchsorted(have, mine), len(have) - 1)
-                out[order[bounds[p]:bounds[p + 1]]] = np.where(have[at] == mine, at + self.start[p], -1)
+        for p, mine in _by_part(_top(hashes, self.parts)):
+            have = self.hashes[p]
+            if len(have):
+                at = np.minimum(np.searchsorted(have, hashes[mine]), len(have) - 1)
+                out[mine] = np.where(have[at] == hashes[mine], at + self.start[p], -1)
         return out
 
-    def ids(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        get = self.known.__getitem__
-        out = [np.fromiter(map(get, ws), dtype=np.int64, count=len(ws)) for ws in words]
-        if self.known.new:
-            new, self.known.new = self.known.new, []
-            found = self.look_up(np.fromiter((xxhash.xxh64_intdigest(w, _HASH_SEED) for w in new), dtype=np.uint64, count=len(new)))
-            self.known.update(zip(new, found.tolist()))
-            for ids in out:
-                open_ = ids < -1
-                ids[open_] = found[-2 - ids[open_]]
-        return out
+    def read(self, texts: pa.Array) -> Tokens:
+        codes, sizes = hashed(texts)
+        codes, at = np.unique(codes, return_inverse=True)
+        return Tokens(self.look_up(codes), at, sizes)
+
+
+@dataclass
+class Tokens:
+    """Words and ends of some texts: the different ids, which of them each token has, and each text's number of tokens."""
+
+    different: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.different[self.at]
+
+    @property
+    def first(self) -> np.ndarray:
+        """Where each text begins."""
+        return np.cumsum(self.sizes) - self.sizes
 
 
 def _word_counts(texts: DataFrame, folder: str, parts: int) -> DataFrame:
     """First job: sorted word hashes and their counts; gives (part, size, tokens)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, known = _Tally(parts, lambda k: _top(k, parts)), _Hashes()
+        tally = _Tally(parts, lambda k: _top(k, parts))
         for batch in batches:
-            for _, values in pieces(batch, "text", SLICE):
-                words = [w for t in values for w in words_of(t)]
-                if len(known) > CACHE:
-                    known.clear()
-                yield from tally.add(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+            for part in slices(batch, "text", SLICE):
+                yield from tally.add(hashed(part.column("text"))[0])
         yield from tally.send()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, keys, counts in _received(batches):
             _save(folder, f"words-{part}", keys.astype("<u8"))
-            _save(folder, f"word-counts-{part}", counts[0].astype("<i8"))
+            _save_counts(folder, f"word-counts-{part}", counts[0])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts[0].sum())], pa.int64())],
                 names=["part", "size", "tokens"])
@@ -262,11 +268,6 @@ def _word_counts(texts: DataFrame, folder: str, parts: int) -> DataFrame:
     return _dealt(texts.mapInArrow(count, _PARTS), parts).mapInArrow(write, "part int, size long, tokens long")
 
 
-def _starts(found: list[np.ndarray]) -> np.ndarray:
-    """Where each text begins among all ids."""
-    return np.cumsum([0, *map(len, found[:-1])])
-
-
 class Grams:
     """N-grams of ``length`` words in mapped arrays of sorted keys; a gram's place counts over all parts."""
 
@@ -279,23 +280,23 @@ class Grams:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each of the sorted distinct keys, -1 where training never saw it."""
         out = np.full(len(keys), -1, dtype=np.int64)
-        part = _gram_part(self.shorter, self.bits, self.parts, keys)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
-        for p, have in enumerate(self.keys):
-            mine = order[bounds[p]:bounds[p + 1]]
-            if len(mine) and len(have):
+        for p, mine in _by_part(_gram_part(self.shorter, self.bits, self.parts, keys)):
+            have = self.keys[p]
+            if len(have):
                 at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
                 out[mine] = np.where(have[at] == keys[mine], at + self.start[p], -1)
         return out
 
-    def places(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Place of each (context, word), -1 if either or both together are unknown."""
-        out = np.full(len(ids), -1, dtype=np.int64)
+    def places(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Different places, the last of them -1, and which of them each (context, word) has.
+
+        The place is -1 if either or both together are unknown.
+        """
         asked = (context >= 0) & (ids >= 0)
         keys, back = np.unique(_keys(context[asked], ids[asked], self.bits), return_inverse=True)
-        out[asked] = self.find(keys)[back]
-        return out
+        at = np.full(len(ids), len(keys), dtype=np.int64)
+        at[asked] = back
+        return np.r_[self.find(keys), -1], at
 
 
 def _bits(length: int, words: int, shorter: Grams | None) -> np.uint64:
@@ -326,19 +327,30 @@ def _levels(folder: str, sizes: list[list[int]], words: int) -> list[Grams]:
     return out
 
 
-def _contexts(found: list[np.ndarray], words: int, levels: list[Grams]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n-grams of 2 words, 3 words, ...: each word's context, and the n-gram's own place among ``levels``.
+@dataclass
+class Step:
+    """N-grams of one length: different contexts and which of them each token has, then the same of their own places."""
+
+    contexts: np.ndarray
+    context_at: np.ndarray
+    places: np.ndarray | None = None
+    at: np.ndarray | None = None
+
 
-    The context of a text's first word is the place behind the last one; past ``levels`` there are contexts alone.
+def _steps(tokens: Tokens, words: int, levels: list[Grams]) -> Iterator[Step]:
+    """For n-grams of 2 words, 3 words, ...: contexts, and places among ``levels``; past them there are contexts alone.
+
+    The context of a text's first word is the place behind the last one.
     """
-    ids, first = np.concatenate(found), _starts(found)
-    place, behind = ids, words
+    ids, first = tokens.ids, tokens.first
+    places, at, behind = tokens.different, tokens.at, words
     for level in [*levels, None]:
-        context = np.r_[behind, place[:-1]]
-        context[first] = behind
-        place = level.places(context, ids) if level else place
-        yield context, place
-        behind = level.total if level else behind
+        step = Step(np.r_[places, behind], np.r_[len(places), at[:-1]])
+        step.context_at[first] = len(places)
+        if level:
+            places, at = step.places, step.at = level.places(step.contexts[step.context_at], ids)
+            behind = level.total
+        yield step
 
 
 def _counted(texts: DataFrame, folder: str, parts: int, sizes: list[int], levels: list[list[int]]) -> DataFrame:
@@ -351,10 +363,10 @@ def _counted(texts: DataFrame, folder: str, parts: int, sizes: list[int], levels
         bits = _bits(len(levels) + 2, n_words, last)
         tally = _Tally(parts, lambda k: _gram_part(last, bits, parts, k))
         for batch in batches:
-            for _, values in pieces(batch, "text", SLICE):
-                found = words.ids([words_of(t) for t in values])
-                *_, (context, _) = _contexts(found, n_words, shorter)
-                yield from tally.add(_keys(context, np.concatenate(found), bits))
+            for part in slices(batch, "text", SLICE):
+                tokens = words.read(part.column("text"))
+                *_, step = _steps(tokens, n_words, shorter)
+                yield from tally.add(_keys(step.contexts[step.context_at], tokens.ids, bits))
         yield from tally.send()
 
     return _dealt(texts.mapInArrow(count, _PARTS), parts)
@@ -362,7 +374,7 @@ def _counted(texts: DataFrame, folder: str, parts: int, sizes: list[int], levels
 
 def _kept_counts(folder: str, length: int, part: int, counts: np.ndarray) -> None:
     """Counts of a part's n-grams, and how many of them have 1, 2, 3 and 4."""
-    _save(folder, f"gram-counts-{length}-{part}", np.minimum(counts, (1 << 32) - 1).astype("<u4"))
+    _save_counts(folder, f"gram-counts-{length}-{part}", counts)
     _save(folder, f"counts-of-{length}-{part}", np.array([(counts == i).sum() for i in (1, 2, 3, 4)]).astype("<i8"))
 
 
@@ -380,7 +392,7 @@ def _kept_contexts(folder: str, length: int, part: int, context: np.ndarray, cou
     odd = np.concatenate([odd[other], np.zeros((int(ends.sum()), 4), dtype=np.int64)])
     order = np.argsort(place)
     _save(folder, f"odd-places-{length}-{part}", place[order].astype("<i8"))
-    _save(folder, f"odd-contexts-{length}-{part}", odd[order].astype("<u4"))
+    _save_counts(folder, f"odd-contexts-{length}-{part}", odd[order])
 
 
 def _written(folder: str, parts: int, words: int, levels: list[list[int]], top: bool):
@@ -402,7 +414,8 @@ def _written(folder: str, parts: int, words: int, levels: list[list[int]], top:
                 rest[inside] = (shorter.keys[part][local] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             elif inside.any():
                 rest[inside] = _map(folder, f"links-{length - 1}-{part}", "<i8")[local]
-            link = shorter.places(rest, ids)
+            link, at = shorter.places(rest, ids)
+            link = link[at]
             if not top:
                 _save(folder, f"links-{length}-{part}", link.astype("<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64())], names=["part", "size"])
@@ -441,7 +454,7 @@ def _continued(folder: str, parts: int, words: int, levels: list[list[int]]):
 
 def _pair_sums(folder: str, parts: int, n_words: int, part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Writes the counts of a part's pairs and sends what contexts and words need."""
-    _save(folder, f"gram-counts-2-{part}", np.minimum(counts, (1 << 32) - 1).astype("<u4"))
+    _save_counts(folder, f"gram-counts-2-{part}", counts)
     # Contexts: total, and how many words followed once, twice, more often.  Words: how many contexts, and
     # as many columns of pairs with 1, 2, 3, 4, which only have to be added up.
     context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
@@ -476,8 +489,8 @@ def _gram_counts(texts: DataFrame, folder: str, parts: int, sizes: list[int], or
             first, last = (-(-p * (n_words + 1) // parts) for p in (part, part + 1))
             dense = np.zeros((5, last - first), dtype=np.int64)
             dense[:, keys.astype(np.int64) - first] = counts[:5]
-            _save(folder, f"contexts-{part}", dense[:4].T.astype("<u4").copy())
-            _save(folder, f"continuations-{part}", dense[4].astype("<u4"))
+            _save_counts(folder, f"contexts-{part}", dense[:4].T)
+            _save_counts(folder, f"continuations-{part}", dense[4])
             ones, twos = int(counts[1].sum()), int(counts[2].sum())
             kinds = [("pair", ones, twos, int(counts[5].sum()), int(counts[6].sum()), int(counts[4].sum()))]
             kinds.append(("word", *(int((dense[4] == i).sum()) for i in (1, 2, 3, 4)), int((dense[4] > 0).sum())))
@@ -560,99 +573,68 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, n = model, model.words
         self.words = Words(model.folder, model.parts, model.sizes)
-        self.counts = [_map(model.folder, f"word-counts-{p}", "<i8") if s else None for p, s in enumerate(model.sizes)]
-        self.start = self.words.start
-        self.contexts, self.continuations = [], []
         files = [f"{model.folder}/grams-2-{p}" for p in range(model.parts)]
         self.levels = _levels(model.folder, model.levels or [[os.path.getsize(f) // 8 if os.path.exists(f) else 0 for f in files]], n)
-        self.gram_counts = [self._arrays(f"gram-counts-{g.length}", "<u4") for g in self.levels]
-        self.odd = [(self._arrays(f"odd-places-{g.length}", "<i8"), self._arrays(f"odd-contexts-{g.length}", "<u4"))
-                    for g in self.levels[1:]]
-        for p in range(model.parts):
-            there = os.path.exists(f"{model.folder}/contexts-{p}")
-            self.contexts.append(_map(model.folder, f"contexts-{p}", "<u4").reshape(-1, 4) if there else None)
-            self.continuations.append(_map(model.folder, f"continuations-{p}", "<u4") if there else None)
+        self.word_counts, self.contexts, self.continuations = self._counts("word-counts"), self._counts("contexts", 4), self._counts("continuations")
+        self.gram_counts = [self._counts(f"gram-counts-{g.length}") for g in self.levels]
+        self.odd = [([_map(model.folder, f"odd-places-{g.length}-{p}", "<i8") if c else None for p, c in enumerate(counts)], counts)
+                    for g in self.levels[1:] for counts in [self._counts(f"odd-contexts-{g.length}", 4)]]
         self.range_first = np.array([-(-p * (n + 1) // model.parts) for p in range(model.parts + 1)])
-        self.discount = np.r_[0.0, model.pair_discount]
-        lower = np.r_[0.0, model.word_discount]
-        self.lower = lower
+        self.discount, self.lower = np.r_[0.0, model.pair_discount], np.r_[0.0, model.word_discount]
         left = sum(d * c for d, c in zip(model.word_discount, model.word_counts))
         self.unseen = (left / model.pairs if model.pairs else 1.0) / (n + 1)
 
-    def _by_part(self, part: np.ndarray, arrays: list, local: np.ndarray, columns: int = 0) -> np.ndarray:
-        out = np.zeros((len(part), columns) if columns else len(part), dtype=np.int64)
-        for p in np.unique(part):
-            mine = part == p
-            if arrays[p] is not None:
-                out[mine] = arrays[p][local[mine]]
-        return out
-
-    def word_count(self, ids: np.ndarray) -> np.ndarray:
-        part = np.searchsorted(self.start, ids, side="right") - 1
-        return self._by_part(part, self.counts, ids - self.start[part])
-
-    def _of_range(self, ids: np.ndarray, arrays: list, columns: int = 0) -> np.ndarray:
-        part = np.searchsorted(self.range_first, ids, side="right") - 1
-        return self._by_part(part, arrays, ids - self.range_first[part], columns)
-
-    def _arrays(self, name: str, kind: str) -> list:
-        return [_map(self.model.folder, f"{name}-{p}", kind) if os.path.exists(f"{self.model.folder}/{name}-{p}") else None
-                for p in range(self.model.parts)]
-
-    def gram_count(self, level: int, places: np.ndarray) -> np.ndarray:
-        """Counts of n-grams by their places, 0 for -1."""
-        out, seen = np.zeros(len(places), dtype=np.int64), places >= 0
-        start = self.levels[level].start
-        part = np.searchsorted(start, places[seen], side="right") - 1
-        out[seen] = self._by_part(part, self.gram_counts[level], places[seen] - start[part])
+    def _counts(self, name: str, columns: int = 1) -> list[Counts | None]:
+        folder, names = self.model.folder, [f"{name}-{p}" for p in range(self.model.parts)]
+        return [Counts(folder, x, columns) if os.path.exists(f"{folder}/{x}") else None for x in names]
+
+    @staticmethod
+    def _of(places: np.ndarray, first: np.ndarray, counts: list[Counts | None], columns: int = 1) -> np.ndarray:
+        """Counts of ``places``, of which part p has those from ``first[p]`` on; 0 for -1."""
+        out = np.zeros((len(places), columns), dtype=np.int64)
+        seen = np.flatnonzero(places >= 0)
+        for p, mine in _by_part(np.searchsorted(first, places[seen], side="right") - 1):
+            if counts[p] is not None:
+                out[seen[mine]] = counts[p][places[seen[mine]] - first[p]]
         return out
 
     def context_stats(self, level: int, context: np.ndarray) -> np.ndarray:
-        """Total, and words that followed once, twice, more often, of contexts of two words or more; 0 for -1."""
-        out = np.zeros((len(context), 4), dtype=np.int64)
-        shorter, (places, stats) = self.levels[level - 1], self.odd[level - 1]
-        part = np.where(context < 0, -1, np.minimum(np.searchsorted(shorter.start, context, side="right") - 1, self.model.parts - 1))
-        for p in np.unique(part[part >= 0]):
-            mine = np.flatnonzero(part == p)
-            out[mine] = (1, 1, 0, 0)
+        """Total, and words that followed once, twice, more often, of contexts; 0 for -1."""
+        if level == 0:
+            return self._of(context, self.range_first, self.contexts, 4)
+        out, seen = np.zeros((len(context), 4), dtype=np.int64), np.flatnonzero(context >= 0)
+        out[seen] = (1, 1, 0, 0)
+        first, (places, stats) = self.levels[level - 1].start, self.odd[level - 1]
+        part = np.minimum(np.searchsorted(first, context[seen], side="right") - 1, self.model.parts - 1)
+        for p, mine in _by_part(part):
             if places[p] is not None and len(places[p]):
-                local = context[mine] - shorter.start[p]
+                mine = seen[mine]
+                local = context[mine] - first[p]
                 at = np.minimum(np.searchsorted(places[p], local), len(places[p]) - 1)
                 here = places[p][at] == local
-                out[mine[here]] = stats[p].reshape(-1, 4)[at[here]]
+                out[mine[here]] = stats[p][at[here]]
         return out
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and log10 probability of each text."""
         m, n = self.model, self.model.words
-        found = self.words.ids([words_of(t) for t in texts])
-        size, first, ids = np.array([len(f) for f in found]), _starts(found), np.concatenate(found)
-        known = ids >= 0
-
-        word, back = np.unique(ids, return_inverse=True)
-        seen = word >= 0
-        count, cont = np.zeros(len(word), dtype=np.int64), np.zeros(len(word), dtype=np.int64)
-        count[seen] = self.word_count(word[seen])
-        base = np.log10((count + 0.5) / (m.tokens + 0.5 * (n + 1)))[back]
-        cont[seen] = self._of_range(word[seen], self.continuations)
-        low = np.maximum(cont - self.lower[np.minimum(cont, 3)], 0) / max(m.pairs, 1) + self.unseen
-        prob = low[back]
-
+        tokens = self.words.read(texts)
+        first, at, ids = tokens.first, tokens.at, tokens.different
+        count = self._of(ids, self.words.start, self.word_counts)[:, 0]
+        base = np.log10((count + 0.5) / (m.tokens + 0.5 * (n + 1)))[at]
+        cont = self._of(ids, self.range_first, self.continuations)[:, 0]
+        prob = (np.maximum(cont - self.lower[np.minimum(cont, 3)], 0) / max(m.pairs, 1) + self.unseen)[at]
         if m.pairs:
-            for level, (context, places) in zip(range(len(self.levels)), _contexts(found, n, self.levels)):
-                times = self.gram_count(level, places)
-                ctx, ctx_back = np.unique(context, return_inverse=True)
-                if level:
-                    stats, discount = self.context_stats(level, ctx), np.r_[0.0, m.discounts[level - 1]]
-                else:
-                    stats, discount = np.zeros((len(ctx), 4), dtype=np.int64), self.discount
-                    stats[ctx >= 0] = self._of_range(ctx[ctx >= 0], self.contexts, 4)
-                total = stats[:, 0]
-                left = stats[:, 1:] @ discount[1:] / np.maximum(total, 1)
-                total, left = total[ctx_back], np.where(total > 0, left, 1.0)[ctx_back]
-                prob = np.maximum(times - discount[np.minimum(times, 3)], 0) / np.maximum(total, 1) + left * prob
-        return (size, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first),
-                np.add.reduceat(np.log10(prob), first))
+            for level, step in zip(range(len(self.levels)), _steps(tokens, n, self.levels)):
+                discount = np.r_[0.0, m.discounts[level - 1]] if level else self.discount
+                times = self._of(step.places, self.levels[level].start, self.gram_counts[level])[:, 0]
+                stats = self.context_stats(level, step.contexts)
+                total = np.maximum(stats[:, 0], 1)
+                left = np.where(stats[:, 0] > 0, stats[:, 1:] @ discount[1:] / total, 1.0)
+                own = np.maximum(times - discount[np.minimum(times, 3)], 0)
+                prob = own[step.at] / total[step.context_at] + left[step.context_at] * prob
+        add = lambda values: np.add.reduceat(values, first)
+        return tokens.sizes, add((ids >= 0).astype(np.int64)[at]), add(base), add(np.log10(prob))
 
 
 def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -660,7 +642,7 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.  Null text counts as
     empty and has its end alone; without training rows every word has probability 1 / (0 + 1).  Repeated rows each give
-    a row and each train.  Hashes are of 64 bits: two words share one with a chance of words^2 / 2^65.
+    a row and each train.  Hashes are of 64 bits: some two words share one with a chance of about words^2 / 2^65.
     """
     fold = fold_of(F.col("doc_id"), FOLDS)
     base = docs.select("doc_id", "text", (fold == HELD).alias("held_out"))
@@ -670,10 +652,10 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = mapped.setdefault(0, Scorer(model))
         for batch in batches:
-            for part, texts in pieces(batch, "text", SLICE):
-                size, known, low, score = scorer.score(texts)
+            for part in slices(batch, "text", SLICE):
+                size, known, low, score = scorer.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(size), pa.array(known), pa.array([model.tokens] * len(texts), pa.int64()),
+                    [part.column(0), part.column(2), pa.array(size), pa.array(known), pa.array([model.tokens] * len(size), pa.int64()),
                      pa.array(low), pa.array(score), pa.array(10 ** (-score / size))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 

@@ -45,3 +45,8 @@ def empty_docs(spark):
 def rows_of(df, *names):
     order = names or df.columns
     return sorted((tuple(r[n] for n in order) for r in df.collect()), key=repr)
+
+
+def words_of(text):
+    """Words with A-Z lower-cased, then one end, which white space stands for."""
+    return [*(text or "").encode().lower().split(), b" "]

@@ -9,13 +9,13 @@ from sluice.llm import kneser
 from sluice.llm.common import documents
 from sluice.llm.queries import QUERIES
 
-from .fixtures import awkward, awkward_docs, clashing, empty_docs, rows_of
+from .fixtures import awkward, awkward_docs, clashing, empty_docs, rows_of, words_of
 from .test_models import NAMES, assert_scores, fold
 
 
 def plain_chance(texts, order):
     """P(word | context of order - 1 words): raw counts at the top, different words before an n-gram below."""
-    words = [[None] * (order - 1) + kneser.words_of(t) for t in texts]
+    words = [[None] * (order - 1) + words_of(t) for t in texts]
     grams = {order: collections.Counter(tuple(ws[i - order + 1:i + 1]) for ws in words for i in range(order - 1, len(ws)))}
     for k in range(order - 1, 0, -1):
         grams[k] = collections.Counter(g[1:] for g in grams[k + 1])
@@ -42,11 +42,11 @@ def plain_chance(texts, order):
 
 def plain_rows(rows, order):
     train = [t for i, t in rows if fold(i, 5) != 1]
-    count = collections.Counter(w for t in train for w in kneser.words_of(t))
+    count = collections.Counter(w for t in train for w in words_of(t))
     _, chance = plain_chance(train, order)
     n, v, out = sum(count.values()), len(count), []
     for i, t in rows:
-        words = kneser.words_of(t)
+        words = words_of(t)
         padded = [None] * (order - 1) + words
         base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
         score = sum(math.log10(chance(tuple(padded[j:j + order - 1]), w)) for j, w in enumerate(words))

@@ -10,7 +10,7 @@ import pytest
 from sluice.llm import kneser, langid, quality, subword
 from sluice.llm.common import documents
 
-from .fixtures import awkward, awkward_docs, clashing, empty_docs, prose, rows_of
+from .fixtures import awkward, awkward_docs, clashing, empty_docs, prose, rows_of, words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,7 +87,7 @@ def test_ngrams_stay_inside_their_words():
 
 
 def plain_model(texts):
-    words = [kneser.words_of(t) for t in texts]
+    words = [words_of(t) for t in texts]
     count = collections.Counter(w for ws in words for w in ws)
     pairs = collections.Counter(p for ws in words for p in zip([None, *ws[:-1]], ws))
     cont = collections.Counter(b for _, b in pairs)
@@ -115,7 +115,7 @@ def plain_scores(rows):
     count, chance = plain_model([t for i, t in rows if fold(i, 5) != 1])
     n, v, out = sum(count.values()), len(count), []
     for i, t in rows:
-        words = kneser.words_of(t)
+        words = words_of(t)
         base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
         score = sum(math.log10(chance(a, b)) for a, b in zip([None, *words[:-1]], words))
         out.append((i, fold(i, 5) == 1, len(words), sum(w in count for w in words), n, base, score))
