@@ -8,18 +8,22 @@ result with the reason why they have no fit.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import business_calendar
 from sluice.functions.exprs import r6
 from sluice.operators import align, evaluate as ev, fit as m, quality as ql, report as rp
 from sluice.operators.align import one_session_deltas
+from sluice.operators.recalibrate import recalibrated
 from sluice.plans.align_queries import ADJ, lag_fit_sql
 from sluice.plans.ctes import DIR, PAIRS, PANEL, TRAIN, fit, payoff, thresholds
 from sluice.plans.fit_queries import CI_SQL, FOLDS, LAST, PAY, TAIL, THRESH, rounded
 from sluice.plans.quality_queries import HASHES
 from sluice.plans.registry import query, with_ctes
 from sluice.plans.report_queries import MK
+from sluice.session import durable, shared_folder
 from sluice.sources.panel import daily_panel, weekdays
 
 SUPPLIER, GRADE = ("l_suppkey",), ("l_returnflag", "l_linestatus")
@@ -86,6 +90,29 @@ def supplier_thresholds(spark, sf_dir):
     return rounded(t, "hike", "drop_").select("series_id", "rows", "fit_error", "hike", "drop_")
 
 
+# The first run knows all sessions but those of the panel's last five days; the second fits the suppliers that have some.
+@query("supplier_recalibration", with_ctes(by_supplier(TRAIN), HASHES, thresholds("t", "train", "series_id", LAST), """
+SELECT series_id, history_hash, last_session, last_session > (SELECT max(session) FROM wk) - 5 AS refitted, coalesce(t.rows, 0) AS rows,
+  CASE WHEN t.rows IS NULL THEN 'too_few_rows' ELSE fit_error END AS fit_error, round(hike, 6) AS hike, round(drop_, 6) AS drop_
+FROM (SELECT series_id, history_hash, last_session FROM hh) LEFT JOIN t USING (series_id)"""))
+def supplier_recalibration(spark, sf_dir):
+    """Two runs over one table of calibrations; most suppliers keep the calibration of the first."""
+    cal = business_calendar(spark)
+
+    def calibrate(history):
+        train = align.training_pairs(one_session_deltas(history, cal))
+        return m.group_thresholds(m.last_rows(train), ["series_id"])
+
+    history = durable(panel_by(spark, sf_dir, SUPPLIER))
+    path = f"{shared_folder(spark)}/calibrations-{uuid.uuid4().hex}"
+    known = history.crossJoin(F.broadcast(history.agg(F.date_sub(F.max("session"), 5).alias("cut")))).where("session <= cut").drop("cut")
+    recalibrated(known, path, calibrate, "thresholds")
+    out = recalibrated(history, path, calibrate, "thresholds")
+    return rounded(out, "hike", "drop_").select(
+        "series_id", "history_hash", "last_session", "refitted", F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.when(F.col("rows").isNull(), "too_few_rows").otherwise(F.col("fit_error")).alias("fit_error"), "hike", "drop_")
+
+
 @query("grade_threshold_ci", with_ctes(by_grade(TRAIN), *CI_SQL))
 def grade_threshold_ci(spark, sf_dir):
     ci = m.block_threshold_interval(m.last_rows(train_by(spark, sf_dir, GRADE)))
