@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sluice.functions.draws import hashed_draws
 from sluice.functions.exprs import replicate_chunks
+from sluice.session import durable
+
 
 def block_totals(rows: DataFrame, order: str, columns: Sequence[str], block: int, reps: int,
                  seed: str, chunks: int = 16) -> DataFrame:
@@ -84,52 +86,65 @@ def iid_mean_interval(values: DataFrame, reps: int, seed: str, chunks: int = 32)
         .select("series_id", F.col("ci")[0].alias("mean_low"), F.col("ci")[1].alias("mean_high")))
 
 
-def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Summed products of the series of one partition, per stratum and pair of places."""
-    held: dict[tuple, np.ndarray] = {}
-    for batch in batches:
-        for key, part in batch.groupby(["sig", "sig2", "k"], sort=False):
-            signals, outcomes = np.stack(part["dir"].to_numpy()), np.stack(part["y"].to_numpy())
-            held[key] = held.get(key, 0) + signals.T.astype(float) @ outcomes.astype(float)
-    for key, total in held.items():
-        days = np.arange(1, len(total) + 1)
-        for i, row in zip(days, total):
-            yield pd.DataFrame({"sig": key[0], "sig2": key[1], "k": key[2], "place": i, "at": days, "s": row})
+#: Vectors (a series' days of one stratum) that one task multiplies, about, and the parts that replicates are dealt in.
+VECTORS, REP_PARTS = 1024, 8
+
+
+def _earned(vectors: pd.DataFrame, orders: pd.DataFrame) -> pd.DataFrame:
+    """What some vectors earn under each replicate's order of the days.
+
+    What one day earns from the outcomes of another is a sum of products over the vectors of a stratum: a matrix of days
+    by days that stays here.  A replicate picks one entry of each of its rows.
+    """
+    moves = dict(iter(orders.groupby("stratum", sort=False)))
+    reps = np.sort(orders["rep"].unique())
+    total = np.zeros(len(reps))
+    for stratum, part in vectors.groupby("stratum", sort=False):
+        signals, outcomes = (np.stack(part[c].to_numpy()).astype(float) for c in ("dir", "y"))
+        earned, mine = signals.T @ outcomes, moves[stratum]
+        donors = np.stack(mine["donors"].to_numpy()) - 1
+        total[np.searchsorted(reps, mine["rep"])] += earned[np.arange(len(earned)), donors].sum(1)
+    return pd.DataFrame({"rep": reps, "t": total})
 
 
 def date_block_permutation(log: DataFrame, reps: int, seed: str) -> DataFrame:
     """Total savings against outcomes permuted among like-covered sessions.
 
     ``log`` has (series_id, session, dir, y).  A session's outcomes move as one
-    block and only between sessions that hold the same set of series, so a
-    (rep, session) table of donors is all that is generated; it has one row per
-    replicate and business day however many series there are.
+    block and only between sessions that hold the same set of series, its
+    stratum.  Days are shuffled once per replicate and stratum, whatever the
+    number of series.  Vectors of a bounded number are held by one task, which
+    gets the orders of its strata in parts and hands on one total per replicate:
+    no table of pairs of days leaves a task.
     """
     day = log.groupBy("session").agg(
         F.count("*").alias("k"), F.countDistinct("series_id").alias("distinct_series"),
         F.bit_xor(F.xxhash64("series_id")).alias("sig"),
         F.sum(F.xxhash64("series_id", F.lit(1)).cast("decimal(38,0)")).alias("sig2"))
     violations = day.where("k <> distinct_series").agg(F.count("*").alias("duplicate_sessions"))
-    strata = ["sig", "sig2", "k"]
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy("session"))
-    places = day.withColumn("place", place)
-    spread = places.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    order = F.md5(F.concat_ws("|", F.lit(seed), "rep", F.col("session").cast("string")).cast("binary"))
-    shuffled = spread.select("rep", *strata, F.col("place").alias("donor_place"), F.row_number().over(
-        Window.partitionBy("rep", *strata).orderBy(order)).alias("place"))
-    moved = shuffled.withColumnRenamed("donor_place", "at")
-    # What a receiving session would earn from a donor is a product of two
-    # short vectors.  Each task multiplies the signals and outcomes of its own
-    # series as matrices of one stratum's sessions and hands on their sum, so a
-    # (session, donor) pair is a row once per task, not once per series.
+    day = day.select("session", F.concat_ws("|", "sig", F.col("sig2").cast("string"), "k").alias("stratum"))
+    places = day.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("session")))
+
     one = log.groupBy("session", "series_id").agg(F.sum("dir").alias("dir"), F.sum("y").alias("y"))
-    vectors = one.join(places.select("session", "place", *strata), "session").groupBy(*strata, "series_id").agg(
+    vectors = one.join(places, "session").groupBy("stratum", "series_id").agg(
         F.sort_array(F.collect_list(F.struct("place", "dir", "y"))).alias("v"))
-    vectors = vectors.select(*strata, F.col("v.dir").alias("dir"), F.col("v.y").alias("y"))
-    sums = vectors.mapInPandas(_products, "sig long, sig2 decimal(38,0), k long, place int, at int, s double")
-    earned = sums.groupBy(*strata, "place", "at").agg(F.sum("s").alias("s"))
-    moved = moved.select("rep", *strata, "place", "at")
-    totals = moved.join(earned, [*strata, "place", "at"]).groupBy("rep").agg(F.sum("s").alias("t"))
+    vectors = durable(vectors.select("stratum", "series_id", F.col("v.dir").alias("dir"), F.col("v.y").alias("y")))
+    chunks = -(-vectors.count() // VECTORS) or 1
+    vectors = vectors.withColumn("chunk", F.pmod(F.xxhash64("stratum", "series_id"), F.lit(chunks)))
+
+    dealt_in = min(REP_PARTS, reps)
+    # The day that comes i-th by its hash is the donor of the i-th day.
+    spread = places.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    order = F.md5(F.concat_ws("|", F.lit(seed), "rep", F.col("session").cast("string")).cast("binary"))
+    orders = spread.groupBy("rep", "stratum").agg(
+        F.sort_array(F.collect_list(F.struct(order.alias("o"), "place"))).alias("d"))
+    orders = orders.select("rep", "stratum", F.col("d.place").alias("donors"), (F.col("rep") % dealt_in).alias("part"))
+    needed = vectors.select(F.col("chunk").alias("of"), F.col("stratum").alias("needed")).distinct()
+    parts = F.explode(F.sequence(F.lit(0), F.lit(dealt_in - 1)))
+    dealt = orders.join(needed, F.col("stratum") == F.col("needed")).select("of", F.col("part").alias("of_part"), "rep", "stratum", "donors")
+    sums = (vectors.select("chunk", "stratum", "dir", "y", parts.alias("part")).groupBy("chunk", "part")
+            .cogroup(dealt.groupBy("of", "of_part")).applyInPandas(_earned, "rep int, t double"))
+    totals = sums.groupBy("rep").agg(F.sum("t").alias("t"))
     real = log.agg(F.sum(F.col("dir") * F.col("y")).alias("real_savings"))
     null = totals.join(F.broadcast(real)).agg(
         F.max("real_savings").alias("real_savings"),
