@@ -67,13 +67,14 @@ def test_economic_value_refuses_no_gallons(spark):
     assert row["input_error"] == "gallons_not_positive" and row["net_edge_cents"] is None
 
 
-def test_tail_mean_of_one_to_hundred(spark):
-    y = np.arange(1, 101, dtype=float)
-    frame = pair_frame(spark, np.full(100, -5.0), y)
+def test_tail_mean_of_squares(spark):
+    y = np.arange(3, 83, dtype=float) ** 2
+    frame = pair_frame(spark, np.full(len(y), -5.0), y)
     drops = spark.createDataFrame([("A", -1.0)], "series_id string, drop_ double")
     row = m.tail_risk(frame, drops, reps=200).first()
-    assert row["cvar"] == 98.0 and row["sample_n"] == 100 and row["tail_n"] == 5
-    assert row["cvar_low"] <= 98.0 <= row["cvar_high"] and row["probability_adverse"] == 1.0
+    tail = y[y >= np.quantile(y, 0.95)]
+    assert row["cvar"] == pytest.approx(tail.mean()) and row["sample_n"] == len(y) and row["tail_n"] == len(tail)
+    assert row["cvar_low"] <= tail.mean() <= row["cvar_high"] and row["probability_adverse"] == 1.0
 
 
 def test_block_interval_matches_numpy(spark):
