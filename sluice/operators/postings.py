@@ -132,6 +132,15 @@ def mask_recipient(value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", "None").when(F.contains(value, F.lit("@")), address).otherwise(other)
 
 
+def mask_recipients(value: Column) -> Column:
+    """Every recipient of a comma-separated list, in order; blanks between commas count for nothing.
+
+    No list at all is one recipient named None.
+    """
+    named = F.filter(F.transform(F.split(value, ","), lambda v: F.trim(v)), lambda v: v != "")
+    return F.when(F.coalesce(value, F.lit("")) == "", F.array(F.lit("None"))).otherwise(F.transform(named, mask_recipient))
+
+
 def mask_values(text: Column, values: Sequence[str]) -> Column:
     """Given recipients, numbers and keys masked wherever they stand, the longest first.
 

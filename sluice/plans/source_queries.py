@@ -459,3 +459,20 @@ def mask_recipients(spark, sf_dir):
              .when(k % 4 == 1, number).when(k % 4 == 2, F.substring(F.md5(F.col("s_name").cast("binary")), 1, 24))
              .otherwise(k.cast("string")))
     return read(spark, sf_dir, "supplier", "s_suppkey", "s_name").select("s_suppkey", po.mask_recipient(value).alias("masked"))
+
+
+@query("mask_recipient_lists", r"""
+WITH r AS (SELECT s_nationkey, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN lower(replace(s_name, '#', '.')) || '@mail.example' WHEN 1 THEN s_suppkey::VARCHAR ELSE '' END AS v FROM supplier),
+m AS (SELECT s_nationkey, s_suppkey, CASE WHEN v LIKE '%@%' THEN CASE WHEN strpos(v, '@') <= 4 THEN '***' ELSE substr(v, 1, 2) || '***' || substr(v, strpos(v, '@') - 1, 1) END || '@' || split_part(v, '@', 2)
+  WHEN length(v) <= 4 THEN '***' ELSE substr(v, 1, 2) || '***' || right(v, 2) END AS masked FROM r WHERE v <> '')
+SELECT n_nationkey, coalesce(string_agg(masked, ';' ORDER BY s_suppkey), CASE WHEN (SELECT count(*) FROM r WHERE r.s_nationkey = n_nationkey) < 2 THEN 'None' ELSE '' END) AS masked
+FROM nation LEFT JOIN m ON s_nationkey = n_nationkey GROUP BY 1""")
+def mask_recipient_lists(spark, sf_dir):
+    """One list of recipients per nation, with blanks between the commas."""
+    k = F.col("s_suppkey")
+    value = (F.when(k % 3 == 0, F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("."))), F.lit("@mail.example")))
+             .when(k % 3 == 1, k.cast("string")).otherwise(""))
+    lists = read(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", value.alias("v")))), lambda r: r["v"]), " , ").alias("v"))
+    nations = read(spark, sf_dir, "nation", "n_nationkey").join(lists, "n_nationkey", "left")
+    return nations.select("n_nationkey", F.array_join(po.mask_recipients(F.col("v")), ";").alias("masked"))
