@@ -166,6 +166,15 @@ def contract_symbol(prefix: Column, contract_month: Column) -> Column:
                     F.lpad((F.year(contract_month) % 100).cast("string"), 2, "0"))
 
 
+#: Contract prefix of each line status that stands for a product.
+PRODUCTS = {"F": "RB", "O": "HO"}
+
+
+def product_prefix(status: Column, products: dict[str, str] = PRODUCTS) -> Column:
+    """Contract prefix of a series; null for a series that is no product."""
+    return F.element_at(F.create_map(*[F.lit(v) for pair in products.items() for v in pair]), status)
+
+
 def valid_symbol(symbol: Column, prefixes: str = "RB|HO") -> Column:
     return symbol.rlike(f"^/({prefixes})[{MONTH_CODES}][0-9]{{2}}$")
 

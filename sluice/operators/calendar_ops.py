@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sluice.functions.calendar import (
-    business_calendar, central_time, contract_symbol, in_calendar, last_trade_dates)
+    business_calendar, central_time, contract_symbol, in_calendar, last_trade_dates, product_prefix)
 from sluice.functions.exprs import tick_order
 from sluice.sources.panel import read
 
@@ -22,13 +22,16 @@ def lines_per_day(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
 
 
 def candidate_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols a series may have quoted: whole range, and the next four months."""
+    """Symbols a series may have quoted: whole range, and the next four months.
+
+    Series that are no product have none.
+    """
     span = read(spark, sf_dir, "lineitem", "l_linestatus", "l_shipdate").groupBy(
         "l_linestatus").agg(F.to_date(F.min("l_shipdate")).alias("lo"),
                             F.to_date(F.max("l_shipdate")).alias("d"))
     cal = business_calendar(spark)
     ltd = last_trade_dates(cal).select(F.col("contract_month").alias("front_refined"), "ltd_refined")
-    span = (span.withColumn("prefix", F.when(F.col("l_linestatus") == "F", "RB").otherwise("HO"))
+    span = (span.withColumn("prefix", product_prefix(F.col("l_linestatus"))).where("prefix IS NOT NULL")
             .join(F.broadcast(cal.select("d", "front_refined")), "d")
             .join(F.broadcast(ltd), "front_refined"))
     # A contract whose last trade date has come is left for the next one.

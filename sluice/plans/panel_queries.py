@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.calendar import (
-    business_calendar, central_time, contract_symbol, in_calendar, last_trade_dates, session_date, valid_symbol)
+    business_calendar, central_time, contract_symbol, in_calendar, last_trade_dates, product_prefix, session_date, valid_symbol)
 from sluice.functions.exprs import count_if, r6
 from sluice.operators import calendar_ops as ops
 from sluice.plans.ctes import CAL, PANEL
@@ -137,8 +137,8 @@ SELECT {SYMBOL_SQL} AS symbol, substr({SYMBOL_SQL}, 2) || '.NYM' AS vendor_symbo
 def symbols(spark, sf_dir):
     cal = business_calendar(spark).select("d", "front_refined")
     lines = ops.lines_per_day(spark, sf_dir, "l_linestatus").join(F.broadcast(cal), "d")
-    prefix = F.when(F.col("l_linestatus") == "F", "RB").otherwise("HO")
-    sym = lines.groupBy(prefix.alias("p"), "front_refined").agg(F.sum("lines").alias("lines"))
+    prefix = product_prefix(F.col("l_linestatus"))
+    sym = lines.where(prefix.isNotNull()).groupBy(prefix.alias("p"), "front_refined").agg(F.sum("lines").alias("lines"))
     sym = sym.withColumn("symbol", contract_symbol(F.col("p"), F.col("front_refined")))
     bare = F.expr("substring(symbol, 2)")
     return sym.select("symbol", F.concat(bare, F.lit(".NYM")).alias("vendor_symbol"),

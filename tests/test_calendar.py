@@ -68,3 +68,12 @@ def test_symbols(spark):
     assert tuple(row) == ("/RBZ26", "/HOF07")
     ok = spark.createDataFrame([("/RBZ26",), ("RBZ26",), ("/RBA26",), ("/CLZ26",)], "s string")
     assert [r[0] for r in ok.select(valid_symbol(F.col("s"))).collect()] == [True, False, False, False]
+
+
+def test_only_products_have_symbols(spark, tmp_path):
+    from sluice.operators.calendar_ops import candidate_symbols
+    days = [("F", day("1995-03-01")), ("O", day("1995-03-01")), ("X", day("1995-03-01")), (None, day("1995-03-01"))]
+    spark.createDataFrame(days, "l_linestatus string, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r["prefix"], r["kind"]): r["symbols"] for r in candidate_symbols(spark, str(tmp_path)).groupBy("prefix", "kind").agg(
+        F.count("*").alias("symbols")).collect()}
+    assert got == {("RB", "range"): 5, ("HO", "range"): 5, ("RB", "next"): 4, ("HO", "next"): 4}
