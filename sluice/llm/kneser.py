@@ -6,7 +6,9 @@ shared folder.  Words are 64-bit hashes, taken from a slice's bytes all at once;
 spread by a hash of the pair so that a frequent word's pairs lie in all parts.  An n-gram of three words or more is (place
 of its context among all n-grams one word shorter, word id) and lies in the part of its context, so every order is counted
 by one more shuffle of 64-bit keys.  The longest n-grams have raw counts, all shorter ones count the different words
-before them.  Counts are kept in a byte each, with the few larger ones apart.  Scoring maps those files into memory and looks words and n-grams up by binary search.
+before them.  Counts are kept in a byte each, with the few larger ones apart.  Scoring maps those files into memory and looks
+words and pairs up by binary search; of longer n-grams the word ids alone are kept, by context, with where each context's
+begin, so that a search goes over the words that follow one context.
 
 The folder must be one that workers can open as files (a shared mount); pages are read as they are needed, so a
 worker's own memory does not grow with the model.
@@ -67,18 +69,19 @@ def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
 
 
 class Counts:
-    """What ``_save_counts`` wrote, mapped into memory as rows of ``columns`` counts."""
+    """What ``_save_counts`` wrote, mapped into memory as rows of 1, 2, 4 or 8 ``columns`` counts, each row one number."""
 
     def __init__(self, folder: str, name: str, columns: int):
-        self.rows = _map(folder, name, "u1").reshape(-1, columns)
+        self.rows, self.columns = _map(folder, name, f"<u{columns}"), columns
         self.large = _map(folder, f"{name}-large", "<i8").reshape(-1, 2)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        out = self.rows[at].astype(np.int64)
-        row, column = np.nonzero(out == 255)
-        if len(row):
-            out[row, column] = self.large[np.searchsorted(self.large[:, 0], at[row] * out.shape[1] + column), 1]
-        return out
+        found = self.rows.take(at).view("u1")
+        out, large = found.astype(np.int64), np.flatnonzero(found == 255)
+        if len(large):
+            row, column = np.divmod(large, self.columns)
+            out[large] = self.large[np.searchsorted(self.large[:, 0], at[row] * self.columns + column), 1]
+        return out.reshape(-1, self.columns)
 
 
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -91,6 +94,26 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], *(np.add.reduceat(c[order], first) for c in counts))
 
 
+def _sorted(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values below 2^``bits`` in order, and where each stood: numbers that hold both are sorted faster than places are."""
+    room = len(values).bit_length()
+    if bits + room > 64:
+        order = np.argsort(values, kind="stable")
+        return values[order], order
+    both = np.sort(values << np.uint64(room) | np.arange(len(values), dtype=np.uint64))
+    return both >> np.uint64(room), (both & np.uint64((1 << room) - 1)).astype(np.int64)
+
+
+def _distinct(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values below 2^``bits``, and which of them each is."""
+    values, order = _sorted(values, bits)
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = values[1:] != values[:-1]
+    back = np.empty(len(values), dtype=np.int64)
+    back[order] = np.cumsum(first) - 1
+    return values[first], back
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane, which the shuffle's compression shortens."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
@@ -226,8 +249,12 @@ class Words:
 
     def read(self, texts: pa.Array) -> Tokens:
         codes, sizes = hashed(texts)
-        codes, at = np.unique(codes, return_inverse=True)
-        return Tokens(self.look_up(codes), at, sizes)
+        found = pa.array(codes).dictionary_encode()
+        codes = found.dictionary.to_numpy()
+        order = np.argsort(codes)
+        rank = np.empty(len(codes), dtype=np.int64)
+        rank[order] = np.arange(len(codes))
+        return Tokens(self.look_up(codes[order]), rank[found.indices.to_numpy()], sizes)
 
 
 @dataclass
@@ -269,34 +296,108 @@ def _word_counts(texts: DataFrame, folder: str, parts: int) -> DataFrame:
 
 
 class Grams:
-    """N-grams of ``length`` words in mapped arrays of sorted keys; a gram's place counts over all parts."""
+    """N-grams of ``length`` words in mapped arrays; a gram's place counts over all parts.
+
+    Pairs are sorted keys.  Of longer ones there are the word ids, sorted by context and id, and where each context's begin.
+    """
 
     def __init__(self, folder: str, length: int, sizes: list[int], words: int, shorter: Grams | None):
         self.length, self.shorter, self.parts, self.total = length, shorter, len(sizes), sum(sizes)
         self.start = np.cumsum([0, *sizes])
-        self.keys = [_map(folder, f"grams-{length}-{p}", "<u8") if n else np.zeros(0, "<u8") for p, n in enumerate(sizes)]
+        arrays = lambda name, kind: [_map(folder, f"{name}-{p}", kind) if n else np.zeros(0, kind) for p, n in enumerate(sizes)]
+        if shorter is None:
+            self.keys = arrays(f"grams-{length}", "<u8")
+        else:
+            self.ids, self.begins = arrays(f"ids-{length}", "<u4"), arrays(f"begins-{length}", "<u4")
         self.bits = _bits(length, words, shorter)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each of the sorted distinct keys, -1 where training never saw it."""
-        out = np.full(len(keys), -1, dtype=np.int64)
-        for p, mine in _by_part(_gram_part(self.shorter, self.bits, self.parts, keys)):
-            have = self.keys[p]
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
-                out[mine] = np.where(have[at] == keys[mine], at + self.start[p], -1)
-        return out
+    def find(self, keys: np.ndarray, counts: list[Counts | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of pairs, given as sorted distinct keys, -1 where training never saw one, and their ``counts``.
 
-    def places(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Different places, the last of them -1, and which of them each (context, word) has.
-
-        The place is -1 if either or both together are unknown.
+        Both are in the order of the parts, so that places ascend; last comes which key each is of.
+        """
+        out, times = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys) if counts else 0, dtype=np.int64)
+        order, i = np.zeros(len(keys), dtype=np.int64), 0
+        for p, mine in _by_part(_pair_part(keys, self.parts)):
+            have, asked = self.keys[p], keys[mine]
+            order[i:i + len(mine)] = mine
+            if len(have):
+                at = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+                found = np.flatnonzero(have.take(at) == asked)
+                self._found(p, i + found, at[found], out, times, counts)
+            i += len(mine)
+        return out, times, order
+
+    def follow(self, context: np.ndarray, ids: np.ndarray, counts: list[Counts | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of longer n-grams, given as ascending contexts and words that are known by themselves."""
+        out, times = np.full(len(ids), -1, dtype=np.int64), np.zeros(len(ids) if counts else 0, dtype=np.int64)
+        for p, mine in _by_part(_context_part(self.shorter, self.parts, context)):
+            have, begins = self.ids[p], self.begins[p]
+            if len(have):
+                mine = slice(mine[0], mine[-1] + 1)
+                local, word = context[mine] - self.shorter.start[p], ids[mine]
+                low, end = begins.take(local).astype(np.int64), begins.take(local + 1).astype(np.int64)
+                todo = np.flatnonzero(low < end)
+                left, right, asked = low[todo], end[todo], word[todo]
+                while len(todo):  # a binary search of all at once, each among its context's words
+                    middle = left + right >> 1
+                    below = have.take(middle) < asked
+                    left, right = np.where(below, middle + 1, left), np.where(below, right, middle)
+                    low[todo] = left
+                    more = np.flatnonzero(left < right)
+                    todo, left, right, asked = todo[more], left[more], right[more], asked[more]
+                at = np.flatnonzero(low < end)
+                at = at[have.take(low[at]) == word[at]]
+                self._found(p, mine.start + at, low[at], out, times, counts)
+        return out, times
+
+    def _found(self, part: int, mine: np.ndarray, at: np.ndarray, out: np.ndarray, times: np.ndarray, counts: list[Counts | None] | None) -> None:
+        out[mine] = at + self.start[part]
+        if counts and counts[part] is not None:
+            times[mine] = counts[part][at][:, 0]
+
+    def places(self, contexts: np.ndarray, context_at: np.ndarray, words: np.ndarray, word_at: np.ndarray,
+               counts: list[Counts | None] | None = None) -> tuple[np.ndarray, ...]:
+        """Different places, the last of them -1, which of them each (context, word) has, and the ``counts`` of the places.
+
+        The place is -1 if either or both together are unknown.  The known ones of ``contexts`` and ``words`` ascend.
         """
-        asked = (context >= 0) & (ids >= 0)
-        keys, back = np.unique(_keys(context[asked], ids[asked], self.bits), return_inverse=True)
-        at = np.full(len(ids), len(keys), dtype=np.int64)
+        asked = np.flatnonzero((contexts >= 0)[context_at] & (words >= 0)[word_at])
+        bits = np.uint64(len(words).bit_length())
+        pairs, back = _distinct(_keys(context_at[asked], word_at[asked], bits), len(contexts).bit_length() + int(bits))
+        context = contexts[(pairs >> bits).astype(np.int64)]
+        word = words[(pairs & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+        if self.shorter is None:
+            found, times, order = self.find(_keys(context, word, self.bits), counts)
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            back = rank[back]
+        else:
+            found, times = self.follow(context, word, counts)
+        at = np.full(len(word_at), len(found), dtype=np.int64)
         at[asked] = back
-        return np.r_[self.find(keys), -1], at
+        return np.r_[found, -1], at, np.r_[times, 0]
+
+    def each(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Place of each of some n-grams that are all known."""
+        if self.shorter is None:
+            keys, back = np.unique(_keys(context, ids, self.bits), return_inverse=True)
+            found, _, order = self.find(keys)
+        else:
+            order, back = np.argsort(context), slice(None)
+            found, _ = self.follow(context[order], ids[order])
+        out = np.empty(len(found), dtype=np.int64)
+        out[order] = found
+        return out[back]
+
+    def tallied(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted different places of n-grams that are all known, and how many have each."""
+        if self.shorter is not None:
+            order = np.argsort(context)
+            return np.unique(self.follow(context[order], ids[order])[0], return_counts=True)
+        keys, n = np.unique(_keys(context, ids, self.bits), return_counts=True)
+        places, _, order = self.find(keys)
+        return places, n[order]
 
 
 def _bits(length: int, words: int, shorter: Grams | None) -> np.uint64:
@@ -315,9 +416,11 @@ def _keys(context: np.ndarray, ids: np.ndarray, bits: np.uint64) -> np.ndarray:
 
 def _gram_part(shorter: Grams | None, bits: np.uint64, parts: int, keys: np.ndarray) -> np.ndarray:
     """Pairs go by their hash, longer n-grams to the part of their context; the context before a text to the last."""
-    if shorter is None:
-        return _pair_part(keys, parts)
-    return np.minimum(np.searchsorted(shorter.start, (keys >> bits).astype(np.int64), side="right") - 1, parts - 1)
+    return _pair_part(keys, parts) if shorter is None else _context_part(shorter, parts, (keys >> bits).astype(np.int64))
+
+
+def _context_part(shorter: Grams, parts: int, context: np.ndarray) -> np.ndarray:
+    return np.minimum(np.searchsorted(shorter.start, context, side="right") - 1, parts - 1)
 
 
 def _levels(folder: str, sizes: list[list[int]], words: int) -> list[Grams]:
@@ -329,26 +432,29 @@ def _levels(folder: str, sizes: list[list[int]], words: int) -> list[Grams]:
 
 @dataclass
 class Step:
-    """N-grams of one length: different contexts and which of them each token has, then the same of their own places."""
+    """N-grams of one length: different contexts and which of them each token has, then the same of their own places, with counts."""
 
     contexts: np.ndarray
     context_at: np.ndarray
     places: np.ndarray | None = None
     at: np.ndarray | None = None
+    times: np.ndarray | None = None
 
 
-def _steps(tokens: Tokens, words: int, levels: list[Grams]) -> Iterator[Step]:
-    """For n-grams of 2 words, 3 words, ...: contexts, and places among ``levels``; past them there are contexts alone.
+def _steps(tokens: Tokens, words: int, levels: list[Grams], counts: list[list[Counts | None]] | None = None) -> Iterator[Step]:
+    """For n-grams of 2 words, 3 words, ...: contexts, and places among ``levels``, with ``counts`` if there are any;
+    past the levels there are contexts alone.
 
     The context of a text's first word is the place behind the last one.
     """
-    ids, first = tokens.ids, tokens.first
+    first = tokens.first
     places, at, behind = tokens.different, tokens.at, words
-    for level in [*levels, None]:
+    for k, level in enumerate([*levels, None]):
         step = Step(np.r_[places, behind], np.r_[len(places), at[:-1]])
         step.context_at[first] = len(places)
         if level:
-            places, at = step.places, step.at = level.places(step.contexts[step.context_at], ids)
+            places, at, step.times = level.places(step.contexts, step.context_at, tokens.different, tokens.at, counts[k] if counts else None)
+            step.places, step.at = places, at
             behind = level.total
         yield step
 
@@ -378,21 +484,13 @@ def _kept_counts(folder: str, length: int, part: int, counts: np.ndarray) -> Non
     _save(folder, f"counts-of-{length}-{part}", np.array([(counts == i).sum() for i in (1, 2, 3, 4)]).astype("<i8"))
 
 
-def _kept_contexts(folder: str, length: int, part: int, context: np.ndarray, counts: np.ndarray, first: int, last: int) -> None:
-    """Total and how many words followed once, twice, more often, of the contexts ``first`` to ``last`` of a part.
+def _kept_contexts(folder: str, length: int, part: int, begins: np.ndarray, counts: np.ndarray) -> None:
+    """Total and how many words followed once, twice, more often, of a part's contexts; zeros where nothing follows."""
+    def of_context(values: np.ndarray) -> np.ndarray:
+        return np.diff(np.r_[0, np.cumsum(values, dtype=np.int64)][begins])
 
-    Most contexts are followed by one word, once; only the others are written.
-    """
-    place, *stats = _summed(context, counts, *((counts == i).astype(np.int64) for i in (1, 2)), (counts > 2).astype(np.int64))
-    ends = np.ones(last - first, dtype=bool)
-    ends[place - first] = False  # n-grams that nothing follows, as they end a text
-    odd = np.stack(stats, axis=1)
-    other = (odd != (1, 1, 0, 0)).any(axis=1)
-    place = np.r_[place[other] - first, np.flatnonzero(ends)]
-    odd = np.concatenate([odd[other], np.zeros((int(ends.sum()), 4), dtype=np.int64)])
-    order = np.argsort(place)
-    _save(folder, f"odd-places-{length}-{part}", place[order].astype("<i8"))
-    _save_counts(folder, f"odd-contexts-{length}-{part}", odd[order])
+    stats = [of_context(x) for x in (counts, counts == 1, counts == 2, counts > 2)]
+    _save_counts(folder, f"contexts-{length}-{part}", np.stack(stats, axis=1))
 
 
 def _written(folder: str, parts: int, words: int, levels: list[list[int]], top: bool):
@@ -405,7 +503,12 @@ def _written(folder: str, parts: int, words: int, levels: list[list[int]], top:
         for part, keys, counts in _received(batches):
             context = (keys >> bits).astype(np.int64)
             ids = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-            _save(folder, f"grams-{length}-{part}", keys.astype("<u8"))
+            first, last = int(shorter.start[part]), int(shorter.start[part + 1]) + (part == parts - 1)
+            begins = np.r_[0, np.cumsum(np.bincount(context - first, minlength=last - first))]
+            if len(keys) >= 1 << 32:
+                raise ValueError("2^32 n-grams or more in a part; take more parts")
+            _save(folder, f"ids-{length}-{part}", ids.astype("<u4"))
+            _save(folder, f"begins-{length}-{part}", begins.astype("<u4"))
             # What the context is without its first word, then the n-gram without its own.
             rest = np.full(len(keys), shorter.shorter.total if shorter.shorter else words, dtype=np.int64)
             inside = context < shorter.total
@@ -414,26 +517,22 @@ def _written(folder: str, parts: int, words: int, levels: list[list[int]], top:
                 rest[inside] = (shorter.keys[part][local] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             elif inside.any():
                 rest[inside] = _map(folder, f"links-{length - 1}-{part}", "<i8")[local]
-            link, at = shorter.places(rest, ids)
-            link = link[at]
             if not top:
-                _save(folder, f"links-{length}-{part}", link.astype("<i8"))
+                _save(folder, f"links-{length}-{part}", shorter.each(rest, ids).astype("<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64())], names=["part", "size"])
                 continue
-            yield from _finished(folder, parts, shorter, length, part, context, link, counts[0])
+            yield from _finished(folder, parts, shorter, length, part, begins, counts[0], *shorter.tallied(rest, ids))
 
     return write
 
 
-def _finished(folder: str, parts: int, shorter: Grams, length: int, part: int, context: np.ndarray, link: np.ndarray,
-              counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _finished(folder: str, parts: int, shorter: Grams, length: int, part: int, begins: np.ndarray, counts: np.ndarray,
+              places: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts and contexts of a part's n-grams are written; sent on is how many of them end in each shorter one."""
     _kept_counts(folder, length, part, counts)
-    first, last = int(shorter.start[part]), int(shorter.start[part + 1]) + (part == parts - 1)
-    _kept_contexts(folder, length, part, context, counts, first, last)
-    places, n = _summed(link.astype(np.uint64), np.ones(len(link), dtype=np.int64))
-    to = np.searchsorted(shorter.start, places.astype(np.int64), side="right") - 1
-    yield from _sent(to, parts, places, n[:, None])
+    _kept_contexts(folder, length, part, begins, counts)
+    to = np.searchsorted(shorter.start, places, side="right") - 1
+    yield from _sent(to, parts, places.astype(np.uint64), n[:, None])
 
 
 def _continued(folder: str, parts: int, words: int, levels: list[list[int]]):
@@ -442,12 +541,11 @@ def _continued(folder: str, parts: int, words: int, levels: list[list[int]]):
         grams = _levels(folder, levels, words)
         own, length = grams[-1], len(levels) + 1
         for part, places, counts in _received(batches):
-            keys = own.keys[part]  # each ends some longer n-gram, so places are all of the part's
-            if length == 2:
-                yield from _pair_sums(folder, parts, words, part, np.array(keys), counts[0])
+            if length == 2:  # each ends some longer n-gram, so places are all of the part's
+                yield from _pair_sums(folder, parts, words, part, np.array(own.keys[part]), counts[0])
             else:
-                yield from _finished(folder, parts, own.shorter, length, part, (keys >> own.bits).astype(np.int64),
-                                     np.array(_map(folder, f"links-{length}-{part}", "<i8")), counts[0])
+                links = np.unique(_map(folder, f"links-{length}-{part}", "<i8"), return_counts=True)
+                yield from _finished(folder, parts, own.shorter, length, part, own.begins[part], counts[0], *links)
 
     return work
 
@@ -560,7 +658,7 @@ def _model(texts: DataFrame, folder: str, parts: int, order: int) -> Model:
             names = (f"counts-of-{length}-{p}" for p in range(parts))
             high.append(discounts(*sum((_map(folder, n, "<i8").astype(int) for n in names if os.path.exists(f"{folder}/{n}")), np.zeros(4, int)).tolist()))
         if levels:
-            sizes_of = (os.path.getsize(f) // 8 if os.path.exists(f) else 0 for f in (f"{folder}/grams-{order}-{p}" for p in range(parts)))
+            sizes_of = (os.path.getsize(f) // 4 if os.path.exists(f) else 0 for f in (f"{folder}/ids-{order}-{p}" for p in range(parts)))
             levels.append(list(sizes_of))
     w = sums["word"]
     return Model(folder, parts, sizes, tokens, sums["pair"][4], discounts(*sums["pair"][:4]), discounts(*w[:4]),
@@ -577,9 +675,8 @@ class Scorer:
         self.levels = _levels(model.folder, model.levels or [[os.path.getsize(f) // 8 if os.path.exists(f) else 0 for f in files]], n)
         self.word_counts, self.contexts, self.continuations = self._counts("word-counts"), self._counts("contexts", 4), self._counts("continuations")
         self.gram_counts = [self._counts(f"gram-counts-{g.length}") for g in self.levels]
-        self.odd = [([_map(model.folder, f"odd-places-{g.length}-{p}", "<i8") if c else None for p, c in enumerate(counts)], counts)
-                    for g in self.levels[1:] for counts in [self._counts(f"odd-contexts-{g.length}", 4)]]
         self.range_first = np.array([-(-p * (n + 1) // model.parts) for p in range(model.parts + 1)])
+        self.followed = [(self.range_first, self.contexts), *((g.shorter.start, self._counts(f"contexts-{g.length}", 4)) for g in self.levels[1:])]
         self.discount, self.lower = np.r_[0.0, model.pair_discount], np.r_[0.0, model.word_discount]
         left = sum(d * c for d, c in zip(model.word_discount, model.word_counts))
         self.unseen = (left / model.pairs if model.pairs else 1.0) / (n + 1)
@@ -593,27 +690,14 @@ class Scorer:
         """Counts of ``places``, of which part p has those from ``first[p]`` on; 0 for -1."""
         out = np.zeros((len(places), columns), dtype=np.int64)
         seen = np.flatnonzero(places >= 0)
-        for p, mine in _by_part(np.searchsorted(first, places[seen], side="right") - 1):
+        for p, mine in _by_part(np.minimum(np.searchsorted(first, places[seen], side="right") - 1, len(counts) - 1)):
             if counts[p] is not None:
                 out[seen[mine]] = counts[p][places[seen[mine]] - first[p]]
         return out
 
     def context_stats(self, level: int, context: np.ndarray) -> np.ndarray:
         """Total, and words that followed once, twice, more often, of contexts; 0 for -1."""
-        if level == 0:
-            return self._of(context, self.range_first, self.contexts, 4)
-        out, seen = np.zeros((len(context), 4), dtype=np.int64), np.flatnonzero(context >= 0)
-        out[seen] = (1, 1, 0, 0)
-        first, (places, stats) = self.levels[level - 1].start, self.odd[level - 1]
-        part = np.minimum(np.searchsorted(first, context[seen], side="right") - 1, self.model.parts - 1)
-        for p, mine in _by_part(part):
-            if places[p] is not None and len(places[p]):
-                mine = seen[mine]
-                local = context[mine] - first[p]
-                at = np.minimum(np.searchsorted(places[p], local), len(places[p]) - 1)
-                here = places[p][at] == local
-                out[mine[here]] = stats[p][at[here]]
-        return out
+        return self._of(context, *self.followed[level], 4)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and log10 probability of each text."""
@@ -625,10 +709,9 @@ class Scorer:
         cont = self._of(ids, self.range_first, self.continuations)[:, 0]
         prob = (np.maximum(cont - self.lower[np.minimum(cont, 3)], 0) / max(m.pairs, 1) + self.unseen)[at]
         if m.pairs:
-            for level, step in zip(range(len(self.levels)), _steps(tokens, n, self.levels)):
+            for level, step in zip(range(len(self.levels)), _steps(tokens, n, self.levels, self.gram_counts)):
                 discount = np.r_[0.0, m.discounts[level - 1]] if level else self.discount
-                times = self._of(step.places, self.levels[level].start, self.gram_counts[level])[:, 0]
-                stats = self.context_stats(level, step.contexts)
+                times, stats = step.times, self.context_stats(level, step.contexts)
                 total = np.maximum(stats[:, 0], 1)
                 left = np.where(stats[:, 0] > 0, stats[:, 1:] @ discount[1:] / total, 1.0)
                 own = np.maximum(times - discount[np.minimum(times, 3)], 0)
